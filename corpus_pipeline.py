@@ -5,16 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import packing
+from sensorloom.llm import dart_minhash, line_templates, mixing, packing, quality
 from sensorloom.llm.common import materialize
+from sensorloom.llm.queries import ARROW_ROWS
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines."""
+    return line_templates.drop_recurring(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return dart_minhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' targets take them."""
+    return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", drop_near),
+    ("mixing sources", mix),
+    ("packing", pack),
+]
 
 #: Tokenization can't be said in SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 #: A broadcast side may hold this many rows at most; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 _own_base: str | None = None
 

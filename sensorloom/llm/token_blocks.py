@@ -34,7 +34,7 @@ BLOCK = 128
 #: Share of a block's values that must fit its packed width.
 PERCENTILE = 0.9
 #: Ids after which a segment is closed.
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 18
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("blocks", "<u4")])
 SEGMENT_SCHEMA = "shard int, segment int, ids_before long, n_docs int, n_ids long, payload binary"
 TOKEN_SCHEMA = "shard int, doc_id long, shard_start long, ids binary"
@@ -44,51 +44,88 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
-def pack_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of a run of ids; the last one is filled up with its own first id."""
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair of a start and a size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _squeeze(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 128 values as rows of 16 * width bytes: the low ``width`` bits of each, in 64-bit words."""
+    words = np.zeros((2 * width, len(values)), np.uint64)
+    v = values.T.astype(np.uint64) & np.uint64((1 << width) - 1)
+    for i in range(BLOCK if width else 0):
+        word, shift = divmod(i * width, 64)
+        words[word] |= v[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= v[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(values), 16 * width)
+
+
+def _expand(packed: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of ``_squeeze``."""
+    values = np.zeros((BLOCK, len(packed)), np.uint32)
+    words = np.ascontiguousarray(packed).view("<u8").T.copy() if width else None
+    mask = np.uint64((1 << width) - 1)
+    for i in range(BLOCK if width else 0):
+        word, shift = divmod(i * width, 64)
+        v = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            v |= words[word + 1] << np.uint64(64 - shift)
+        values[i] = v & mask
+    return values.T
+
+
+def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(starts, bytes) of the blocks of a run of ids; the last one is filled up with its own first id."""
     n_blocks = -(-len(ids) // BLOCK)
-    padded = np.empty(n_blocks * BLOCK, np.int64)
+    if not n_blocks:
+        return np.empty(0, np.int64), b""
+    padded = np.empty(n_blocks * BLOCK, np.uint32)
     padded[: len(ids)] = ids
-    if n_blocks:
-        padded[len(ids) :] = ids[(n_blocks - 1) * BLOCK]
+    padded[len(ids) :] = ids[(n_blocks - 1) * BLOCK]
     table = padded.reshape(n_blocks, BLOCK)
-    low = table.min(axis=1, initial=1 << 32)
+    low = table.min(axis=1)
     rest = table - low[:, None]
     at = int(PERCENTILE * BLOCK)
-    width = _widths(np.partition(rest, at, axis=1)[:, at]) if n_blocks else np.empty(0, np.int64)
-    over = (rest >> width[:, None]) > 0
-    out: list[bytes] = [b""] * n_blocks
+    width = _widths(np.partition(rest, at, axis=1)[:, at])
+    over = (rest >> np.minimum(width, 31)[:, None].astype(np.uint32)) > (width >= 32)[:, None]
+    n_over = over.sum(axis=1)
+    sizes = 6 + 16 * width + 5 * n_over
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[starts + 4], out[starts + 5] = width, n_over
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        out[starts[rows][:, None] + 6 + np.arange(16 * w)] = _squeeze(rest[rows], int(w))
+    row, place = np.nonzero(over)
+    patches = starts + 6 + 16 * width
+    out[_spread(patches, n_over)] = place
+    out[_spread(patches + n_over, 4 * n_over)] = rest[row, place].astype("<u4").view(np.uint8)
+    return starts, out.tobytes()
+
+
+def unpack_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ids of the blocks of ``data`` (uint8) that begin at ``starts``, 128 of each."""
+    low = np.ascontiguousarray(data[starts[:, None] + np.arange(4)]).view("<u4").reshape(-1)
+    width, n_over = data[starts + 4].astype(np.int64), data[starts + 5].astype(np.int64)
+    values = np.zeros((len(starts), BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        bits = (rest[rows, :, None] >> np.arange(w)) & 1
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-        for r, body in zip(rows, packed):
-            where = np.flatnonzero(over[r])
-            head = np.uint32(low[r]).tobytes() + bytes((int(w), len(where)))
-            out[r] = b"".join((head, body.tobytes(), where.astype(np.uint8).tobytes(), rest[r, where].astype("<u4").tobytes()))
-    return out
-
-
-def unpack_block(data: memoryview | bytes, at: int) -> np.ndarray:
-    """The 128 ids of the block that starts at byte ``at``."""
-    low = int(np.frombuffer(data, "<u4", 1, at)[0])
-    width, n = data[at + 4], data[at + 5]
-    at += 6
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, 16 * width, at), bitorder="little").reshape(BLOCK, width)
-    values = bits @ (1 << np.arange(width, dtype=np.int64))
-    at += 16 * width
-    where = np.frombuffer(data, np.uint8, n, at)
-    values[where] = np.frombuffer(data, "<u4", n, at + n)
-    return values + low
+        values[rows] = _expand(data[starts[rows][:, None] + 6 + np.arange(16 * w)], int(w))
+    patches = starts + 6 + 16 * width
+    place = data[_spread(patches, n_over)].astype(np.int64)
+    patch = np.ascontiguousarray(data[_spread(patches + n_over, 4 * n_over)]).view("<u4")
+    values[np.repeat(np.arange(len(starts)), n_over), place] = patch
+    return (values + low[:, None]).reshape(-1)
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    blocks = pack_blocks(ids)
-    starts = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u4")
-    head = np.array([(b"PFR1", len(doc_ids), len(ids), len(blocks))], _HEAD)
+    starts, blocks = pack_blocks(ids)
+    head = np.array([(b"PFR1", len(doc_ids), len(ids), len(starts))], _HEAD)
     keys = np.array([x or 0 for x in doc_ids], "<i8")
     absent = np.array([x is None for x in doc_ids], np.uint8)
-    return b"".join((head.tobytes(), starts.tobytes(), keys.tobytes(), absent.tobytes(), np.array(lengths, "<u4").tobytes(), *blocks))
+    return b"".join((head.tobytes(), starts.astype("<u4").tobytes(), keys.tobytes(), absent.tobytes(), np.array(lengths, "<u4").tobytes(), blocks))
 
 
 class Segment:
@@ -99,20 +136,19 @@ class Segment:
         if head["magic"] != b"PFR1":
             raise ValueError("not a segment of token blocks")
         docs, blocks, at = int(head["docs"]), int(head["blocks"]), _HEAD.itemsize
-        self.data, self.n_ids = data, int(head["ids"])
+        self.n_ids = int(head["ids"])
         self.starts = np.frombuffer(data, "<u4", blocks, at)
         keys = np.frombuffer(data, "<i8", docs, at := at + 4 * blocks)
         absent = np.frombuffer(data, np.uint8, docs, at := at + 8 * docs)
         self.lengths = np.frombuffer(data, "<u4", docs, at := at + docs).astype(np.int64)
         self.doc_ids = [None if gone else int(k) for k, gone in zip(keys, absent)]
         self.first = np.cumsum([0, *self.lengths])
-        self.body = at + 4 * docs
+        self.body = np.frombuffer(data, np.uint8)[at + 4 * docs :]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the segment, from the blocks that hold them."""
         low, high = start // BLOCK, -(-stop // BLOCK)
-        parts = [unpack_block(self.data, self.body + int(s)) for s in self.starts[low:high]]
-        return (np.concatenate(parts) if parts else np.empty(0, np.int64))[start - low * BLOCK : stop - low * BLOCK]
+        return unpack_blocks(self.body, self.starts[low:high].astype(np.int64))[start - low * BLOCK : stop - low * BLOCK]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.first[i]), int(self.first[i + 1]))

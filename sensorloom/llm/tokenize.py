@@ -9,6 +9,7 @@ with two spaces in a row, are encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -24,7 +25,7 @@ class PieceEncoder(dict):
     """Maps a piece (what stands between two spaces) to its ids as little-endian uint32 bytes."""
 
     #: Pieces kept in each of two generations.
-    GENERATION = 400_000
+    GENERATION = 600_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,7 +50,7 @@ class PieceEncoder(dict):
             if not normal.isalpha():
                 return self._whole(piece)
             unit = self.bytes_of.pre_tokenize_str(normal)[0][0]
-        return np.array([t.id for t in self.model.tokenize(unit)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
