@@ -102,12 +102,12 @@ WITH d AS (
 ), kinds AS (
   SELECT leaf, masked, any_value(ts) AS ts, count(DISTINCT doc_id) AS n FROM t GROUP BY ALL
 ), tok AS (
-  SELECT leaf, masked, n, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS at FROM kinds
+  SELECT leaf, masked, n, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS pos FROM kinds
 ), fixed AS (
-  SELECT leaf, at, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= {MIN_DOCS}
+  SELECT leaf, pos, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= {MIN_DOCS}
 ), tpl AS (
-  SELECT tok.leaf, masked, string_agg(CASE WHEN fixed.token IS NULL THEN '<*>' ELSE tok.token END, ' ' ORDER BY tok.at) AS template
-  FROM tok LEFT JOIN fixed ON tok.leaf = fixed.leaf AND tok.at = fixed.at AND tok.token = fixed.token
+  SELECT tok.leaf, masked, string_agg(CASE WHEN fixed.token IS NULL THEN '<*>' ELSE tok.token END, ' ' ORDER BY tok.pos) AS template
+  FROM tok LEFT JOIN fixed ON tok.leaf = fixed.leaf AND tok.pos = fixed.pos AND tok.token = fixed.token
   GROUP BY tok.leaf, masked HAVING avg(CASE WHEN fixed.token IS NULL THEN 0.0 ELSE 1.0 END) >= {FIXED_SHARE}
 ), rec AS (
   SELECT tpl.leaf, template, min(doc_id) AS first FROM t JOIN tpl ON t.leaf = tpl.leaf AND t.masked = tpl.masked

@@ -234,11 +234,11 @@ WITH d AS (
 ), cov AS (
   SELECT rid, i FROM win JOIN least USING (g) WHERE doc_id > first
 ), gone AS (
-  SELECT DISTINCT rid, i + k AS at FROM cov, range(0, {window}) r(k)
+  SELECT DISTINCT rid, i + k AS pos FROM cov, range(0, {window}) r(k)
 ), words AS (
-  SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS at FROM d
+  SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d
 ), kept AS (
-  SELECT rid, string_agg(w, ' ' ORDER BY at) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, at) GROUP BY rid
+  SELECT rid, string_agg(w, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
