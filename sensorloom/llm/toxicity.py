@@ -17,6 +17,7 @@ without label are scored like others; without labels of both kinds the score is
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,11 @@ BUCKETS = 1 << 18
 #: Beginnings of words that are features besides the word.
 PREFIXES = (4, 5, 6)
 #: A feature counts if this many documents of the sample have it.
-MIN_DOCS = 4
-EPOCHS = 60
-RATE, SHRINK = 0.3, 1e-5
+MIN_DOCS = 6
+EPOCHS = 200
+RATE = 2.0
+#: Penalty on weights, as so many documents' pull.
+SPARSE_DOCS = 2.0
 SEED = 8
 _SENTENCE = re.compile(r"[.!?\n]+")
 _TRIM = "\"'()[]{},;:-_*#$%&|<>"
@@ -66,37 +69,50 @@ class Model:
 
 
 def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray) -> Model:
-    """The model of largest likelihood (with shrinkage), by adaptive gradient steps over the whole sample."""
-    known: dict[str, list[int]] = {}
-    doc_of, index, sizes = [], [], []
+    """The model of largest likelihood with sparse weights, by adaptive gradient steps over the whole sample."""
+    number: dict[str, int] = {}  # words of the sample
+    sizes, doc_of = array("i"), array("i")
+    words = array("i")  # words of all sentences in a row
     for d, text in enumerate(texts):
         for s in sentences(text):
-            found = [f for w in set(s.split()) for f in known.setdefault(w, None) or known.__setitem__(w, features(w)) or known[w]]
-            index.extend(found)
-            sizes.append(len(found))
+            own = set(s.split())
+            words.extend(number.setdefault(w, len(number)) for w in own)
+            sizes.append(len(own))
             doc_of.append(d)
-    feature, size, doc = np.array(index, np.int64), np.array(sizes, np.int64), np.array(doc_of, np.int64)
-    instance = np.repeat(np.arange(len(size)), size)
-    pairs = np.unique(doc[instance] * BUCKETS + feature)
-    docs_with = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic_with = np.bincount(pairs % BUCKETS, labels[pairs // BUCKETS], minlength=BUCKETS)
+    word, size, doc = (np.frombuffer(a, np.int32) if len(a) else np.empty(0, np.int32) for a in (words, sizes, doc_of))
+    parts = [features(w) for w in number]
+    width = np.array([len(f) for f in parts], np.int64)
+    feature = np.array([f for fs in parts for f in fs], np.int32)
+    of_word = np.repeat(np.arange(len(parts)), width)
+    instance = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    n = len(texts)
+    docs_with = np.zeros(BUCKETS)
+    begin = np.cumsum(width) - width
+    ends = np.searchsorted(doc[instance], np.arange(n + 1))
+    for d in range(n):
+        own = np.unique(word[ends[d] : ends[d + 1]])
+        sized = width[own]
+        found = np.unique(feature[np.repeat(begin[own] - np.cumsum(sized) + sized, sized) + np.arange(int(sized.sum()))])
+        docs_with[found] += 1
     live = docs_with[feature] >= MIN_DOCS
     names, slot = np.unique(feature[live], return_inverse=True)
-    instance = instance[live]
-    n, positive = len(texts), float(labels.sum())
-    odds = np.log((toxic_with[names] + 0.5) / (positive + 1)) - np.log((docs_with[names] - toxic_with[names] + 0.5) / (n - positive + 1))
-    w = np.where(odds > 1.5, np.minimum(odds, 5.0), 0.0)
+    of_word = of_word[live]
+    w = np.zeros(len(names))
     bias = -8.0
     grown, grown_bias = np.full(len(names), 1e-2), 1e-2
     for _ in range(EPOCHS):
-        z = np.clip(bias + np.bincount(instance, w[slot], len(size)), -30, 30)
+        of_words = np.bincount(of_word, w[slot], len(parts))
+        z = np.clip(bias + np.bincount(instance, of_words[word], len(size)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))  # product(1 - p)
         pull = np.where(labels > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) * importance
         slope = pull[doc] * p
-        g = np.bincount(slot, slope[instance], len(names)) / n + SHRINK * w
+        by_word = np.bincount(word, slope[instance], len(parts))
+        g = np.bincount(slot, by_word[of_word], len(names)) / n
         grown += g * g
-        w -= RATE * g / np.sqrt(grown)
+        step = RATE / np.sqrt(grown)
+        w -= step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * SPARSE_DOCS / n, 0)  # what explains a few documents only goes
         gb = slope.sum() / n
         grown_bias += gb * gb
         bias -= RATE * gb / np.sqrt(grown_bias)
