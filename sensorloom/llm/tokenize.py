@@ -34,6 +34,7 @@ class PieceEncoder(dict):
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.keeps_space = self.tokenizer.normalizer is None
         self.older: dict[str, bytes] = {}
+        self.line_end = self._whole("\n") if self.keeps_space else b""
         self.marks = {p: self._whole(p) for p in (".", ",")}
 
     def _whole(self, text: str) -> bytes:
@@ -52,7 +53,43 @@ class PieceEncoder(dict):
             unit = self.bytes_of.pre_tokenize_str(normal)[0][0]
         return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
+    def _kept(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self) >= self.GENERATION:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+    def _bare(self, piece: str) -> bytes:
+        """Ids of a piece that no space precedes."""
+        if not self.keeps_space:
+            return self[piece]
+        key = f" {piece}"  # pieces hold no space
+        if key in self:
+            return dict.__getitem__(self, key)
+        ids = self.older.get(key)
+        if ids is None:
+            if piece.isalpha():
+                unit = piece if piece.isascii() else self.bytes_of.pre_tokenize_str(piece)[0][0]
+                ids = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
+            elif piece[-1] in ".," and piece[:-1].isalpha():
+                ids = self._bare(piece[:-1]) + self.marks[piece[-1]]
+            else:
+                ids = self._whole(piece)
+        return self._kept(key, ids)
+
+    def _lines(self, piece: str, first: bool) -> bytes:
+        """Ids of a piece that may hold line ends; ``first``: it begins the text, so no space precedes it."""
+        parts = piece.split("\n")
+        if "" in parts or "\t" in piece or "\r" in piece:
+            return self._whole(piece if first or not self.keeps_space else f" {piece}")
+        head = self._bare(parts[0]) if first else self[parts[0]]
+        return self.line_end.join([head, *map(self._bare, parts[1:])])
+
     def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece or "\t" in piece or "\r" in piece:
+            return self._lines(piece, False)
         ids = self.older.get(piece)
         if ids is None:
             if piece.isalpha():
@@ -61,12 +98,7 @@ class PieceEncoder(dict):
                 ids = self[piece[:-1]] + self.marks[piece[-1]]
             else:
                 ids = self._whole(f" {piece}" if self.keeps_space else piece)
-        if len(piece) <= 64:
-            if len(self) >= self.GENERATION:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        return self._kept(piece, ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, little-endian uint32; a null text counts as empty."""
@@ -75,7 +107,7 @@ class PieceEncoder(dict):
         pieces = text.split(" ")
         if "" in pieces or _RARE_SPACE.search(text):
             return self._whole(text)
-        return self._whole(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
+        return self._lines(pieces[0], True) + b"".join(map(self.__getitem__, pieces[1:]))
 
 
 def encoder(path: str) -> PieceEncoder:
