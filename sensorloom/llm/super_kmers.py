@@ -154,12 +154,18 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             spread = _has(many, m[chosen])
             cold = [(int(m[i].view(np.int64)), b" ".join(texts[of[i]][first[i] : last[i] + window]), ids[of[i]], keys[of[i]], int(first[i]), None, None) for i in chosen[~spread]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold) if cold else [[]] * 7, kinds)], names=names)
+            if not spread.any():
+                continue
+            hot_rows: list[list[np.ndarray]] = [[], [], [], [], []]
             for i in chosen[spread]:
                 h = hash_words(texts[of[i]][first[i] : last[i] + window])
-                w1, w2 = window_hashes(h, window).view(np.int64), window_hashes(h, window, 0xC2B2AE3D27D4EB4F).view(np.int64)
-                n = len(w1)
-                columns = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([ids[of[i]]] * n, pa.int64()), pa.array([keys[of[i]]] * n, pa.int64()), pa.array(np.arange(first[i], last[i] + 1, dtype=np.int32)), pa.array(w1), pa.array(w2))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                n = len(h) - window + 1
+                parts = (np.full(n, ids[of[i]], np.int64), np.full(n, keys[of[i]], np.int64), np.arange(first[i], last[i] + 1, dtype=np.int32), window_hashes(h, window).view(np.int64), window_hashes(h, window, 0xC2B2AE3D27D4EB4F).view(np.int64))
+                for column, part in zip(hot_rows, parts):
+                    column.append(part)
+            columns = [pa.array(np.concatenate(c)) for c in hot_rows]
+            n = len(columns[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *columns], names=names)
 
     rows = materialize(slim.mapInArrow(pack, "m long, packed binary, d long, rk long, first int, w1 long, w2 long"), "super-kmers")
 
