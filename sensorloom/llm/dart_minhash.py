@@ -10,8 +10,8 @@ Near duplicates are texts with a similarity of ``threshold`` or more; classes ar
 1. Equal texts are one node. 2. Signatures are cut into bands; nodes of one band value form a bucket.
 3. In each bucket every node is compared with one leader (exact similarity of the whole texts), not with
 every other. 4. Buckets whose nodes are then in several classes take other leaders, as long as
-classes merge. 5. In those still open every node outside the largest class is compared with all nodes of other
-classes. So each pair of a bucket is in one class or has been compared: no link is lost, and no bucket
+classes merge. 5. In those still open every node outside the largest class is held, in blocks, against all nodes
+of other classes. So each pair of a bucket is in one class or has been compared: no link is lost, and no bucket
 emits all of its pairs. Classes are found by spreading minima with pointer jumping over Parquet tables.
 
 Edge cases: a null text counts as empty; texts of one to four words have one shingle, the whole text;
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,8 +35,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: Documents that Python handles at once.
 SLICE_DOCS = 250
-#: Rounds of new leaders at most; what is open then is compared pair by pair.
-LEADER_ROUNDS = 6
+#: Rounds of new leaders at most; what is open then is compared in blocks.
+LEADER_ROUNDS = 3
+#: Nodes of a block in these comparisons.
+BLOCK = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,12 +170,48 @@ def connected(links: DataFrame) -> DataFrame:
         label = moved.select("node", "class")
 
 
-def _all_open(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes in different classes; one of each pair is outside the largest class."""
+def _similar_rows(x: pd.DataFrame, y: pd.DataFrame, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Similar nodes (a, b) of different classes, a of ``x`` and b of ``y``; each x meets all of y at once, by element."""
+    bags = [np.unique(shingle_hashes(t), return_counts=True) for t in y["t"]]
+    place = np.repeat(np.arange(len(bags)), [len(e) for e, _ in bags])
+    element, count = (np.concatenate([b[i] for b in bags]) for i in (0, 1))
+    order = np.argsort(element, kind="stable")
+    element, count, place = element[order], count[order], place[order]
+    mass = np.bincount(place, count, len(bags))
+    nodes, classes = y["node"].to_list(), y["class"].to_numpy()
+    found = []
+    for node, own, text in zip(x["node"], x["class"], x["t"]):
+        e, c = np.unique(shingle_hashes(text), return_counts=True)
+        low, high = np.searchsorted(element, e), np.searchsorted(element, e, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(place[at], np.minimum(np.repeat(c, n), count[at]), len(bags))
+        near = np.flatnonzero(both >= threshold * (c.sum() + mass - both))
+        found += [(node, nodes[k]) for k in near if classes[k] != own]
+    return found
+
+
+def _open_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Similar nodes (a, b) of one bucket and different classes.
+
+    Nodes outside a bucket's largest class are held against all its nodes, in blocks of BLOCK by BLOCK; no pair
+    is a row of its own unless it is similar.
+    """
     sizes = open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("class", "n").alias("largest"))
-    outer = open_.join(largest, "bucket").filter(F.col("class") != F.col("largest")).select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"))
-    return outer.join(open_, "bucket").filter(F.col("ca") != F.col("class")).select("a", F.col("node").alias("b"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("class", "n").alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(largest, "bucket").join(texts.select("node", "t"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_y = rows.withColumn("i", F.explode(every)).select("bucket", "i", F.col("own").alias("j"), F.lit(False).alias("outer"), "node", "class", "t")
+    as_x = rows.filter(F.col("class") != F.col("largest")).withColumn("j", F.explode(every)).select("bucket", F.col("own").alias("i"), "j", F.lit(True).alias("outer"), "node", "class", "t")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group["outer"]], group[~group["outer"]]
+        found = _similar_rows(x, y, threshold) if len(x) and len(y) else []
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    links = as_x.unionByName(as_y).groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -195,18 +234,18 @@ def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float =
             split = open_.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket")
             open_ = open_.join(split, "bucket")
         open_ = materialize(open_.select("bucket", "node", "class"), "open")
+        if not open_.limit(1).count():
+            break
         if last:
-            pairs = _all_open(open_)
+            new = materialize(_open_links(open_, texts, threshold), "similar")
         else:
             leader = F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(turn))) if turn else F.min(F.struct("node", "class"))
             lead = open_.groupBy("bucket").agg(leader.alias("lead"))
             pairs = open_.join(lead, "bucket").filter(F.col("class") != F.col("lead.class")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not open_.limit(1).count():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        new = materialize(compared(pairs, texts, threshold), "similar")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = pairs if tried is None else tried.union(pairs)
+            new = materialize(compared(pairs, texts, threshold), "similar")
         merged = new.limit(1).count() > 0
         if merged:
             found = new if found is None else found.union(new)

@@ -326,6 +326,21 @@ def test_near_dedup(spark, docs, none):
     assert dart_minhash.classified(none).count() == 0 and dart_minhash.keep_one(none).count() == 0
 
 
+def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 4)
+    r = random.Random(4)
+    base = prose(71, 120).split()
+    rows = []
+    for i in range(40):  # many copies lie under the threshold to each other
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(120)] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(x) for x in dart_minhash.classified(d).collect()), key=repr) == brute_classes(rows)
+
+
 def test_pipeline_against_its_parts(spark):
     """run() equals the stages one by one, and each stage what brute force says of its input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
