@@ -31,8 +31,8 @@ from .common import batches_of, hash_words, materialize, small_side, window_hash
 
 WINDOW = 50
 GRAM = 8
-#: Super-k-mers of one minimiser beyond which its windows are spread over all tasks.
-HOT = 256
+#: Super-k-mers of one minimiser (about 2 MB) beyond which its windows are spread over all tasks.
+HOT = 4096
 #: Documents that Python handles at once, and packed strings.
 SLICE_DOCS, SLICE_STRINGS = 250, 20_000
 #: Bits of a table of minimisers: 16 for each, between these bounds.

@@ -209,7 +209,7 @@ def brute_removal(rows, window=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [super_kmers.HOT, 1])
 def test_substring_dedup(docs, none, hot):
     got = sorted((tuple(r) for r in super_kmers.removal(docs, hot=hot).collect()), key=repr)
     assert got == brute_removal(TEXTS)
