@@ -56,11 +56,11 @@ def live_labels(df: DataFrame, thresholds: dict[str, float], minutes: float = 15
             yield rows[[SENSOR, TIME]].assign(label=labels)
         if last is not None:
             state.update(last)
-            state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+            state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + 7 * 24 * 3600 * 1000)
 
     rows = df.withWatermark(TIME, late).select(SENSOR, TIME, *cols)
     kept = "at long, " + ", ".join(f"{c} double" for c in cols)
-    return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, label string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, label string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_kalman(df: DataFrame, col: str = "value_temp", q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> DataFrame:
