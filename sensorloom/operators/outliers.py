@@ -52,31 +52,34 @@ def local_outlier_factor(df: DataFrame, k: int = 20, cut: float = 1.5, seed: int
     return _flagged(_scored(df, lambda v: local_outlier_scores(v, x, k, known)), F.col("score") > cut)
 
 
-def mahalanobis_outliers(df: DataFrame, contamination: float = 0.1) -> DataFrame:
-    """The share ``contamination`` with the largest robust distance: mean and covariance again without the farthest quarter."""
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of feature vectors."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                x = np.stack(part["features"].to_list()).astype(float)
+                yield pd.DataFrame({"n": [float(len(x))], "s": [x.sum(axis=0).tolist()], "q": [(x.T @ x).reshape(-1).tolist()]})
 
-    def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if len(part):
-                    x = np.stack(part["features"].to_list()).astype(float)
-                    yield pd.DataFrame({"n": [float(len(x))], "s": [x.sum(axis=0).tolist()], "q": [(x.T @ x).reshape(-1).tolist()]})
+    # one row per batch, each of the size of a covariance matrix, summed by place
+    parts = rows.select("features").mapInPandas(partial, "n double, s array<double>, q array<double>")
+    n = parts.agg(F.sum("n")).first()[0]
+    sums = {c: np.array([r[1] for r in parts.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v")).orderBy("i").collect()]) for c in ("s", "q")}
+    mean = sums["s"] / n
+    return mean, sums["q"].reshape(len(mean), -1) / n - np.outer(mean, mean)
 
-        # one row per batch, each of the size of a covariance matrix, summed by place
-        parts = rows.select("features").mapInPandas(partial, "n double, s array<double>, q array<double>")
-        n = parts.agg(F.sum("n")).first()[0]
-        sums = {c: np.array([r[1] for r in parts.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v")).orderBy("i").collect()]) for c in ("s", "q")}
-        mean = sums["s"] / n
-        return mean, sums["q"].reshape(len(mean), -1) / n - np.outer(mean, mean)
+
+def mahalanobis_outliers(df: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """The share ``contamination`` with the largest robust distance: mean and covariance again without the farthest quarter."""
 
     def distance(mean: np.ndarray, cov: np.ndarray):
         inverse = np.linalg.pinv(cov)
         return lambda x: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
 
-    first = _scored(df, distance(*moments(df)))
+    first = _scored(df, distance(*_moments(df)))
     cut = first.agg(F.percentile_approx("score", F.lit(0.75))).first()[0]
     core = df.join(first.filter(F.col("score") <= cut).select(SENSOR, "idx"), [SENSOR, "idx"])
-    scores = _scored(df, distance(*moments(core)))
+    scores = _scored(df, distance(*_moments(core)))
     limit = scores.agg(F.percentile_approx("score", F.lit(1 - contamination), F.lit(100_000))).first()[0]
     return _flagged(scores, F.col("score") > limit)
 
@@ -91,14 +94,17 @@ def channel_distance(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def reconstruction_outliers(df: DataFrame, k: int = 32, q: float = 0.95) -> DataFrame:
-    """Windows that ``k`` principal components rebuild worst: squared error over the quantile ``q``."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    width = df.select(F.size("features")).first()[0]
-    model = PCA(k=min(k, width), inputCol="v", outputCol="c").fit(df.select(array_to_vector("features").alias("v")))
-    basis = model.pc.toArray()
-    mean = np.array([r[1] for r in df.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v")).orderBy("i").collect()])
+    """Windows that ``k`` principal components rebuild worst: squared error over the quantile ``q``.
+
+    As many components as the data's rank rebuild every window, so that errors are rounding only: more
+    than half the rank is an error.
+    """
+    mean, cov = _moments(df)
+    size, vectors = np.linalg.eigh(cov)
+    rank = int((size > max(size[-1], 0) * 1e-9).sum())
+    if 2 * k > rank:
+        raise ValueError(f"{k} components for windows of rank {rank}: at most half the rank")
+    basis = vectors[:, -k:]
     scores = _scored(df, lambda x: ((x - mean - (x - mean) @ basis @ basis.T) ** 2).mean(axis=1))
     limit = scores.agg(F.percentile_approx("score", F.lit(q), F.lit(100_000))).first()[0]
     return _flagged(scores, F.col("score") > limit)

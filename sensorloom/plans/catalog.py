@@ -265,8 +265,10 @@ def _windows(d: DataFrame) -> DataFrame:
     return W.sliding_windows(d, 10)
 
 
-for _key, _name in (("out1", "isolation_forest"), ("out2", "local_outlier_factor"), ("out3", "elliptic_envelope"), ("out4", "autoencoder")):
+for _key, _name in (("out1", "isolation_forest"), ("out2", "local_outlier_factor"), ("out3", "elliptic_envelope")):
     add(f"{_key}_{_name}", lambda d, n=_name: O.detect_outliers(_windows(d), n).select("sensor_id", "idx", "pred"))
+# channels that aren't multiples of each other, on one scale
+add("out4_autoencoder", lambda d: O.detect_outliers(W.sliding_windows(A.minmax_scale(d, W.SAMPLE)), "autoencoder").select("sensor_id", "idx", "pred"), source=ad.line_readings)
 add("out3_channel_distance", lambda d: O.channel_distance(d, "value_temp", "value_hum").select("row_no", "distance"), f"WITH {ad.R}, m AS (SELECT avg(value_temp) AS a, avg(value_hum) AS b, var_samp(value_temp) AS va, var_samp(value_hum) AS vb, covar_samp(value_temp, value_hum) AS c FROM r) SELECT row_no, {num('(vb * (value_temp - a) * (value_temp - a) - 2 * c * (value_temp - a) * (value_hum - b) + va * (value_hum - b) * (value_hum - b)) / (va * vb - c * c)')} AS distance FROM r, m")
 add("for1_fourier", lambda d: FC.fourier_forecast(d, ("value_temp",), horizon=50, daily=2, weekly=1))
 add("for2_regressors", lambda d: FC.regressor_forecast(d, horizon=50))
