@@ -120,31 +120,41 @@ def isolation_score(x: np.ndarray, forest: list[list[tuple]], sample: int) -> np
     return 2.0 ** (-total / len(forest) / max(average_path(sample), 1e-12))
 
 
-def local_outlier_scores(x: np.ndarray, reference: np.ndarray, k: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Local outlier factors of rows against reference rows; a row's equal in the reference isn't its neighbour once."""
-    k = min(k, len(reference) - 1)
-    reach, density = known or reference_density(reference, k)
-    out = np.empty(len(x))
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
-        d = np.sqrt(np.maximum(((part[:, None, :] - reference[None]) ** 2).sum(axis=2), 0))
-        same = d.argmin(axis=1)
-        rows = np.arange(len(part))
-        d[rows, same] = np.where(d[rows, same] == 0, np.inf, d[rows, same])
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        own = 1 / np.maximum(np.maximum(d[rows[:, None], near], reach[near]).mean(axis=1), 1e-12)
-        out[at : at + 512] = density[near].mean(axis=1) / own
-    return out
+def block_ids(block: int, n: int) -> np.ndarray:
+    """Ids of the rows of a block."""
+    return (np.int64(block) << 32) + np.arange(n, dtype=np.int64)
 
 
-def reference_density(reference: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distance to the k-th neighbour, local density) of reference rows."""
-    d = np.sqrt(np.maximum(((reference[:, None, :] - reference[None]) ** 2).sum(axis=2), 0))
-    np.fill_diagonal(d, np.inf)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    gap = d[np.arange(len(reference))[:, None], near]
-    reach = gap.max(axis=1)
-    return reach, 1 / np.maximum(np.maximum(gap, reach[near]).mean(axis=1), 1e-12)
+def merge_nearest(x: np.ndarray, other: np.ndarray, ids: np.ndarray, same: bool, best: np.ndarray, near: np.ndarray) -> None:
+    """Put rows of ``other`` into the running k nearest of ``x`` (distances ``best``, ids ``near``); same: both are one block.
+
+    Products only narrow the choice, with a margin for their rounding; distances are exact, and equal ones go by id.
+    """
+    k = best.shape[1]
+    middle = x.mean(axis=0)
+    right = other - middle
+    squares = (right * right).sum(axis=1)
+    for at in range(0, len(x), 512):
+        left = x[at : at + 512] - middle
+        own = (left * left).sum(axis=1)
+        d = squares - 2 * left @ right.T
+        if same:
+            d[np.arange(len(left)), at + np.arange(len(left))] = np.inf
+        bound = best[at : at + 512, -1] ** 2 - own
+        if len(other) > k:
+            bound = np.where(np.isinf(bound), np.partition(d, k - 1, axis=1)[:, k - 1] if np.isinf(bound).any() else bound, bound)
+        bound += 1e-12 * (own + squares.max())
+        rows, cols = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((x[at + rows] - other[cols]) ** 2).sum(axis=1))
+        has = np.nonzero(near[at : at + 512] >= 0)
+        rows = np.concatenate([has[0], rows])
+        exact = np.concatenate([best[at : at + 512][has], exact])
+        names = np.concatenate([near[at : at + 512][has], ids[cols]])
+        order = np.lexsort((names, exact, rows))
+        rows, exact, names = rows[order], exact[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        best[at + rows[keep], place[keep]], near[at + rows[keep], place[keep]] = exact[keep], names[keep]
 
 
 def fourier_features(minutes: np.ndarray, periods: dict[float, int], scale: float) -> np.ndarray:

@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import SENSOR
-from ..functions.kernels import isolation_score, isolation_trees, local_outlier_scores, reference_density
+from ..functions.kernels import block_ids, isolation_score, isolation_trees, merge_nearest
 
-#: Windows that a model is fitted on, at most.
+#: Windows that isolation trees are grown on, at most.
 REFERENCE = 2048
+#: Windows that are compared with others as one matrix.
+BLOCK = 8192
 
 
 def _sample(df: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -43,13 +46,68 @@ def isolation_forest(df: DataFrame, trees: int = 10, sample: int = 256, seed: in
     return _flagged(_scored(df, lambda v: isolation_score(v, forest, min(sample, max(len(x), 2)))), F.col("score") > 0.5)
 
 
-def local_outlier_factor(df: DataFrame, k: int = 20, cut: float = 1.5, seed: int = 0) -> DataFrame:
-    """Low local density: factor over ``cut``, against a bounded reference sample (exact while it holds all windows)."""
-    x = _sample(df, REFERENCE, seed)
-    if len(x) <= k:
+def _blocks(df: DataFrame, n: int) -> DataFrame:
+    """(block, sensors, idxs, x): about BLOCK windows a row, those of one hash block in order of keys; x is their packed matrix."""
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([SENSOR, "idx"])
+        x = np.stack(rows["features"].to_list()).astype(float)
+        return pd.DataFrame({"block": [key[0]], "sensors": [rows[SENSOR].to_list()], "idxs": [rows["idx"].to_list()], "x": [x.tobytes()]})
+
+    block = F.pmod(F.xxhash64(SENSOR, "idx"), F.lit(-(-n // BLOCK))).cast("int")
+    return df.select(SENSOR, "idx", "features", block.alias("block")).groupBy("block").applyInPandas(pack, "block int, sensors array<string>, idxs array<int>, x binary")
+
+
+def _nearest(df: DataFrame, n: int, k: int) -> DataFrame:
+    """(id, sensor_id, idx, near, distance): the ids and distances of the ``k`` nearest other windows, nearest first.
+
+    Each block meets every block, its own first, and keeps a running top k.
+    """
+    # Python gets a few packed blocks at once, however many meet in a task
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    blocks = _blocks(df, n)
+    pairs = blocks.crossJoin(F.broadcast(blocks.sparkSession.range(-(-n // BLOCK)).select(F.col("id").cast("int").alias("to"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, best = None, None, None
+
+        def done() -> Iterator[pd.DataFrame]:
+            ids = block_ids(at, len(best[0]))
+            for i in range(0, len(ids), 1024):
+                part = slice(i, i + 1024)
+                yield pd.DataFrame({"id": ids[part], SENSOR: own[1][part], "idx": own[2][part], "near": list(best[1][part]), "distance": list(best[0][part])})
+
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                x = np.frombuffer(r.x).reshape(len(r.idxs), -1)
+                if r.to != at and r.block != r.to:  # nothing is in the block, or its own row would come first
+                    continue
+                if r.to != at:
+                    if at is not None:
+                        yield from done()
+                    at, own = r.to, (x, list(r.sensors), list(r.idxs))
+                    best = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+                merge_nearest(own[0], x, block_ids(r.block, len(x)), r.block == at, *best)
+        if at is not None:
+            yield from done()
+
+    spread = pairs.repartition(max(-(-n // BLOCK), 1), "to").sortWithinPartitions("to", F.col("block") != F.col("to"), "block")
+    return spread.mapInPandas(run, f"id long, {SENSOR} string, idx int, near array<long>, distance array<double>")
+
+
+def local_outlier_factor(df: DataFrame, k: int = 20, cut: float = 1.5) -> DataFrame:
+    """Low local density: factor over ``cut``. Neighbours are the ``k`` nearest among all other windows, whatever their number."""
+    n = df.count()
+    if n <= k:
         return df.select(SENSOR, "idx", F.lit(1.0).alias("score"), F.lit(1).alias("pred"))
-    known = reference_density(x, min(k, len(x) - 1))
-    return _flagged(_scored(df, lambda v: local_outlier_scores(v, x, k, known)), F.col("score") > cut)
+    rows = _nearest(df, n, k).persist(StorageLevel.DISK_ONLY)
+    edges = rows.select("id", F.explode(F.arrays_zip("near", "distance")).alias("e")).select("id", F.col("e.near").alias("near"), F.col("e.distance").alias("distance"))
+    reach = rows.select(F.col("id").alias("near"), F.element_at("distance", -1).alias("reach"))
+    mean = F.avg(F.greatest("distance", "reach"))
+    density = edges.join(reach, "near").groupBy("id").agg((1 / F.greatest(mean, F.lit(1e-12))).alias("density"))
+    around = edges.join(density.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.avg("density").alias("around"))
+    scores = rows.select("id", SENSOR, "idx").join(density, "id").join(around, "id").select(SENSOR, "idx", (F.col("around") / F.col("density")).alias("score"))
+    return _flagged(scores, F.col("score") > cut)
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -39,3 +39,31 @@ def test_autoencoder_query_flags_planted_windows(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["idx"]: r["pred"] for r in catalog.QUERIES["out4_autoencoder"](spark, str(tmp_path)).collect()}
     assert len(got) == 1471 and all(got[i] == -1 for i in range(697, 704))
+
+
+def brute_factor(x, k=20):
+    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    gap = np.take_along_axis(d, near, axis=1)
+    density = 1 / np.maximum(np.maximum(gap, gap[near, -1]).mean(axis=1), 1e-12)
+    return density[near].mean(axis=1) / density
+
+
+@pytest.mark.parametrize("block", [8192, 500])
+def test_outlier_factor_looks_at_all_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(O, "BLOCK", block)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 6))
+    x[:25] = 30 + rng.normal(size=(25, 6)) / 100  # a small dense group, and one beside it
+    x[25] = 30.5
+    got = O.detect_outliers(vectors(spark, x), "local_outlier_factor").orderBy("idx").collect()
+    want = brute_factor(x)
+    assert np.allclose([r["score"] for r in got], want, rtol=1e-9) and [r["pred"] == -1 for r in got] == (want > 1.5).tolist()
+    assert got[25]["pred"] == -1
+
+
+def test_outlier_factor_of_equal_windows(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK", 40)
+    x = np.repeat(1000.1 + np.arange(4.0), 30)[:, None] * np.ones(5)
+    assert all(r["pred"] == 1 for r in O.detect_outliers(vectors(spark, x), "local_outlier_factor").collect())
