@@ -11,6 +11,9 @@ from ..functions.kernels import dense_forward, initial_weights, train_epoch
 from .labels import label_windows
 from .windows import sliding_windows
 
+#: Positions of a client that one task trains on.
+SHARD = 1500
+
 
 def assign_clients(df: DataFrame, k: int = 10, group: str | None = None) -> DataFrame:
     """``client_id``: k contiguous runs of n // k rows of idx; the rest is dropped. Positions may count per ``group``."""
@@ -102,7 +105,10 @@ def make_batches(df: DataFrame, epochs: int = 5, batch: int = 40, seed: int | No
 
 
 def local_train(data: DataFrame, weights: list[np.ndarray], spec: list[dict], round_no: int = 0, batch: int = 32, rate: float = 1e-3) -> DataFrame:
-    """One epoch on each client's (client_id, features, label): its weights by layer, rows and loss."""
+    """One epoch on each client's (client_id, idx, features, label): its weights by layer, rows and loss.
+
+    A client's rows are trained on in shards of SHARD positions, whose weights and losses are averaged by rows.
+    """
     shared = data.sparkSession.sparkContext.broadcast(weights)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +120,13 @@ def local_train(data: DataFrame, weights: list[np.ndarray], spec: list[dict], ro
         return pd.DataFrame({"round": round_no, "client_id": key[0], "layer": range(len(new)), "n": len(rows), "loss": loss, "weights": [w.reshape(-1).tolist() for w in new]})
 
     schema = "round int, client_id string, layer int, n long, loss double, weights array<double>"
-    return data.select(F.col("client_id").cast("string"), "idx", "features", "label").groupBy("client_id").applyInPandas(run, schema)
+    shard = F.floor(F.col("idx") / SHARD).alias("shard")
+    parts = data.select(F.col("client_id").cast("string"), shard, "idx", "features", "label").groupBy("client_id", "shard").applyInPandas(run, schema)
+    by = ("round", "client_id", "layer")
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+    places = parts.select(*by, "n", "loss", F.posexplode("weights").alias("pos", "v")).groupBy(*by, "pos").agg(mean("v"), mean("loss"), F.sum("n").alias("n"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
+    return places.groupBy(*by).agg(F.first("n").alias("n"), F.first("loss").alias("loss"), packed.alias("weights"))
 
 
 def federated_train(data: DataFrame, spec: list[dict], rounds: int = 5, variant: str = "plain", seed: int = 0, rate: float = 1e-3) -> tuple[list[np.ndarray], DataFrame]:

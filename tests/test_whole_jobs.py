@@ -5,7 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from sensorloom.operators import outliers as O
+from sensorloom.functions import kernels as K
+from sensorloom.operators import federated as FD, outliers as O
 from sensorloom.plans import catalog
 
 
@@ -67,3 +68,24 @@ def test_outlier_factor_of_equal_windows(spark, monkeypatch):
     monkeypatch.setattr(O, "BLOCK", 40)
     x = np.repeat(1000.1 + np.arange(4.0), 30)[:, None] * np.ones(5)
     assert all(r["pred"] == 1 for r in O.detect_outliers(vectors(spark, x), "local_outlier_factor").collect())
+
+
+def test_large_clients_train_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(FD, "SHARD", 40, raising=False)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(100, 4))
+    d = spark.createDataFrame([("c", i, v.tolist(), float(v[0] > 0)) for i, v in enumerate(x)], "client_id string, idx int, features array<double>, label double")
+    spec = [{"units": 3, "activation": "relu"}, {"units": 1, "activation": "sigmoid"}]
+    start = K.initial_weights(4, spec)
+    got = FD.local_train(d, start, spec).orderBy("layer").collect()
+    parts = [K.train_epoch(x[i : i + 40], (x[i : i + 40, 0] > 0).astype(float), start, spec) for i in (0, 40, 80)]
+    assert [r["n"] for r in got] == [100] * 4
+    for r, want in zip(got, zip(*parts)):
+        assert np.allclose(r["weights"], np.average([w.reshape(-1) for w in want], axis=0, weights=[40, 40, 20]))
+
+
+def test_rounds_have_a_client_for_each_sensor(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["fed9_rounds"](spark, sf)
+    sensors = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().filter("count > 20").count()
+    assert got.select("client_id").distinct().count() == sensors and got.select("round").distinct().count() == 5
