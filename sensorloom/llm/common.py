@@ -5,17 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: White space that separates words in every contract here: space and \t \n \v \f \r.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
-#: A broadcast side may hold this many rows at most; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: A broadcast side may hold this many bytes at most; beyond it the join shuffles.
+BROADCAST_BYTES = 24 << 20
+
+#: Keys with more than this share of all rows (one in HOT_KEYS) are joined where they are.
+HOT_KEYS = 256
+
+#: Bytes of text that Python handles at once.
+SLICE_BYTES = 4 << 20
 
 _own_base: str | None = None
 
@@ -45,26 +52,107 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path made by this package."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+class Scratch:
+    """Materialized tables of one computation; ``drop`` removes them once its result is written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
+    def drop(self) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.paths = []
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialized table for broadcast if it has ``rows`` rows at most; else Spark shuffles it."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).toArrow()) <= rows else df
 
+def _held(kind: T.DataType, column: Column) -> Column:
+    """Bytes that a value holds, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.aggregate(column, F.lit(8).cast("long"), lambda total, x: total + _held(kind.elementType, x)), F.lit(8))
+        return F.greatest(F.size(column), F.lit(0)) * 16 + 8
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialized table for broadcast if it holds ``limit`` bytes at most; else Spark shuffles it."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        total = total + _held(f.dataType, F.col(quoted(f.name)))
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= limit else df
+
+
+def keyed_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a table with one row per value of ``key``, whatever the skew of ``rows``.
+
+    A small ``one`` is broadcast. Else keys with more than a share of 1 / HOT_KEYS of all rows are HOT_KEYS at most:
+    if their side is small it is broadcast, so that their rows stay where they are; all other keys are shuffled.
+    Null keys find nothing. Both tables are read more than once, so they should be written ones.
+    """
+    marked = small_side(one)
+    if marked is not one:
+        return rows.join(marked, key, how)
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull() & (F.col("n") * HOT_KEYS > total))
+    hot = [r[0] for r in counts.select(key).collect()]  # HOT_KEYS at most
+    if not hot:
+        return rows.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(~is_hot).join(one, key, how).unionByName(rows.filter(is_hot).join(small_side(one.filter(F.col(key).isin(hot))), key, how))
 
-def fresh_column(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
-def batches_of(table: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of an Arrow batch, so that what Python makes of one slice stays small."""
-    for at in range(0, table.num_rows, rows):
-        yield table.slice(at, rows)
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` beside all columns of ``docs`` as one struct ``row``: no name can clash, ``unboxed`` gives them back."""
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    return docs.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], *more: Column, **changed: Column) -> DataFrame:
+    """The columns of a boxed table, with those of ``changed`` in place of their own."""
+    own = {c.lower(): v for c, v in changed.items()}
+    return rows.select(*[own.get(c.lower(), F.col("row")[c]).alias(c) for c in columns], *more)
+
+
+def fresh_names(taken: list[str], names: tuple[str, ...]) -> dict[str, str]:
+    """A name for each of ``names`` that no column of ``taken`` has in any case, lengthened by underscores."""
+    held, out = {c.lower() for c in taken}, {}
+    for name in names:
+        own = name
+        while own.lower() in held:
+            own = f"{own}_"
+        held.add(own.lower())
+        out[name] = own
+    return out
+
+
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose ``column`` holds about ``limit`` bytes, so that what Python makes of one stays small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = np.cumsum(sizes) // limit
+        borders = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(borders, borders[1:]):
+            if z > a:
+                yield batch.slice(a, z - a)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair of a start and a size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -78,30 +166,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered in a table of bounded size."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words per text, all words in a row) by the separators above; a null text has none."""
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    words = cut.values
+    real = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    before = np.append(0, np.cumsum(real))[cut.offsets.to_numpy()]
+    return np.diff(before), words if real.all() else words.filter(pa.array(real))
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, distinct words by number)."""
+    table = words.dictionary_encode()
+    return table.indices.to_numpy().astype(np.int64), table.dictionary
 
-_word_hashes = WordHashes()
 
+def hash_distinct(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word's bytes."""
+    import xxhash
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; a null text has none."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def hash_words(words: pa.Array) -> np.ndarray:
+    """The same, with each distinct word hashed once."""
+    number, distinct = coded(words)
+    return hash_distinct(distinct)[number]
 
 
 def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -15,7 +15,8 @@ only the blocks that the index gives for it. The dataset's files are Parquet, so
 Spark writes to will do, and a lost executor's files are written again by Spark's commit protocol.
 
 Edge cases: a null or empty text has only the end id; a null doc_id sorts first; repeated rows
-stay, ordered by a hash of their text; an empty table gives an empty dataset.
+stay, ordered by a hash of their text; texts of any length are whole, in blocks of one segment; other
+columns aren't read, whatever their names; an empty table gives an empty dataset.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import small_side
-from .tokenize import encoder
+from .common import byte_slices, quoted, small_side, spread
+from .tokenize import binary_rows, encoder
 
 BLOCK = 128
 #: Share of a block's values that must fit its packed width.
@@ -44,11 +45,6 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each pair of a start and a size."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-
-
 def _squeeze(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 128 values as rows of 16 * width bytes: the low ``width`` bits of each, in 64-bit words."""
     words = np.zeros((2 * width, len(values)), np.uint64)
@@ -100,8 +96,8 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         out[starts[rows][:, None] + 6 + np.arange(16 * w)] = _squeeze(rest[rows], int(w))
     row, place = np.nonzero(over)
     patches = starts + 6 + 16 * width
-    out[_spread(patches, n_over)] = place
-    out[_spread(patches + n_over, 4 * n_over)] = rest[row, place].astype("<u4").view(np.uint8)
+    out[spread(patches, n_over)] = place
+    out[spread(patches + n_over, 4 * n_over)] = rest[row, place].astype("<u4").view(np.uint8)
     return starts, out.tobytes()
 
 
@@ -114,18 +110,18 @@ def unpack_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(width == w)
         values[rows] = _expand(data[starts[rows][:, None] + 6 + np.arange(16 * w)], int(w))
     patches = starts + 6 + 16 * width
-    place = data[_spread(patches, n_over)].astype(np.int64)
-    patch = np.ascontiguousarray(data[_spread(patches + n_over, 4 * n_over)]).view("<u4")
+    place = data[spread(patches, n_over)].astype(np.int64)
+    patch = np.ascontiguousarray(data[spread(patches + n_over, 4 * n_over)]).view("<u4")
     values[np.repeat(np.arange(len(starts)), n_over), place] = patch
     return (values + low[:, None]).reshape(-1)
 
 
-def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_segment(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     starts, blocks = pack_blocks(ids)
     head = np.array([(b"PFR1", len(doc_ids), len(ids), len(starts))], _HEAD)
-    keys = np.array([x or 0 for x in doc_ids], "<i8")
-    absent = np.array([x is None for x in doc_ids], np.uint8)
-    return b"".join((head.tobytes(), starts.astype("<u4").tobytes(), keys.tobytes(), absent.tobytes(), np.array(lengths, "<u4").tobytes(), blocks))
+    keys = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    absent = doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+    return b"".join((head.tobytes(), starts.astype("<u4").tobytes(), keys.tobytes(), absent.tobytes(), lengths.astype("<u4").tobytes(), blocks))
 
 
 class Segment:
@@ -141,8 +137,8 @@ class Segment:
         keys = np.frombuffer(data, "<i8", docs, at := at + 4 * blocks)
         absent = np.frombuffer(data, np.uint8, docs, at := at + 8 * docs)
         self.lengths = np.frombuffer(data, "<u4", docs, at := at + docs).astype(np.int64)
-        self.doc_ids = [None if gone else int(k) for k, gone in zip(keys, absent)]
-        self.first = np.cumsum([0, *self.lengths])
+        self.doc_ids = pa.array(keys, mask=absent.astype(bool))
+        self.first = np.append(0, np.cumsum(self.lengths))
         self.body = np.frombuffer(data, np.uint8)[at + 4 * docs :]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
@@ -160,34 +156,41 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, *, id_col: st
     One shuffle: a range partitioning of the texts by id (then a hash of the text, so that one
     id with many rows doesn't fill one task).
     """
-    end = np.array([end_id], "<u4").tobytes()
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        keys: list[int | None] = []
-        parts: list[bytes] = []
+        keys: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held = before = number = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            data = encode_segment(keys, [len(p) // 4 for p in parts], ids)
-            row = [[shard], [number], [before], [len(keys)], [len(ids)], [data]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            length, ids = np.concatenate(sizes), np.concatenate(parts)
+            data = encode_segment(pa.concat_arrays(keys), length, ids)
+            row = [[shard], [number], [before], [len(length)], [len(ids)], [data]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in SEGMENT_SCHEMA.split(", ")])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys.append(key)
-                parts.append(encode(text.as_py()) + end)
-                held += len(parts[-1]) // 4
+        for part in byte_slices(batches, 1):
+            size, ids = encode(part.column(1), end_id)
+            until = np.cumsum(size)
+            low = 0
+            while low < len(size):
+                base = int(until[low - 1]) if low else 0
+                high = min(len(size), int(np.searchsorted(until - base, SEGMENT_IDS - held)) + 1)  # the document that fills the segment is its last
+                keys.append(part.column(0).slice(low, high - low))
+                sizes.append(size[low:high])
+                parts.append(ids[base : int(until[high - 1])])
+                held += len(parts[-1])
+                low = high
                 if held >= SEGMENT_IDS:
                     yield closed()
                     before, number, held = before + held, number + 1, 0
-                    keys, parts = [], []
+                    keys, sizes, parts = [], [], []
         if keys:
             yield closed()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.col(quoted(text_col)).cast("string").alias("t"))
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc()]
     slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
 
@@ -199,10 +202,9 @@ def read_token_blocks(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Segment(row["payload"])
-                whole = s.ids(0, s.n_ids).astype("<u4")
-                ids = [whole[a:b].tobytes() for a, b in zip(s.first, s.first[1:])]
-                columns = ([row["shard"]] * len(ids), s.doc_ids, (row["ids_before"] + s.first[:-1]).tolist(), ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "doc_id", "shard_start", "ids"])
+                whole, n = s.ids(0, s.n_ids).astype("<u4"), len(s.doc_ids)
+                columns = [pa.array(np.full(n, row["shard"], np.int32)), s.doc_ids, pa.array(row["ids_before"] + s.first[:-1]), binary_rows(s.lengths, whole)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "shard_start", "ids"])
 
     return segments.select("shard", "ids_before", "payload").mapInArrow(run, TOKEN_SCHEMA)
 
