@@ -30,7 +30,7 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on each page's URL, by rule or by the model."""
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.judged(pages, url_filter.train(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filtered(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

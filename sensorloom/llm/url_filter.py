@@ -1,44 +1,40 @@
 """URL filters: rules by host and path, then naive Bayes over the words of host and path.
 
-A host's names are written together, so they are first cut into words: Viterbi over a unigram model,
-counted from the words of all pages. Multinomial naive Bayes then scores host words and path tokens.
-Its classes are learned without labels: a URL counts as one to block while its segmented host
-has a word of ``BLOCK_WORDS``, and all URLs of the table are counted.
-
-Rules are column expressions; of those that fit, the longest decides and the model isn't asked.
-Hosts are cut once per worker (a bounded table), so a hot host costs nothing.
-
-Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed unless
-a rule fits; empty tables give no rows; repeated rows are judged alike.
+A host's names are written together, so they are first cut into words: Viterbi over a unigram model that
+counts all words of all pages. A word that no page has costs 10 / (N * 10^letters), N being the words counted, so
+that unknown names stay whole. Multinomial naive Bayes then scores host words and path tokens. Its classes
+come from other evidence than these: a page is one to block if a rule says so, or, without a rule, if UNWANTED_SHARE
+of its visible words or more are unwanted ones; all pages are counted.
+
+Models are tables, without a bound on words or tokens: each distinct name, host and path form is looked up once, by
+joins that leave the rows of hot keys where they are. Rules are column expressions; of those that fit,
+the longest decides and the model isn't asked.
+
+Edge cases: a null url, or one without ``://``, has an empty host and path: without a rule the model's share of
+blocked pages alone decides; null html has no words; ties allow; very long urls and pages are whole; repeated rows
+are counted and judged each; other columns aren't read, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Words of hosts that stand for unwanted pages.
-BLOCK_WORDS = (
+from .common import keyed_join, materialize, quoted
+
+# Words of texts that stand for unwanted pages.
+UNWANTED_WORDS = (
     "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cheap", "dating", "escort", "free", "gamble", "gambling", "jackpot",
     "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent",
     "viagra", "warez", "win", "xxx",
 )
-#: Words of the unigram model, by count; longest word of a host; least count.
-VOCABULARY, LONGEST, LEAST = 50_000, 20, 3
-#: Tokens of the naive Bayes model, by count.
-TOKENS = 1 << 16
-#: Counts given to each of BLOCK_WORDS besides those of the pages.
-PRIOR = 1000
-#: Hosts whose words a worker remembers.
-HOSTS = 100_000
-_PART = re.compile(r"[^a-z0-9]+")
-_DIGITS = re.compile(r"[0-9]+")
+UNWANTED_SHARE = 0.02
+#: Longest word of a host.
+LONGEST = 20
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -62,113 +58,111 @@ def rule_columns(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return (F.lit(None).cast("string"),) * 2 if rule is None else (rule, verdict)
 
 
-@dataclass
-class UrlModel:
-    """Log probabilities of words, and log odds of tokens (block against allow)."""
-
-    words: dict[str, float]
-    unknown: float
-    odds: dict[str, float]
-    prior: float
-
-    def segment(self, name: str) -> list[str]:
-        """The likeliest words of a name; an unknown word costs more with each letter."""
-        best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                value = best[start] + self.words.get(word, self.unknown - 3.0 * len(word))
-                if value > best[end]:
-                    best[end], back[end] = value, start
-        out, end = [], len(name)
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-    def host_words(self, host: str) -> list[str]:
-        return [w for part in _PART.split(host) if part for w in self.segment(part)]
-
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
-
-
-def path_tokens(path: str) -> list[str]:
-    """Path parts as ``/part``, numbers as one token."""
-    return [f"/{_DIGITS.sub('0', t)}" for t in _PART.split(path.lower()) if t]
+def visible_words(html: Column) -> Column:
+    """The words of a page's text, lower case, a to z."""
+    text = F.lower(F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<[^>]*>", " "))
+    return F.array_remove(F.split(text, "[^a-z]+"), "")
 
 
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n) over the visible text of all pages."""
-    text = F.lower(F.regexp_replace(F.col(html_col), "(?s)<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word"))
+    words = pages.select(F.explode(visible_words(F.col(quoted(html_col)))).alias("word"))
     return words.filter((F.length("word") >= 2) & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _worker(model: UrlModel):
-    """A function from host to words that remembers a bounded number of hosts."""
-    known: dict[str, list[str]] = {}
+def path_tokens(path: Column) -> Column:
+    """Path parts as ``/part``, numbers as one token, in order of name."""
+    parts = F.array_remove(F.split(F.lower(path), "[^a-z0-9]+"), "")
+    return F.array_sort(F.transform(parts, lambda t: F.concat(F.lit("/"), F.regexp_replace(t, "[0-9]+", "0"))))
+
+
+def prepared(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """(page_id, host, path, tokens, rule, ruled, bad): what the model reads of each page; bad: it is one to block."""
+    url, words = F.col(quoted(url_col)), visible_words(F.col(quoted(html_col)))
+    rule, ruled = rule_columns(F.col("host"), F.col("path"), rules)
+    unwanted = F.size(F.filter("words", lambda w: w.isin(*UNWANTED_WORDS)))
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), words.alias("words"))
+    rows = rows.withColumns({"rule": rule, "ruled": ruled, "tokens": path_tokens(F.col("path")), "many": (unwanted > 0) & (unwanted >= UNWANTED_SHARE * F.size("words"))})
+    return rows.select("page_id", "host", "path", F.array_join("tokens", " ").alias("form"), "tokens", "rule", "ruled", F.coalesce(F.col("ruled") == "block", F.col("many")).alias("bad"))
+
+
+def segment(name: str, known: dict[tuple[int, int], float], unknown: float) -> list[str]:
+    """The likeliest words of a name: ``known`` holds log probabilities of (start, letters), ``unknown`` that of ten words that were never seen."""
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    for end in range(1, len(name) + 1):
+        for start in range(max(0, end - LONGEST), end):
+            n = end - start
+            value = best[start] + known.get((start, n), unknown - n * math.log(10))
+            if value > best[end]:
+                best[end], back[end] = value, start
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, words) of distinct hosts, cut by the unigrams (word, n)."""
+    total = words.agg(F.sum("n")).first()[0] or 1
+    parts = materialize(hosts.select("host", F.posexplode(F.array_remove(F.split("host", "[^a-z0-9]+"), "")).alias("at", "name")), "host-parts")
+    names = materialize(parts.select("name").distinct(), "names")
+    starts = names.select("name", F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("start"))
+    every = starts.filter(F.length("name") - F.col("start") >= 2).select(
+        "name", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("name") - F.col("start")))).alias("letters"),
+    )
+    every = every.withColumn("word", F.expr("substring(name, start + 1, letters)"))
+    found = keyed_join(every, words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "letters", "n")).alias("known"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, known in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append(segment(name, {(k["start"], k["letters"]): math.log(k["n"] / total) for k in known or ()}, math.log(10 / total)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
-    def words(host: str) -> list[str]:
-        if host not in known:
-            if len(known) >= HOSTS:
-                known.clear()
-            known[host] = model.host_words(host)
-        return known[host]
+    segmented = materialize(names.join(found, "name", "left").select("name", "known").mapInArrow(cut, "name string, words array<string>"), "segmented")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "words")))
+    return keyed_join(parts, segmented, "name").groupBy("host").agg(F.flatten(F.transform(ordered, lambda x: x["words"])).alias("words"))
 
-    return words
 
+@dataclass
+class UrlModel:
+    """Words of hosts (host, words), log odds of tokens (token, odds; block against allow), and those of all pages."""
 
-def train(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> UrlModel:
-    """Count words and tokens over all pages; the model holds VOCABULARY words and TOKENS tokens at most."""
-    top = unigrams(pages, html_col).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    counts = Counter({r["word"]: r["n"] for r in top})
-    for w in BLOCK_WORDS:
-        counts[w] += PRIOR
-    total = sum(counts.values())
-    model = UrlModel({w: math.log(n / total) for w, n in counts.items()}, math.log(1 / total), {}, 0.0)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    hosts: DataFrame
+    odds: DataFrame
+    prior: float
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unwanted = _worker(shared.value), set(BLOCK_WORDS)
-        found: Counter = Counter()
-        for batch in batches:
-            for host, path in zip(*(c.to_pylist() for c in batch.columns)):
-                own = words(host)
-                block = not unwanted.isdisjoint(own)
-                found.update((t, block) for t in own + path_tokens(path))
-                found["", block] += 1
-        rows = [(t, b, n) for (t, b), n in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["token", "block", "n"])
-
-    url = F.col(url_col)
-    partial = pages.select(host_of(url).alias("h"), path_of(url).alias("p")).mapInArrow(count, "token string, block boolean, n long")
-    tokens = partial.groupBy("token").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("good"))
-    rows = tokens.orderBy(F.col("token") != "", F.desc(F.col("bad") + F.col("good")), "token").limit(TOKENS).collect()
-    urls = next(((r["bad"], r["good"]) for r in rows if r["token"] == ""), (0, 0))
-    rows = [r for r in rows if r["token"]]
-    bad, good = sum(r["bad"] for r in rows) + len(rows) + 1, sum(r["good"] for r in rows) + len(rows) + 1
-    model.odds = {r["token"]: math.log((r["bad"] + 1) / bad) - math.log((r["good"] + 1) / good) for r in rows}
-    model.prior = math.log(urls[0] + 1) - math.log(urls[1] + 1)
-    return model
-
-
-def judged(pages: DataFrame, model: UrlModel, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the model's score and host words."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    names = ["page_id", "host", "path", "score", "host_words"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker(shared.value)
-        for batch in batches:
-            ids, hosts, paths = batch.columns
-            own = [words(h) for h in hosts.to_pylist()]
-            value = [shared.value.score(w + path_tokens(p)) for w, p in zip(own, paths.to_pylist())]
-            yield pa.RecordBatch.from_arrays([ids, hosts, paths, pa.array(value, pa.float64()), pa.array(own, pa.list_(pa.string()))], names=names)
-
-    url = F.col(url_col)
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = slim.mapInArrow(score, "page_id long, host string, path string, score double, host_words array<string>")
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    asked = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, asked).alias("verdict"), "score", "host_words")
+
+def train(rows: DataFrame, words: DataFrame) -> UrlModel:
+    """Count the tokens of all prepared pages by class."""
+    by_host = materialize(rows.groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")), "hosts")
+    hosts = materialize(host_words(by_host.select("host"), words), "host-words")
+    by_form = rows.groupBy("form", "tokens").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
+    tokens = by_host.join(hosts, "host").select(F.explode("words").alias("token"), "bad", "n").unionByName(by_form.select(F.explode("tokens").alias("token"), "bad", "n"))
+    counts = materialize(tokens.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum(F.col("n") - F.col("bad")).alias("good")), "token-counts")
+    bad, good, kinds = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
+    pages_bad, pages = by_host.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    odds = F.log((F.col("bad") + 1) / (bad + kinds + 1)) - F.log((F.col("good") + 1) / (good + kinds + 1))
+    return UrlModel(hosts, materialize(counts.select("token", odds.alias("odds")), "token-odds"), math.log(pages_bad + 1) - math.log(pages - pages_bad + 1))
+
+
+def judged(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score and host words, of prepared pages that the model was trained on."""
+    total = F.round(F.sum("odds"), 9).alias("score")  # so that the order of adding up can't decide
+    by_host = keyed_join(materialize(model.hosts.select("host", F.explode("words").alias("token")), "host-tokens"), model.odds, "token").groupBy("host").agg(total)
+    by_host = materialize(model.hosts.join(by_host, "host", "left").select("host", "words", F.col("score").alias("host_score")), "host-scores")
+    forms = materialize(rows.select("form", "tokens").distinct().select("form", F.explode("tokens").alias("token")), "form-tokens")
+    by_form = materialize(keyed_join(forms, model.odds, "token").groupBy("form").agg(total.alias("form_score")), "form-scores")
+    rows = keyed_join(keyed_join(rows, by_host, "host", "left"), by_form, "form", "left")
+    score = F.lit(model.prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("form_score", F.lit(0.0))
+    asked = F.when(score > 0, "block").otherwise("allow")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", asked).alias("verdict"), score.alias("score"), F.coalesce("words", F.array().cast("array<string>")).alias("host_words"))
+
+
+def filtered(pages: DataFrame, **options) -> DataFrame:
+    """All pages judged by rules and by a model of themselves."""
+    html_col = options.get("html_col", "html")
+    rows = materialize(prepared(pages, **options), "pages")
+    return judged(rows, train(rows, materialize(unigrams(pages, html_col), "unigrams")))
