@@ -9,10 +9,12 @@ table over the open budget closes it (exactly, or as near from below as any subs
 documents of a size are taken goes by a seeded hash of the id.
 
 Only (source, size) counts meet in one task per source; documents of one size are ranked in hash
-buckets, so a size that a third of all rows share is spread over many tasks.
+buckets, so a size that a third of all rows share is spread over many tasks. Targets are found by
+a few sums over the table of sources, which the driver never holds.
 
 Edge cases: null or empty texts have size 0 and take 0 words; a null source is one of its own; repeated
-rows are each a document; an empty table gives no rows; reruns agree.
+rows are each a document; texts of any length count whole; columns of ``docs`` pass through whatever their
+names; an empty table gives no rows; reruns agree.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD_SEPARATORS, materialize, small_side
+from .common import WORD_SEPARATORS, boxed, materialize, quoted, small_side, unboxed
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
@@ -37,90 +39,106 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, WORD_SEPARATORS), ""))).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], budget_share: float = BUDGET_SHARE, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> dict[str | None, float]:
-    """Target words of each source, from (source, size)."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    budget = min(budget_share * sum(size.values()), float(max_repeat * sum(size.values())))
-    capped: dict[str | None, float] = {}
-    while True:
-        open_ = [s for s, _ in order if s not in capped]
-        left, total = budget - sum(capped.values()), sum(weight[s] for s in open_)
-        share = {s: left * weight[s] / total for s in open_}
-        above = [s for s in open_ if share[s] > max_repeat * size[s]]
-        if not above:
-            return capped | share
-        capped |= {s: float(max_repeat * size[s]) for s in above}
+def source_targets(per_source: DataFrame, budget_share: float = BUDGET_SHARE, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(source, source_size, target) from (source, w): the driver sees a few sums a round, never the sources."""
+    last = [F.col("source").isNull(), F.col("source")]
+    sliced = per_source.repartitionByRange(*last).select("source", "w", F.spark_partition_id().alias("pid"))
+    sliced = materialize(sliced.withColumn("at", F.row_number().over(Window.partitionBy("pid").orderBy(*last))), "sources")
+    # one row per partition
+    before = sliced.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).select("pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    turn = F.pmod(F.col("before") + F.col("at") - 1, F.lit(len(weights))).cast("int")
+    rows = sliced.join(F.broadcast(before), "pid").select("source", "w", F.get(F.array(*map(F.lit, weights)), turn).alias("weight"))
+    rows = materialize(rows, "weights")
+    words = rows.agg(F.sum("w")).first()[0] or 0
+    budget, open_words, open_weight = min(budget_share, float(max_repeat)) * words, 0.0, 1.0
+    while True:  # words per weight grow until no share is above its cap; capped sources stay so
+        share, cap = F.lit(open_words) * F.col("weight") / F.lit(open_weight), max_repeat * F.col("w")
+        full, weight = rows.agg(F.sum(F.when(share >= cap, cap)).cast("double"), F.sum(F.when(share < cap, F.col("weight")))).first()
+        left = budget - (full or 0.0)
+        if not weight or left / weight <= open_words / open_weight:
+            return rows.select("source", F.col("w").alias("source_size"), F.least(share, cap.cast("double")).alias("target"))
+        open_words, open_weight = left, weight
+
+
+def _close(size: np.ndarray, spare: np.ndarray, left: int, unit: int) -> np.ndarray:
+    """Documents to add so that their words come as near to ``left`` from below as the table's unit tells apart."""
+    weight, span = -(-size // unit), left // unit
+    add = np.zeros(len(size), np.int64)
+    reached = np.full(span + 1, -1, np.int64)  # the step that first reached a sum
+    reached[0] = 0
+    steps: list[tuple[int, int]] = [(0, 0)]
+    for i in np.argsort(size, kind="stable"):
+        if reached[span] >= 0:
+            break
+        n, pack = int(min(spare[i], span // weight[i])), 1
+        while n > 0 and reached[span] < 0:  # counts in packs of 1, 2, 4, ... and the rest
+            k = min(pack, n)
+            w = k * int(weight[i])
+            steps.append((int(i), k))
+            reached[np.flatnonzero((reached[:-w] >= 0) & (reached[w:] < 0)) + w] = len(steps) - 1
+            n, pack = n - k, pack * 2
+    at = int(np.flatnonzero(reached >= 0)[-1])
+    while at:
+        i, k = steps[reached[at]]
+        add[i] += k
+        at -= k * int(weight[i])
+    return add
 
 
 def fit_counts(size: np.ndarray, count: np.ndarray, budget: int, table_words: int = TABLE_WORDS) -> np.ndarray:
-    """How many documents of each size to take so that their words come to ``budget`` or as near below as can be.
+    """How many documents of each size to take so that their words come near ``budget`` from below.
 
-    size: distinct sizes over 0; count: documents of each.
+    size: distinct sizes over 0; count: documents of each. A budget that the table holds is met as near as any
+    subset comes. Of a larger one most is shared out evenly; the rest, several of the largest documents long,
+    is fitted by the table over all documents left, exactly to the word where the rest has ``table_words`` words at
+    most, else in units of the rest's ``table_words``-th part, and what that leaves once more.
     """
     total = int((size * count).sum())
     if budget >= total:
         return count.copy()
-    take = (count * budget // total).astype(np.int64)
-    if len(size) == 0:
-        return take
+    room = min(table_words, max(4 * int(size.max()), 1 << 14))
+    take = (count * max(0, budget - room) // total).astype(np.int64)
     left = budget - int((take * size).sum())
-    room = int(min(table_words, max(4 * int(size.max()), 1 << 14)))
-    for i in np.argsort(-size, kind="stable"):  # close the gap down to the table, largest sizes first
+    for i in np.argsort(-size, kind="stable"):  # close what rounding down left open, largest sizes first
         if left <= room:
             break
+        if 4 * size[i] > room:  # the table chooses among these
+            continue
         n = int(min(count[i] - take[i], max(0, left - room // 2) // size[i]))
         take[i] += n
         left -= n * int(size[i])
-    span = int(min(left, table_words))
-    reached = np.full(span + 1, -1, np.int64)  # the step that first reached a sum
-    reached[0] = 0
-    steps: list[tuple[int, int]] = [(0, 0)]
-    spare = count - take
-    for i in np.argsort(size, kind="stable"):
-        if reached[span] >= 0:
+    while left:
+        unit = -(-left // table_words)
+        add = _close(size, count - take, left, unit)
+        take += add
+        left -= int((add * size).sum())
+        if unit == 1 or not add.any():
             break
-        n, pack = int(min(spare[i], span // size[i])), 1
-        while n > 0 and reached[span] < 0:  # counts in packs of 1, 2, 4, ... and the rest
-            k = min(pack, n)
-            w = k * int(size[i])
-            steps.append((int(i), k))
-            new = np.flatnonzero((reached[:-w] >= 0) & (reached[w:] < 0)) + w if w <= span else ()
-            reached[new] = len(steps) - 1
-            n, pack = n - k, pack * 2
-    at = int(np.flatnonzero(reached >= 0)[-1])
-    while at:
-        i, k = steps[reached[at]]
-        take[i] += k
-        at -= k * int(size[i])
     return take
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, budget_share: float = BUDGET_SHARE, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(k, rk, source, size, source_size, target, copies) per document; rk tells rows of one id apart."""
-    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    text, key = F.col(quoted(text_col)).cast("string"), F.col(quoted(id_col)).cast("long")
     rk = F.xxhash64(text)
-    slim = materialize(docs.select(key.alias("k"), rk.alias("rk"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size")), "sizes")
+    slim = materialize(docs.select(key.alias("k"), rk.alias("rk"), F.col(quoted(source_col)).cast("string").alias("source"), n_words(text).alias("size")), "sizes")
     counts = materialize(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
-    per_source = [(r["source"], int(r["w"])) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w")).collect()]  # one row per source
-    goal = targets(per_source, budget_share, weights, max_repeat) if per_source else {}
-    words = dict(per_source)
+    per_source = source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("w")), budget_share, weights, max_repeat)
+    goal = per_source.select(F.col("source").alias("s"), "source_size", "target")
+    placed_sizes = counts.join(small_side(materialize(goal, "targets")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        source = rows["source"].iloc[0]
-        source = None if pd.isna(source) else source
-        whole = int(goal[source] // words[source]) if words[source] else 0
-        rest = int(round(goal[source])) - whole * words[source]
+        words, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+        whole = int(target // words) if words else 0
         rows = rows.sort_values("size").reset_index(drop=True)
         real = (rows["size"] > 0).to_numpy()
         extra = np.zeros(len(rows), np.int64)
-        if whole < max_repeat:
-            extra[real] = fit_counts(rows["size"].to_numpy()[real], rows["n"].to_numpy()[real], rest)
-        return rows.assign(source=source, whole=whole, extra=extra, source_size=words[source], target=float(goal[source]))
+        if real.any() and whole < max_repeat:
+            extra[real] = fit_counts(rows["size"].to_numpy()[real], rows["n"].to_numpy()[real], int(round(target)) - whole * words)
+        return rows.assign(source=rows["source"].where(rows["source"].notna(), None), whole=whole, extra=extra)[[x.split()[0] for x in schema.split(", ")]]
 
     schema = "source string, size long, n long, whole long, extra long, source_size long, target double"
-    plan = materialize(counts.groupBy("source").applyInPandas(fit, schema), "size-plan")
+    plan = materialize(placed_sizes.groupBy("source").applyInPandas(fit, schema), "size-plan")
     plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "whole", "extra", "source_size", "target")
     rank = F.xxhash64(F.lit(seed), "k")
     placed = slim.withColumn("rank", rank).withColumn("bucket", F.pmod(F.shiftright("rank", 20), F.lit(RANK_BUCKETS)))
@@ -138,17 +156,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     plan = materialize(mixed(docs, **options).select("k", "rk", "copies"), "mix")
     # repeated rows share a key: a number within the key pairs each with one plan row
-    same = Window.partitionBy("k", "rk")
-    plan = plan.select(F.col("k").alias("__k"), F.col("rk").alias("__rk"), F.col("copies").alias("__copies"), F.row_number().over(same.orderBy("copies")).alias("__i"), F.count(F.lit(1)).over(same).alias("__n"))
-    once = plan.filter("__n = 1 and __copies > 0").drop("__i", "__n")
-    often = plan.filter("__n > 1").groupBy("__k", "__rk").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
-    keyed = docs.withColumn("__key", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(F.col(text_col).cast("string")))
-    match = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__text") == F.col("__rk"))
-    picked = [keyed.join(small_side(once), match).select(*docs.columns, F.col("__copies").cast("int").alias("__copies"))]
+    plan = plan.select(F.col("k").alias("pk"), F.col("rk").alias("prk"), "copies").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pk", "prk")))
+    once = plan.filter("n = 1 and copies > 0").drop("n")
+    often = plan.filter("n > 1").groupBy("pk", "prk").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    keyed = boxed(docs, k=F.col(quoted(id_col)).cast("long"), rk=F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    match = F.col("k").eqNullSafe(F.col("pk")) & (F.col("rk") == F.col("prk"))
+    every = keyed.join(small_side(materialize(once, "mix-once")), match).select("row", F.col("copies").cast("int").alias("copies"))
     if often.limit(1).count():
-        rows = keyed.join(often, match)
-        number = F.row_number().over(Window.partitionBy("__k", "__rk").orderBy(F.xxhash64(*docs.columns)))
-        share = F.floor(F.col("__copies") / F.col("__n")) + (number <= F.col("__copies") % F.col("__n")).cast("long")
-        picked.append(rows.withColumn("__share", share.cast("int")).select(*docs.columns, F.col("__share").alias("__copies")).filter("__copies > 0"))
-    every = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
-    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+        number = F.row_number().over(Window.partitionBy("pk", "prk").orderBy(F.xxhash64("row")))
+        share = F.floor(F.col("copies") / F.col("n")) + (number <= F.col("copies") % F.col("n")).cast("long")
+        every = every.unionByName(keyed.join(often, match).select("row", share.cast("int").alias("copies")).filter("copies > 0"))
+    return unboxed(every.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), docs.columns)

@@ -4,8 +4,8 @@
 A rule compares a ratio of two counts with a limit, for texts of at least ``from_words`` words.
 
 Edge cases: a null or empty text has no words and fails the base rule; ratios with a zero
-denominator pass; repeated rows are judged each alike; other columns pass through, and a
-clash with a count's name is the caller's to rename (``judged`` raises); an empty table gives none.
+denominator pass; repeated rows are judged each alike; texts of any length are whole; other columns pass
+through whatever their names, and an added column whose name is taken gets an underscore more; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD_SEPARATORS
+from .common import WORD_SEPARATORS, boxed, fresh_names, quoted, unboxed
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -49,11 +49,10 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts of COUNTS (long)."""
-    if clash := {c.lower() for c in docs.columns} & {*COUNTS, "base_failed", "kept"}:
-        raise ValueError(f"columns to rename first: {sorted(clash)}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` boxed, with the counts of COUNTS (long)."""
+    docs = boxed(docs, text=F.col(quoted(text_col)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = "[^\\x20\\x09-\\x0D]"
     stops = sorted({w for words in STOP_WORDS.values() for w in words})
     parts = docs.withColumns({
@@ -94,7 +93,14 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    return placed_only.select(*docs.columns, *[c.cast("long").alias(n) for n, c in counts.items()])
+    # a filter on what a generator gives stays above it: pushed below, it would write the counts out over and over
+    return placed_only.select("row", F.inline(F.array(F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]))))
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the counts of COUNTS (long)."""
+    names = fresh_names(docs.columns, COUNTS)
+    return unboxed(_counted(docs, text_col), docs.columns, *[F.col(n).alias(own) for n, own in names.items()])
 
 
 def verdict(rules: tuple[Rule, ...]) -> Column:
@@ -111,16 +117,19 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
 
 def judged(docs: DataFrame, text_col: str = "text", *, rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """``docs`` with all counts, base_failed and kept."""
+    names = fresh_names(docs.columns, (*COUNTS, "base_failed", "kept"))
+    rows = _judged(docs, text_col, rules, min_words, max_repeat_percent)
+    return unboxed(rows, docs.columns, *[F.col(n).alias(own) for n, own in names.items()])
+
+
+def _judged(docs: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return measured(docs, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return _counted(docs, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that all rules keep, with the columns they had."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
-    # the row number keeps the filter above the counts: pushed below, it would write them out over and over
-    numbered = judged(inner, "__text").withColumn("__at", F.monotonically_increasing_id())
-    return numbered.filter(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
+    return unboxed(_judged(docs, text_col).filter("kept"), docs.columns)
 
 
 def oracle() -> str:
