@@ -9,13 +9,15 @@ minimisers, so a bucket alone tells which documents hold a window.
    are sent to the tasks as a bit table of fixed size; a chance hit only costs a needless string.
 2. Super-k-mers of repeated minimisers go to their bucket. There windows are sorted, equal ones are
    confirmed word by word, and each gets the smallest document id that has it.
-3. Minimisers with more than ``HOT`` super-k-mers (mass copies) would fill one task: their windows go
-   one by one under a 128-bit hash, merged before the shuffle.
+3. Minimisers with more than ``HOT`` super-k-mers (mass copies) would fill one task. Their super-k-mers are
+   first merged, equal ones into one that keeps the smallest id; the windows of those left are spread over all tasks
+   by a 128-bit digest of their words, each gets its smallest id, and the super-k-mers take them back.
 4. Words under a window that starts in a smaller document are removed, judged on the input.
 
 Edge cases: null or empty texts have no words; texts shorter than a window lose nothing; a null doc_id
 is no document to compare with (its words stay, and remove none); rows of one id don't remove
-each other's words; an empty table gives no rows.
+each other's words; very long texts are whole, in slices of documents; other columns aren't read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches_of, hash_words, materialize, small_side, window_hashes, words_of
+from .common import byte_slices, coded, hash_distinct, hash_words, keyed_join, materialize, quoted, small_side, spread, window_hashes, words_of
 
 WINDOW = 50
 GRAM = 8
 #: Super-k-mers of one minimiser (about 2 MB) beyond which its windows are spread over all tasks.
 HOT = 4096
-#: Documents that Python handles at once, and packed strings.
-SLICE_DOCS, SLICE_STRINGS = 250, 20_000
+#: Packed strings that Python handles at once.
+SLICE_STRINGS = 8000
 #: Bits of a table of minimisers: 16 for each, between these bounds.
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 
@@ -49,18 +52,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def super_kmers(texts: list[list[bytes]], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document's place, first window, last window, minimiser) of the super-k-mers of some documents."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+def super_kmers(sizes: np.ndarray, words: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document's place, first window, last window, minimiser) of the super-k-mers of documents given as words in a row."""
     ends = np.cumsum(sizes)
-    h = hash_words([w for t in texts for w in t])
-    if len(h) < window:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    low = sliding_min(window_hashes(h, gram), window - gram + 1)
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(low)]
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    if len(words) < window:
+        return none
+    low = sliding_min(window_hashes(hash_words(words), gram), window - gram + 1)
+    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
     at = np.flatnonzero(np.arange(len(low)) + window <= ends[doc])
     if not len(at):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return none
     new = np.append(True, (doc[at[1:]] != doc[at[:-1]]) | (low[at[1:]] != low[at[:-1]]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
@@ -69,6 +71,21 @@ def super_kmers(texts: list[list[bytes]], window: int, gram: int) -> tuple[np.nd
     return of, at[first] - begin, at[last] - begin, low[at[first]]
 
 
+def _packed(sizes: np.ndarray, words: pa.Array, of: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> list[bytes]:
+    """The words of super-k-mers, joined by single spaces."""
+    data = _joined(sizes, words).cast(pa.binary()).to_pylist()
+    length = pc.binary_length(words).to_numpy().astype(np.int64)
+    until = np.cumsum(length + 1)  # where the word's space ends, in all words joined
+    begin = (np.cumsum(sizes) - sizes)[of]
+    before = np.append(0, until)
+    low, high = before[begin + first] - before[begin], until[begin + last + window - 1] - 1 - before[begin]
+    return [data[t][a:z] for t, a, z in zip(of.tolist(), low.tolist(), high.tolist())]
+
+
+def _joined(sizes: np.ndarray, words: pa.Array) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), words), " ")
+
+
 def _bit_table(minimisers: DataFrame) -> np.ndarray:
     """Bits of a table in which each minimiser (column m) is set; its size is bounded by MAX_BITS."""
     n = minimisers.count()
@@ -85,28 +102,18 @@ def _has(table: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list, list[list[bytes]]]]:
-    """(ids, row keys, words) of documents with an id, a few hundred at a time."""
-    for batch in batches:
-        for part in batches_of(batch, SLICE_DOCS):
-            rows = [(k, r, t) for k, r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()) if k is not None]
-            yield [r[0] for r in rows], [r[1] for r in rows], [words_of(r[2]) for r in rows]
-
-
-def _smallest(strings: list[bytes], doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _smallest(strings: pa.Array, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place in it, covered) of all windows of packed strings: covered if a smaller document has an equal one."""
-    words = [s.split(b" ") for s in strings]
-    sizes = np.array([len(w) for w in words], np.int64)
+    sizes, words = words_of(strings)
     ends = np.cumsum(sizes)
-    h = hash_words([w for ws in words for w in ws])
+    exact, distinct = coded(words)
+    h = hash_distinct(distinct)[exact]
     full = window_hashes(h, window)
     string = np.repeat(np.arange(len(strings)), sizes)[: len(full)]
     at = np.flatnonzero(np.arange(len(full)) + window <= ends[string])
     key, string = full[at], string[at]
     order = np.argsort(key, kind="stable")
     # equal hashes are confirmed word by word, by exact numbers of the words
-    numbers: dict[bytes, int] = {}
-    exact = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in words for w in ws), np.int64, len(h))
     same = key[order][1:] == key[order][:-1]
     a, b = at[order][1:][same], at[order][:-1][same]
     for k in range(window):
@@ -132,72 +139,108 @@ def _smallest(strings: list[bytes], doc: np.ndarray, window: int) -> tuple[np.nd
 
 def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d, rk, first, last): windows by their start, in runs, whose words a smaller document has too."""
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.col(text_col)).alias("rk"), F.col(text_col).cast("string").alias("t"))
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("d"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("rk"), F.col(quoted(text_col)).cast("string").alias("t")).filter("d is not null")
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, texts in _slices(batches):
-            of, _, _, m = super_kmers(texts, window, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(np.array(ids, np.int64)[of])], names=["m", "d"])
+        for part in byte_slices(batches, 2):
+            of, _, _, m = super_kmers(*words_of(part.column(2)), window, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), part.column(0).take(pa.array(of))], names=["m", "d"])
 
     counted = slim.mapInArrow(minimisers, "m long, d long").groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count(F.lit(1)).alias("n"))
     repeated = materialize(counted.filter("a < z").select("m", "n"), "minimisers")
     table, hot_table = _bit_table(repeated), _bit_table(repeated.filter(F.col("n") > hot))
     shared = docs.sparkSession.sparkContext.broadcast((table, hot_table))
-    names = ("m", "packed", "d", "rk", "first", "w1", "w2")
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, many = shared.value
-        for ids, keys, texts in _slices(batches):
-            of, first, last, m = super_kmers(texts, window, gram)
+        for part in byte_slices(batches, 2):
+            sizes, words = words_of(part.column(2))
+            of, first, last, m = super_kmers(sizes, words, window, gram)
             chosen = np.flatnonzero(_has(some, m))
-            spread = _has(many, m[chosen])
-            cold = [(int(m[i].view(np.int64)), b" ".join(texts[of[i]][first[i] : last[i] + window]), ids[of[i]], keys[of[i]], int(first[i]), None, None) for i in chosen[~spread]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold) if cold else [[]] * 7, kinds)], names=names)
-            if not spread.any():
-                continue
-            hot_rows: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i in chosen[spread]:
-                h = hash_words(texts[of[i]][first[i] : last[i] + window])
-                n = len(h) - window + 1
-                parts = (np.full(n, ids[of[i]], np.int64), np.full(n, keys[of[i]], np.int64), np.arange(first[i], last[i] + 1, dtype=np.int32), window_hashes(h, window).view(np.int64), window_hashes(h, window, 0xC2B2AE3D27D4EB4F).view(np.int64))
-                for column, part in zip(hot_rows, parts):
-                    column.append(part)
-            columns = [pa.array(np.concatenate(c)) for c in hot_rows]
-            n = len(columns[0])
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *columns], names=names)
-
-    rows = materialize(slim.mapInArrow(pack, "m long, packed binary, d long, rk long, first int, w1 long, w2 long"), "super-kmers")
-
-    def runs(held: list[tuple]) -> pa.RecordBatch:
-        doc, keys, first = (np.array([r[i] for r in held], np.int64) for i in (2, 3, 4))
-        string, place, covered = _smallest([r[1] for r in held], doc, window)
-        at = np.flatnonzero(covered)
-        new = np.append(True, (string[at[1:]] != string[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)) if len(at) else np.empty(0, bool)
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(at)) - 1 if len(at) else lo
-        s = string[at[lo]]
-        columns = (doc[s], keys[s], (first[s] + place[at[lo]]).astype(np.int32), (first[s] + place[at[hi]]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "rk", "first", "last"])
+            of, first, last, m = of[chosen], first[chosen], last[chosen], m[chosen]
+            strings, is_hot = _packed(sizes, words, of, first, last, window), _has(many, m)
+            digests = [hashlib.blake2b(x, digest_size=16).digest() if h else None for x, h in zip(strings, is_hot.tolist())]
+            place = pa.array(of)
+            columns = [pa.array(m.view(np.int64)), pa.array(digests, pa.binary()), pa.array(strings, pa.binary()), part.column(0).take(place), part.column(1).take(place), pa.array(first.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["m", "s", "packed", "d", "rk", "first"])
+
+    rows = materialize(slim.mapInArrow(pack, "m long, s binary, packed binary, d long, rk long, first int"), "super-kmers")
+    cold = rows.filter("s is null").select("m", "packed", "d", "rk", "first").repartition("m").sortWithinPartitions("m")
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets, several at a time; rows come sorted by bucket."""
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def closed(rows: pa.Table) -> pa.RecordBatch:
+            string, place, covered = _smallest(rows.column("packed").combine_chunks(), rows.column("d").to_numpy(), window)
+            at = np.flatnonzero(covered)
+            return _runs(string[at], place[at], *(rows.column(c).to_numpy() for c in ("d", "rk", "first")))
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= SLICE_STRINGS and row[0] != held[-1][0]:
-                    yield runs(held)
-                    held = []
-                held.append(row)
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= SLICE_STRINGS:
+                every = pa.Table.from_batches(held)
+                m = every.column("m").to_numpy()
+                border = int(np.searchsorted(m, m[-1]))  # the last bucket may go on
+                if border:
+                    yield closed(every.slice(0, border))
+                    held = every.slice(border).to_batches()
         if held:
-            yield runs(held)
+            yield closed(pa.Table.from_batches(held))
+
+    spans = cold.mapInArrow(bucket, SPAN_SCHEMA)
+    hot_rows = rows.filter("s is not null").select("s", "packed", "d", "rk", "first")
+    return spans.unionByName(_hot_spans(hot_rows, window)) if hot_table.any() else spans
+
 
-    cold = rows.filter("packed is not null").select("m", "packed", "d", "rk", "first").repartition("m").sortWithinPartitions("m")
-    spans = cold.mapInArrow(bucket, "d long, rk long, first int, last int")
-    spread = rows.filter("packed is null").select("w1", "w2", "d", "rk", "first")
-    least = spread.groupBy("w1", "w2").agg(F.min("d").alias("least"))
-    single = spread.join(least, ["w1", "w2"]).filter("d > least").select("d", "rk", "first", F.col("first").alias("last"))
-    return spans.unionByName(single)
+SPAN_SCHEMA = "d long, rk long, first int, last int"
+
+
+def _runs(string: np.ndarray, place: np.ndarray, doc: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Covered windows (a string and a place in it, in order) as runs (d, rk, first, last) of their documents."""
+    new = np.append(True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)) if len(place) else np.empty(0, bool)
+    low = np.flatnonzero(new)
+    high = np.append(low[1:], len(place)) - 1 if len(place) else low
+    s = string[low]
+    columns = (doc[s], keys[s], (first[s] + place[low]).astype(np.int32), (first[s] + place[high]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "rk", "first", "last"])
+
+
+def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
+    """(d, rk, first, last) of super-k-mers (s, packed, d, rk, first) of hot minimisers; s is the digest of ``packed``.
+
+    No group is held by one task: sums over equal super-k-mers and over equal windows are merged before each
+    shuffle, and what they give comes back by joins that leave the rows of hot keys where they are.
+    """
+    strings = materialize(rows.groupBy("s").agg(F.min("d").alias("a"), F.first("packed").alias("packed")), "hot-strings")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, 2):
+            sizes, words = words_of(part.column(2))
+            n = sizes - window + 1
+            string, place = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+            each = _packed(sizes, words, string, place, place, window)
+            of = pa.array(string)
+            columns = [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in each], pa.binary()), part.column(0).take(of), pa.array(place.astype(np.int32)), part.column(1).take(of)]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "s", "place", "a"])
+
+    every = materialize(strings.mapInArrow(windows, "w binary, s binary, place int, a long"), "hot-windows")
+    least = materialize(every.groupBy("w").agg(F.min("a").alias("least")), "hot-window-least")
+    back = keyed_join(every.select("w", "s", "place"), least, "w")
+    # a super-k-mer has 2 * window words at most, and so fewer windows
+    per_string = materialize(back.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("least")), "hot-least")
+    placed = keyed_join(rows.select("s", "d", "rk", "first"), per_string, "s").select("d", "rk", "first", "least")
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, rk, first = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            string, place = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+            at = np.flatnonzero(pc.list_flatten(lists).to_numpy() < d[string])
+            yield _runs(string[at], place[at], d, rk, first)
+
+    return placed.mapInArrow(covered, SPAN_SCHEMA)
 
 
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -205,25 +248,27 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     window = options.get("window", WINDOW)
     spans = covered_windows(docs, id_col, text_col, **options).distinct()
     per_row = materialize(spans.groupBy("d", "rk").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "covered")
-    per_row = per_row.select(F.col("d").alias("__d"), F.col("rk").alias("__rk"), "runs")
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).withColumn("rk", F.xxhash64("t"))
+    per_row = per_row.select(F.col("d").alias("of_d"), F.col("rk").alias("of_rk"), "runs")
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("d"), F.col(quoted(text_col)).cast("string").alias("t")).withColumn("rk", F.xxhash64("t"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for d, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                gone = np.zeros(len(words) + 1, np.int64)
-                for r in found or ():
-                    gone[r["first"]] += 1
-                    gone[r["last"] + window] -= 1
-                left = np.flatnonzero(np.cumsum(gone[:-1]) == 0) if found else None
-                kept = words if left is None else [words[i] for i in left]
-                for column, value in zip(out, (d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = slim.join(small_side(per_row), (F.col("d") == F.col("__d")) & (F.col("rk") == F.col("__rk")), "left").select("d", "t", "runs")
+        for part in byte_slices(batches, 1):
+            sizes, words = words_of(part.column(1))
+            begin = np.cumsum(sizes) - sizes
+            runs = part.column(2)
+            n = pc.fill_null(pc.list_value_length(runs), 0).to_numpy().astype(np.int64)
+            found = pc.list_flatten(runs)
+            base = np.repeat(begin, n)
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, base + found.field("first").to_numpy(), 1)
+            np.add.at(edge, base + found.field("last").to_numpy() + window, -1)
+            left = np.cumsum(edge[:-1]) == 0
+            kept_sizes = np.diff(np.append(0, np.cumsum(left))[np.append(begin, len(words))])
+            kept = words if left.all() else words.filter(pa.array(left))
+            columns = [part.column(0), pa.array(sizes), pa.array(sizes - kept_sizes), _joined(kept_sizes, kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
+
+    joined = slim.join(small_side(per_row), (F.col("d") == F.col("of_d")) & (F.col("rk") == F.col("of_rk")), "left").select("d", "t", "runs")
     return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string")
 
 
