@@ -9,14 +9,17 @@ Jaccard similarity. The work is about K ln K darts per document besides one per
 Near duplicates are texts with a similarity of ``threshold`` or more; classes are the connected groups.
 1. Equal texts are one node. 2. Signatures are cut into bands; nodes of one band value form a bucket.
 3. In each bucket every node is compared with one leader (exact similarity of the whole texts), not with
-every other. 4. Buckets whose nodes are then in several classes take other leaders, as long as
-classes merge. 5. In those still open every node outside the largest class is held, in blocks, against all nodes
-of other classes. So each pair of a bucket is in one class or has been compared: no link is lost, and no bucket
-emits all of its pairs. Classes are found by spreading minima with pointer jumping over Parquet tables.
+every other. 4. In buckets whose nodes are then in several classes those outside the largest class meet a few
+other nodes of that class, as long as classes merge. 5. In those still open the nodes outside the largest
+class are held, in blocks of bounded bytes, against all nodes of other classes, each pair in one of its buckets
+only. So each pair of a bucket is in one class or has been compared: no link is lost, and no bucket emits all of its
+pairs. A text moves once per block of the nodes outside, not once per node. Classes are found by spreading
+minima with pointer jumping over Parquet tables; nodes with many links are joined where their rows are.
 
 Edge cases: a null text counts as empty; texts of one to four words have one shingle, the whole text;
 texts without a word are near only to equal texts; a null id is the class id only of a class
-that has no other; an empty table gives no rows.
+that has no other; very long texts are whole; repeated rows are one node; other columns pass through whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,29 +31,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batches_of, hash_words, materialize, mix64, small_side, window_hashes, words_of
+from .common import Scratch, boxed, byte_slices, hash_words, keyed_join, materialize, mix64, quoted, small_side, unboxed, window_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Documents that Python handles at once.
-SLICE_DOCS = 250
-#: Rounds of new leaders at most; what is open then is compared in blocks.
-LEADER_ROUNDS = 3
-#: Nodes of a block in these comparisons.
-BLOCK = 512
+#: Rounds of leaders at most, what is open then is compared in blocks; leaders of a bucket from the second round on.
+LEADER_ROUNDS, LEADERS = 3, 6
+#: Bytes of text of a block in these comparisons.
+BLOCK_BYTES = 2 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Hashes of all shingles of a text, repeats included."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hash_words(words)
-    return window_hashes(h, k) if len(h) >= k else window_hashes(h, len(h)) ^ np.uint64(len(h))
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted elements, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -101,11 +93,30 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
     return signature
 
 
-def weighted_shingles(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's place, element, weight) of all distinct shingles of some texts."""
-    each = [np.unique(shingle_hashes(t, k), return_counts=True) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(e) for e, _ in each])
-    return doc, np.concatenate([e for e, _ in each] or [np.empty(0, np.uint64)]), np.concatenate([c for _, c in each] or [np.empty(0)]).astype(float)
+def weighted_shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's place, element, weight) of all distinct shingles of some texts, by place and element."""
+    sizes, words = words_of(texts)
+    h = hash_words(words)
+    ends = np.cumsum(sizes)
+    windows = window_hashes(h, k)
+    n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+    until = np.cumsum(n)
+    element = np.zeros(int(n.sum()), np.uint64)
+    for begin, end, low, high in zip((ends - sizes).tolist(), ends.tolist(), (until - n).tolist(), until.tolist()):
+        if end - begin >= k:
+            element[low:high] = np.sort(windows[begin : end - k + 1])
+        elif high > low:  # fewer words than a shingle has: one shingle, the text
+            element[low] = window_hashes(h[begin:end], end - begin)[0] ^ np.uint64(end - begin)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    first = np.flatnonzero(np.append(True, (element[1:] != element[:-1]) | (doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
+    return doc[first], element[first], np.diff(np.append(first, len(doc))).astype(float)
+
+
+def bags_of(texts: pa.Array, k: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted elements, weights) of each text."""
+    doc, element, weight = weighted_shingles(texts, k)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    return [(element[a:z], weight[a:z]) for a, z in zip(cut, cut[1:])]
 
 
 def node_of(text: Column) -> Column:
@@ -115,113 +126,138 @@ def node_of(text: Column) -> Column:
 
 def band_values(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFrame:
     """(node, bucket): the band values of each text that has a word."""
-    slim = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("t"))
+    slim = docs.select(node_of(F.col(quoted(text_col))).alias("node"), F.col(quoted(text_col)).cast("string").alias("t"))
     salts = mix64(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, SLICE_DOCS):
-                doc, element, weight = weighted_shingles(part.column(1).to_pylist())
-                signature = dart_signatures(doc, element, weight, part.num_rows, bands * rows)
-                some = np.unique(doc)
-                value = np.zeros((len(some), bands), np.uint64)
-                cut = signature[some].reshape(len(some), bands, rows)
-                for r in range(rows):
-                    value = mix64(value * _GOLDEN + cut[:, :, r])
-                value = mix64(value ^ salts)
-                nodes = part.column(0).take(pa.array(np.repeat(some, bands)))
-                yield pa.RecordBatch.from_arrays([nodes.cast(pa.binary()), pa.array(value.reshape(-1).view(np.int64))], names=["node", "bucket"])
+        for part in byte_slices(batches, 1, 1 << 20):
+            doc, element, weight = weighted_shingles(part.column(1))
+            signature = dart_signatures(doc, element, weight, part.num_rows, bands * rows)
+            some = np.unique(doc)
+            value = np.zeros((len(some), bands), np.uint64)
+            cut = signature[some].reshape(len(some), bands, rows)
+            for r in range(rows):
+                value = mix64(value * _GOLDEN + cut[:, :, r])
+            value = mix64(value ^ salts)
+            nodes = part.column(0).take(pa.array(np.repeat(some, bands)))
+            yield pa.RecordBatch.from_arrays([nodes.cast(pa.binary()), pa.array(value.reshape(-1).view(np.int64))], names=["node", "bucket"])
 
     return slim.mapInArrow(run, "node binary, bucket long")
 
 
+def _numbered(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each node, first place of each number)."""
+    number = nodes.dictionary_encode().indices.to_numpy()
+    return number, np.unique(number, return_index=True)[1]
+
+
 def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts are similar."""
-    wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    """The pairs (a, b) of nodes whose whole texts are similar; ``a`` may be a leader of very many."""
+    leaders = materialize(texts.join(pairs.select("a").distinct(), F.col("node") == F.col("a")).select("a", F.col("t").alias("ta")), "leader-texts")
+    wide = keyed_join(pairs, leaders, "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i, node in enumerate(a):
-                if node not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[node] = np.unique(shingle_hashes(ta[i]), return_counts=True)
-                keep.append(similarity(known[node], np.unique(shingle_hashes(tb[i]), return_counts=True)) >= threshold)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for part in byte_slices(batches, 3):
+            number, once = _numbered(part.column(0))
+            leaders, others = bags_of(part.column(2).take(pa.array(once))), bags_of(part.column(3))
+            keep = [similarity(leaders[i], other) >= threshold for i, other in zip(number.tolist(), others)]
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that each node of ``links`` (a, b) is connected to."""
-    both = materialize(links.union(links.select("b", "a")).distinct(), "links")
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class")), "labels")
+    scratch = Scratch(links.sparkSession)
+    both = scratch.table(links.union(links.select("b", "a")).distinct(), "links")
+    label = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class")), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("m"))
-        step = label.join(near, label["node"] == near["a"]).select("node", F.least("class", "m").alias("next"), "class")
-        step = materialize(step, "step")
+        near = keyed_join(both, label.select(F.col("node").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("m"))
+        step = scratch.table(label.join(near, label["node"] == near["a"]).select("node", F.least("class", "m").alias("next"), "class"), "step")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        moved = materialize(step.join(jump, "next", "left").select("node", F.coalesce("further", "next").alias("class"), F.col("class").alias("old")), "labels")
+        moved = materialize(keyed_join(step, jump, "next", "left").select("node", F.coalesce("further", "next").alias("class"), F.col("class").alias("old")), "labels")
         if not moved.filter(F.col("class") != F.col("old")).limit(1).count():
+            scratch.drop()
             return moved.select("node", "class")
         label = moved.select("node", "class")
 
 
-def _similar_rows(x: pd.DataFrame, y: pd.DataFrame, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Similar nodes (a, b) of different classes, a of ``x`` and b of ``y``; each x meets all of y at once, by element."""
-    bags = [np.unique(shingle_hashes(t), return_counts=True) for t in y["t"]]
-    place = np.repeat(np.arange(len(bags)), [len(e) for e, _ in bags])
-    element, count = (np.concatenate([b[i] for b in bags]) for i in (0, 1))
+def _similar_rows(x: pd.DataFrame, y: pd.DataFrame, bucket: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Similar nodes (a, b) of different classes, a of ``x`` and b of ``y``, whose first common bucket this is."""
+    place, element, count = weighted_shingles(pa.array(y["t"], pa.string()))
     order = np.argsort(element, kind="stable")
     element, count, place = element[order], count[order], place[order]
-    mass = np.bincount(place, count, len(bags))
+    mass = np.bincount(place, count, len(y))
     nodes, classes = y["node"].to_list(), y["class"].to_numpy()
+    # the open buckets of each y before this one, in rows: a pair that shares one of them is compared there
+    sizes = np.array([len(b) for b in y["buckets"]])
+    held, owner = np.concatenate(y["buckets"].to_list()), np.repeat(np.arange(len(y)), sizes)
+    held, owner = held[held < bucket], owner[held < bucket]
     found = []
-    for node, own, text in zip(x["node"], x["class"], x["t"]):
-        e, c = np.unique(shingle_hashes(text), return_counts=True)
+    for node, own, buckets, (e, c) in zip(x["node"], x["class"], x["buckets"], bags_of(pa.array(x["t"], pa.string()))):
+        open_ = classes != own
+        open_[owner[np.isin(held, buckets)]] = False
+        if not open_.any():
+            continue
         low, high = np.searchsorted(element, e), np.searchsorted(element, e, side="right")
         n = high - low
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        both = np.bincount(place[at], np.minimum(np.repeat(c, n), count[at]), len(bags))
-        near = np.flatnonzero(both >= threshold * (c.sum() + mass - both))
-        found += [(node, nodes[k]) for k in near if classes[k] != own]
+        both = np.bincount(place[at], np.minimum(np.repeat(c, n), count[at]), len(y))
+        found += [(node, nodes[k]) for k in np.flatnonzero(open_ & (both >= threshold * (c.sum() + mass - both)))]
     return found
 
 
 def _open_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Similar nodes (a, b) of one bucket and different classes.
 
-    Nodes outside a bucket's largest class are held against all its nodes, in blocks of BLOCK by BLOCK; no pair
-    is a row of its own unless it is similar.
+    Nodes outside a bucket's largest class are held against all its nodes, in blocks by bytes; no pair is a row of its
+    own unless it is similar.
     """
-    sizes = open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("class", "n").alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = open_.join(largest, "bucket").join(texts.select("node", "t"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_y = rows.withColumn("i", F.explode(every)).select("bucket", "i", F.col("own").alias("j"), F.lit(False).alias("outer"), "node", "class", "t")
-    as_x = rows.filter(F.col("class") != F.col("largest")).withColumn("j", F.explode(every)).select("bucket", F.col("own").alias("i"), "j", F.lit(True).alias("outer"), "node", "class", "t")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    own = open_.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a node has BANDS buckets at most
+    rows = open_.join(texts.select("node", "t"), "node").join(own, "node").withColumn("size", F.octet_length("t"))
+    sizes = open_.join(texts.select("node", F.octet_length("t").alias("size")), "node").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max_by(F.struct("class", "size"), F.struct("n", "class")).alias("top"), F.sum("size").alias("size")).select(
+        "bucket", F.col("top.class").alias("largest"), F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("chunks"),
+        F.ceil(F.greatest(F.col("size") - F.col("top.size"), F.lit(1)) / BLOCK_BYTES).cast("int").alias("blocks"),
+    )
+    rows = keyed_join(materialize(rows, "open-texts"), materialize(largest, "largest"), "bucket")
+    spot = F.xxhash64("node")
+    i, j = F.pmod(spot, F.col("blocks")).cast("int"), F.pmod(spot, F.col("chunks")).cast("int")
+    kept = ("node", "class", "t", "buckets")
+    as_y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("outer"), *kept)
+    outside = rows.filter(F.col("class") != F.col("largest"))
+    as_x = outside.select("bucket", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("outer"), *kept)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["outer"]], group[~group["outer"]]
-        found = _similar_rows(x, y, threshold) if len(x) and len(y) else []
+        found = _similar_rows(x, y, int(key[0]), threshold) if len(x) and len(y) else []
         return pd.DataFrame(found, columns=["a", "b"])
 
     links = as_x.unionByName(as_y).groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to compare: at first each node with its bucket's leader, then those outside the largest class with some of it."""
+    if not turn:
+        lead = materialize(open_.groupBy("bucket").agg(F.min("node").alias("a")), "leaders")
+        return keyed_join(open_, lead, "bucket").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    counts = open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+    top = counts.groupBy("bucket").agg(F.max_by(F.struct("class", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads")), F.struct("n", "class")).alias("top"))
+    top = materialize(top.select("bucket", F.col("top.class").alias("largest"), F.col("top.leads").alias("leads")), "leaders")
+    outside = keyed_join(open_, top, "bucket").filter(F.col("class") != F.col("largest"))
+    return outside.select(F.explode("leads").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, class) of every node that has a near duplicate with another text; the class is its smallest node."""
-    values = materialize(band_values(docs, text_col, bands, rows).distinct(), "bands")
+    scratch = Scratch(docs.sparkSession)
+    values = scratch.table(band_values(docs, text_col, bands, rows).distinct(), "bands")
     shared = values.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = materialize(values.join(shared, "bucket").select("bucket", "node"), "members")
-    wanted = materialize(members.select("node").distinct(), "nodes")
-    text = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("t"))
-    texts = materialize(text.join(small_side(wanted), "node").groupBy("node").agg(F.first("t").alias("t")), "texts")
+    members = scratch.table(values.join(shared, "bucket").select("bucket", "node"), "members")
+    wanted = scratch.table(members.select("node").distinct(), "nodes")
+    text = docs.select(node_of(F.col(quoted(text_col))).alias("node"), F.col(quoted(text_col)).cast("string").alias("t"))
+    texts = scratch.table(text.join(small_side(wanted), "node").groupBy("node").agg(F.first("t").alias("t")), "texts")
     found: DataFrame | None = None
     tried: DataFrame | None = None
     classes: DataFrame | None = None
@@ -231,21 +267,19 @@ def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float =
             open_ = members.withColumn("class", F.col("node"))
         else:
             open_ = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-            split = open_.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket")
-            open_ = open_.join(split, "bucket")
-        open_ = materialize(open_.select("bucket", "node", "class"), "open")
+            open_ = scratch.table(open_.select("bucket", "node", "class"), "members")
+            split = scratch.table(open_.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("bucket"), "split")
+            open_ = keyed_join(open_, split, "bucket")
+        open_ = scratch.table(open_.select("bucket", "node", "class"), "open")
         if not open_.limit(1).count():
             break
         if last:
-            new = materialize(_open_links(open_, texts, threshold), "similar")
+            new = scratch.table(_open_links(open_, texts, threshold), "similar")
         else:
-            leader = F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(turn))) if turn else F.min(F.struct("node", "class"))
-            lead = open_.groupBy("bucket").agg(leader.alias("lead"))
-            pairs = open_.join(lead, "bucket").filter(F.col("class") != F.col("lead.class")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = _leader_pairs(open_, turn)
+            pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             tried = pairs if tried is None else tried.union(pairs)
-            new = materialize(compared(pairs, texts, threshold), "similar")
+            new = scratch.table(compared(pairs, texts, threshold), "similar")
         merged = new.limit(1).count() > 0
         if merged:
             found = new if found is None else found.union(new)
@@ -254,30 +288,31 @@ def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float =
             break
         turn += 1
         last = not merged or turn == LEADER_ROUNDS
-    if classes is None:
-        return members.select("node", F.col("node").alias("class")).limit(0)
-    return classes
+    result = materialize(members.select("node", F.col("node").alias("class")).limit(0) if classes is None else classes, "near-classes")
+    scratch.drop()
+    return result
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, class_id) per row of ``docs``: the smallest id among equal and near-duplicate texts."""
-    slim = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(F.col(text_col)).alias("node")), "doc-nodes")
+    slim = materialize(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), node_of(F.col(quoted(text_col))).alias("node")), "doc-nodes")
     near = near_classes(docs, text_col, **options)
     nodes = slim.groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = materialize(nodes.join(near, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "placed")
-    ids = placed.groupBy("class").agg(F.min("least").alias("class_id"))
-    named = materialize(placed.join(ids, "class").select("node", "class_id"), "named")
-    return slim.join(named, "node").select("doc_id", "class_id")
+    ids = materialize(placed.groupBy("class").agg(F.min("least").alias("class_id")), "class-ids")
+    named = materialize(keyed_join(placed, ids, "class").select("node", "class_id"), "named")
+    return keyed_join(slim, named, "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without near duplicates: of each class the row with the smallest id stays (of repeated rows, one)."""
     near = near_classes(docs, text_col, **options)
-    slim = materialize(docs.select(F.col(id_col).cast("long").alias("k"), node_of(F.col(text_col)).alias("node")), "doc-nodes")
+    key, node = F.col(quoted(id_col)).cast("long"), node_of(F.col(quoted(text_col)))
+    slim = materialize(docs.select(key.alias("k"), node.alias("node")), "doc-nodes")
     nodes = slim.groupBy("node").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
     placed = materialize(nodes.join(near, "node", "left").select("node", "k", F.coalesce("class", "node").alias("class")), "placed")
-    chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("k").isNull(), "k", "node")).alias("s")).select(F.col("s.k").alias("__k"), F.col("s.node").alias("__node"))
+    chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("k").isNull(), "k", "node")).alias("s")).select(F.col("s.k").alias("of_k"), F.col("s.node").alias("of_node"))
     chosen = materialize(chosen, "chosen")
-    kept = docs.join(small_side(chosen), F.col(id_col).cast("long").eqNullSafe(F.col("__k")) & (node_of(F.col(text_col)) == F.col("__node")))
+    kept = boxed(docs, k=key, node=node).join(small_side(chosen), F.col("k").eqNullSafe(F.col("of_k")) & (F.col("node") == F.col("of_node"))).select("row", "k", "node")
     twice = slim.groupBy("k", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["__k", "__node"]) if twice else kept).select(*docs.columns)
+    return unboxed(kept.dropDuplicates(["k", "node"]) if twice else kept, docs.columns)
