@@ -8,7 +8,7 @@ text is long enough. Fingerprints are compared by edit distance of signatures of
 
 Edge cases: a null text counts as empty, with the fingerprint ``3::``; a null id sorts first; rows of
 one id follow each other in order of a hash of their text; one document alone is its own
-next; an empty table gives no rows.
+next; very long texts are whole; other columns aren't read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, quoted
 
 ROLL = 7
 LENGTH = 64
@@ -150,7 +150,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One range shuffle by id; a document's successor is the next row of its partition. The first and last rows of
     partitions are written apart and paired in a table of one row per partition.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("t"))
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc()]
     names = [f.name for f in _PAIR] + ["pid", "edge", "t"]
 

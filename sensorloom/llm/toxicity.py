@@ -11,7 +11,9 @@ narrow pass over all documents.
 
 Edge cases: null and empty texts have one empty sentence, scored by the bias alone; documents
 without label are scored like others; without labels of both kinds the score is the label's share
-(0 without any); of several labels of one id the largest counts; an empty table gives no rows.
+(0 without any); of several labels of one id the largest counts, of several texts the smallest (each is scored);
+labels without an id aren't learned from; ties go by id; very long texts are whole; other columns aren't read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batches_of
+from .common import byte_slices, quoted
 
 #: Documents of each label that the model is fitted on, at most.
 SAMPLE_DOCS = 3000
@@ -128,16 +130,19 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on documents whose label is known and that aren't held out."""
-    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("__k")).agg((F.max(label_col) > 0).cast("int").alias("__y"))
-    totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own, label = F.col(quoted(id_col)), F.col(quoted(label_col))
+    known = labels.filter(label.isNotNull() & own.isNotNull() & ~held_out(own)).groupBy(own.cast("long").alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(totals.values())
     if len(totals) < 2:
         share = totals.get(1, 0) / max(total, 1)
         return Model(np.zeros(BUCKETS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    order = F.xxhash64(F.lit(SEED), "__k")
-    drawn = known.filter("__y = 1").orderBy(order, "__k").limit(SAMPLE_DOCS).unionByName(known.filter("__y = 0").orderBy(order, "__k").limit(SAMPLE_DOCS))
-    sample = docs.join(F.broadcast(drawn), F.col(id_col).cast("long") == F.col("__k")).select("__y", F.col(text_col).alias("t"), "__k").dropDuplicates(["__k"]).toArrow()  # 2 * SAMPLE_DOCS rows at most
-    y = np.array(sample.column("__y").to_pylist(), float)
+    order = F.xxhash64(F.lit(SEED), "k")
+    drawn = known.filter("y = 1").orderBy(order, "k").limit(SAMPLE_DOCS).unionByName(known.filter("y = 0").orderBy(order, "k").limit(SAMPLE_DOCS))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.col(quoted(text_col)).cast("string").alias("t"))
+    # of several texts of one id the smallest counts; a fixed order makes reruns agree: 2 * SAMPLE_DOCS rows at most
+    sample = texts.join(F.broadcast(drawn), "k").groupBy("k", "y").agg(F.min("t").alias("t")).toArrow().sort_by("k")
+    y = np.array(sample.column("y").to_pylist(), float)
     seen = {c: max(float((y == c).sum()), 1.0) for c in (0, 1)}
     importance = np.where(y > 0, totals[1] / seen[1], totals[0] / seen[0]) * len(y) / total
     # labels are as dear as each other: the rarer one isn't drowned
@@ -162,17 +167,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = Words().__getitem__, shared.value.bias
-        for batch in batches:
-            for part in batches_of(batch, 500):
-                out: list[list] = [[], [], [], []]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    z = np.array([bias + sum(map(weight, set(s.split()))) for s in sentences(text)])
-                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    score = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-                    worst = np.flatnonzero(p >= 0.5)
-                    for column, value in zip(out, (key, float(score), len(p), [{"sentence": int(i), "score": float(p[i])} for i in worst])):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "score", "n_sentences", "offending"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+        for part in byte_slices(batches, 1):
+            out: list[list] = [[], [], [], []]
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                z = np.array([bias + sum(map(weight, set(s.split()))) for s in sentences(text)])
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                score = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
+                worst = np.flatnonzero(p >= 0.5)
+                for column, value in zip(out, (key, float(score), len(p), [{"sentence": int(i), "score": float(p[i])} for i in worst])):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "score", "n_sentences", "offending"])
+
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("t"))
     return slim.mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<struct<sentence: int, score: double>>")
