@@ -11,27 +11,37 @@ def savgol_weights(window: int, poly: int, at: float | None = None) -> np.ndarra
     return np.linalg.pinv(np.vander(x, poly + 1, increasing=True))[0]
 
 
-def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3) -> np.ndarray:
-    """Robust local linear fit over the position, with tricube weights of the nearest frac * n points."""
+def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3, block: int = 1 << 20) -> np.ndarray:
+    """Robust local linear fit over the position, with tricube weights of the nearest frac * n points.
+
+    Unknown values stay unknown; the fit is over the positions of the others. Memory is bounded by ``block``.
+    """
+    seen = ~np.isnan(y)
+    if not seen.all():
+        out = np.full(len(y), np.nan)
+        out[seen] = lowess(y[seen], frac, iters, block)
+        return out
     n = len(y)
     k = min(n, max(2, int(np.ceil(frac * n))))
     if n < 3:
         return y.astype(float)
-    x = np.arange(n, dtype=float)
-    start = np.clip(np.arange(n) - k // 2, 0, n - k)
-    at = start[:, None] + np.arange(k)
-    distance = np.abs(at - x[:, None])
-    reach = np.maximum(distance.max(axis=1, keepdims=True), 1e-12)
-    near = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3
     robust, fitted = np.ones(n), y.astype(float)
+    size = max(1, block // k)
     for _ in range(iters + 1):
-        w = near * robust[at]
-        total = np.maximum(w.sum(axis=1), 1e-12)
-        mx, my = (w * at).sum(axis=1) / total, (w * y[at]).sum(axis=1) / total
-        dx = at - mx[:, None]
-        var = (w * dx * dx).sum(axis=1)
-        slope = np.divide((w * dx * (y[at] - my[:, None])).sum(axis=1), var, out=np.zeros(n), where=var > 1e-12)
-        fitted = my + slope * (x - mx)
+        new = np.empty(n)
+        for low in range(0, n, size):  # a block of rows at a time: n * k numbers would not fit
+            x = np.arange(low, min(low + size, n), dtype=float)
+            at = np.clip(x.astype(np.int64) - k // 2, 0, n - k)[:, None] + np.arange(k)
+            distance = np.abs(at - x[:, None])
+            reach = np.maximum(distance.max(axis=1, keepdims=True), 1e-12)
+            w = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3 * robust[at]
+            total = np.maximum(w.sum(axis=1), 1e-12)
+            mx, my = (w * at).sum(axis=1) / total, (w * y[at]).sum(axis=1) / total
+            dx = at - mx[:, None]
+            var = (w * dx * dx).sum(axis=1)
+            slope = np.divide((w * dx * (y[at] - my[:, None])).sum(axis=1), var, out=np.zeros(len(x)), where=var > 1e-12)
+            new[low : low + len(x)] = my + slope * (x - mx)
+        fitted = new
         spread = 6 * np.median(np.abs(y - fitted))
         if spread <= 1e-12:
             break
@@ -40,29 +50,43 @@ def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3) -> np.ndarray:
 
 
 def kalman_level(values: np.ndarray, q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> np.ndarray:
-    """Filtered level of each column; the first row is the prior mean and is updated as it is."""
-    out = np.empty_like(values, dtype=float)
-    level, p = values[0].astype(float), p0
-    for i, row in enumerate(values):
-        if i:
-            p += q
-        gain = p / (p + r)
-        level = level + gain * (row - level)
-        p *= 1 - gain
-        out[i] = level
+    """Filtered level of each column; the first known value is the prior mean and is updated as it is.
+
+    An unknown value leaves the level as it was, while its variance grows; before the first known one there is no level.
+    """
+    out = np.full(values.shape, np.nan)
+    for c in range(values.shape[1]):
+        level, p, column = None, p0, []
+        for value in values[:, c].tolist():
+            if level is not None:
+                p += q
+            if value == value:
+                gain = p / (p + r)
+                level = value if level is None else level + gain * (value - level)
+                p *= 1 - gain
+            column.append(np.nan if level is None else level)
+        out[:, c] = column
     return out
 
 
 def holt_winters(y: np.ndarray, season: int, horizon: int, grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.8)) -> np.ndarray:
-    """Forecast of additive trend and season; smoothing weights of least squared error within a grid, all at once."""
+    """Forecast of additive trend and season; smoothing weights of least squared error within a grid, all at once.
+
+    An unknown value counts as the one that was expected."""
     a, b, g = (x.reshape(-1) for x in np.meshgrid(grid, grid, grid, indexing="ij"))
     if len(y) < 2 * season:
-        return np.full(horizon, y[-1] if len(y) else np.nan)
-    first, second = y[:season].mean(), y[season : 2 * season].mean()
+        known = y[~np.isnan(y)]
+        return np.full(horizon, known[-1] if len(known) else np.nan)
+    if np.isnan(y[:season]).all() or np.isnan(y[season : 2 * season]).all():  # no season to start from
+        return holt_winters(y[1:], season, horizon, grid)
+    first, second = np.nanmean(y[:season]), np.nanmean(y[season : 2 * season])
     level, trend = np.full(len(a), first), np.full(len(a), (second - first) / season)
-    seasonal = np.tile(y[:season] - first, (len(a), 1))
+    seasonal = np.tile(np.nan_to_num(y[:season] - first), (len(a), 1))
     error = np.zeros(len(a))
     for t, value in enumerate(y):
+        if np.isnan(value):
+            level = level + trend
+            continue
         s = seasonal[:, t % season]
         error += (value - level - trend - s) ** 2
         new = a * (value - s) + (1 - a) * (level + trend)

@@ -7,8 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as readings: one sensor per user."""
+    return as_readings(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
+    """The same for a table or a stream of events."""
     k = F.get_json_object("props", "$.k").cast("double")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.col("user_id").cast("string").alias("sensor_id"), F.col("event_id").alias("row_no"), F.col("ts").cast("timestamp").alias("time"),
         F.col("value").alias("value_temp"), k.alias("value_hum"), (k / 10.0).alias("value_acid"), (F.col("value") / 10.0).alias("value_PV"),
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import columns as C
 from ..operators import decompose as D, federated as FD, forecast as FC, labels as L, metrics as M, outliers as O, regularize as G, scaling as A, segments as S, smoothing as SM, windows as W
@@ -69,21 +69,34 @@ def seg(df: DataFrame) -> DataFrame:
 FILL = f", {ad.R.replace('value AS value_temp', 'CASE WHEN event_id % 3 <> 0 THEN value END AS value_temp').replace('r AS', 'h AS', 1)}"
 
 # sources
-add("src1_read_readings", lambda d: d, f"WITH {ad.R} SELECT sensor_id, row_no, {us('time')} AS time, {', '.join(f'{num(c)} AS {c}' for c in CH)} FROM r")
+@query("src1_read_readings", f"WITH {ad.I} SELECT sensor_id, idx, {us("date_trunc('second', time)")} AS time, {', '.join(f'{num(c)} AS {c}' for c in CH)} FROM i")
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = IO.shared_path(spark, "csv")
+    IO.write_readings(C.format_time(ad.readings(spark, sf_dir)).select("sensor_id", "time", *CH), path)
+    place = F.row_number().over(Window.partitionBy("sensor_id").orderBy("row_no")) - 1
+    return IO.read_readings(spark, path).select("sensor_id", place.alias("idx"), "time", *CH)
+
+
 add("src2_base_name", lambda d: d.select("row_no", C.base_name(F.concat(F.lit("/in/df_"), "sensor_id", F.lit("_CLEAN.csv"))).alias("base")), f"WITH {ad.R} SELECT row_no, 'df_' || sensor_id AS base FROM r")
 add("src3_union_readings", lambda d: IO.union_readings(d.filter("row_no % 2 = 0"), d.filter("row_no % 2 = 1")).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value_temp").alias("total")), f"WITH {ad.R} SELECT sensor_id, count(*) AS n, {num('sum(value_temp)')} AS total FROM r GROUP BY 1")
 
 
-@query("src4_csv_round_trip")
+@query("src4_csv_round_trip", f"WITH {ad.R} SELECT sensor_id, count(*) AS n, {num('sum(value_temp)')} AS total FROM r GROUP BY 1")
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sensorloom"
-    path = f"{base}/csv-{uuid4().hex}"
+    path = IO.shared_path(spark, "csv")
     IO.write_readings(C.format_time(ad.readings(spark, sf_dir)), path)
     return spark.read.option("header", True).schema(f"row_no long, {IO.READING}, sensor_id string").csv(path).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value_temp").alias("total"))
 
 
+@query("src5_append_metrics", f"SELECT CAST(label AS BIGINT) AS model, count(*) AS n, {num('sum(vec_id)')} AS loss FROM embeddings GROUP BY 1")
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = IO.shared_path(spark, "metrics")
+    rows = ad.updates(spark, sf_dir).select(F.col("round").alias("model"), F.col("client_id").cast("double").alias("loss"))
+    IO.append_metrics(rows.filter("model < 5"), path)
+    IO.append_metrics(rows.filter("model >= 5"), path)
+    return spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
+
+
 @query("src6_parse_updates", f"SELECT event_id, {num(chr(34) + 'k' + chr(34))} AS k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)")
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -190,22 +203,24 @@ add("lab1_range", lambda d: L.label_by_range(d).select("row_no", "label"), f"WIT
 HIT = " OR ".join(f"coalesce(d_{c} > thr_{c}, false)" for c in ("temp", "hum", "acid"))
 
 
-def _thresholds(d: DataFrame) -> DataFrame:
-    return A.jump_thresholds(d).filter("sensor_id % 5 != 0")
+add("lab2_jump", lambda d: L.label_by_jump(d, A.jump_thresholds(d)).select("row_no", "label"), f"WITH {THR} SELECT row_no, CASE WHEN {HIT} OR value_hum > 100 THEN '1' ELSE '0' END AS label FROM d JOIN th USING (sensor_id)")
+add("lab3_gap", lambda d: L.label_by_gap(L.label_by_jump(d, A.jump_thresholds(d)), DAY).select("row_no", "label"), f"WITH {THR} SELECT row_no, CASE WHEN {LAST} > 1440 THEN 'error' WHEN {HIT} OR value_hum > 100 THEN '1' ELSE '0' END AS label FROM d JOIN th USING (sensor_id)")
 
 
-add("lab2_jump", lambda d: L.label_by_jump(d, _thresholds(d)).select("row_no", "label"), f"WITH {THR} SELECT row_no, CASE WHEN {HIT} OR value_hum > 100 THEN '1' ELSE '0' END AS label FROM d JOIN th USING (sensor_id) WHERE CAST(sensor_id AS BIGINT) % 5 <> 0")
-add("lab3_gap", lambda d: L.label_by_gap(L.label_by_jump(d, _thresholds(d)), DAY).select("row_no", "label"), f"WITH {THR} SELECT row_no, CASE WHEN {LAST} > 1440 THEN 'error' WHEN {HIT} OR value_hum > 100 THEN '1' ELSE '0' END AS label FROM d JOIN th USING (sensor_id) WHERE CAST(sensor_id AS BIGINT) % 5 <> 0")
+def _range_errors(d: DataFrame) -> DataFrame:
+    return C.with_idx(L.label_by_range(d)).filter("label = 'error'").select("sensor_id", F.lit("value_temp").alias("channel"), "idx")
 
 
-def _errors(d: DataFrame, every: int = 11) -> DataFrame:
-    return C.with_idx(d).filter(F.col("row_no") % every == 0).select("sensor_id", F.lit("value_temp").alias("channel"), "idx")
+def _jumps(d: DataFrame) -> DataFrame:
+    return C.with_idx(L.label_by_jump(d, A.jump_thresholds(d))).filter("label = '1'").select("sensor_id", F.lit("value_temp").alias("channel"), "idx")
 
 
-add("lab4_manual", lambda d: L.add_manual_labels(_errors(d), C.with_idx(d).filter("row_no % 17 = 0").select("sensor_id", F.lit("value_temp").alias("channel"), F.col("idx").alias("start"))), f"WITH {ad.I} SELECT sensor_id, 'value_temp' AS channel, idx FROM i WHERE row_no % 11 = 0 UNION SELECT sensor_id, 'value_temp', idx + 10 FROM i WHERE row_no % 17 = 0")
-add("lab5_merge_errors", lambda d: L.merge_errors(_errors(d, 11), _errors(d, 13)), f"WITH {ad.I} SELECT sensor_id, idx FROM i WHERE row_no % 11 = 0 OR row_no % 13 = 0")
-MARK = "FROM i LEFT JOIN (SELECT sensor_id, idx AS e FROM i WHERE row_no % 29 = 0) x ON i.sensor_id = x.sensor_id AND greatest(0, e - 8) <= i.idx AND i.idx < e + 8 WHERE i.idx < n - 20 GROUP BY i.sensor_id, i.idx"
-add("lab6_windows", lambda d: L.label_windows(d, _errors(d, 29)), f"WITH {ad.I} SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}")
+BY_RANGE = f"SELECT sensor_id, idx FROM i WHERE {RANGE} = 'error'"
+BY_JUMP = f"SELECT sensor_id, idx FROM d JOIN th USING (sensor_id) WHERE {HIT} OR value_hum > 100"
+add("lab4_manual", lambda d: L.add_manual_labels(_range_errors(d), _jumps(d).withColumnRenamed("idx", "start")), f"WITH {THR} SELECT sensor_id, 'value_temp' AS channel, idx FROM ({BY_RANGE}) UNION SELECT sensor_id, 'value_temp', idx + 10 FROM ({BY_JUMP})")
+add("lab5_merge_errors", lambda d: L.merge_errors(_range_errors(d), _jumps(d)), f"WITH {THR} {BY_RANGE} UNION {BY_JUMP}")
+MARK = f"FROM i LEFT JOIN (SELECT sensor_id, idx AS e FROM ({BY_JUMP})) x ON i.sensor_id = x.sensor_id AND greatest(0, e - 8) <= i.idx AND i.idx < e + 8 WHERE i.idx < n - 20 GROUP BY i.sensor_id, i.idx"
+add("lab6_windows", lambda d: L.label_windows(d, _jumps(d)), f"WITH {THR} SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}")
 add("lab7_inject_errors", lambda d: L.inject_errors(d, ("value_temp", "value_hum")).select("row_no", "value_temp", "is_error_value_temp"))
 
 # windows: arrays as sums of their parts, so that both sides add in one order
@@ -274,13 +289,16 @@ add("for1_fourier", lambda d: FC.fourier_forecast(d, ("value_temp",), horizon=50
 add("for2_regressors", lambda d: FC.regressor_forecast(d, horizon=50))
 
 
-def _three(d: DataFrame) -> DataFrame:
-    long = C.to_long(d, W.SAMPLE).withColumn("time", F.date_trunc("day", "time")).groupBy("sensor_id", "channel", "time").agg(F.max("value").alias("value"))
-    part = lambda c, k: long.filter((F.col("channel") == c) & (F.dayofyear("time") % k != 0))
-    return FC.combine_forecasts(part("value_temp", 2), part("value_hum", 3), part("value_acid", 5))
+def _daily(d: DataFrame, channel: str) -> DataFrame:
+    return d.groupBy("sensor_id", F.date_trunc("day", "time").alias("time")).agg(F.max(channel).alias("value"))
+
 
+def _forecast(d: DataFrame, channel: str) -> DataFrame:
+    return FC.fourier_forecast(d, (channel,), horizon=50, daily=2, weekly=1).select("sensor_id", "time", "value")
 
-add("for3_combine", _three, f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('day', time)")} AS time, {', '.join(f'{num(f'max({c})')} AS {c}' for c in W.SAMPLE)} FROM r WHERE dayofyear(time) % 2 <> 0 AND dayofyear(time) % 3 <> 0 AND dayofyear(time) % 5 <> 0 GROUP BY sensor_id, date_trunc('day', time)")
+
+add("for3_combine", lambda d: FC.combine_forecasts(*[_daily(d, c) for c in W.SAMPLE]), f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('day', time)")} AS time, {', '.join(f'{num(f'max({c})')} AS {c}' for c in W.SAMPLE)} FROM r GROUP BY sensor_id, date_trunc('day', time)")
+add("for3_combine_forecasts", lambda d: FC.combine_forecasts(*[_forecast(d, c) for c in W.SAMPLE]))
 
 # federated averaging
 add("fed1_clients", lambda d: FD.assign_clients(C.with_idx(d), 10, "sensor_id").select("row_no", "client_id"), f"WITH {ad.I} SELECT row_no, CAST(idx // (n // 10) AS BIGINT) AS client_id FROM i WHERE idx // (n // 10) < 10")
@@ -328,3 +346,31 @@ add("str4_range_labels", lambda d: live.range_labels(d).select("row_no", "label"
 add("str5_tumbling", lambda d: live.tumbling_stats(d, size="1 day"), f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('day', time)")} AS window_start, count(*) AS n_rows, {num('avg(value_temp)')} AS mean, {num('min(value_temp)')} AS low, {num('max(value_temp)')} AS high FROM r GROUP BY sensor_id, date_trunc('day', time)")
 add("str7_sliding", lambda d: live.tumbling_stats(d, size="2 days", slide="1 day"), f"WITH {ad.R}, x AS (SELECT *, date_trunc('day', time) - to_days(CAST(k AS INTEGER)) AS ws FROM r, unnest([0, 1]) u(k)) SELECT sensor_id, {us('ws')} AS window_start, count(*) AS n_rows, {num('avg(value_temp)')} AS mean, {num('min(value_temp)')} AS low, {num('max(value_temp)')} AS high FROM x GROUP BY sensor_id, ws")
 add("str8_drop_resent", lambda d: live.drop_resent(d.withColumn("time", F.date_trunc("day", "time"))).select("sensor_id", "time"), f"WITH {ad.R} SELECT DISTINCT sensor_id, {us("date_trunc('day', time)")} AS time FROM r")
+
+
+# the same as streams over the table's file, run until all of it is read
+def _streamed(spark: SparkSession, sf_dir: str, live_form: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    """What a stream of the readings has put out at its end; in complete mode the last batch holds everything."""
+    path = IO.shared_path(spark, "stream")
+    file = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = spark.readStream.schema(file.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = live_form(ad.as_readings(rows))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{'last' if mode == 'complete' else number}")
+
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(store)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out/*")
+
+
+def stream(name: str, like: str | None, live_form: Callable[[DataFrame], DataFrame], mode: str = "complete") -> None:
+    query(name, ORACLES[like] if like else None)(lambda spark, sf_dir: _streamed(spark, sf_dir, live_form, mode))
+
+
+stream("str1_sessions_live", "str1_sessions", lambda d: live.outage_sessions(d, "1 day"))
+stream("str2_labels_live", None, lambda d: live.live_labels(d, {"value_temp": 60.0, "value_hum": 60.0}, DAY), "append")
+stream("str3_kalman_live", None, lambda d: live.live_kalman(d), "append")
+stream("str4_range_labels_live", "str4_range_labels", lambda d: live.range_labels(d).select("row_no", "label"), "append")
+stream("str5_tumbling_live", "str5_tumbling", lambda d: live.tumbling_stats(d, size="1 day"))
+stream("str7_sliding_live", "str7_sliding", lambda d: live.tumbling_stats(d, size="2 days", slide="1 day"))

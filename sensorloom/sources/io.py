@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,15 +13,27 @@ from ..functions.columns import CHANNELS, SENSOR, base_name, parse_time
 READING = "time string, " + ", ".join(f"{c} double" for c in CHANNELS)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def read_readings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """All sensor files of a folder; the sensor is the file's base name, ``row_no`` grows with the place in the file.
+    """All sensor files of a folder; the sensor is the file's base name, or its folder's where ``write_readings`` made one.
 
+    ``row_no`` grows with the place in the file.
     Spark cuts large files: a row's number joins the start of its cut and its place in it.
     """
     rows = spark.read.schema(READING).option("header", True).option("pathGlobFilter", glob).csv(path)
     rows = rows.select("*", "_metadata.file_name", "_metadata.file_block_start")
     numbered = rows.withColumn("row_no", F.col("file_block_start") * (1 << 20) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    return parse_time(numbered.withColumn(SENSOR, base_name(F.col("file_name")))).drop("file_name", "file_block_start")
+    sensor = F.col(SENSOR).cast("string") if SENSOR in rows.columns else base_name(F.col("file_name"))
+    return parse_time(numbered.withColumn(SENSOR, sensor)).drop("file_name", "file_block_start")
 
 
 def union_readings(*tables: DataFrame) -> DataFrame:

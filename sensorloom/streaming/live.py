@@ -46,12 +46,16 @@ def live_labels(df: DataFrame, thresholds: dict[str, float], minutes: float = 15
             labels = []
             for row in rows.itertuples(index=False):
                 now = (int(row.time.value // 1000), *[float(getattr(row, c)) for c in cols])
+                humid = getattr(row, "value_hum", 0.0) > 100
+                if last is not None and now[0] < last[0]:  # late: no neighbour is known, and the last reading stays
+                    labels.append("1" if humid else "0")
+                    continue
                 if last is None:
-                    labels.append("0")
+                    labels.append("1" if humid else "0")
                 elif (now[0] - last[0]) / 6e7 > minutes:
                     labels.append("error")
                 else:
-                    labels.append("1" if any(abs(a - b) > thresholds[c] for c, a, b in zip(cols, now[1:], last[1:])) else "0")
+                    labels.append("1" if any(abs(a - b) > thresholds[c] for c, a, b in zip(cols, now[1:], last[1:])) or humid else "0")
                 last = now
             yield rows[[SENSOR, TIME]].assign(label=labels)
         if last is not None:
@@ -71,13 +75,12 @@ def live_kalman(df: DataFrame, col: str = "value_temp", q: float = 0.01, r: floa
         for rows in batches:
             rows = rows.sort_values(TIME)
             out = []
-            for value in rows[col]:
-                if level is None:
-                    level = value
-                else:
+            for value in rows[col].tolist():
+                if level is not None:
                     p += q
-                gain = p / (p + r)
-                level, p = level + gain * (value - level), p * (1 - gain)
+                if value == value:  # an unknown value leaves the level as it was
+                    gain = p / (p + r)
+                    level, p = value if level is None else level + gain * (value - level), p * (1 - gain)
                 out.append(level)
             yield rows[[SENSOR, TIME]].assign(level=out)
         if level is not None:

@@ -227,3 +227,15 @@ def test_updates_are_averaged_once(spark, tmp_path):
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     live.collect_updates(stream, str(tmp_path / "kept"), 2, lambda m: seen.extend(m.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert [(r["round"], r["weights"]) for r in seen] == [(0, [2.0])]
+
+
+def test_unknown_values_don_t_spread():
+    y = np.array([3.0, np.nan, 4.0, 5.0, np.nan, 6.0, 5.5, 7.0, 6.5, 8.0] * 4)
+    level = K.kalman_level(y[:, None])[:, 0]
+    assert not np.isnan(level).any() and level[1] == level[0] and np.isnan(K.kalman_level(np.array([[np.nan], [2.0]]))[0, 0])
+    smooth = K.lowess(y, 0.3)
+    assert (np.isnan(smooth) == np.isnan(y)).all()
+    assert np.isfinite(K.holt_winters(y, 4, 5)).all()
+    whole = np.sin(np.arange(300) / 9.0) + np.arange(300) % 7
+    assert np.allclose(K.lowess(whole, 0.2), K.lowess(whole, 0.2, block=100))
+    assert np.isfinite(K.lowess(np.arange(20_000) % 50 * 1.0, 0.1, 1)).all()
