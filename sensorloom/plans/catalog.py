@@ -302,7 +302,7 @@ add("for3_combine_forecasts", lambda d: FC.combine_forecasts(*[_forecast(d, c) f
 
 # federated averaging
 add("fed1_clients", lambda d: FD.assign_clients(C.with_idx(d), 10, "sensor_id").select("row_no", "client_id"), f"WITH {ad.I} SELECT row_no, CAST(idx // (n // 10) AS BIGINT) AS client_id FROM i WHERE idx // (n // 10) < 10")
-add("fed2_client_samples", lambda d: FD.client_samples(W.sliding_windows(d), 12).groupBy("client_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I} SELECT sensor_id AS client_id, count(*) AS n FROM i WHERE idx <= n - 30 AND idx < 12 GROUP BY 1")
+add("fed2_client_samples", lambda d: FD.client_samples(W.sliding_windows(d)).groupBy("client_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I} SELECT sensor_id AS client_id, count(*) AS n FROM i WHERE idx <= n - 30 AND idx < 1500 GROUP BY 1")
 UP = "u AS (SELECT label AS round, vec_id, 1 + vec_id % 7 AS n, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings)"
 
 
@@ -321,12 +321,12 @@ SPEC = [{"units": 8, "activation": "relu"}, {"units": 1, "activation": "sigmoid"
 
 
 def _train(d: DataFrame) -> DataFrame:
-    data = FD.training_table(A.minmax_scale(d), _errors(d, 29)).withColumn("client_id", F.col("sensor_id"))
+    data = FD.training_table(A.minmax_scale(d), _jumps(d)).withColumn("client_id", F.col("sensor_id"))
     return FD.federated_train(data, SPEC, variant="int8")[1]
 
 
 add("fed9_rounds", _train)
-add("fed10_training_table", lambda d: FD.training_table(d, _errors(d, 29)).select("sensor_id", "idx", "label", F.element_at("features", -1).alias("z")), f"WITH {ad.I}, y AS (SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}), x AS (SELECT sensor_id, idx, lead(value_acid, 19) OVER (PARTITION BY sensor_id ORDER BY idx) AS v FROM i) SELECT y.sensor_id, y.idx, y.label, {num('v')} AS z FROM y JOIN x USING (sensor_id, idx)")
+add("fed10_training_table", lambda d: FD.training_table(d, _jumps(d)).select("sensor_id", "idx", "label", F.element_at("features", -1).alias("z")), f"WITH {THR}, y AS (SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}), x AS (SELECT sensor_id, idx, lead(value_acid, 19) OVER (PARTITION BY sensor_id ORDER BY idx) AS v FROM i) SELECT y.sensor_id, y.idx, y.label, {num('v')} AS z FROM y JOIN x USING (sensor_id, idx)")
 add("fed11_balance", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d)), None, keys=("row_no",)).select("row_no", "label"), f"WITH {ad.I}, x AS (SELECT row_no, {RANGE} AS label FROM i) SELECT row_no, label FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_no) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM x GROUP BY label))")
 add("fed11_balance_hashed", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d))).groupBy("label").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I}, x AS (SELECT {RANGE} AS label FROM i), c AS (SELECT label, count(*) AS c FROM x GROUP BY 1) SELECT label, (SELECT min(c) FROM c) AS n FROM c")
 add("fed12_batches", lambda d: FD.make_batches(C.with_idx(d), 2, 40, None).select("row_no", "epoch", "batch"), f"WITH {ad.I} SELECT row_no, e AS epoch, idx // 40 AS batch FROM i, unnest([1::BIGINT, 2::BIGINT]) u(e)")
