@@ -34,8 +34,9 @@ def whole_seconds(start: Column, end: Column) -> Column:
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """A repeatable number in [0, 1) from the hash of keys; the same however rows are partitioned."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") * F.lit(2.0**-53)
+    """A repeatable number in [0, 1) from the MD5 of keys; the same however rows are partitioned, and in any SQL engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def parse_time(df: DataFrame, col: str = TIME) -> DataFrame:

@@ -191,9 +191,9 @@ def fourier_features(minutes: np.ndarray, periods: dict[float, int], scale: floa
     return np.stack(columns, axis=1)
 
 
-def ridge(x: np.ndarray, y: np.ndarray, strength: float = 1e-3) -> np.ndarray:
-    """Coefficients of least squares with a small penalty."""
-    return np.linalg.solve(x.T @ x + strength * max(len(x), 1) * np.eye(x.shape[1]), x.T @ y)
+def ridge_of_sums(gram: np.ndarray, n: int, strength: float = 1e-3) -> np.ndarray:
+    """Coefficients of least squares with a small penalty, from [X | y]' [X | y] of ``n`` rows."""
+    return np.linalg.solve(gram[:-1, :-1] + strength * max(n, 1) * np.eye(len(gram) - 1), gram[:-1, -1])
 
 
 def dense_shapes(inputs: int, spec: list[dict]) -> list[tuple[int, ...]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import SENSOR
 from ..functions.kernels import dense_forward, initial_weights, train_epoch
+from ..sources.io import shared_path
 from .labels import label_windows
 from .windows import sliding_windows
 
@@ -82,18 +83,25 @@ def dequantize_i8(df: DataFrame) -> DataFrame:
 def balance_classes(df: DataFrame, seed: int | None = 0, label: str = "label", keys: tuple[str, ...] = (SENSOR, "idx")) -> DataFrame:
     """As many rows of each label as the rarest has; by hash order, or by key order without seed.
 
-    Only the label with more rows is ranked in hash buckets, so no task ranks a whole class.
+    Rows are ranked within pieces of their label, so no task ranks a whole class: in hash buckets, or in the ranges that
+    Spark sorts a table into.
     """
-    order = F.xxhash64(*keys, F.lit(seed)) if seed is not None else None
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     least = counts.agg(F.min("n").alias("__least"))
-    if order is None:
-        rows = df.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(*keys)))
-        return rows.crossJoin(F.broadcast(least)).filter("__rn <= __least").drop("__rn", "__least")
-    rows = df.withColumn("__h", order).withColumn("__b", F.pmod(F.shiftright("__h", 20), F.lit(256)))
+    if seed is None:
+        order = [F.col(k) for k in keys]
+        rows = df.repartitionByRange(label, *order).withColumn("__b", F.spark_partition_id())
+        # both readings below must see the same ranges, also after an executor is lost
+        path = shared_path(df.sparkSession, "ranges")
+        rows.write.parquet(path)
+        rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    else:
+        h = F.xxhash64(*keys, F.lit(seed))
+        order = [h, *[F.col(k) for k in keys]]
+        rows = df.withColumn("__b", F.pmod(F.shiftright(h, 20), F.lit(256)))
     sizes = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = rows.join(before, [label, "__b"]).withColumn("__rn", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", *keys)) + F.col("__before"))
+    ranked = rows.join(before, [label, "__b"]).withColumn("__rn", F.row_number().over(Window.partitionBy(label, "__b").orderBy(*order)) + F.col("__before"))
     return ranked.crossJoin(F.broadcast(least)).filter("__rn <= __least").select(*df.columns)
 
 

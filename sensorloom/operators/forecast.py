@@ -1,61 +1,98 @@
-"""Forecasts by trend and seasonal terms, fitted per series."""
+"""Forecasts by trend and seasonal terms, fitted per series.
+
+The sums that least squares needs (X'X and X'y) are added up over shards of a series, so no task holds a whole one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import SENSOR, TIME, to_long
-from ..functions.kernels import fourier_features, ridge
+from ..functions.kernels import fourier_features, ridge_of_sums
 
 DAY = 1440.0
+#: Rows of a shard, and shards of a series at most (beyond them shards grow, their features are made in slices).
+SHARD, SHARDS = 65_536, 1024
+SLICE = 8192
 
 
-def _minutes(times: pd.Series, start: pd.Timestamp) -> np.ndarray:
-    return ((times - start) / pd.Timedelta(minutes=1)).to_numpy(float)
+def _sums(rows: DataFrame, keys: tuple[str, ...], periods: dict[float, int], extra: tuple[str, ...]) -> DataFrame:
+    """(keys, shard, n, gram): sums of products of the features and the target of rows (keys, at, scale, y, extra, shards).
 
+    ``gram`` is [X | y]' [X | y] row by row.
+    """
 
-def fourier_forecast(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), horizon: int = 1000, minutes: int = 10, daily: int = 15, weekly: int = 10) -> DataFrame:
-    """(sensor_id, channel, time, value) for the next ``horizon`` steps of each channel."""
-    periods = {DAY: daily, 7 * DAY: weekly}
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        scale, total = part["scale"].iloc[0], 0.0
+        for low in range(0, len(part), SLICE):
+            few = part.iloc[low : low + SLICE]
+            x = np.hstack([fourier_features(few["at"].to_numpy(float), periods, scale), few[[*extra, "y"]].to_numpy(float)])
+            total = total + x.T @ x
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "shard": [key[-1]], "n": [len(part)], "gram": [total.reshape(-1)]})
+
+    shard = F.pmod(F.xxhash64(*keys, "at"), F.col("shards")).cast("int").alias("shard")
+    schema = ", ".join(f"{k} string" for k in keys) + ", shard int, n long, gram array<double>"
+    return rows.select(*keys, shard, "at", "scale", "y", *extra).groupBy(*keys, "shard").applyInPandas(run, schema)
+
+
+def _spans(rows: DataFrame, keys: tuple[str, ...], last) -> DataFrame:
+    """(keys, start, scale, shards, end): where a series' known rows start, their minutes, its shards and its last time."""
+    minutes = (F.unix_micros(F.max("known")) - F.unix_micros(F.min("known"))) / 6e7
+    shards = F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.ceil(F.count("known") / SHARD))).cast("int")
+    return rows.groupBy(*keys).agg(F.min("known").alias("start"), F.greatest(minutes, F.lit(1.0)).alias("scale"), shards.alias("shards"), last.alias("end")).filter("start IS NOT NULL")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["value"]).sort_values(TIME)
-        if rows.empty:
-            return pd.DataFrame({SENSOR: [], "channel": [], TIME: pd.Series([], dtype="datetime64[ns]"), "value": []})
-        start, last = rows[TIME].iloc[0], rows[TIME].iloc[-1]
-        past = _minutes(rows[TIME], start)
-        scale = max(past[-1], 1.0)
-        fitted = ridge(fourier_features(past, periods, scale), rows["value"].to_numpy(float))
-        ahead = pd.Series(last + pd.to_timedelta(minutes * np.arange(1, horizon + 1), unit="m"))
-        value = fourier_features(_minutes(ahead, start), periods, scale) @ fitted
-        return pd.DataFrame({SENSOR: key[0], "channel": key[1], TIME: ahead, "value": value})
 
-    series = to_long(df, cols).select(SENSOR, "channel", TIME, "value")
-    return series.groupBy(SENSOR, "channel").applyInPandas(run, f"{SENSOR} string, channel string, {TIME} timestamp, value double")
+def _fitted(sums: DataFrame, spans: DataFrame, keys: tuple[str, ...], value: str, horizon: int, minutes: int, periods: dict[float, int], extra: tuple[str, ...]) -> DataFrame:
+    """(keys, time, value) of the steps after each series' end; future ``extra`` features keep the value of ``spans``."""
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups:
+            for r in rows.itertuples(index=False):
+                width = int(round(len(r.gram) ** 0.5))
+                fitted = ridge_of_sums(np.reshape(r.gram, (width, width)), r.n)
+                ahead = pd.Series(r.end + pd.to_timedelta(minutes * np.arange(1, horizon + 1), unit="m"))
+                x = fourier_features(((ahead - r.start) / pd.Timedelta(minutes=1)).to_numpy(float), periods, r.scale)
+                held = np.tile(np.array([getattr(r, c) for c in extra], float), (horizon, 1))
+                yield pd.DataFrame({**{k: getattr(r, k) for k in keys}, TIME: ahead, value: np.hstack([x, held]) @ fitted})
+
+    # SHARDS rows of a series at most, added up by place in the order of shards
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("shard", "gram"))), lambda s: s["gram"])
+    total = F.aggregate(F.slice(ordered, 2, SHARDS), F.element_at(ordered, 1), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    whole = sums.groupBy(*keys).agg(F.sum("n").alias("n"), total.alias("gram")).join(spans, [*keys])
+    schema = ", ".join(f"{k} string" for k in keys) + f", {TIME} timestamp, {value} double"
+    return whole.select(*keys, "n", "gram", "start", "scale", "end", *extra).mapInPandas(run, schema)
+
+
+def fourier_forecast(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), horizon: int = 1000, minutes: int = 10, daily: int = 15, weekly: int = 10) -> DataFrame:
+    """(sensor_id, channel, time, value) for the next ``horizon`` steps of each channel; unknown values and times are left out."""
+    periods, keys = {DAY: daily, 7 * DAY: weekly}, (SENSOR, "channel")
+    series = to_long(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col(TIME).isNotNull()).select(*keys, F.col(TIME).alias("known"), F.col("value").alias("y"))
+    spans = _spans(series, keys, F.max("known"))
+    rows = series.join(spans, [*keys]).withColumn("at", (F.unix_micros("known") - F.unix_micros("start")) / 6e7)
+    return _fitted(_sums(rows, keys, periods, ()), spans, keys, "value", horizon, minutes, periods, ())
 
 
 def regressor_forecast(df: DataFrame, target: str = "value_PV", regressors: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), horizon: int = 1460, minutes: int = 10) -> DataFrame:
-    """The target's next steps from trend, seasons and regressors; future regressors keep their last value."""
-    periods = {DAY: 4, 7 * DAY: 3, 365.25 * DAY: 3}
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(TIME)
-        known = rows[list(regressors)].ffill()
-        use = rows[target].notna() & known.notna().all(axis=1)
-        if not use.any():
-            return pd.DataFrame({SENSOR: [], TIME: pd.Series([], dtype="datetime64[ns]"), target: []})
-        start, last = rows[TIME].iloc[0], rows[TIME].iloc[-1]
-        past = _minutes(rows.loc[use, TIME], start)
-        scale = max(past[-1], 1.0)
-        x = np.hstack([fourier_features(past, periods, scale), known[use].to_numpy(float)])
-        fitted = ridge(x, rows.loc[use, target].to_numpy(float))
-        ahead = pd.Series(last + pd.to_timedelta(minutes * np.arange(1, horizon + 1), unit="m"))
-        held = np.tile(known.iloc[-1].to_numpy(float), (horizon, 1))
-        return pd.DataFrame({SENSOR: key[0], TIME: ahead, target: np.hstack([fourier_features(_minutes(ahead, start), periods, scale), held]) @ fitted})
-
-    return df.select(SENSOR, TIME, target, *regressors).groupBy(SENSOR).applyInPandas(run, f"{SENSOR} string, {TIME} timestamp, {target} double")
+    """The target's next steps from trend, seasons and regressors; unknown regressors keep their last value, future ones too.
+
+    Trend and seasons count from the sensor's first time.
+    """
+    periods, keys = {DAY: 4, 7 * DAY: 3, 365.25 * DAY: 3}, (SENSOR,)
+    held = Window.partitionBy(SENSOR).orderBy(TIME, *regressors).rowsBetween(Window.unboundedPreceding, 0)
+    known = {c: F.last(F.when(~F.isnan(c), F.col(c)), ignorenulls=True).over(held) for c in regressors}
+    rows = df.filter(F.col(TIME).isNotNull()).select(SENSOR, F.col(TIME).alias("known"), F.col(TIME), F.col(target).alias("y"), *[c.alias(n) for n, c in known.items()])
+    last = [F.max_by(c, TIME).alias(c) for c in regressors]
+    ends = rows.groupBy(SENSOR).agg(*last)
+    spans = _spans(rows, keys, F.max("known")).join(ends, SENSOR)
+    use = F.col("y").isNotNull() & ~F.isnan("y")
+    for c in regressors:
+        use = use & F.col(c).isNotNull()
+    fit = rows.filter(use).join(spans.select(SENSOR, "start", "scale", "shards"), SENSOR).withColumn("at", (F.unix_micros("known") - F.unix_micros("start")) / 6e7)
+    return _fitted(_sums(fit, keys, periods, regressors), spans, keys, target, horizon, minutes, periods, regressors)
 
 
 def combine_forecasts(temp: DataFrame, hum: DataFrame, acid: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def regular_times(df: DataFrame, start: str, minutes: int = 10) -> DataFrame:
 def jittered_times(df: DataFrame, start: str, base: int = 600, seed: int = 0) -> DataFrame:
     """Times whose steps are ``base`` seconds and a whole number of them from -10 to 9; the first is ``start``."""
     rows = with_idx(df)
-    jump = F.when(F.col("idx") == 0, 0).otherwise(base + F.pmod(F.xxhash64(SENSOR, "idx", F.lit(seed)), F.lit(20)) - 10)
+    jump = F.when(F.col("idx") == 0, 0).otherwise(base + F.floor(20 * uniform(seed, SENSOR, "idx")) - 10)
     total = F.sum("__jump").over(Window.partitionBy(SENSOR).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("__jump", jump).withColumn("__at", total)
     return rows.withColumn(TIME, F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + F.col("__at"))).drop("__jump", "__at")

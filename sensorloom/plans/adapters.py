@@ -48,7 +48,12 @@ def line_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as client updates: one round per label."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+    return as_updates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def as_updates(embeddings: DataFrame) -> DataFrame:
+    """The same for a table or a stream of embeddings."""
+    return embeddings.select(
         F.col("label").alias("round"), F.col("vec_id").cast("string").alias("client_id"), F.lit(0).alias("layer"), (1 + F.col("vec_id") % 7).alias("n"),
         F.col("embedding").cast("array<double>").alias("weights"),
     )

@@ -177,7 +177,9 @@ add("reg5_as_freq", lambda d: G.as_freq(d.withColumn("time", F.date_trunc("hour"
 add("reg6_forward_fill", lambda d: G.forward_fill(d, ("value_temp", "value_hum")).select("row_no", "value_temp", "value_hum"), f"""WITH {ad.R} SELECT row_no, {num('last_value(CASE WHEN row_no % 3 <> 0 THEN value_temp END IGNORE NULLS) OVER w')} AS value_temp,
  {num('last_value(CASE WHEN row_no % 5 <> 0 THEN value_hum END IGNORE NULLS) OVER w')} AS value_hum FROM r WINDOW w AS (PARTITION BY sensor_id ORDER BY time, row_no)""", ad.readings_with_holes)
 add("reg7_regular_times", lambda d: G.regular_times(d, "2024-01-01 00:00:00").select("row_no", "time"), f"WITH {ad.I} SELECT row_no, epoch_us(TIMESTAMP '2024-01-01') + idx * 600000000 AS time FROM i")
-add("reg8_jittered_times", lambda d: G.jittered_times(d, "2024-01-01 00:00:00").select("row_no", "time"))
+DRAW = lambda seed, *keys: f"(CAST('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(keys)})), 1, 13) AS BIGINT) * CAST({2.0**-52!r} AS DOUBLE))"
+add("reg8_jittered_times", lambda d: G.jittered_times(d, "2024-01-01 00:00:00").select("row_no", "time"), f"""WITH {ad.I}, j AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE 590 + CAST(floor(20 * {DRAW(0, 'sensor_id', 'idx')}) AS BIGINT) END AS jump FROM i)
+ SELECT row_no, CAST(epoch_us(TIMESTAMP '2024-01-01') + 1000000 * sum(jump) OVER (PARTITION BY sensor_id ORDER BY idx) AS BIGINT) AS time FROM j""")
 
 # statistics
 LIM = ", ".join(f"{num(f'{g}({c})')} AS {g}_{c}" for c in CH for g in ("min", "max"))
@@ -221,9 +223,25 @@ add("lab4_manual", lambda d: L.add_manual_labels(_range_errors(d), _jumps(d).wit
 add("lab5_merge_errors", lambda d: L.merge_errors(_range_errors(d), _jumps(d)), f"WITH {THR} {BY_RANGE} UNION {BY_JUMP}")
 MARK = f"FROM i LEFT JOIN (SELECT sensor_id, idx AS e FROM ({BY_JUMP})) x ON i.sensor_id = x.sensor_id AND greatest(0, e - 8) <= i.idx AND i.idx < e + 8 WHERE i.idx < n - 20 GROUP BY i.sensor_id, i.idx"
 add("lab6_windows", lambda d: L.label_windows(d, _jumps(d)), f"WITH {THR} SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}")
-add("lab7_inject_errors", lambda d: L.inject_errors(d, ("value_temp", "value_hum")).select("row_no", "value_temp", "is_error_value_temp"))
+INJECT = lambda c: (f"{DRAW(0, 'sensor_id', 'row_no', repr(c))} < CAST(0.05 AS DOUBLE)", f"{c} * (1 + (50 + 150 * {DRAW(1, 'sensor_id', 'row_no', repr(c))}) / CAST(100 AS DOUBLE))")
+add("lab7_inject_errors", lambda d: L.inject_errors(d, ("value_temp", "value_hum")).select("row_no", *[f"{p}{c}" for c in ("value_temp", "value_hum") for p in ("", "is_error_")]),
+    f"WITH {ad.R} SELECT row_no, " + ", ".join(f"{hit} AS is_error_{c}, {num(f'CASE WHEN {hit} THEN {grown} ELSE {c} END')} AS {c}" for c in ("value_temp", "value_hum") for hit, grown in [INJECT(c)]) + " FROM r")
+
+# windows: some values as they are, all of them as a sum of millionths times their place
+MILLION = "CAST(round(CAST({} AS DOUBLE) * 1000000) AS BIGINT)"
+
+
+def _all_values(flat) -> F.Column:
+    places = F.transform(flat, lambda x, i: (i + 1) * F.round(x * 1e6).cast("long"))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, b: a + b).alias("total")
+
+
+def _totals(place: str, width: int = 30) -> str:
+    """The same in SQL: ``place`` is that of channel c and row k."""
+    parts = " + ".join(f"({place.format(c=i, k='(y.idx - x.idx)')} + 1) * {MILLION.format(f'y.{c}')}" for i, c in enumerate(("value_temp", "value_hum", "value_acid")))
+    return f"t AS (SELECT x.sensor_id, x.idx, CAST(sum({parts}) AS BIGINT) AS total FROM i x JOIN i y ON x.sensor_id = y.sensor_id AND y.idx >= x.idx AND y.idx < x.idx + {width} WHERE x.idx <= x.n - {width} GROUP BY ALL)"
+
 
-# windows: arrays as sums of their parts, so that both sides add in one order
 def _digest(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.size("features").alias("n"), F.get("features", 0).alias("a"), F.element_at("features", -1).alias("z"), F.get("features", 30).alias("m"))
 
@@ -234,8 +252,8 @@ def _flat(size: int, drop: int, cols=("value_temp", "value_hum", "value_acid"),
     return f"{3 * size} AS n, {num(cols[0])} AS a, {num(lead(cols[2], size - 1))} AS z, {num(m)} AS m"
 
 
-add("win1_flat", lambda d: _digest(W.sliding_windows(d), "sensor_id", "idx"), f"WITH {ad.I}, x AS (SELECT sensor_id, idx, n AS total, {_flat(30, 0)} FROM i) SELECT sensor_id, idx, CAST(n AS BIGINT) AS n, a, z, m FROM x WHERE idx <= total - 30")
-add("win2_rows", lambda d: W.sliding_windows(d, layout="rows").select("sensor_id", "idx", F.size("features").alias("n"), F.get(F.get("features", 29), 1).alias("z")), f"WITH {ad.I}, x AS (SELECT sensor_id, idx, n AS total, lead(value_hum, 29) OVER (PARTITION BY sensor_id ORDER BY idx) AS v FROM i) SELECT sensor_id, idx, CAST(30 AS BIGINT) AS n, {num('v')} AS z FROM x WHERE idx <= total - 30")
+add("win1_flat", lambda d: W.sliding_windows(d).select("sensor_id", "idx", F.size("features").alias("n"), _all_values(F.col("features"))), f"WITH {ad.I}, {_totals('30 * {c} + {k}')} SELECT sensor_id, idx, CAST(90 AS BIGINT) AS n, total FROM t")
+add("win2_rows", lambda d: W.sliding_windows(d, layout="rows").select("sensor_id", "idx", F.size("features").alias("n"), _all_values(F.flatten("features"))), f"WITH {ad.I}, {_totals('{c} + 3 * {k}')} SELECT sensor_id, idx, CAST(30 AS BIGINT) AS n, total FROM t")
 add("win3_drop_last", lambda d: _digest(W.sliding_windows(A.minmax_scale(d, scope="global"), 20, drop_last=True), "sensor_id", "idx"), f"WITH {ad.I.replace('FROM r WINDOW', 'FROM g WINDOW').replace(', i AS', ', g AS (SELECT sensor_id, row_no, time, ' + ', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}' for c in CH) + ' FROM r), i AS', 1)}, x AS (SELECT sensor_id, idx, n AS total, {_flat(20, 1)} FROM i) SELECT sensor_id, idx, CAST(n AS BIGINT) AS n, a, z, m FROM x WHERE idx < total - 20")
 add("win4_within_segments", lambda d: W.sliding_windows(seg(d), 5, within="seg_id").select("sensor_id", "seg_id", "idx", F.element_at("features", -1).alias("z")), f"WITH {ad.S}, x AS (SELECT sensor_id, seg_id, row_number() OVER w - 1 AS idx, lead(value_acid, 4) OVER w AS v, count(*) OVER (PARTITION BY sensor_id, seg_id) AS total FROM s WINDOW w AS (PARTITION BY sensor_id, seg_id ORDER BY time, row_no)) SELECT sensor_id, seg_id, idx, {num('v')} AS z FROM x WHERE idx <= total - 5")
 add("win5_target", lambda d: W.with_target(W.sliding_windows(d, layout="rows")).select("sensor_id", "idx", F.get("target", 0).alias("temp"), F.get("target", 2).alias("acid")), f"WITH {ad.I}, x AS (SELECT sensor_id, idx, n AS total, lead(value_temp, 29) OVER w AS t, lead(value_acid, 29) OVER w AS c FROM i WINDOW w AS (PARTITION BY sensor_id ORDER BY idx)) SELECT sensor_id, idx, {num('t')} AS temp, {num('c')} AS acid FROM x WHERE idx <= total - 30")
@@ -285,8 +303,8 @@ for _key, _name in (("out1", "isolation_forest"), ("out2", "local_outlier_factor
 # channels that aren't multiples of each other, on one scale
 add("out4_autoencoder", lambda d: O.detect_outliers(W.sliding_windows(A.minmax_scale(d, W.SAMPLE)), "autoencoder").select("sensor_id", "idx", "pred"), source=ad.line_readings)
 add("out3_channel_distance", lambda d: O.channel_distance(d, "value_temp", "value_hum").select("row_no", "distance"), f"WITH {ad.R}, m AS (SELECT avg(value_temp) AS a, avg(value_hum) AS b, var_samp(value_temp) AS va, var_samp(value_hum) AS vb, covar_samp(value_temp, value_hum) AS c FROM r) SELECT row_no, {num('(vb * (value_temp - a) * (value_temp - a) - 2 * c * (value_temp - a) * (value_hum - b) + va * (value_hum - b) * (value_hum - b)) / (va * vb - c * c)')} AS distance FROM r, m")
-add("for1_fourier", lambda d: FC.fourier_forecast(d, ("value_temp",), horizon=50, daily=2, weekly=1))
-add("for2_regressors", lambda d: FC.regressor_forecast(d, horizon=50))
+add("for1_fourier", lambda d: FC.fourier_forecast(d))
+add("for2_regressors", lambda d: FC.regressor_forecast(d))
 
 
 def _daily(d: DataFrame, channel: str) -> DataFrame:
@@ -294,7 +312,7 @@ def _daily(d: DataFrame, channel: str) -> DataFrame:
 
 
 def _forecast(d: DataFrame, channel: str) -> DataFrame:
-    return FC.fourier_forecast(d, (channel,), horizon=50, daily=2, weekly=1).select("sensor_id", "time", "value")
+    return FC.fourier_forecast(d, (channel,)).select("sensor_id", "time", "value")
 
 
 add("for3_combine", lambda d: FC.combine_forecasts(*[_daily(d, c) for c in W.SAMPLE]), f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('day', time)")} AS time, {', '.join(f'{num(f'max({c})')} AS {c}' for c in W.SAMPLE)} FROM r GROUP BY sensor_id, date_trunc('day', time)")
@@ -313,7 +331,8 @@ def _exploded(df: DataFrame) -> DataFrame:
 add("fed4_average", lambda d: _exploded(FD.fed_avg(d)), f"WITH {UP} SELECT CAST(round AS BIGINT) AS round, pos, {num('avg(CAST(v AS DOUBLE))')} AS v FROM u GROUP BY ALL", ad.updates)
 add("fed5_weighted", lambda d: _exploded(FD.fed_avg(d, "n")), f"WITH {UP} SELECT CAST(round AS BIGINT) AS round, pos, {num('sum(n * CAST(v AS DOUBLE)) / sum(n)')} AS v FROM u GROUP BY ALL", ad.updates)
 add("fed6_partial_batches", lambda d: FD.partial_batches(C.with_idx(d), 9, 20).select("sensor_id", "idx", "batch"), f"WITH {ad.I} SELECT sensor_id, idx, k AS batch FROM i, unnest(range(0, 9)) u(k) WHERE idx >= k AND idx < k + 20")
-add("fed7_float16", lambda d: _exploded(FD.fed_avg(FD.quantize_f16(d))), None, ad.updates)
+F16 = "pow(CAST(2 AS DOUBLE), greatest(floor(log2(abs(CAST(v AS DOUBLE)))), -14) - 10)"
+add("fed7_float16", lambda d: _exploded(FD.fed_avg(FD.quantize_f16(d))), f"WITH {UP}, h AS (SELECT round, pos, CASE WHEN v = 0 THEN CAST(0 AS DOUBLE) ELSE round_even(CAST(v AS DOUBLE) / {F16}, 0) * {F16} END AS v FROM u) SELECT CAST(round AS BIGINT) AS round, pos, {num('avg(v)')} AS v FROM h GROUP BY ALL", ad.updates)
 I8 = UP + """, s AS (SELECT *, avg(CAST(v AS DOUBLE)) OVER w AS m, stddev_pop(CAST(v AS DOUBLE)) OVER w AS s FROM u WINDOW w AS (PARTITION BY vec_id)),
  c AS (SELECT *, greatest(least(CAST(v AS DOUBLE), m + 2 * s), m - 2 * s) AS x FROM s), l AS (SELECT *, min(x) OVER (PARTITION BY vec_id) AS lo, max(x) OVER (PARTITION BY vec_id) AS hi FROM c)"""
 add("fed8_int8", lambda d: FD.quantize_i8(d).select("client_id", F.posexplode("weights").alias("pos", "q"), "min", "max"), f"WITH {I8} SELECT CAST(vec_id AS VARCHAR) AS client_id, pos, CAST(round_even(((x - lo) / (hi - lo) * 2 - 1) * 127, 0) AS BIGINT) AS q, {num('lo')} AS min, {num('hi')} AS max FROM l", ad.updates)
@@ -369,8 +388,27 @@ def stream(name: str, like: str | None, live_form: Callable[[DataFrame], DataFra
 
 
 stream("str1_sessions_live", "str1_sessions", lambda d: live.outage_sessions(d, "1 day"))
-stream("str2_labels_live", None, lambda d: live.live_labels(d, {"value_temp": 60.0, "value_hum": 60.0}, DAY), "append")
-stream("str3_kalman_live", None, lambda d: live.live_kalman(d), "append")
+LIVE = f"CASE WHEN {LAST} > 1440 THEN 'error' WHEN coalesce(abs(value_temp - lag(value_temp) OVER w) > 60, false) OR coalesce(abs(value_hum - lag(value_hum) OVER w) > 60, false) OR value_hum > 100 THEN '1' ELSE '0' END"
+ORACLES["live_labels"] = f"WITH {ad.I} SELECT sensor_id, {us('time')} AS time, {LIVE} AS label FROM i WINDOW w AS (PARTITION BY sensor_id ORDER BY idx)"
+stream("str2_labels_live", "live_labels", lambda d: live.live_labels(d, {"value_temp": 60.0, "value_hum": 60.0}, DAY), "append")
+ORACLES["live_levels"] = ORACLES["smo3_kalman"].replace("idx, row_no,", "idx, time,").replace("i.row_no,", "i.time,").replace("SELECT row_no, ", f"SELECT sensor_id, {us('time')} AS time, ").replace("AS value_temp FROM k", "AS level FROM k")
+stream("str3_kalman_live", "live_levels", lambda d: live.live_kalman(d), "append")
 stream("str4_range_labels_live", "str4_range_labels", lambda d: live.range_labels(d).select("row_no", "label"), "append")
 stream("str5_tumbling_live", "str5_tumbling", lambda d: live.tumbling_stats(d, size="1 day"))
 stream("str7_sliding_live", "str7_sliding", lambda d: live.tumbling_stats(d, size="2 days", slide="1 day"))
+stream("str8_drop_resent_live", "str8_drop_resent", lambda d: live.drop_resent(d.withColumn("time", F.date_trunc("day", "time")), "1000 days").select("sensor_id", "time"), "append")
+del ORACLES["live_labels"], ORACLES["live_levels"]
+
+
+@query("str6_collect_updates", f"WITH {UP} SELECT CAST(round AS BIGINT) AS round, pos, {num('avg(CAST(v AS DOUBLE))')} AS v FROM u GROUP BY ALL HAVING count(*) >= 48")
+def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of all clients as they arrive; rounds with 48 clients pass their means on."""
+    path = IO.shared_path(spark, "updates")
+    file = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = ad.as_updates(spark.readStream.schema(file.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)).drop("n")
+
+    def done(means: DataFrame, number: int) -> None:
+        means.write.mode("overwrite").parquet(f"{path}/means/{number}")
+
+    live.collect_updates(rows, f"{path}/kept", 48, done, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _exploded(spark.read.schema(f"round {dict(rows.dtypes)['round']}, layer int, weights array<double>").parquet(f"{path}/means/*"))

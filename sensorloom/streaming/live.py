@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +13,9 @@ from ..functions.columns import CHANNELS, SENSOR, TIME
 from ..operators.federated import fed_avg
 from ..operators.labels import out_of_range
 
+#: State of a sensor that is silent for so long expires.
+KEEP_MS = 7 * 24 * 3600 * 1000
+
 
 def outage_sessions(df: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions that end when a sensor is silent for ``gap`` (batch or stream)."""
@@ -32,8 +36,19 @@ def tumbling_stats(df: DataFrame, col: str = "value_temp", size: str = "1 hour",
     return grouped.select(SENSOR, F.col("w.start").alias("window_start"), "n_rows", "mean", "low", "high")
 
 
+def _of_trigger(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A sensor's rows of one trigger in order of time; Arrow may cut them into batches in any order.
+
+    The source's rate limits (maxFilesPerTrigger, maxBytesPerTrigger) bound them.
+    """
+    return pd.concat(list(batches), ignore_index=True).sort_values(TIME, kind="stable", ignore_index=True)
+
+
 def live_labels(df: DataFrame, thresholds: dict[str, float], minutes: float = 15, late: str = "1 hour") -> DataFrame:
-    """Outage and jump labels against the sensor's last reading, kept as state; a silent sensor's state expires."""
+    """Outage and jump labels against the sensor's last reading, kept as state; a silent sensor's state expires.
+
+    A late reading has no known neighbour and leaves the state as it is.
+    """
     cols = tuple(thresholds)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,74 +56,81 @@ def live_labels(df: DataFrame, thresholds: dict[str, float], minutes: float = 15
             state.remove()
             return
         last = state.get if state.exists else None
-        for rows in batches:
-            rows = rows.sort_values(TIME)
-            labels = []
-            for row in rows.itertuples(index=False):
-                now = (int(row.time.value // 1000), *[float(getattr(row, c)) for c in cols])
-                humid = getattr(row, "value_hum", 0.0) > 100
-                if last is not None and now[0] < last[0]:  # late: no neighbour is known, and the last reading stays
-                    labels.append("1" if humid else "0")
-                    continue
-                if last is None:
-                    labels.append("1" if humid else "0")
-                elif (now[0] - last[0]) / 6e7 > minutes:
-                    labels.append("error")
-                else:
-                    labels.append("1" if any(abs(a - b) > thresholds[c] for c, a, b in zip(cols, now[1:], last[1:])) or humid else "0")
-                last = now
-            yield rows[[SENSOR, TIME]].assign(label=labels)
+        rows = _of_trigger(batches)
+        at = rows[TIME].astype("datetime64[us]").astype("int64").to_numpy()
+        values = rows[list(cols)].to_numpy(float)
+        timely = np.ones(len(rows), bool) if last is None else at >= last[0]
+        here = np.flatnonzero(timely)
+        # the reading before: of this trigger, or for the first one the kept one
+        before_at, before = at[here[:-1]], values[here[:-1]]
+        if len(here):
+            before_at = np.append(at[here[0]] if last is None else last[0], before_at)
+            before = np.vstack([values[here[:1]] if last is None else [last[1:]], before])
+        label = np.where(rows["value_hum"].to_numpy(float) > 100, "1", "0").astype(object) if "value_hum" in cols else np.full(len(rows), "0", object)
+        label[here[(np.abs(values[here] - before) > np.array([thresholds[c] for c in cols])).any(axis=1)]] = "1"
+        label[here[(at[here] - before_at) / 6e7 > minutes]] = "error"
+        if len(here):
+            last = (int(at[here[-1]]), *[float(v) for v in values[here[-1]]])
+        yield rows[[SENSOR, TIME]].assign(label=label)
         if last is not None:
             state.update(last)
-            state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + 7 * 24 * 3600 * 1000)
+            state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + KEEP_MS)
 
     rows = df.withWatermark(TIME, late).select(SENSOR, TIME, *cols)
     kept = "at long, " + ", ".join(f"{c} double" for c in cols)
     return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, label string", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_kalman(df: DataFrame, col: str = "value_temp", q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> DataFrame:
-    """Filtered level per sensor; the state is its mean and variance."""
+def live_kalman(df: DataFrame, col: str = "value_temp", q: float = 0.01, r: float = 1.0, p0: float = 1.0, late: str = "1 hour") -> DataFrame:
+    """Filtered level per sensor; the state is its mean and variance, dropped once the sensor is silent for a week."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, p = state.get if state.exists else (None, p0)
-        for rows in batches:
-            rows = rows.sort_values(TIME)
-            out = []
-            for value in rows[col].tolist():
-                if level is not None:
-                    p += q
-                if value == value:  # an unknown value leaves the level as it was
-                    gain = p / (p + r)
-                    level, p = value if level is None else level + gain * (value - level), p * (1 - gain)
-                out.append(level)
-            yield rows[[SENSOR, TIME]].assign(level=out)
+        rows, out = _of_trigger(batches), []
+        for value in rows[col].tolist():
+            if level is not None:
+                p += q
+            if value == value:  # an unknown value leaves the level as it was
+                gain = p / (p + r)
+                level, p = value if level is None else level + gain * (value - level), p * (1 - gain)
+            out.append(level)
+        yield rows[[SENSOR, TIME]].assign(level=out)
         if level is not None:
             state.update((float(level), float(p)))
+            state.setTimeoutTimestamp(max(int(rows[TIME].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP_MS)
 
-    return df.select(SENSOR, TIME, col).groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, level double", "level double, p double", "append", GroupStateTimeout.NoTimeout)
+    rows = df.withWatermark(TIME, late).select(SENSOR, TIME, col)
+    return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, level double", "level double, p double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def collect_updates(stream: DataFrame, path: str, clients: int, done: Callable[[DataFrame], None], checkpoint: str):
+def collect_updates(stream: DataFrame, path: str, clients: int, done: Callable[[DataFrame, int], None], checkpoint: str):
     """Store client updates (round, client_id, layer, weights); once a round has ``clients`` of them, pass its mean on.
 
-    A resent update counts once. Rounds already passed on are listed beside the updates.
+    A batch writes the updates of rounds still open, those before it included, to a folder of its number and reads the
+    folder before; so closed rounds aren't read again. A resent update counts once; one for a closed round is
+    left out. ``done`` gets the means and the batch's number: a batch that is repeated after a failure passes the same
+    means with the same number, so a writer keyed by it stays right.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("append").parquet(f"{path}/updates")
-        known = spark.read.schema(rows.schema).parquet(f"{path}/updates").dropDuplicates(["round", "client_id", "layer"])
-        full = known.groupBy("round").agg(F.count_distinct("client_id").alias("n")).filter(F.col("n") >= clients).select("round")
-        try:
-            full = full.join(spark.read.parquet(f"{path}/passed").distinct(), "round", "left_anti")
-        except Exception as e:  # the list starts with the first full round
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        full = spark.createDataFrame(full.collect(), "round int")  # a few round numbers
+        keys = ["round", "client_id", "layer"]
+        before = f"{path}/{number - 1}"
+        if number:
+            closed = spark.read.schema("round int").parquet(f"{before}/closed")
+            rows = spark.read.schema(rows.schema).parquet(f"{before}/open").unionByName(rows.join(closed, "round", "left_anti"))
+        rows.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/{number}/known")
+        known = spark.read.schema(rows.schema).parquet(f"{path}/{number}/known")
+        full = known.groupBy("round").agg(F.count_distinct("client_id").alias("n")).filter(F.col("n") >= clients).select(F.col("round").cast("int").alias("round"))
+        full.write.mode("overwrite").parquet(f"{path}/{number}/full")
+        full = spark.read.schema("round int").parquet(f"{path}/{number}/full")
+        (closed.unionByName(full) if number else full).write.mode("overwrite").parquet(f"{path}/{number}/closed")
+        known.join(full, "round", "left_anti").write.mode("overwrite").parquet(f"{path}/{number}/open")
         if not full.isEmpty():
-            done(fed_avg(known.join(F.broadcast(full), "round")))
-            full.write.mode("append").parquet(f"{path}/passed")
+            done(fed_avg(known.join(full, "round")), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

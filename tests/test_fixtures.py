@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.functions import columns as C, kernels as K
-from sensorloom.operators import federated as FD, labels as L, metrics as M, outliers as O, regularize as G, scaling as A, segments as S, smoothing as SM, windows as W
+from sensorloom.operators import federated as FD, forecast as FC, labels as L, metrics as M, outliers as O, regularize as G, scaling as A, segments as S, smoothing as SM, windows as W
 from sensorloom.sources import io as IO
 from sensorloom.streaming import live
 
@@ -220,13 +220,65 @@ def test_streams_equal_batch(spark, tmp_path):
 
 
 def test_updates_are_averaged_once(spark, tmp_path):
-    rows = [(0, "a", 0, [1.0]), (0, "b", 0, [3.0]), (1, "a", 0, [5.0])]
-    d = spark.createDataFrame(rows, "round int, client_id string, layer int, weights array<double>")
-    d.write.parquet(str(tmp_path / "in"))
+    schema = "round int, client_id string, layer int, weights array<double>"
+    first = [(0, "a", 0, [1.0]), (0, "b", 0, [3.0]), (1, "a", 0, [5.0])]
+    second = [(0, "c", 0, [9.0]), (1, "a", 0, [5.0]), (1, "b", 0, [7.0]), (2, "a", 0, [1.0])]  # round 0 is closed, a is sent again
     seen = []
-    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    live.collect_updates(stream, str(tmp_path / "kept"), 2, lambda m: seen.extend(m.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [(r["round"], r["weights"]) for r in seen] == [(0, [2.0])]
+    for rows in (first, second, [(2, "b", 0, [2.0])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.collect_updates(stream, str(tmp_path / "kept"), 2, lambda m, number: seen.extend((number, *r) for r in m.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(number, r, w) for number, r, _, w in seen] == [(0, 0, [2.0]), (1, 1, [6.0]), (2, 2, [1.5])]
+
+
+def test_live_labels_over_triggers(spark, tmp_path):
+    seconds = [0, 600, 1200, 9000, 9600, 10200, 600]
+    values = [1.0, 1.1, 5.0, 5.0, 5.1, 9.0, 7.0]
+    want = ["0", "0", "1", "error", "0", "1", "0"]  # the last row is late
+    d = series(spark, seconds, values)
+    for a, z in ((0, 2), (2, 3), (3, 6), (6, 7)):
+        d.filter(f"row_no >= {a} AND row_no < {z}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+        out = live.live_labels(stream, {"value_temp": 0.5}, late="1 day")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r["time"], r["label"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted((T0 + dt.timedelta(seconds=s), label) for s, label in zip(seconds, want))
+
+
+@pytest.mark.parametrize("shard", [7, 1000])
+def test_forecasts_against_one_fit(spark, monkeypatch, shard):
+    monkeypatch.setattr(FC, "SHARD", shard)
+    rng = np.random.default_rng(1)
+    seconds = np.cumsum(rng.integers(300, 4000, 60)).tolist()
+    temp = rng.normal(size=60).tolist()
+    d = series(spark, seconds, temp, rng.normal(size=60).tolist()).withColumn("value_temp", F.when(F.col("row_no") % 9 != 4, F.col("value_temp")))
+
+    def fit(x, y):
+        return np.linalg.solve(x.T @ x + 1e-3 * len(x) * np.eye(x.shape[1]), x.T @ y)
+
+    at = (np.array(seconds) - seconds[0]) / 60
+    ahead = at[-1] + 10.0 * np.arange(1, 6)
+    keep = np.arange(60) % 9 != 4
+    features = lambda t, p: K.fourier_features(t, p, at[-1])
+    p = {1440.0: 2, 10080.0: 1}
+    want = features(ahead, p) @ fit(features(at[keep], p), np.array(temp)[keep])
+    got = FC.fourier_forecast(d, ("value_temp",), horizon=5, daily=2, weekly=1).orderBy("time").collect()
+    assert np.allclose([r["value"] for r in got], want)
+    assert [r["time"] for r in got] == [T0 + dt.timedelta(seconds=seconds[-1] + 600 * k) for k in range(1, 6)]
+    known = np.array([temp[i - (i % 9 == 4)] for i in range(60)])
+    p = {1440.0: 4, 10080.0: 3, 365.25 * 1440: 3}
+    y = np.array(column(d, "value_PV"))
+    x = np.hstack([features(at, p), known[:, None]])
+    want = np.hstack([features(ahead, p), np.full((5, 1), known[-1])]) @ fit(x, y)
+    got = FC.regressor_forecast(d, regressors=("value_temp",), horizon=5).orderBy("time").collect()
+    assert np.allclose([r["value_PV"] for r in got], want)
+
+
+def test_forecasts_of_nothing(spark):
+    d = series(spark, [0, 600]).withColumn("value_temp", F.lit(None).cast("double"))
+    assert FC.fourier_forecast(d, ("value_temp",), horizon=5).count() == 0
+    assert FC.regressor_forecast(d, horizon=5).count() == 0
+    assert FC.fourier_forecast(d.limit(0), horizon=5).count() == 0
 
 
 def test_unknown_values_don_t_spread():
