@@ -205,3 +205,12 @@ def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.n
         out *= b
         out += h[i : i + n]
     return mix64(out)
+
+
+def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """Texts with each byte replaced by its entry in ``table`` (which leaves bytes over 127 as they are); null texts are empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+    size = int(offsets[-1] - offsets[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.empty(0, np.uint8)
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(table[data])])

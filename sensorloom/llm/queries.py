@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dart_minhash, line_templates, mixing, packing, piecewise_hash, quality, super_kmers, token_blocks, toxicity, url_filter
+from . import bpe, dart_minhash, lexical, line_templates, mixing, packing, phrases, piecewise_hash, quality, super_kmers, token_blocks, toxicity, url_filter
 from .common import scratch_path
 
 #: Rows of an Arrow batch in these queries: texts can be long.
@@ -80,6 +80,24 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classified(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents by merging, and the texts they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two and three words that stand together most."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's 20 best documents."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_url_filter": op2_url_filter,
@@ -91,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_templates": op9_line_templates,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_bpe": op11_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The same rows in DuckDB SQL, where SQL can say it; tests/llm compares the others with brute force.
@@ -98,4 +119,6 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
     "op6_substring_dedup": super_kmers.oracle(),
     "op9_line_templates": line_templates.oracle(),
+    "op12_phrases": phrases.oracle(),
+    "op13_lexical_search": lexical.oracle(),
 }
