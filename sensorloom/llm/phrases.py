@@ -5,6 +5,10 @@ is an edge from the pair of its first two words to that of its last two; a short
 once; all shorter counts are flows: a pair occurs as often as edges leave it, and once more for each piece that ends with it, and a
 word as often as its pairs, and once more for each piece that it ends.
 
+Most edges touch a pair that is too rare for a candidate. So hashes of all pairs are counted before, and those that may be frequent enough
+are sent to the tasks as a bit table of fixed size: a gram stops before any other pair, as if its piece ended there. That changes
+no count of a frequent phrase; a chance hit only costs a needless edge.
+
 Edges that occur often enough are then compacted. Where all that enters a pair is one edge and all that leaves it is one edge, the
 two are one path, and the pair has its weight. Edges find the first edge of their path by doubling their steps, in as many rounds as
 the longest path has binary digits, each a join of equal sizes that is written. A path is a string of words with one weight:
@@ -25,16 +29,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import byte_slices, materialize, quoted, translated
+from .common import byte_slices, hash_distinct, materialize, mix64, quoted, translated
+from .super_kmers import _bit_table as bit_table, _has as has_bit
 
-#: Words of which grams are counted at once.
-SLICE_WORDS = 1 << 20
+#: Bytes of text, and words of which grams are counted at once.
+SLICE_BYTES, SLICE_WORDS = 8 << 20, 1 << 20
 #: Each ASCII byte as pieces see it: A-Z lower-cased, ends of pieces as line ends, tabs as spaces.
 _PIECE_BYTES = np.array([b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)], np.uint8)
 
 
-def grams_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(grams, counts) of texts: at each word, it and the two after it within its piece, joined by spaces."""
+def _slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(distinct words, codes, pieces) of some words in a row, the last two of which also begin the next slice unless the texts end."""
     texts = translated(texts, _PIECE_BYTES)
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
     data = np.frombuffer(whole.buffers()[2], np.uint8) if len(texts) and whole.buffers()[2] else np.empty(0, np.uint8)
@@ -44,38 +49,62 @@ def grams_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     piece = np.cumsum(data == 10)[begin]
     for at in range(0, len(begin), SLICE_WORDS):
         here = slice(at, at + SLICE_WORDS + 2)
-        low, high, of = begin[here], end[here], piece[here]
-        n = min(SLICE_WORDS, len(begin) - at)
-        # the words alone, one after the other
-        sizes = high - low
+        low, sizes = begin[here], end[here] - begin[here]
         offsets = np.append(0, np.cumsum(sizes))
-        bytes_ = data[np.repeat(low - offsets[:-1], sizes) + np.arange(offsets[-1])]
-        words = pa.Array.from_buffers(pa.string(), len(low), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)]).dictionary_encode()
-        code = words.indices.to_numpy().astype(np.int64) + 1
-        kinds = len(words.dictionary) + 1
-        second, third = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        with_second = np.flatnonzero(of[1 : n + 1] == of[: len(of[1 : n + 1])])
-        second[with_second] = code[with_second + 1]
-        with_third = np.flatnonzero(of[2 : n + 2] == of[: len(of[2 : n + 2])])
-        third[with_third] = code[with_third + 2]
-        key, count = np.unique((code[:n] * kinds + second) * kinds + third, return_counts=True)
-        parts = [words.dictionary.take(pa.array(np.where(c > 0, c - 1, 0), mask=c == 0)) for c in (key // (kinds * kinds), key // kinds % kinds, key % kinds)]
-        yield pc.binary_join_element_wise(*parts, " ", null_handling="skip"), count
-
-
-def _grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, gram, n) summed up by task."""
-    slim = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"), F.col(quoted(text_col)).cast("string").alias("t"))
+        alone = data[np.repeat(low - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        words = pa.Array.from_buffers(pa.string(), len(low), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(alone)]).dictionary_encode()
+        yield words.dictionary, words.indices.to_numpy().astype(np.int64), piece[here]
+
+
+def _pair_hashes(distinct: pa.Array, code: np.ndarray, piece: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word with the next one, whether that is in the same piece)."""
+    seed = hash_distinct(pa.array([lang]))[0]
+    h = hash_distinct(distinct)[code]
+    return mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + seed), piece[1:] == piece[:-1]
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """Some texts of one language, from batches (lang, text)."""
+    for part in byte_slices(batches, 1, SLICE_BYTES):
+        langs = part.column(0).dictionary_encode()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            yield lang, part.column(1).filter(pc.equal(langs.indices, i))
+
+
+def _likely_pairs(slim: DataFrame, least: int) -> np.ndarray:
+    """A bit table of pairs that may occur ``least`` times: those that do are all in it, others by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, 1):
-            langs = part.column(0).dictionary_encode()
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                own = pc.equal(langs.indices, i)
-                for grams, count in grams_of(part.column(1).filter(own)):
-                    for at in range(0, len(grams), 1 << 16):
-                        some = grams.slice(at, 1 << 16)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(count[at : at + (1 << 16)])], names=["lang", "gram", "n"])
+        for lang, texts in _by_lang(batches):
+            for distinct, code, piece in _slices(texts):
+                if len(code) > 1:
+                    h, same = _pair_hashes(distinct, code[: SLICE_WORDS + 1], piece[: SLICE_WORDS + 1], lang)
+                    m, n = np.unique(h[same], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], names=["m", "n"])
+
+    sums = slim.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    return bit_table(materialize(sums.filter(F.col("n") >= least).select("m"), "likely-pairs"))
+
+
+def _grams(slim: DataFrame, likely: np.ndarray) -> DataFrame:
+    """(lang, gram, n) summed up by task: at each word, it and the two after it, up to the end of the piece or to a pair that isn't likely."""
+    shared = slim.sparkSession.sparkContext.broadcast(likely)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches):
+            for distinct, code, piece in _slices(texts):
+                n, kinds = min(SLICE_WORDS, len(code)), len(distinct) + 1
+                h, same = _pair_hashes(distinct, code, piece, lang)
+                pair = np.append(same & has_bit(shared.value, h), [False, False])
+                padded = np.append(code + 1, [0, 0])
+                second = np.where(pair[:n], padded[1 : n + 1], 0)
+                third = np.where(pair[:n] & pair[1 : n + 1], padded[2 : n + 2], 0)
+                key, count = np.unique((padded[:n] * kinds + second) * kinds + third, return_counts=True)
+                parts = [distinct.take(pa.array(np.where(c > 0, c - 1, 0), mask=c == 0)) for c in (key // (kinds * kinds), key // kinds % kinds, key % kinds)]
+                grams = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+                for at in range(0, len(grams), 1 << 16):
+                    some = grams.slice(at, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(count[at : at + (1 << 16)])], names=["lang", "gram", "n"])
 
     return slim.mapInArrow(run, "lang string, gram string, n long")
 
@@ -91,12 +120,13 @@ def _rest(phrase: str, k: int) -> Column:
 
 def counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, k, phrase, n) of phrases of one to three words with ``least`` occurrences, (lang, n) of all words)."""
-    edges = _grams(docs, text_col, lang_col).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    slim = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"), F.col(quoted(text_col)).cast("string").alias("t"))
+    edges = _grams(slim, _likely_pairs(slim, least)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     spaces = F.length("gram") - F.length(F.translate("gram", " ", ""))
     node = F.struct(F.least(spaces + 1, F.lit(2)).alias("k"), _first("gram", 2).alias("phrase"))
     edge = F.struct(F.lit(3).alias("k"), F.col("gram").alias("phrase"))
     out = edges.select("lang", "n", F.explode(F.when((spaces == 2) & (F.col("n") >= least), F.array(node, edge)).otherwise(F.array(node))).alias("x"))
-    # of pairs all that leaves and all that ends; words here only where they end a piece
+    # of pairs all that leaves and all that ends; words here only where no likely pair begins
     flows = materialize(out.groupBy("lang", "x.k", "x.phrase").agg(F.sum("n").alias("n")), "pair-flows")
     words = flows.filter("k < 3").groupBy("lang", _first("phrase", 1).alias("phrase")).agg(F.sum("n").alias("n"))
     words = materialize(words, "word-flows")
