@@ -81,8 +81,9 @@ def encode_label(df: DataFrame, mapping: dict[str, int] | None = None, col: str
 
 def trim_edges(df: DataFrame, k: int = 50) -> DataFrame:
     """Drop the first and last ``k`` rows of each series."""
-    n = F.count(F.lit(1)).over(whole())
-    return with_idx(df).withColumn("__n", n).filter((F.col("idx") >= k) & (F.col("idx") < F.col("__n") - k)).drop("__n")
+    from .scans import with_positions
+
+    return with_positions(df, "__n").filter((F.col("idx") >= k) & (F.col("idx") < F.col("__n") - k)).drop("__n")
 
 
 def filter_long_segments(df: DataFrame, min_len: int = 1000) -> DataFrame:

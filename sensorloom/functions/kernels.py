@@ -49,53 +49,133 @@ def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3, block: int = 1 << 2
     return fitted
 
 
-def kalman_level(values: np.ndarray, q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> np.ndarray:
-    """Filtered level of each column; the first known value is the prior mean and is updated as it is.
+class LevelSteps:
+    """Steps of the local-level filter as maps of (mean, variance) that compose in any grouping; each field has a value per step and channel.
 
-    An unknown value leaves the level as it was, while its variance grows; before the first known one there is no level.
+    A step sends mean m and variance p to a (m + p g) / (1 + p j) + b and a p a / (1 + p j) + c. A step with a = 0 forgets what
+    was before: it is a state.
     """
-    out = np.full(values.shape, np.nan)
-    for c in range(values.shape[1]):
-        level, p, column = None, p0, []
-        for value in values[:, c].tolist():
-            if level is not None:
-                p += q
-            if value == value:
-                gain = p / (p + r)
-                level = value if level is None else level + gain * (value - level)
-                p *= 1 - gain
-            column.append(np.nan if level is None else level)
-        out[:, c] = column
-    return out
 
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, g: np.ndarray, j: np.ndarray):
+        self.fields = a, b, c, g, j
+
+    @classmethod
+    def of(cls, values: np.ndarray, q: float, r: float) -> "LevelSteps":
+        """A step for each row of values; an unknown value only adds variance."""
+        known, gain = ~np.isnan(values), q / (q + r)
+        return cls(np.where(known, 1 - gain, 1.0), np.where(known, gain * values, 0.0), np.where(known, (1 - gain) * q, q), np.where(known, values / (q + r), 0.0), np.where(known, 1 / (q + r), 0.0))
+
+    @classmethod
+    def state(cls, mean: np.ndarray, variance: np.ndarray) -> "LevelSteps":
+        zero = np.zeros_like(mean)
+        return cls(zero, mean, variance, zero, zero)
+
+    def __getitem__(self, at) -> "LevelSteps":
+        return LevelSteps(*[f[at] for f in self.fields])
+
+    def put(self, at, other: "LevelSteps") -> None:
+        for f, new in zip(self.fields, other.fields):
+            f[at] = new
+
+    def then(self, following: "LevelSteps") -> "LevelSteps":
+        """Both, one after the other."""
+        (a, b, c, g, j), (a2, b2, c2, g2, j2) = self.fields, following.fields
+        d = 1 / (1 + c * j2)
+        return LevelSteps(a2 * d * a, a2 * d * (b + c * g2) + b2, a2 * d * c * a2 + c2, a * d * (g2 - j2 * b) + g, a * d * j2 * a + j)
+
+    def running(self, start: np.ndarray) -> "LevelSteps":
+        """Each step with all before it in its run; ``start`` holds where each row's run begins."""
+        out, at = LevelSteps(*[f.copy() for f in self.fields]), np.arange(len(start))
+        step = 1
+        while step < len(start):
+            rows = np.flatnonzero(at - step >= start)
+            if not len(rows):
+                break
+            out.put(rows, out[rows - step].then(out[rows]))
+            step *= 2
+        return out
+
+
+def run_starts(key: np.ndarray) -> np.ndarray:
+    """For each row, where its run of equal keys begins."""
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.empty(0, bool)
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.empty(0, np.int64)
+
+
+def kalman_runs(values: np.ndarray, start: np.ndarray, q: float, r: float, p0: float, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, variances) of runs of rows, all at once; ``mean`` and ``variance``, a row per row, are the states before a run (NaN: none yet).
+
+    The first known value of a series is its prior mean and is updated as it is; before it there is no level.
+    """
+    known = ~np.isnan(values)
+    steps = LevelSteps.of(values, q, r)
+    has = ~np.isnan(mean)
+    seen = np.cumsum(known, axis=0)
+    before = np.where(start[:, None] > 0, seen[start - 1], 0)
+    seen -= before
+    first = known & (seen == 1) & ~has[start]
+    heads = np.unique(start)
+    entered = LevelSteps.state(mean[heads], variance[heads]).then(steps[heads])
+    keep = has[heads]
+    steps.put(heads, LevelSteps(*[np.where(keep, new, old) for new, old in zip(entered.fields, steps[heads].fields)]))
+    steps.put(first, LevelSteps.state(values[first], np.full(int(first.sum()), p0 * r / (p0 + r))))
+    _, level, spread, *_ = steps.running(start).fields
+    none = ~has[start] & (seen == 0)
+    return np.where(none, np.nan, level), np.where(none, np.nan, spread)
+
+
+class HoltWinters:
+    """Additive trend and season of one channel, a value at a time; smoothing weights of least squared error within a grid, all at once.
+
+    An unknown value counts as the one that was expected. Two seasons are needed to start from, each with a known value; values before them are left out.
+    """
 
-def holt_winters(y: np.ndarray, season: int, horizon: int, grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.8)) -> np.ndarray:
-    """Forecast of additive trend and season; smoothing weights of least squared error within a grid, all at once.
-
-    An unknown value counts as the one that was expected."""
-    a, b, g = (x.reshape(-1) for x in np.meshgrid(grid, grid, grid, indexing="ij"))
-    if len(y) < 2 * season:
-        known = y[~np.isnan(y)]
-        return np.full(horizon, known[-1] if len(known) else np.nan)
-    if np.isnan(y[:season]).all() or np.isnan(y[season : 2 * season]).all():  # no season to start from
-        return holt_winters(y[1:], season, horizon, grid)
-    first, second = np.nanmean(y[:season]), np.nanmean(y[season : 2 * season])
-    level, trend = np.full(len(a), first), np.full(len(a), (second - first) / season)
-    seasonal = np.tile(np.nan_to_num(y[:season] - first), (len(a), 1))
-    error = np.zeros(len(a))
-    for t, value in enumerate(y):
-        if np.isnan(value):
-            level = level + trend
-            continue
-        s = seasonal[:, t % season]
-        error += (value - level - trend - s) ** 2
-        new = a * (value - s) + (1 - a) * (level + trend)
-        trend = b * (new - level) + (1 - b) * trend
-        seasonal[:, t % season] = g * (value - new) + (1 - g) * s
-        level = new
-    best = int(np.argmin(error))
-    steps = np.arange(1, horizon + 1)
-    return level[best] + steps * trend[best] + seasonal[best, (len(y) + steps - 1) % season]
+    def __init__(self, season: int, grid: tuple[float, ...] = (0.1, 0.3, 0.5, 0.8)):
+        self.season, self.waiting, self.n = season, [], 0
+        self.weights = [x.reshape(-1) for x in np.meshgrid(grid, grid, grid, indexing="ij")]
+
+    def add(self, values: np.ndarray) -> None:
+        for value in values.tolist():
+            if self.n:
+                self._step(value)
+                continue
+            self.waiting.append(value)
+            if len(self.waiting) == 2 * self.season:
+                y = np.array(self.waiting)
+                if np.isnan(y[: self.season]).all() or np.isnan(y[self.season :]).all():
+                    del self.waiting[0]
+                    continue
+                self._start(y)
+                self.waiting = []
+
+    def _start(self, y: np.ndarray) -> None:
+        first, second = np.nanmean(y[: self.season]), np.nanmean(y[self.season :])
+        m = len(self.weights[0])
+        self.level, self.trend, self.error = np.full(m, first), np.full(m, (second - first) / self.season), np.zeros(m)
+        self.seasonal = np.tile(np.nan_to_num(y[: self.season] - first), (m, 1))
+        for value in y.tolist():
+            self._step(value)
+
+    def _step(self, value: float) -> None:
+        t, self.n = self.n % self.season, self.n + 1
+        if value != value:
+            self.level = self.level + self.trend
+            return
+        a, b, g = self.weights
+        s, expected = self.seasonal[:, t], self.level + self.trend
+        self.error += (value - expected - s) ** 2
+        new = a * (value - s) + (1 - a) * expected
+        self.trend = b * (new - self.level) + (1 - b) * self.trend
+        self.seasonal[:, t] = g * (value - new) + (1 - g) * s
+        self.level = new
+
+    def ahead(self, horizon: int) -> np.ndarray:
+        """The next values; without two seasons, the last known one."""
+        if not self.n:
+            known = [v for v in self.waiting if v == v]
+            return np.full(horizon, known[-1] if known else np.nan)
+        best, steps = int(np.argmin(self.error)), np.arange(1, horizon + 1)
+        return self.level[best] + steps * self.trend[best] + self.seasonal[best, (self.n + steps - 1) % self.season]
 
 
 def average_path(n: float) -> float:

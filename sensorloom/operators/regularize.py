@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, uniform, with_idx
+from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, uniform
+from ..functions.scans import nearest_known, running_sum, with_positions
 
 
 def dedupe_time(df: DataFrame) -> DataFrame:
@@ -30,15 +31,13 @@ def fill_time_grid(df: DataFrame, minutes: int = 10, cols: tuple[str, ...] = CHA
 
 def _between(df: DataFrame, cols: tuple[str, ...], place: Column) -> DataFrame:
     """Linear interpolation over ``place``; leading nulls stay, trailing ones take the last value."""
-    w = by_time()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = nearest_known(df, {f"__known_{c}": F.when(F.col(c).isNotNull(), F.struct(place.alias("p"), F.col(c).alias("v"))) for c in cols}, ahead=True)
     out = {}
     for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(place.alias("p"), F.col(c).alias("v")))
-        a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        a, b = F.col(f"__known_{c}"), F.col(f"__known_{c}_ahead")
         line = a["v"] + (b["v"] - a["v"]) * (place - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0))
         out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(a.isNull(), None).when(b.isNull(), a["v"]).otherwise(F.coalesce(line, a["v"]))
-    return df.withColumns(out)
+    return rows.withColumns(out).select(*df.columns)
 
 
 def interpolate_time(df: DataFrame, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -48,7 +47,7 @@ def interpolate_time(df: DataFrame, cols: tuple[str, ...] = CHANNELS) -> DataFra
 
 def interpolate_linear(df: DataFrame, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Fill nulls on the line over position between known neighbours."""
-    return _between(with_idx(df), cols, F.col("idx")).drop("idx")
+    return _between(with_positions(df), cols, F.col("idx")).drop("idx")
 
 
 def as_freq(df: DataFrame, minutes: int = 1, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -60,20 +59,18 @@ def as_freq(df: DataFrame, minutes: int = 1, cols: tuple[str, ...] = CHANNELS) -
 
 def forward_fill(df: DataFrame, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
     """The last known value of the same sensor."""
-    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    rows = nearest_known(df, {f"__known_{c}": F.col(c) for c in cols})
+    return rows.withColumns({c: F.col(f"__known_{c}") for c in cols}).select(*df.columns)
 
 
 def regular_times(df: DataFrame, start: str, minutes: int = 10) -> DataFrame:
     """Times ``start``, ``start`` + minutes, ... by position."""
-    rows = with_idx(df)
-    return rows.withColumn(TIME, F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("idx").cast("long") * (minutes * 60_000_000)))
+    rows = with_positions(df)
+    return rows.withColumn(TIME, F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("idx") * (minutes * 60_000_000)))
 
 
 def jittered_times(df: DataFrame, start: str, base: int = 600, seed: int = 0) -> DataFrame:
     """Times whose steps are ``base`` seconds and a whole number of them from -10 to 9; the first is ``start``."""
-    rows = with_idx(df)
     jump = F.when(F.col("idx") == 0, 0).otherwise(base + F.floor(20 * uniform(seed, SENSOR, "idx")) - 10)
-    total = F.sum("__jump").over(Window.partitionBy(SENSOR).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__jump", jump).withColumn("__at", total)
+    rows = running_sum(with_positions(df).withColumn("__jump", jump), "__jump", "__at")
     return rows.withColumn(TIME, F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + F.col("__at"))).drop("__jump", "__at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, minutes_between, whole, whole_seconds, with_idx
+from ..functions.scans import number_breaks, with_positions
 
 
 def add_step(df: DataFrame) -> DataFrame:
@@ -21,25 +22,20 @@ def time_breaks(df: DataFrame, max_minutes: float = 30) -> DataFrame:
     return rows.filter(whole_seconds(F.col(TIME), F.col("next_time")) > max_minutes * 60).select(SENSOR, "idx", TIME, "next_time")
 
 
-def _numbered(df: DataFrame, drop_tail: bool) -> DataFrame:
-    """``seg_id``: breaks before the row, from its ``is_break``; the break row ends its segment."""
-    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("seg_id", F.coalesce(F.sum(F.col("is_break").cast("int")).over(before), F.lit(0)).cast("int"))
-    if drop_tail:
-        rows = rows.withColumn("__n", F.sum(F.col("is_break").cast("int")).over(whole())).filter("seg_id < __n").drop("__n")
-    return rows
+def _numbered(df: DataFrame, is_break, cols: tuple[str, ...], drop_tail: bool) -> DataFrame:
+    """``seg_id``: breaks before the row; the break row ends its segment. ``is_break`` stays as a column."""
+    rows = number_breaks(df, is_break, cols, "__n" if drop_tail else None)
+    return rows.filter("seg_id < __n").drop("__n") if drop_tail else rows
 
 
 def split_segments(df: DataFrame, max_minutes: float = 30, drop_tail: bool = False) -> DataFrame:
     """Number the segments between outages."""
-    step = whole_seconds(F.col(TIME), F.lead(TIME).over(by_time()))
-    return _numbered(df.withColumn("is_break", F.coalesce(step > max_minutes * 60, F.lit(False))), drop_tail).drop("is_break")
+    return _numbered(df, lambda row, following: whole_seconds(row[TIME], following[TIME]) > max_minutes * 60, (TIME,), drop_tail).drop("is_break")
 
 
 def split_by_jump(df: DataFrame, col: str = "value_PV", threshold: float = 3.0, drop_break_row: bool = True, drop_tail: bool = False) -> DataFrame:
     """Number the segments between jumps of a value; the row before a jump belongs to no segment."""
-    jump = F.abs(F.col(col) - F.lead(col).over(by_time())) > threshold
-    rows = _numbered(df.withColumn("is_break", F.coalesce(jump, F.lit(False))), drop_tail)
+    rows = _numbered(df, lambda row, following: F.abs(row[col] - following[col]) > threshold, (col,), drop_tail)
     return (rows.filter(~F.col("is_break")) if drop_break_row else rows).drop("is_break")
 
 
@@ -127,7 +123,7 @@ def prediction_spans(preds: DataFrame, stretch: int = 30) -> DataFrame:
 
 def segment_bounds(df: DataFrame) -> DataFrame:
     """Where each segment starts in its series, and how many rows it has."""
-    return with_idx(df).groupBy(SENSOR, "seg_id").agg(F.min("idx").alias("start_idx"), F.count(F.lit(1)).alias("n_rows"))
+    return with_positions(df).groupBy(SENSOR, "seg_id").agg(F.min("idx").alias("start_idx"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def segment_summary(df: DataFrame, max_minutes: float = 30, cols: tuple[str, ...] = CHANNELS) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, whole, with_idx
-from ..functions.kernels import holt_winters as _holt_winters, kalman_level as _kalman_level, lowess as _lowess, savgol_weights
+from ..functions.kernels import HoltWinters, LevelSteps, kalman_runs, lowess as _lowess, run_starts, savgol_weights
+from ..functions.scans import CHUNK, in_chunks, with_summary
 
 
 def savgol(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), window: int = 11, poly: int = 2, edge: str = "interp") -> DataFrame:
@@ -56,18 +61,113 @@ def lowess(df: DataFrame, cols: tuple[str, ...] = CHANNELS, frac: float = 0.1, i
     return _per_series(df, cols, lambda x: np.stack([_lowess(c, frac, iters) for c in x.T], axis=1))
 
 
-def kalman_level(df: DataFrame, cols: tuple[str, ...] = CHANNELS, q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> DataFrame:
-    """Filtered local level of each channel."""
-    return _per_series(df, cols, lambda x: _kalman_level(x, q, r, p0))
+def _in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys``, those of a series in order of time."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, TIME, ROW)
 
 
-def holt_winters(df: DataFrame, cols: tuple[str, ...] = CHANNELS, season: int = 12, horizon: int = 12) -> DataFrame:
-    """The next ``horizon`` steps of each channel by additive trend and season."""
-    schema = f"{SENSOR} string, step int, " + ", ".join(f"{c} double" for c in cols)
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Columns of numbers side by side, unknown ones as NaN."""
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]) if batch.num_rows else np.empty((0, len(names)))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values([TIME, ROW])[list(cols)].to_numpy(float)
-        ahead = {c: _holt_winters(x[:, i], season, horizon) for i, c in enumerate(cols)}
-        return pd.DataFrame({SENSOR: key[0], "step": np.arange(1, horizon + 1, dtype=np.int32), **ahead})
 
-    return df.select(SENSOR, TIME, ROW, *cols).groupBy(SENSOR).applyInPandas(run, schema)
+def _starts(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    """Where each row's run of equal keys begins."""
+    codes = [pc.fill_null(batch.column(n).dictionary_encode().indices, -1).to_numpy().astype(np.int64) for n in names]
+    key = codes[0]
+    for more in codes[1:]:
+        key = key * (batch.num_rows + 2) + more
+    return run_starts(key)
+
+
+def kalman_level(df: DataFrame, cols: tuple[str, ...] = CHANNELS, q: float = 0.01, r: float = 1.0, p0: float = 1.0) -> DataFrame:
+    """Filtered level of each channel.
+
+    Steps of the filter compose, so a chunk of a long series is summed up as one step (and, should nothing be known before it, as
+    one state); the steps of a sensor's chunks in a row give the state before each chunk, and chunks are filtered apart from each other. Rows of
+    many chunks are handled at once, a batch's last state is kept for the next batch.
+    """
+    mean, variance = [f"m_{c}" for c in cols], [f"p_{c}" for c in cols]
+    rows = in_chunks(df.select(SENSOR, TIME, ROW, *[F.col(c).cast("double").alias(c) for c in cols]), "pieces")
+    fields = [f"{f}_{c}" for f in "abcgj" for c in cols]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk, or part of it within a batch: all its steps as one, and the state it ends in if it is the first."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start, y = _starts(batch, SENSOR, CHUNK), _matrix(batch, list(cols))
+            last = np.flatnonzero(np.append(start[1:] != start[:-1], True))
+            steps = LevelSteps.of(y, q, r).running(start)[last]
+            none = np.full(y.shape, np.nan)
+            ends = [x[last] for x in kalman_runs(y, start, q, r, p0, none, none)]
+            at = pa.array(last)
+            numbers = np.hstack([*steps.fields, *ends])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (SENSOR, CHUNK, TIME, ROW)), *[pa.array(x) for x in numbers.T]], names=[SENSOR, CHUNK, TIME, ROW, *fields, *mean, *variance])
+
+    def states(parts: pd.DataFrame) -> pd.DataFrame:
+        """The state before each chunk of a sensor."""
+        parts = parts.sort_values([TIME, ROW], na_position="first")
+        m, p, out = np.full(len(cols), np.nan), np.full(len(cols), np.nan), []
+        steps = LevelSteps(*parts[fields].to_numpy().reshape(len(parts), 5, len(cols)).transpose(1, 0, 2))
+        fresh = parts[mean].to_numpy(), parts[variance].to_numpy()
+        for i in range(len(parts)):  # a row per chunk, or per batch of one
+            out.append(np.append(m, p))
+            _, m2, p2, *_ = LevelSteps.state(m, p).then(steps[i]).fields
+            m, p = np.where(np.isnan(m), fresh[0][i], m2), np.where(np.isnan(p), fresh[1][i], p2)
+        parts[mean + variance] = out
+        return parts.drop_duplicates(CHUNK)[[SENSOR, CHUNK, *mean, *variance]]
+
+    doubles = lambda names: ", ".join(f"{n} double" for n in names)
+    long_ones = _in_order(rows.filter("pieces > 1").select(SENSOR, CHUNK, TIME, ROW, *cols), SENSOR, CHUNK)
+    parts = long_ones.mapInArrow(sums, f"{SENSOR} string, {CHUNK} long, {TIME} timestamp, {ROW} long, {doubles(fields + mean + variance)}")
+    before = parts.groupBy(SENSOR).applyInPandas(states, f"{SENSOR} string, {CHUNK} long, {doubles(mean + variance)}")
+    held = with_summary(rows.drop("pieces"), before, "left")
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start, y = _starts(batch, SENSOR, CHUNK), _matrix(batch, list(cols))
+            m, p = _matrix(batch, mean), _matrix(batch, variance)
+            first, last = (tuple(batch.column(c)[i].as_py() for c in (SENSOR, CHUNK)) for i in (0, batch.num_rows - 1))
+            if first == key:  # the chunk goes on
+                m[0], p[0] = state
+            level, spread = kalman_runs(y, start, q, r, p0, m, p)
+            key, state = last, (level[-1], spread[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (SENSOR, TIME, ROW)), *[pa.array(x, mask=np.isnan(x)) for x in level.T]], names=[SENSOR, TIME, ROW, *cols])
+
+    return _in_order(held, SENSOR, CHUNK).mapInArrow(levels, f"{SENSOR} string, {TIME} timestamp, {ROW} long, {doubles(cols)}")
+
+
+def holt_winters(df: DataFrame, cols: tuple[str, ...] = CHANNELS, season: int = 12, horizon: int = 12) -> DataFrame:
+    """The next ``horizon`` steps of each channel by additive trend and season.
+
+    A sensor's rows come sorted, a batch at a time, and only its smoothing state is kept: memory doesn't grow with its length. Its
+    rows are smoothed one after the other, by one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sensor, smoothers = None, None
+
+        def done() -> pa.RecordBatch:
+            ahead = [s.ahead(horizon) for s in smoothers]
+            return pa.RecordBatch.from_arrays([pa.array([sensor] * horizon, pa.string()), pa.array(np.arange(1, horizon + 1, dtype=np.int32)), *[pa.array(x, mask=np.isnan(x)) for x in ahead]], names=[SENSOR, "step", *cols])
+
+        for batch in batches:
+            start, y, names = _starts(batch, SENSOR), _matrix(batch, list(cols)), batch.column(SENSOR)
+            heads = np.unique(start).tolist()
+            for a, z in zip(heads, [*heads[1:], batch.num_rows]):
+                name = names[a].as_py()
+                if smoothers is None or name != sensor:
+                    if smoothers is not None:
+                        yield done()
+                    sensor, smoothers = name, [HoltWinters(season) for _ in cols]
+                for s, column in zip(smoothers, y[a:z].T):
+                    s.add(column)
+        if smoothers is not None:
+            yield done()
+
+    rows = df.select(SENSOR, TIME, ROW, *[F.col(c).cast("double").alias(c) for c in cols])
+    return _in_order(rows, SENSOR).mapInArrow(run, f"{SENSOR} string, step int, " + ", ".join(f"{c} double" for c in cols))

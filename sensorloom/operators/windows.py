@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import CHANNELS, SENSOR, by_time, whole, with_idx
+from ..functions.scans import with_positions
 
 SAMPLE = ("value_temp", "value_hum", "value_acid")
 
@@ -48,18 +49,17 @@ def moving_average(df: DataFrame, col: str, size: int = 30, divide_by: str = "si
 
 def take_first(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of each series."""
-    return with_idx(df).filter(F.col("idx") < n)
+    return with_positions(df).filter(F.col("idx") < n)
 
 
 def take_last(df: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of each series."""
-    size = F.count(F.lit(1)).over(whole())
-    return with_idx(df).withColumn("__n", size).filter(F.col("idx") >= F.col("__n") - n).drop("__n")
+    return with_positions(df, "__n").filter(F.col("idx") >= F.col("__n") - n).drop("__n")
 
 
 def temporal_split(df: DataFrame, n: int = 1500) -> DataFrame:
     """``split``: train for the first ``n`` rows of each series, else test."""
-    return with_idx(df).withColumn("split", F.when(F.col("idx") < n, "train").otherwise("test"))
+    return with_positions(df).withColumn("split", F.when(F.col("idx") < n, "train").otherwise("test"))
 
 
 def flatten_window(windows: DataFrame) -> DataFrame:

@@ -150,6 +150,17 @@ def test_savgol_keeps_a_parabola(spark):
     assert np.allclose(column(SM.savgol(series(spark, range(0, 18000, 600), temp), ("value_temp",)), "value_temp"), temp)
 
 
+def level_of(y):
+    none = np.full((len(y), 1), np.nan)
+    return K.kalman_runs(y[:, None].astype(float), np.zeros(len(y), np.int64), 0.01, 1.0, 1.0, none, none)[0][:, 0]
+
+
+def winters(y, season, horizon):
+    smoother = K.HoltWinters(season)
+    smoother.add(y)
+    return smoother.ahead(horizon)
+
+
 def test_kernels_against_loops():
     y = np.sin(np.arange(50)) + np.arange(50) / 10
     level, p, want = y[0], 1.0, []
@@ -158,10 +169,10 @@ def test_kernels_against_loops():
         g = p / (p + 1)
         level, p = level + g * (v - level), p * (1 - g)
         want.append(level)
-    assert np.allclose(K.kalman_level(y[:, None])[:, 0], want)
+    assert np.allclose(level_of(y), want)
     assert np.allclose(K.lowess(2.0 * np.arange(40) + 1), 2.0 * np.arange(40) + 1)
     season = np.tile([0.0, 1.0, 0.0, -1.0], 10) + np.arange(40)
-    assert np.abs(K.holt_winters(season, 4, 4) - (np.array([0, 1, 0, -1]) + np.arange(40, 44))).max() < 1.0
+    assert np.abs(winters(season, 4, 4) - (np.array([0, 1, 0, -1]) + np.arange(40, 44))).max() < 1.0
 
 
 def test_detectors_find_the_odd_one(spark):
@@ -283,11 +294,11 @@ def test_forecasts_of_nothing(spark):
 
 def test_unknown_values_don_t_spread():
     y = np.array([3.0, np.nan, 4.0, 5.0, np.nan, 6.0, 5.5, 7.0, 6.5, 8.0] * 4)
-    level = K.kalman_level(y[:, None])[:, 0]
-    assert not np.isnan(level).any() and level[1] == level[0] and np.isnan(K.kalman_level(np.array([[np.nan], [2.0]]))[0, 0])
+    level = level_of(y)
+    assert not np.isnan(level).any() and level[1] == level[0] and np.isnan(level_of(np.array([np.nan, 2.0]))[0])
     smooth = K.lowess(y, 0.3)
     assert (np.isnan(smooth) == np.isnan(y)).all()
-    assert np.isfinite(K.holt_winters(y, 4, 5)).all()
+    assert np.isfinite(winters(y, 4, 5)).all()
     whole = np.sin(np.arange(300) / 9.0) + np.arange(300) % 7
     assert np.allclose(K.lowess(whole, 0.2), K.lowess(whole, 0.2, block=100))
     assert np.isfinite(K.lowess(np.arange(20_000) % 50 * 1.0, 0.1, 1)).all()
