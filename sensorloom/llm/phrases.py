@@ -38,8 +38,8 @@ SLICE_BYTES, SLICE_WORDS = 8 << 20, 1 << 20
 _PIECE_BYTES = np.array([b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)], np.uint8)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(distinct words, codes, pieces) of some words in a row, the last two of which also begin the next slice unless the texts end."""
+def _slices(texts: pa.Array, size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(distinct words, codes, pieces) of ``size`` words in a row and the two after them, which begin the next slice."""
     texts = translated(texts, _PIECE_BYTES)
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
     data = np.frombuffer(whole.buffers()[2], np.uint8) if len(texts) and whole.buffers()[2] else np.empty(0, np.uint8)
@@ -47,8 +47,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
     begin, end = edge[::2], edge[1::2]
     piece = np.cumsum(data == 10)[begin]
-    for at in range(0, len(begin), SLICE_WORDS):
-        here = slice(at, at + SLICE_WORDS + 2)
+    for at in range(0, len(begin), size):
+        here = slice(at, at + size + 2)
         low, sizes = begin[here], end[here] - begin[here]
         offsets = np.append(0, np.cumsum(sizes))
         alone = data[np.repeat(low - offsets[:-1], sizes) + np.arange(offsets[-1])]
@@ -73,12 +73,13 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]
 
 def _likely_pairs(slim: DataFrame, least: int) -> np.ndarray:
     """A bit table of pairs that may occur ``least`` times: those that do are all in it, others by chance."""
+    size = SLICE_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches):
-            for distinct, code, piece in _slices(texts):
+            for distinct, code, piece in _slices(texts, size):
                 if len(code) > 1:
-                    h, same = _pair_hashes(distinct, code[: SLICE_WORDS + 1], piece[: SLICE_WORDS + 1], lang)
+                    h, same = _pair_hashes(distinct, code[: size + 1], piece[: size + 1], lang)
                     m, n = np.unique(h[same], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], names=["m", "n"])
 
@@ -88,12 +89,12 @@ def _likely_pairs(slim: DataFrame, least: int) -> np.ndarray:
 
 def _grams(slim: DataFrame, likely: np.ndarray) -> DataFrame:
     """(lang, gram, n) summed up by task: at each word, it and the two after it, up to the end of the piece or to a pair that isn't likely."""
-    shared = slim.sparkSession.sparkContext.broadcast(likely)
+    shared, size = slim.sparkSession.sparkContext.broadcast(likely), SLICE_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches):
-            for distinct, code, piece in _slices(texts):
-                n, kinds = min(SLICE_WORDS, len(code)), len(distinct) + 1
+            for distinct, code, piece in _slices(texts, size):
+                n, kinds = min(size, len(code)), len(distinct) + 1
                 h, same = _pair_hashes(distinct, code, piece, lang)
                 pair = np.append(same & has_bit(shared.value, h), [False, False])
                 padded = np.append(code + 1, [0, 0])
