@@ -367,37 +367,53 @@ add("str7_sliding", lambda d: live.tumbling_stats(d, size="2 days", slide="1 day
 add("str8_drop_resent", lambda d: live.drop_resent(d.withColumn("time", F.date_trunc("day", "time"))).select("sensor_id", "time"), f"WITH {ad.R} SELECT DISTINCT sensor_id, {us("date_trunc('day', time)")} AS time FROM r")
 
 
-# the same as streams over the table's file, run until all of it is read
-def _streamed(spark: SparkSession, sf_dir: str, live_form: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """What a stream of the readings has put out at its end; in complete mode the last batch holds everything."""
-    path = IO.shared_path(spark, "stream")
-    file = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = spark.readStream.schema(file.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = live_form(ad.as_readings(rows))
+# the same as streams: readings come in slices of time, each read by a run of its own that goes on where the one before ended
+SLICES = 3
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{'last' if mode == 'complete' else number}")
 
-    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(store)
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _streamed(spark: SparkSession, sf_dir: str, live_form: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream of the readings has put out, each row once."""
+    path = IO.shared_path(spark, "stream")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    place = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * SLICES / F.lit(high - low + 1))
+    events.limit(0).write.parquet(f"{path}/in")
+    out = live_form(ad.as_readings(spark.readStream.schema(events.schema).parquet(f"{path}/in")))
+
+    def store(batch: DataFrame, number: int) -> None:  # a repeated batch overwrites itself
+        batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
+
+    before = live.with_rocksdb(spark)
+    try:
+        for i in range(SLICES):
+            events.filter(place == i).write.mode("append").parquet(f"{path}/in")
+            writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").foreachBatch(store)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(out.schema).parquet(f"{path}/out/*")
 
 
-def stream(name: str, like: str | None, live_form: Callable[[DataFrame], DataFrame], mode: str = "complete") -> None:
-    query(name, ORACLES[like] if like else None)(lambda spark, sf_dir: _streamed(spark, sf_dir, live_form, mode))
+def stream(name: str, sql: str, live_form: Callable[[DataFrame], DataFrame]) -> None:
+    query(name, sql)(lambda spark, sf_dir: _streamed(spark, sf_dir, live_form))
+
+
+def _closed(like: str, end: str) -> str:
+    """Of a batch query's rows those whose ``end`` (microseconds) the watermark has passed: an hour under the last time."""
+    return f"WITH z AS ({ORACLES[like]}) SELECT * FROM z WHERE {end} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)"
 
 
-stream("str1_sessions_live", "str1_sessions", lambda d: live.outage_sessions(d, "1 day"))
+DAY_US = 86_400_000_000
+stream("str1_sessions_live", _closed("str1_sessions", f"last_time + {DAY_US}"), lambda d: live.outage_sessions(d, "1 day"))
 LIVE = f"CASE WHEN {LAST} > 1440 THEN 'error' WHEN coalesce(abs(value_temp - lag(value_temp) OVER w) > 60, false) OR coalesce(abs(value_hum - lag(value_hum) OVER w) > 60, false) OR value_hum > 100 THEN '1' ELSE '0' END"
-ORACLES["live_labels"] = f"WITH {ad.I} SELECT sensor_id, {us('time')} AS time, {LIVE} AS label FROM i WINDOW w AS (PARTITION BY sensor_id ORDER BY idx)"
-stream("str2_labels_live", "live_labels", lambda d: live.live_labels(d, {"value_temp": 60.0, "value_hum": 60.0}, DAY), "append")
-ORACLES["live_levels"] = ORACLES["smo3_kalman"].replace("idx, row_no,", "idx, time,").replace("i.row_no,", "i.time,").replace("SELECT row_no, ", f"SELECT sensor_id, {us('time')} AS time, ").replace("AS value_temp FROM k", "AS level FROM k")
-stream("str3_kalman_live", "live_levels", lambda d: live.live_kalman(d), "append")
-stream("str4_range_labels_live", "str4_range_labels", lambda d: live.range_labels(d).select("row_no", "label"), "append")
-stream("str5_tumbling_live", "str5_tumbling", lambda d: live.tumbling_stats(d, size="1 day"))
-stream("str7_sliding_live", "str7_sliding", lambda d: live.tumbling_stats(d, size="2 days", slide="1 day"))
-stream("str8_drop_resent_live", "str8_drop_resent", lambda d: live.drop_resent(d.withColumn("time", F.date_trunc("day", "time")), "1000 days").select("sensor_id", "time"), "append")
-del ORACLES["live_labels"], ORACLES["live_levels"]
+stream("str2_labels_live", f"WITH {ad.I} SELECT sensor_id, {us('time')} AS time, {LIVE} AS label FROM i WINDOW w AS (PARTITION BY sensor_id ORDER BY idx)", lambda d: live.live_labels(d, {"value_temp": 60.0, "value_hum": 60.0}, DAY))
+LEVELS = ORACLES["smo3_kalman"].replace("idx, row_no,", "idx, time,").replace("i.row_no,", "i.time,").replace("SELECT row_no, ", f"SELECT sensor_id, {us('time')} AS time, ").replace("AS value_temp FROM k", "AS level FROM k")
+stream("str3_kalman_live", LEVELS, lambda d: live.live_kalman(d))
+stream("str4_range_labels_live", ORACLES["str4_range_labels"], lambda d: live.range_labels(d).select("row_no", "label"))
+stream("str5_tumbling_live", _closed("str5_tumbling", f"window_start + {DAY_US}"), lambda d: live.tumbling_stats(d, size="1 day"))
+stream("str7_sliding_live", _closed("str7_sliding", f"window_start + {2 * DAY_US}"), lambda d: live.tumbling_stats(d, size="2 days", slide="1 day"))
+stream("str8_drop_resent_live", ORACLES["str8_drop_resent"], lambda d: live.drop_resent(d.withColumn("time", F.date_trunc("day", "time")), "1000 days").select("sensor_id", "time"))
 
 
 @query("str6_collect_updates", f"WITH {UP} SELECT CAST(round AS BIGINT) AS round, pos, {num('avg(CAST(v AS DOUBLE))')} AS v FROM u GROUP BY ALL HAVING count(*) >= 48")

@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.columns import CHANNELS, SENSOR, TIME
+from ..functions.columns import SENSOR, TIME
+from ..functions.kernels import kalman_runs
 from ..operators.federated import fed_avg
 from ..operators.labels import out_of_range
 
 #: State of a sensor that is silent for so long expires.
 KEEP_MS = 7 * 24 * 3600 * 1000
+ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def outage_sessions(df: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -36,74 +38,92 @@ def tumbling_stats(df: DataFrame, col: str = "value_temp", size: str = "1 hour",
     return grouped.select(SENSOR, F.col("w.start").alias("window_start"), "n_rows", "mean", "low", "high")
 
 
-def _of_trigger(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A sensor's rows of one trigger in order of time; Arrow may cut them into batches in any order.
+def with_rocksdb(spark: SparkSession) -> dict[str, str | None]:
+    """Let queries that start from now on keep state in RocksDB, which stateful processors need; gives what was set before."""
+    before = {ROCKSDB[0]: spark.conf.get(ROCKSDB[0], None)}
+    spark.conf.set(*ROCKSDB)
+    return before
 
-    The source's rate limits (maxFilesPerTrigger, maxBytesPerTrigger) bound them.
+
+class PerSensor(StatefulProcessor):
+    """One value of state per sensor, from its last reading on; it expires KEEP_MS after that reading, by event time.
+
+    ``follow`` gets a sensor's timely readings of a trigger in order of time and the state before them, and gives a column and the state after
+    them. A reading that is older than the last one of an earlier trigger is late: it has no known neighbour, gets ``late`` and leaves the state
+    as it is, and so does one without a time or, of readings further back than the watermark, what Spark lets through.
     """
-    return pd.concat(list(batches), ignore_index=True).sort_values(TIME, kind="stable", ignore_index=True)
+
+    def __init__(self, columns: tuple[str, ...], state: str, name: str, follow: Callable, late: Callable):
+        self.columns, self.state, self.name, self.follow, self.late, self.keep = columns, state, name, follow, late, KEEP_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", f"at long, {self.state}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a trigger's readings of one sensor: the source's rate limits (maxFilesPerTrigger, maxBytesPerTrigger) bound them
+        here = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable", ignore_index=True, na_position="last")
+        last = tuple(self.kept.get()) if self.kept.exists() else None
+        known = here["at"].notna().to_numpy()
+        at = here["at"].fillna(0).to_numpy(np.int64)
+        timely = known & (at >= last[0]) if last else known
+        values = here[list(self.columns)].to_numpy(float)
+        out = np.array(self.late(values), object)
+        if timely.any():
+            out[timely], after = self.follow(at[timely], values[timely], last)
+            latest = int(at[timely][-1])
+            if after is not None:
+                self.kept.update((latest, *after))
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(max(latest // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep)
+        yield pd.DataFrame({SENSOR: here[SENSOR], TIME: here[TIME], self.name: out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _per_sensor(df: DataFrame, late: str, processor: PerSensor, kind: str) -> DataFrame:
+    rows = df.withWatermark(TIME, late).select(SENSOR, TIME, F.unix_micros(TIME).alias("at"), *processor.columns)
+    return rows.groupBy(SENSOR).transformWithStateInPandas(processor, f"{SENSOR} string, {TIME} timestamp, {processor.name} {kind}", "Append", "EventTime")
 
 
 def live_labels(df: DataFrame, thresholds: dict[str, float], minutes: float = 15, late: str = "1 hour") -> DataFrame:
-    """Outage and jump labels against the sensor's last reading, kept as state; a silent sensor's state expires.
+    """Outage and jump labels against the sensor's last reading, kept as state."""
+    cols, limits = tuple(thresholds), np.array(list(thresholds.values()))
 
-    A late reading has no known neighbour and leaves the state as it is.
-    """
-    cols = tuple(thresholds)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = _of_trigger(batches)
-        at = rows[TIME].astype("datetime64[us]").astype("int64").to_numpy()
-        values = rows[list(cols)].to_numpy(float)
-        timely = np.ones(len(rows), bool) if last is None else at >= last[0]
-        here = np.flatnonzero(timely)
+    def over(values: np.ndarray) -> np.ndarray:
+        wet = values[:, cols.index("value_hum")] > 100 if "value_hum" in cols else np.zeros(len(values), bool)
+        return np.where(wet, "1", "0").astype(object)
+
+    def follow(at: np.ndarray, values: np.ndarray, last: tuple | None) -> tuple[np.ndarray, tuple]:
+        label = over(values)
         # the reading before: of this trigger, or for the first one the kept one
-        before_at, before = at[here[:-1]], values[here[:-1]]
-        if len(here):
-            before_at = np.append(at[here[0]] if last is None else last[0], before_at)
-            before = np.vstack([values[here[:1]] if last is None else [last[1:]], before])
-        label = np.where(rows["value_hum"].to_numpy(float) > 100, "1", "0").astype(object) if "value_hum" in cols else np.full(len(rows), "0", object)
-        label[here[(np.abs(values[here] - before) > np.array([thresholds[c] for c in cols])).any(axis=1)]] = "1"
-        label[here[(at[here] - before_at) / 6e7 > minutes]] = "error"
-        if len(here):
-            last = (int(at[here[-1]]), *[float(v) for v in values[here[-1]]])
-        yield rows[[SENSOR, TIME]].assign(label=label)
-        if last is not None:
-            state.update(last)
-            state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + KEEP_MS)
+        before = np.vstack([values[:1] if last is None else np.array([last[1:]], float), values[:-1]])
+        before_at = np.append(at[0] if last is None else last[0], at[:-1])
+        label[(np.abs(values - before) > limits).any(axis=1)] = "1"
+        label[(at - before_at) / 6e7 > minutes] = "error"
+        return label, tuple(None if v != v else float(v) for v in values[-1])
 
-    rows = df.withWatermark(TIME, late).select(SENSOR, TIME, *cols)
-    kept = "at long, " + ", ".join(f"{c} double" for c in cols)
-    return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, label string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return _per_sensor(df, late, PerSensor(cols, ", ".join(f"{c} double" for c in cols), "label", follow, over), "string")
 
 
 def live_kalman(df: DataFrame, col: str = "value_temp", q: float = 0.01, r: float = 1.0, p0: float = 1.0, late: str = "1 hour") -> DataFrame:
-    """Filtered level per sensor; the state is its mean and variance, dropped once the sensor is silent for a week."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level, p = state.get if state.exists else (None, p0)
-        rows, out = _of_trigger(batches), []
-        for value in rows[col].tolist():
-            if level is not None:
-                p += q
-            if value == value:  # an unknown value leaves the level as it was
-                gain = p / (p + r)
-                level, p = value if level is None else level + gain * (value - level), p * (1 - gain)
-            out.append(level)
-        yield rows[[SENSOR, TIME]].assign(level=out)
-        if level is not None:
-            state.update((float(level), float(p)))
-            state.setTimeoutTimestamp(max(int(rows[TIME].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP_MS)
-
-    rows = df.withWatermark(TIME, late).select(SENSOR, TIME, col)
-    return rows.groupBy(SENSOR).applyInPandasWithState(run, f"{SENSOR} string, {TIME} timestamp, level double", "level double, p double", "append", GroupStateTimeout.EventTimeTimeout)
+    """Filtered level per sensor; the state is its mean and variance. A late reading isn't filtered, and has no level."""
+
+    def follow(at: np.ndarray, values: np.ndarray, last: tuple | None) -> tuple[np.ndarray, tuple | None]:
+        state = np.full((2, len(values), 1), np.nan)
+        if last is not None:
+            state[:, 0, 0] = last[1:]
+        level, p = kalman_runs(values, np.zeros(len(values), np.int64), q, r, p0, *state)
+        shown = np.where(np.isnan(level[:, 0]), None, level[:, 0].astype(object))
+        return shown, None if np.isnan(level[-1, 0]) else (float(level[-1, 0]), float(p[-1, 0]))
+
+    return _per_sensor(df, late, PerSensor((col,), "level double, p double", "level", follow, lambda values: [None] * len(values)), "double")
 
 
 def collect_updates(stream: DataFrame, path: str, clients: int, done: Callable[[DataFrame, int], None], checkpoint: str):

@@ -214,6 +214,7 @@ def test_auc_by_pairs(spark):
 
 
 def test_streams_equal_batch(spark, tmp_path):
+    live.with_rocksdb(spark)
     d = series(spark, [0, 600, 1200, 9000, 9600])
     d.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
@@ -243,6 +244,7 @@ def test_updates_are_averaged_once(spark, tmp_path):
 
 
 def test_live_labels_over_triggers(spark, tmp_path):
+    live.with_rocksdb(spark)
     seconds = [0, 600, 1200, 9000, 9600, 10200, 600]
     values = [1.0, 1.1, 5.0, 5.0, 5.1, 9.0, 7.0]
     want = ["0", "0", "1", "error", "0", "1", "0"]  # the last row is late
