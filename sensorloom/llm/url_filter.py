@@ -1,17 +1,20 @@
 """URL filters: rules by host and path, then naive Bayes over the words of host and path.
 
 A host's names are written together, so they are first cut into words: Viterbi over a unigram model that
-counts all words of all pages. A word that no page has costs 10 / (N * 10^letters), N being the words counted, so
-that unknown names stay whole. Multinomial naive Bayes then scores host words and path tokens. Its classes
-come from other evidence than these: a page is one to block if a rule says so, or, without a rule, if UNWANTED_SHARE
-of its visible words or more are unwanted ones; all pages are counted.
+counts all words of all pages. A word costs its share of all words; one that no page has, or a short one with less than
+SHORT_SHARE of them, costs UNKNOWN / 10^(letters / 2), so that unknown names stay whole, and hosts are cut alike on tables of any size.
+
+Multinomial naive Bayes then scores host words and path tokens. Seeds tell its classes: a page is one to block if its host has
+an unwanted word, or if UNWANTED_SHARE of its visible words or more are unwanted ones. A seed can't vouch for itself: for each seed of
+a host its pages are learned from without that word, so what the model knows are the words around seeds. Other pages are ones to allow, but for those
+that a rule blocks, which say nothing about other hosts. All pages are counted.
 
 Models are tables, without a bound on words or tokens: each distinct name, host and path form is looked up once, by
 joins that leave the rows of hot keys where they are. Rules are column expressions; of those that fit,
 the longest decides and the model isn't asked.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path: without a rule the model's share of
-blocked pages alone decides; null html has no words; ties allow; very long urls and pages are whole; repeated rows
+blocked pages alone decides; null html has no words; ties (a score of 0) allow; very long urls and pages are whole; repeated rows
 are counted and judged each; other columns aren't read, whatever their names; empty tables give no rows.
 """
 
@@ -26,15 +29,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keyed_join, materialize, quoted
 
-# Words of texts that stand for unwanted pages.
+# Words that stand for unwanted pages.
 UNWANTED_WORDS = (
-    "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cheap", "dating", "escort", "free", "gamble", "gambling", "jackpot",
-    "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pill", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent",
+    "ads", "adult", "advert", "adverts", "banner", "bet", "bets", "betting", "bingo", "casino", "casinos", "cheap", "dating", "escort", "free", "gamble", "gambling",
+    "jackpot", "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pill", "pills", "poker", "popup", "porn", "replica", "sex", "slots", "spam", "torrent", "tracker",
     "viagra", "warez", "win", "xxx",
 )
 UNWANTED_SHARE = 0.02
-#: Longest word of a host.
-LONGEST = 20
+#: Longest word of a host, and longest one that must have a share of all words to be known.
+LONGEST, SHORT = 20, 3
+SHORT_SHARE = 1e-4
+#: Probability of words that aren't known, before that of their letters.
+UNKNOWN = 1e-6
+#: Added to each token's count, so that a class without it doesn't rule it out.
+SMOOTHING = 0.1
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -77,22 +85,22 @@ def path_tokens(path: Column) -> Column:
 
 
 def prepared(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """(page_id, host, path, tokens, rule, ruled, bad): what the model reads of each page; bad: it is one to block."""
+    """(page_id, host, path, tokens, rule, ruled, many): what the model reads of each page; many: of its visible words enough are unwanted."""
     url, words = F.col(quoted(url_col)), visible_words(F.col(quoted(html_col)))
     rule, ruled = rule_columns(F.col("host"), F.col("path"), rules)
     unwanted = F.size(F.filter("words", lambda w: w.isin(*UNWANTED_WORDS)))
     rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), words.alias("words"))
     rows = rows.withColumns({"rule": rule, "ruled": ruled, "tokens": path_tokens(F.col("path")), "many": (unwanted > 0) & (unwanted >= UNWANTED_SHARE * F.size("words"))})
-    return rows.select("page_id", "host", "path", F.array_join("tokens", " ").alias("form"), "tokens", "rule", "ruled", F.coalesce(F.col("ruled") == "block", F.col("many")).alias("bad"))
+    return rows.select("page_id", "host", "path", F.array_join("tokens", " ").alias("form"), "tokens", "rule", "ruled", "many")
 
 
 def segment(name: str, known: dict[tuple[int, int], float], unknown: float) -> list[str]:
-    """The likeliest words of a name: ``known`` holds log probabilities of (start, letters), ``unknown`` that of ten words that were never seen."""
+    """The likeliest words of a name: ``known`` holds log probabilities of (start, letters), ``unknown`` that of any other word, before its letters."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
     for end in range(1, len(name) + 1):
         for start in range(max(0, end - LONGEST), end):
             n = end - start
-            value = best[start] + known.get((start, n), unknown - n * math.log(10))
+            value = best[start] + known.get((start, n), unknown - n * math.log(10) / 2)
             if value > best[end]:
                 best[end], back[end] = value, start
     out, end = [], len(name)
@@ -112,13 +120,14 @@ def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
         "name", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("name") - F.col("start")))).alias("letters"),
     )
     every = every.withColumn("word", F.expr("substring(name, start + 1, letters)"))
-    found = keyed_join(every, words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "letters", "n")).alias("known"))
+    share = F.when(F.length("word") <= SHORT, SHORT_SHARE).otherwise(0.0)
+    found = keyed_join(every, words.filter(F.col("n") >= share * total), "word").groupBy("name").agg(F.collect_list(F.struct("start", "letters", "n")).alias("known"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, known in zip(*(c.to_pylist() for c in batch.columns)):
-                out.append(segment(name, {(k["start"], k["letters"]): math.log(k["n"] / total) for k in known or ()}, math.log(10 / total)))
+                out.append(segment(name, {(k["start"], k["letters"]): math.log(k["n"] / total) for k in known or ()}, math.log(UNKNOWN)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
     segmented = materialize(names.join(found, "name", "left").select("name", "known").mapInArrow(cut, "name string, words array<string>"), "segmented")
@@ -137,15 +146,23 @@ class UrlModel:
 
 def train(rows: DataFrame, words: DataFrame) -> UrlModel:
     """Count the tokens of all prepared pages by class."""
-    by_host = materialize(rows.groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")), "hosts")
-    hosts = materialize(host_words(by_host.select("host"), words), "host-words")
-    by_form = rows.groupBy("form", "tokens").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
-    tokens = by_host.join(hosts, "host").select(F.explode("words").alias("token"), "bad", "n").unionByName(by_form.select(F.explode("tokens").alias("token"), "bad", "n"))
-    counts = materialize(tokens.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum(F.col("n") - F.col("bad")).alias("good")), "token-counts")
+    cut = host_words(rows.select("host").distinct(), words)
+    hosts = materialize(cut.withColumn("seeds", F.size(F.filter(F.array_distinct("words"), lambda w: w.isin(*UNWANTED_WORDS)))), "host-words")
+    classed = keyed_join(rows, hosts.select("host", "seeds"), "host", "left").withColumn("bad", (F.coalesce("seeds", F.lit(0)) > 0) | F.col("many"))
+    classed = classed.filter(F.col("bad") | F.coalesce(F.col("ruled") != "block", F.lit(True)))
+    sums = F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((~F.col("bad")).cast("long")).alias("good")
+    by_host = classed.groupBy("host").agg(*sums)
+    # a host's words once for each of its seeds, without that seed
+    of_hosts = by_host.join(hosts, "host").select("bad", "good", "seeds", "words", F.posexplode("words").alias("at", "token"))
+    masked = F.col("token").isin(*UNWANTED_WORDS) & (F.array_position("words", F.col("token")) == F.col("at") + 1)
+    times = F.when(F.col("seeds") > 0, F.col("seeds") - masked.cast("int")).otherwise(1)
+    by_form = classed.groupBy("form", "tokens").agg(*sums)
+    tokens = of_hosts.select("token", (F.col("bad") * times).alias("bad"), "good").unionByName(by_form.select(F.explode("tokens").alias("token"), "bad", "good"))
+    counts = materialize(tokens.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad + good > 0"), "token-counts")
     bad, good, kinds = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
-    pages_bad, pages = by_host.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    odds = F.log((F.col("bad") + 1) / (bad + kinds + 1)) - F.log((F.col("good") + 1) / (good + kinds + 1))
-    return UrlModel(hosts, materialize(counts.select("token", odds.alias("odds")), "token-odds"), math.log(pages_bad + 1) - math.log(pages - pages_bad + 1))
+    pages_bad, pages_good = classed.agg(*[F.coalesce(x, F.lit(0)) for x in sums]).first()
+    odds = F.log((F.col("bad") + SMOOTHING) / (bad + SMOOTHING * kinds + 1)) - F.log((F.col("good") + SMOOTHING) / (good + SMOOTHING * kinds + 1))
+    return UrlModel(hosts.select("host", "words"), counts.select("token", odds.alias("odds")), math.log(pages_bad + 1) - math.log(pages_good + 1))
 
 
 def judged(rows: DataFrame, model: UrlModel) -> DataFrame:

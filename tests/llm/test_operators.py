@@ -106,8 +106,9 @@ def test_token_blocks(spark, docs, none, tmp_path):
 
 def brute_segment(name, counts):
     """The likeliest of all ways to cut a name."""
-    total = sum(counts.values())
-    price = lambda w: math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10)
+    total, U = sum(counts.values()), url_filter
+    known = lambda w: w in counts and (len(w) > U.SHORT or counts[w] >= U.SHORT_SHARE * total)
+    price = lambda w: math.log(counts[w] / total) if known(w) else math.log(U.UNKNOWN) - len(w) * math.log(10) / 2
     ways = [[name[i:j] for i, j in zip((0, *cut), (*cut, len(name)))] for n in range(len(name)) for cut in itertools.combinations(range(1, len(name)), n)]
     return max(ways, key=lambda ws: sum(map(price, ws)))
 
@@ -122,19 +123,28 @@ def brute_urls(rows):
         host, path = (found[1].lower(), found[2]) if found else ("", "")
         fits = [(len(h + p), kind) for kind, h, p in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         unwanted = sum(w in U.UNWANTED_WORDS for w in words)
-        rule = max(fits)[1] if fits else None
-        bad = rule == "block" if rule else 0 < unwanted >= U.UNWANTED_SHARE * len(words)
-        seen.append((i, host, path, rule, bad))
-    out, bags = {}, []
-    for i, host, path, rule, bad in seen:
+        seen.append((i, host, path, max(fits)[1] if fits else None, 0 < unwanted >= U.UNWANTED_SHARE * len(words)))
+    out, bags, by, n = {}, {}, {True: Counter(), False: Counter()}, Counter()
+    for i, host, path, rule, many in seen:
         own = [w for name in re.split("[^a-z0-9]+", host) if name for w in brute_segment(name, counts)]
-        bags.append((own, own + ["/" + re.sub("[0-9]+", "0", t) for t in re.split("[^a-z0-9]+", path.lower()) if t]))
-    by = {c: Counter(t for (_, ts), (*_, bad) in zip(bags, seen) for t in ts if bad == c) for c in (True, False)}
+        rest = ["/" + re.sub("[0-9]+", "0", t) for t in re.split("[^a-z0-9]+", path.lower()) if t]
+        bags[i] = own, own + rest
+        seeds = set(own) & set(U.UNWANTED_WORDS)
+        bad = bool(seeds) or many
+        if not bad and rule == "block":
+            continue
+        n[bad] += 1
+        by[bad].update(rest)
+        for seed in seeds or {None}:
+            left = list(own)
+            if seed:
+                left.remove(seed)
+            by[bad].update(left)
     kinds = len(set(by[True]) | set(by[False]))
-    odd = lambda t: math.log((by[True][t] + 1) / (sum(by[True].values()) + kinds + 1)) - math.log((by[False][t] + 1) / (sum(by[False].values()) + kinds + 1))
-    n_bad = sum(bad for *_, bad in seen)
-    for (own, ts), (i, _, _, rule, _) in zip(bags, seen):
-        score = math.log(n_bad + 1) - math.log(len(seen) - n_bad + 1) + sum(map(odd, ts))
+    odd = lambda t: math.log((by[True][t] + U.SMOOTHING) / (sum(by[True].values()) + U.SMOOTHING * kinds + 1)) - math.log((by[False][t] + U.SMOOTHING) / (sum(by[False].values()) + U.SMOOTHING * kinds + 1)) if by[True][t] + by[False][t] else 0.0
+    for i, _, _, rule, _ in seen:
+        own, ts = bags[i]
+        score = math.log(n[True] + 1) - math.log(n[False] + 1) + sum(map(odd, ts))
         out[i] = (rule or ("block" if score > 0 else "allow"), score, own)
     return out
 
@@ -145,24 +155,44 @@ def test_url_filter(spark):
     rows += [(20 + i, f"http://goldthron.io/offers/{i}", "<b>Casino</b> free bets and loans, win now") for i in range(6)]
     rows += [(30 + i, f"http://{n}.io/news/{i}", "the news of the day, with gold and windows") for i, n in enumerate(("freedom", "windmill", "alphabet", "essex", "gardenclub"))]
     rows += [(40, "http://goldthron.io/offers/new", "gold of the day"), (41, "http://freedom.io/news", "free free win"), (42, "http://m.goldthron.io/", None), (43, "http://goldthron.io/offers/new", "gold of the day")]
+    rows += [(50 + i, f"http://spam-farm.io/{i}", None) for i in range(6)] + [(80 + i, f"http://library.io/{i}", "books") for i in range(30)]
+    rows += [(120 + i, f"http://freedom.io/news/{i}", "the news of the day") for i in range(5)]
+    rows += [(70, "http://my-farm.io/7", "word " * 20_000), (71, "http://free-library.io/7", None), (72, "http://" + "ab1" * 300 + ".io/", "<p>" + "word " * 30_000)]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, score string").repartition(3)
     got = {r["page_id"]: r for r in url_filter.filtered(pages).collect()}
     assert [got[i]["rule"] for i in range(len(urls))] == ["example.net/en/", "net/", "example.com/de/", "org/fr/"] + [None] * 7
     assert [got[i]["verdict"] for i in range(4)] == ["allow", "block", "block", "allow"] and len(got) == len(rows)
     assert got[0]["host"] == "a.example.net" and got[0]["path"] == "/en/1" and got[6]["host"] == got[7]["host"] == "" and got[8]["host"] == "net" and got[8]["path"] == ""
+    long_host = rows.pop()  # page 72
+    assert got[72]["host"] == "ab1" * 300 + ".io" and got[72]["verdict"] == "allow"
+    pages = pages.filter("page_id <> 72")
+    got = {r["page_id"]: r for r in url_filter.filtered(pages).collect()}
+    assert long_host[0] not in got
     want = brute_urls(rows)
     for i, (verdict, score, words) in want.items():
         assert got[i]["verdict"] == verdict and abs(got[i]["score"] - score) < 1e-6 and got[i]["host_words"] == words, i
-    # verdicts follow all evidence, not words of a list: a clean page of an unwanted site is blocked, unwanted words in a host name alone block nothing
+    # verdicts follow all evidence, not words of a list: a clean page of an unwanted site is blocked, and a host without a listed word; one with such a word isn't
     assert got[40]["verdict"] == "block" and got[30]["verdict"] == got[33]["verdict"] == "allow"
+    assert got[70]["verdict"] == "block" and got[71]["verdict"] == "allow"
     assert url_filter.filtered(pages.limit(0)).count() == 0
 
 
-def test_names_stay_whole(spark):
-    """On the given pages, names that hold a word of the list aren't cut at it."""
-    words = url_filter.unigrams(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).cache()
-    hosts = spark.createDataFrame([(h,) for h in ("windmill.io", "freedom.io", "alphabet.io", "freelance.io")], "host string")
-    assert {r["host"]: r["words"][0] for r in url_filter.host_words(hosts, words).collect()} == {h: h[:-3] for h in ("windmill.io", "freedom.io", "alphabet.io", "freelance.io")}
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_names_stay_whole(spark, sf):
+    """On the given pages, of any number, names that hold a word of the list or fragments of words aren't cut at them, and known words are."""
+    words = url_filter.unigrams(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).cache()
+    names = ("windmill", "freedom", "alphabet", "freelance", "winter", "essex")
+    hosts = spark.createDataFrame([(f"{n}.io",) for n in names], "host string")
+    assert {r["host"]: r["words"][0] for r in url_filter.host_words(hosts, words).collect()} == {f"{n}.io": n for n in names}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unwanted_hosts_are_blocked_by_score(spark, sf):
+    """Without a rule both verdicts occur: hosts of unwanted words are blocked, all others allowed."""
+    rows = url_filter.filtered(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).filter("rule is null").collect()
+    unwanted = ("casino-win", "cheap-pills", "free-bets", "spam-farm", "adult-x", "ads-track")
+    assert {r["verdict"] for r in rows if any(u in r["host"] for u in unwanted)} == {"block"}
+    assert {r["verdict"] for r in rows if not any(u in r["host"] for u in unwanted)} == {"allow"}
 
 
 def brute_counts(text):
