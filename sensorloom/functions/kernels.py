@@ -308,11 +308,16 @@ def dense_forward(x: np.ndarray, weights: list[np.ndarray], spec: list[dict]) ->
 
 
 def train_epoch(x: np.ndarray, y: np.ndarray, weights: list[np.ndarray], spec: list[dict], batch: int = 32, rate: float = 1e-3) -> list[np.ndarray]:
-    """One epoch of Adam on binary cross-entropy (sigmoid output) or squared error (other outputs)."""
+    """One epoch over rows in batches."""
+    return train_batches([(x[at : at + batch], y[at : at + batch]) for at in range(0, len(x), batch)], weights, spec, rate)
+
+
+def train_batches(batches: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray], spec: list[dict], rate: float = 1e-3) -> list[np.ndarray]:
+    """A step of Adam for each batch, on binary cross-entropy (sigmoid output) or squared error (other outputs)."""
     weights = [w.copy() for w in weights]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    for step, at in enumerate(range(0, len(x), batch), 1):
-        xs, ys = x[at : at + batch], y[at : at + batch].reshape(-1, 1)
+    for step, (xs, ys) in enumerate(batches, 1):
+        ys = ys.reshape(-1, 1)
         out = dense_forward(xs, weights, spec)
         delta = (out[-1] - ys) / len(xs)
         grads: list[np.ndarray] = [np.empty(0)] * len(weights)

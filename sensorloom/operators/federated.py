@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import SENSOR
-from ..functions.kernels import dense_forward, initial_weights, train_epoch
-from ..sources.io import shared_path
+from ..functions.columns import SENSOR, uniform
+from ..functions.kernels import dense_forward, initial_weights, train_batches, train_epoch
+from ..sources.io import append_metrics, shared_path
 from .labels import label_windows
+from .metrics import binary_metrics
 from .windows import sliding_windows
 
 #: Positions of a client that one task trains on.
@@ -112,52 +115,92 @@ def make_batches(df: DataFrame, epochs: int = 5, batch: int = 40, seed: int | No
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by, "epoch").orderBy(*order)) - 1) / batch))
 
 
-def local_train(data: DataFrame, weights: list[np.ndarray], spec: list[dict], round_no: int = 0, batch: int = 32, rate: float = 1e-3) -> DataFrame:
-    """One epoch on each client's (client_id, idx, features, label): its weights by layer, rows and loss.
+def work_of(rounds: list[int] | range, clients: DataFrame, seed: int = 0, least: int = 5, most: int = 10) -> DataFrame:
+    """(round, client_id, work): how much each client does in each round, ``least`` to ``most``, drawn by hash; it trains on ``work - 1`` batches."""
+    each = clients.select(F.col("client_id").cast("string").alias("client_id")).withColumn("round", F.explode(F.array(*[F.lit(r) for r in rounds])))
+    return each.select("round", "client_id", (least + F.floor((most - least + 1) * uniform(seed, "client_id", "round"))).cast("int").alias("work"))
+
+
+def local_train(data: DataFrame, weights: list[np.ndarray], spec: list[dict], round_no: int = 0, batch: int = 32, rate: float = 1e-3, work: DataFrame | None = None, rows: int = 50) -> DataFrame:
+    """One epoch on each client's (client_id, idx, features, label): its weights by layer, rows, loss and work.
 
-    A client's rows are trained on in shards of SHARD positions, whose weights and losses are averaged by rows.
+    A client's rows are trained on in shards of SHARD positions, whose weights and losses are averaged by rows. With ``work`` (client_id, work) a
+    client does ``work - 1`` batches only, batch b on its rows from position b to b + ``rows``; its work is then that number and a client without any isn't in the result.
     """
     shared = data.sparkSession.sparkContext.broadcast(weights)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        x, y = np.stack(rows["features"].to_list()).astype(float), rows["label"].to_numpy(float)
-        new = train_epoch(x, y, shared.value, spec, batch, rate)
+    partial = work is not None
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        x, y = np.stack(own["features"].to_list()).astype(float), own["label"].to_numpy(float)
+        if partial:
+            at, n = own["idx"].to_numpy(), int(own["work"].iloc[0])
+            parts = [np.flatnonzero((at >= b) & (at < b + rows)) for b in range(n - 1)]
+            parts = [p for p in parts if len(p)]
+            new = train_batches([(x[p], y[p]) for p in parts], shared.value, spec, rate)
+        else:
+            n, new = len(own), train_epoch(x, y, shared.value, spec, batch, rate)
         p = np.clip(dense_forward(x, new, spec)[-1].reshape(-1), 1e-7, 1 - 1e-7)
         loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        return pd.DataFrame({"round": round_no, "client_id": key[0], "layer": range(len(new)), "n": len(rows), "loss": loss, "weights": [w.reshape(-1).tolist() for w in new]})
+        return pd.DataFrame({"round": round_no, "client_id": key[0], "layer": range(len(new)), "n": len(own), "work": n, "loss": loss, "weights": [w.reshape(-1).tolist() for w in new]})
 
-    schema = "round int, client_id string, layer int, n long, loss double, weights array<double>"
-    shard = F.floor(F.col("idx") / SHARD).alias("shard")
-    parts = data.select(F.col("client_id").cast("string"), shard, "idx", "features", "label").groupBy("client_id", "shard").applyInPandas(run, schema)
+    schema = "round int, client_id string, layer int, n long, work long, loss double, weights array<double>"
+    slim = data.select(F.col("client_id").cast("string").alias("client_id"), F.floor(F.col("idx") / SHARD).alias("shard"), "idx", "features", "label")
+    if partial:
+        slim = slim.join(work.select("client_id", "work"), "client_id").filter(F.col("idx") < F.col("work") - 2 + rows)
+    parts = slim.groupBy("client_id", "shard").applyInPandas(run, schema)
     by = ("round", "client_id", "layer")
     mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
-    places = parts.select(*by, "n", "loss", F.posexplode("weights").alias("pos", "v")).groupBy(*by, "pos").agg(mean("v"), mean("loss"), F.sum("n").alias("n"))
+    places = parts.select(*by, "n", "work", "loss", F.posexplode("weights").alias("pos", "v")).groupBy(*by, "pos").agg(mean("v"), mean("loss"), F.sum("n").alias("n"), (F.max("work") if partial else F.sum("work")).alias("work"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
-    return places.groupBy(*by).agg(F.first("n").alias("n"), F.first("loss").alias("loss"), packed.alias("weights"))
+    return places.groupBy(*by).agg(F.first("n").alias("n"), F.first("work").alias("work"), F.first("loss").alias("loss"), packed.alias("weights"))
+
+
+def predicted(data: DataFrame, weights: list[np.ndarray], spec: list[dict]) -> DataFrame:
+    """(client_id, idx, y_true, score) of a model on all clients' rows."""
+    shared = data.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                score = dense_forward(np.stack(rows["features"].to_list()).astype(float), shared.value, spec)[-1].reshape(-1)
+                yield pd.DataFrame({"client_id": rows["client_id"], "idx": rows["idx"], "y_true": rows["label"], "score": score})
+
+    return data.select(F.col("client_id").cast("string").alias("client_id"), F.col("idx").cast("long").alias("idx"), "features", F.col("label").cast("double").alias("label")).mapInPandas(run, "client_id string, idx long, y_true double, score double")
+
+
+VARIANTS = ("plain", "weighted", "partial", "float16", "int8")
 
 
 def federated_train(data: DataFrame, spec: list[dict], rounds: int = 5, variant: str = "plain", seed: int = 0, rate: float = 1e-3) -> tuple[list[np.ndarray], DataFrame]:
-    """Rounds of local training and averaging: the last weights, and (round, client_id, n, loss) of all rounds.
+    """Rounds of local training and averaging: the last weights, and a table of all rounds and clients.
 
-    variant: plain, weighted (by rows), float16 or int8 (weights travel quantised). Only averaged weights and one
-    row per client and round reach the driver.
+    variant: plain, weighted (by rows), partial (clients do some batches, drawn for each round, and count by their work), float16 or int8 (weights travel
+    quantised). The table has round, client_id, n, work, loss (after local training) and, of the round's averaged model on the client's rows,
+    accuracy, precision, recall, log_loss and auc. Only averaged weights reach the driver; updates and the table are written as they come. Without rows there
+    are no rounds, and the weights are empty.
     """
-    if variant not in ("plain", "weighted", "float16", "int8"):
+    if variant not in VARIANTS:
         raise ValueError(f"unknown variant: {variant}")
-    width = data.select(F.size("features")).first()[0]
-    weights, metrics = initial_weights(width, spec, seed), []
-    data = data.select("client_id", "idx", "features", "label").cache()
-    for r in range(rounds):
-        updates = local_train(data, weights, spec, r, rate=rate).cache()
+    spark, path = data.sparkSession, shared_path(data.sparkSession, "rounds")
+    data.select(F.col("client_id").cast("string").alias("client_id"), "idx", "features", "label").write.parquet(f"{path}/data")
+    data = spark.read.schema(data.select(F.col("client_id").cast("string").alias("client_id"), "idx", "features", "label").schema).parquet(f"{path}/data")
+    first = data.select(F.size("features")).first()
+    weights = initial_weights(first[0], spec, seed) if first else []
+    clients = data.select("client_id").distinct()
+    known = "round int, client_id string, layer int, n long, work long, loss double, weights array<double>"
+    for r in range(rounds if first else 0):
+        work = work_of([r], clients, seed) if variant == "partial" else None
+        local_train(data, weights, spec, r, rate=rate, work=work).write.parquet(f"{path}/updates/{r}")
+        updates = spark.read.schema(known).parquet(f"{path}/updates/{r}")
         sent = updates
         if variant == "float16":
             sent = quantize_f16(updates)
         elif variant == "int8":
             sent = dequantize_i8(quantize_i8(updates, ("round", "client_id", "layer")))
-        mean = fed_avg(sent, "n" if variant == "weighted" else None).orderBy("layer").collect()
-        metrics += [(int(m["round"]), m["client_id"], int(m["n"]), float(m["loss"])) for m in updates.filter("layer = 0").collect()]
+        mean = fed_avg(sent, {"weighted": "n", "partial": "work"}.get(variant)).orderBy("layer").collect()
         weights = [np.array(m["weights"]).reshape(w.shape) for m, w in zip(mean, weights)]
-        updates.unpersist()
-    data.unpersist()
-    return weights, data.sparkSession.createDataFrame(metrics, "round int, client_id string, n long, loss double")
+        scored = binary_metrics(predicted(data, weights, spec), by=("client_id",))
+        append_metrics(updates.filter("layer = 0").select("round", "client_id", "n", "work", "loss").join(scored, "client_id"), f"{path}/metrics")
+    columns = "client_id string, round int, n long, work long, loss double, accuracy double, precision double, recall double, log_loss double, auc double"
+    return weights, spark.read.schema(columns).parquet(f"{path}/metrics") if first else spark.createDataFrame([], columns)

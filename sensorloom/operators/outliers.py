@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import SENSOR
 from ..functions.kernels import block_ids, isolation_score, isolation_trees, merge_nearest
+from ..functions.quantiles import exact_quantiles
+from ..sources.io import shared_path
 
-#: Windows that isolation trees are grown on, at most.
+#: Windows that isolation trees are grown on, or that robust fits start from, at most.
 REFERENCE = 2048
 #: Windows that are compared with others as one matrix.
 BLOCK = 8192
@@ -110,36 +114,110 @@ def local_outlier_factor(df: DataFrame, k: int = 20, cut: float = 1.5) -> DataFr
     return _flagged(scores, F.col("score") > cut)
 
 
-def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of feature vectors."""
+def _kept(df: DataFrame) -> DataFrame:
+    """Windows written once, as fits read them again and again."""
+    path = shared_path(df.sparkSession, "windows")
+    df.select(SENSOR, "idx", "features").write.parquet(path)
+    return df.sparkSession.read.schema(df.select(SENSOR, "idx", "features").schema).parquet(path)
+
+
+def _moments(rows: DataFrame, within=None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(windows, mean, covariance) of feature vectors, in one job; ``within``: which rows of a matrix count."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for part in batches:
             if len(part):
                 x = np.stack(part["features"].to_list()).astype(float)
-                yield pd.DataFrame({"n": [float(len(x))], "s": [x.sum(axis=0).tolist()], "q": [(x.T @ x).reshape(-1).tolist()]})
+                x = x if within is None else x[within(x)]
+                sums = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).reshape(-1)])
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    # a task's sums, of the size of a covariance matrix, added up by place
+    sums = np.array([r[1] for r in rows.select("features").mapInPandas(partial, "i long, v double").groupBy("i").agg(F.sum("v")).orderBy("i").collect()])
+    if not len(sums) or not sums[0]:
+        return 0, np.empty(0), np.empty((0, 0))
+    d = int((math.isqrt(4 * len(sums) - 3) - 1) // 2)
+    n, mean = sums[0], sums[1 : d + 1] / sums[0]
+    return int(n), mean, sums[d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
+
+
+class _Shape:
+    """Distances from a mean in the directions in which data with this covariance spread at all."""
+
+    def __init__(self, mean: np.ndarray, cov: np.ndarray):
+        size, vectors = np.linalg.eigh(cov)
+        some = size > max(size[-1], 0) * 1e-10
+        self.mean, self.rank = mean, int(some.sum())
+        self.axes = vectors[:, some] / np.sqrt(size[some])
+        self.volume = float(np.log(size[some]).sum())
 
-    # one row per batch, each of the size of a covariance matrix, summed by place
-    parts = rows.select("features").mapInPandas(partial, "n double, s array<double>, q array<double>")
-    n = parts.agg(F.sum("n")).first()[0]
-    sums = {c: np.array([r[1] for r in parts.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v")).orderBy("i").collect()]) for c in ("s", "q")}
-    mean = sums["s"] / n
-    return mean, sums["q"].reshape(len(mean), -1) / n - np.outer(mean, mean)
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """Squared."""
+        return (((x - self.mean) @ self.axes) ** 2).sum(axis=1)
 
 
-def mahalanobis_outliers(df: DataFrame, contamination: float = 0.1) -> DataFrame:
-    """The share ``contamination`` with the largest robust distance: mean and covariance again without the farthest quarter."""
+def chi2_quantile(p: float, d: int) -> float:
+    """Quantile of the chi-squared distribution, by its cube root's normal approximation."""
+    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * d))) ** 3
 
-    def distance(mean: np.ndarray, cov: np.ndarray):
-        inverse = np.linalg.pinv(cov)
-        return lambda x: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
 
-    first = _scored(df, distance(*_moments(df)))
-    cut = first.agg(F.percentile_approx("score", F.lit(0.75))).first()[0]
-    core = df.join(first.filter(F.col("score") <= cut).select(SENSOR, "idx"), [SENSOR, "idx"])
-    scores = _scored(df, distance(*_moments(core)))
-    limit = scores.agg(F.percentile_approx("score", F.lit(1 - contamination), F.lit(100_000))).first()[0]
-    return _flagged(scores, F.col("score") > limit)
+def _starts(x: np.ndarray, share: float, seed: int, starts: int, best: int) -> list[_Shape]:
+    """The tightest shapes that hold ``share`` of a sample, from many small random starts."""
+    rng, h = np.random.default_rng(seed), max(int(np.ceil(share * len(x))), 2)
+
+    def tighter(shape: _Shape, steps: int) -> _Shape:
+        for _ in range(steps):
+            near = x[np.argpartition(shape.distance(x), h - 1)[:h]]
+            shape = _Shape(near.mean(axis=0), np.cov(near.T, bias=True).reshape(x.shape[1], -1))
+        return shape
+
+    rank = _Shape(x.mean(axis=0), np.cov(x.T, bias=True).reshape(x.shape[1], -1)).rank
+    few = [x[rng.choice(len(x), min(rank + 1, len(x)), replace=False)] for _ in range(starts)]
+    shapes = sorted((tighter(_Shape(f.mean(axis=0), np.cov(f.T, bias=True).reshape(x.shape[1], -1)), 2) for f in few), key=lambda s: (-s.rank, s.volume))[:best]
+    return sorted((tighter(s, 20) for s in shapes), key=lambda s: (-s.rank, s.volume))
+
+
+def robust_shape(df: DataFrame, share: float = 0.5, seed: int = 0, starts: int = 200, best: int = 10, finalists: int = 2, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) that up to ``1 - share`` of the windows can't bend: the least determinant of ``share`` of them.
+
+    Starts of as many random windows as the rank needs concentrate on a bounded sample (REFERENCE): each step keeps
+    the nearest and takes their mean and covariance. The ``finalists`` of least determinant then concentrate on all windows, whose
+    distances are cut at their exact quantile, until the determinant falls no more. The best is scaled to the median distance of normal data, and once
+    more fitted to all windows within its 97.5 % ellipsoid.
+    """
+    sample = _sample(df, REFERENCE, seed)
+    if len(sample) < 2:
+        raise ValueError("at least two windows are needed")
+    results = []
+    for shape in _starts(sample, share, seed, starts, best)[:finalists]:
+        for _ in range(steps):
+            cut = exact_quantiles(_scored(df, shape.distance), "score", (share,))[0]
+            _, mean, cov = _moments(df, lambda x, s=shape, c=cut: s.distance(x) <= c)
+            new = _Shape(mean, cov)
+            done = new.rank < shape.rank or new.volume >= shape.volume - 1e-9
+            shape, final = new, (mean, cov)
+            if done:
+                break
+        results.append((-shape.rank, shape.volume, final))
+    mean, cov = min(results, key=lambda r: r[:2])[2]
+    shape = _Shape(mean, cov)
+    cov = cov * exact_quantiles(_scored(df, shape.distance), "score", (0.5,))[0] / chi2_quantile(0.5, max(shape.rank, 1))
+    shape, limit = _Shape(mean, cov), chi2_quantile(0.975, max(shape.rank, 1))
+    n, again, spread = _moments(df, lambda x: shape.distance(x) <= limit)
+    return (again, spread) if n > len(mean) else (mean, cov)
+
+
+def mahalanobis_outliers(df: DataFrame, contamination: float = 0.1, share: float = 0.5, seed: int = 0) -> DataFrame:
+    """The share ``contamination`` of windows with the largest squared distance from a robust mean and covariance."""
+    df = _kept(df)
+    if df.isEmpty():
+        return _flagged(_scored(df, lambda x: np.zeros(len(x))), F.lit(False))
+    mean, cov = robust_shape(df, share, seed) if df.limit(2).count() > 1 else (np.zeros(len(df.first()["features"])), np.zeros((1, 1)))
+    scores = _scored(df, _Shape(mean, cov).distance if len(cov) == len(mean) else lambda x: np.zeros(len(x)))
+    return _flagged(scores, F.col("score") > F.lit(exact_quantiles(scores, "score", (1 - contamination,))[0]))
 
 
 def channel_distance(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -157,15 +235,17 @@ def reconstruction_outliers(df: DataFrame, k: int = 32, q: float = 0.95) -> Data
     As many components as the data's rank rebuild every window, so that errors are rounding only: more
     than half the rank is an error.
     """
-    mean, cov = _moments(df)
+    df = _kept(df)
+    n, mean, cov = _moments(df)
+    if not n:
+        return _flagged(_scored(df, lambda x: np.zeros(len(x))), F.lit(False))
     size, vectors = np.linalg.eigh(cov)
     rank = int((size > max(size[-1], 0) * 1e-9).sum())
     if 2 * k > rank:
         raise ValueError(f"{k} components for windows of rank {rank}: at most half the rank")
     basis = vectors[:, -k:]
     scores = _scored(df, lambda x: ((x - mean - (x - mean) @ basis @ basis.T) ** 2).mean(axis=1))
-    limit = scores.agg(F.percentile_approx("score", F.lit(q), F.lit(100_000))).first()[0]
-    return _flagged(scores, F.col("score") > limit)
+    return _flagged(scores, F.col("score") > F.lit(exact_quantiles(scores, "score", (q,))[0]))
 
 
 ALGORITHMS = {

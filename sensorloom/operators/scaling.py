@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import CHANNELS, SENSOR, by_time, coerce_numeric
+from ..functions.quantiles import exact_quantiles
 
-#: Target ranges of synthetic channels.
+# Target ranges of synthetic channels.
 RANGES = {"value_temp": (0.0, 30.0), "value_hum": (0.0, 100.0), "value_acid": (2.5, 4.0)}
 
 
@@ -59,12 +60,13 @@ def channel_stats(df: DataFrame, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
 
 
 def describe_channel(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Count, mean, deviation, limits and quartiles; approximate quartiles for large tables."""
-    quartile = (lambda q: F.percentile(col, F.lit(q))) if exact else (lambda q: F.percentile_approx(col, F.lit(q)))
-    return df.agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("low"),
-        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(col).alias("high"),
-    )
+    """Count, mean, deviation, limits and quartiles; exact ones by counting in finer and finer ranges, or approximate ones in one pass."""
+    at = dict(zip(("q25", "q50", "q75"), (0.25, 0.5, 0.75)))
+    known = dict(zip(at, exact_quantiles(df, col, tuple(at.values())))) if exact else {}
+    quartiles = {n: F.lit(known[n]).cast("double") if exact else F.percentile_approx(col, F.lit(q)) for n, q in at.items()}
+    rows = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("low"), *[v.alias(n) for n, v in quartiles.items() if not exact], F.max(col).alias("high"))
+    rows = rows.withColumns(quartiles) if exact else rows
+    return rows.select("n", "mean", "std", "low", *at, "high")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
@@ -89,8 +91,8 @@ def jump_thresholds(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value
 
 def flag_above_quantile(df: DataFrame, col: str, q: float = 0.95, exact: bool = True) -> DataFrame:
     """Rows over a quantile of the whole column."""
-    cut = df.agg((F.percentile(col, F.lit(q)) if exact else F.percentile_approx(col, F.lit(q))).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("is_above", F.col(col) > F.col("__cut")).drop("__cut")
+    cut = exact_quantiles(df, col, (q,))[0] if exact else df.agg(F.percentile_approx(col, F.lit(q))).first()[0]
+    return df.withColumn("is_above", F.col(col) > F.lit(cut).cast("double"))
 
 
 def class_counts(df: DataFrame, col: str = "label") -> DataFrame:

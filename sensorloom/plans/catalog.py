@@ -339,12 +339,14 @@ add("fed8_int8", lambda d: FD.quantize_i8(d).select("client_id", F.posexplode("w
 SPEC = [{"units": 8, "activation": "relu"}, {"units": 1, "activation": "sigmoid"}]
 
 
-def _train(d: DataFrame) -> DataFrame:
+def _train(d: DataFrame, variant: str, rounds: int = 5) -> DataFrame:
     data = FD.training_table(A.minmax_scale(d), _jumps(d)).withColumn("client_id", F.col("sensor_id"))
-    return FD.federated_train(data, SPEC, variant="int8")[1]
+    return FD.federated_train(data, SPEC, rounds, variant)[1]
 
 
-add("fed9_rounds", _train)
+add("fed9_rounds", lambda d: _train(d, "int8"))
+add("fed9_partial", lambda d: _train(d, "partial", 2))
+add("fed6_weighted_by_work", lambda d: _exploded(FD.fed_avg(d.withColumn("client_id", F.col("client_id")).join(FD.work_of([0], d.select("client_id")).select("client_id", "work"), "client_id"), "work")), f"""WITH {UP.replace("1 + vec_id % 7 AS n", f"5 + CAST(floor(6 * {DRAW(0, 'CAST(vec_id AS VARCHAR)', "'0'")}) AS BIGINT) AS n")} SELECT CAST(round AS BIGINT) AS round, pos, {num('sum(n * CAST(v AS DOUBLE)) / sum(n)')} AS v FROM u GROUP BY ALL""", ad.updates)
 add("fed10_training_table", lambda d: FD.training_table(d, _jumps(d)).select("sensor_id", "idx", "label", F.element_at("features", -1).alias("z")), f"WITH {THR}, y AS (SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}), x AS (SELECT sensor_id, idx, lead(value_acid, 19) OVER (PARTITION BY sensor_id ORDER BY idx) AS v FROM i) SELECT y.sensor_id, y.idx, y.label, {num('v')} AS z FROM y JOIN x USING (sensor_id, idx)")
 add("fed11_balance", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d)), None, keys=("row_no",)).select("row_no", "label"), f"WITH {ad.I}, x AS (SELECT row_no, {RANGE} AS label FROM i) SELECT row_no, label FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_no) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM x GROUP BY label))")
 add("fed11_balance_hashed", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d))).groupBy("label").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I}, x AS (SELECT {RANGE} AS label FROM i), c AS (SELECT label, count(*) AS c FROM x GROUP BY 1) SELECT label, (SELECT min(c) FROM c) AS n FROM c")
@@ -356,6 +358,13 @@ add("met2_binary", lambda d: M.binary_metrics(d), f"""WITH {ad.P}, q AS (SELECT
  c AS (SELECT score, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM p GROUP BY 1), w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
  SELECT {num('avg(CASE WHEN y_true = hit THEN 1.0 ELSE 0.0 END)')} AS accuracy, {num('sum(y_true * hit) / CAST(sum(hit) AS DOUBLE)')} AS "precision", {num('sum(y_true * hit) / CAST(sum(y_true) AS DOUBLE)')} AS recall,
  {num('-avg(y_true * ln(g) + (1 - y_true) * ln(1 - g))')} AS log_loss, (SELECT {num('sum(pos * (below + neg / CAST(2 AS DOUBLE))) / CAST(sum(pos) * sum(neg) AS DOUBLE)')} FROM w) AS auc FROM q""", ad.predictions)
+# per client and round, which come from the documents' ids
+BY = ("client_id", "round")
+add("met2_by_client_and_round", lambda d: M.binary_metrics(d.withColumns({"client_id": F.col("idx") % 10, "round": F.floor(F.col("idx") / 10) % 3}), BY), f"""WITH {ad.P}, e AS (SELECT *, idx % 10 AS client_id, (idx // 10) % 3 AS round FROM p), q AS (SELECT *, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS hit, greatest(least(score, 1 - CAST(1e-7 AS DOUBLE)), CAST(1e-7 AS DOUBLE)) AS g FROM e),
+ c AS (SELECT client_id, round, score, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM e GROUP BY ALL), w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY client_id, round ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+ a AS (SELECT client_id, round, sum(pos * (below + neg / CAST(2 AS DOUBLE))) / nullif(CAST(sum(pos) * sum(neg) AS DOUBLE), 0) AS auc FROM w GROUP BY ALL)
+ SELECT client_id, round, {num('avg(CASE WHEN y_true = hit THEN 1.0 ELSE 0.0 END)')} AS accuracy, {num('sum(y_true * hit) / nullif(CAST(sum(hit) AS DOUBLE), 0)')} AS "precision", {num('sum(y_true * hit) / nullif(CAST(sum(y_true) AS DOUBLE), 0)')} AS recall,
+ {num('-avg(y_true * ln(g) + (1 - y_true) * ln(1 - g))')} AS log_loss, {num('any_value(auc)')} AS auc FROM q JOIN a USING (client_id, round) GROUP BY ALL""", ad.predictions)
 add("met3_mse", lambda d: M.mse(d, pred="score"), f"WITH {ad.P} SELECT {num('avg((y_true - score) * (y_true - score))')} AS mse FROM p", ad.predictions)
 add("met4_positives", lambda d: M.positives(d, d.select("sensor_id", "idx", F.col("score").alias("value"))).select("idx", "kind", "value"), f"WITH {ad.P} SELECT idx, 'true' AS kind, {num('score')} AS value FROM p WHERE y_true = 1 UNION ALL SELECT idx, 'predicted', {num('score')} FROM p WHERE score > 0.5", ad.predictions)
 

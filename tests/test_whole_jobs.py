@@ -89,3 +89,39 @@ def test_rounds_have_a_client_for_each_sensor(spark):
     got = catalog.QUERIES["fed9_rounds"](spark, sf)
     sensors = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().filter("count > 20").count()
     assert got.select("client_id").distinct().count() == sensors and got.select("round").distinct().count() == 5
+
+
+def loop_partial(x, y, work, rows, start, spec):
+    """Weights of a client after ``work - 1`` batches of ``rows`` rows, each a row further on."""
+    weights = [w.copy() for w in start]
+    return K.train_batches([(x[b : b + rows], y[b : b + rows]) for b in range(work - 1) if b < len(x)], weights, spec)
+
+
+def test_partial_rounds(spark):
+    """A round is the mean of what its clients' batches make of the model, by their work."""
+    rng = np.random.default_rng(3)
+    spec = [{"units": 3, "activation": "relu"}, {"units": 1, "activation": "sigmoid"}]
+    clients = {c: (rng.normal(size=(n, 4)), rng.integers(0, 2, n).astype(float)) for c, n in (("a", 80), ("b", 30), ("c", 3))}
+    d = spark.createDataFrame([(c, i, v.tolist(), float(t)) for c, (x, y) in clients.items() for i, (v, t) in enumerate(zip(x, y))], "client_id string, idx int, features array<double>, label double").repartition(3)
+    got, table = FD.federated_train(d, spec, 2, "partial")
+    work = {(r["round"], r["client_id"]): r["work"] for r in FD.work_of([0, 1], spark.createDataFrame([(c,) for c in clients], "client_id string")).collect()}
+    assert set(work.values()) <= set(range(5, 11)) and len(work) == 6
+    weights = K.initial_weights(4, spec)
+    for r in range(2):
+        own = {c: loop_partial(x, y, work[r, c], 50, weights, spec) for c, (x, y) in clients.items()}
+        weights = [sum(work[r, c] * own[c][i] for c in clients) / sum(work[r, c] for c in clients) for i in range(len(weights))]
+    assert all(np.allclose(a, b) for a, b in zip(got, weights))
+    rows = {(r["round"], r["client_id"]): r for r in table.collect()}
+    assert {k: r["work"] for k, r in rows.items()} == work
+    for c, (x, y) in clients.items():
+        p = K.dense_forward(x, weights, spec)[-1].reshape(-1)
+        r = rows[1, c]
+        pos, neg = p[y == 1], p[y == 0]
+        area = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]) if len(pos) and len(neg) else None
+        assert np.isclose(r["accuracy"], ((p > 0.5) == y).mean()) and (r["auc"] is None if area is None else np.isclose(r["auc"], area))
+
+
+def test_no_clients(spark):
+    none = spark.createDataFrame([], "client_id string, idx int, features array<double>, label double")
+    weights, table = FD.federated_train(none, [{"units": 1, "activation": "sigmoid"}])
+    assert weights == [] and table.count() == 0
