@@ -99,9 +99,9 @@ def balance_classes(df: DataFrame, seed: int | None = 0, label: str = "label", k
         rows.write.parquet(path)
         rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     else:
-        h = F.xxhash64(*keys, F.lit(seed))
-        order = [h, *[F.col(k) for k in keys]]
-        rows = df.withColumn("__b", F.pmod(F.shiftright(h, 20), F.lit(256)))
+        draw = uniform(seed, *keys)
+        order = [draw, *[F.col(k) for k in keys]]
+        rows = df.withColumn("__b", F.floor(draw * 256))
     sizes = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = rows.join(before, [label, "__b"]).withColumn("__rn", F.row_number().over(Window.partitionBy(label, "__b").orderBy(*order)) + F.col("__before"))

@@ -78,6 +78,18 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("src2_base_name", lambda d: d.select("row_no", C.base_name(F.concat(F.lit("/in/df_"), "sensor_id", F.lit("_CLEAN.csv"))).alias("base")), f"WITH {ad.R} SELECT row_no, 'df_' || sensor_id AS base FROM r")
+
+
+@query("src2_pick_files", f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('second', time)")} AS time, {', '.join(f'{num(c)} AS {c}' for c in CH)} FROM r WHERE CAST(sensor_id AS BIGINT) % 2 = 0")
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two kinds are written, those of one are read."""
+    path = IO.shared_path(spark, "files")
+    kind = F.when(F.col("sensor_id").cast("long") % 2 == 0, "_CLEAN.csv").otherwise("_GENERATED.csv")
+    rows = C.format_time(ad.readings(spark, sf_dir)).select("time", *CH, F.concat("sensor_id", kind).alias("file"))
+    rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    return IO.read_picked(spark, path)
+
+
 add("src3_union_readings", lambda d: IO.union_readings(d.filter("row_no % 2 = 0"), d.filter("row_no % 2 = 1")).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value_temp").alias("total")), f"WITH {ad.R} SELECT sensor_id, count(*) AS n, {num('sum(value_temp)')} AS total FROM r GROUP BY 1")
 
 
@@ -115,7 +127,7 @@ add("prj8_long_segments", lambda d: C.filter_long_segments(seg(d), 5).select("ro
 add("prj9_drop_incomplete", lambda d: C.drop_incomplete_series(d.withColumn("value_temp", F.when(F.col("row_no") % 97 != 0, F.col("value_temp"))), ["value_temp", "value_hum"]).select("row_no"), f"WITH {ad.R} SELECT row_no FROM r WHERE sensor_id NOT IN (SELECT sensor_id FROM r WHERE row_no % 97 = 0)")
 add("prj10_slice_range", lambda d: C.slice_range(C.with_idx(d), 3, 40).select("row_no", "idx"), f"WITH {ad.I} SELECT row_no, idx FROM i WHERE idx > 3 AND idx < 40")
 add("prj11_clip", lambda d: C.clip(d.withColumn("value_hum", F.col("value_hum") - 50), "value_hum").select("row_no", "value_hum"), f"WITH {ad.R} SELECT row_no, {num('greatest(value_hum - 50, 0)')} AS value_hum FROM r")
-add("prj12_long_and_wide", lambda d: C.to_wide(C.to_long(d)), f"WITH {ad.R} SELECT sensor_id, row_no, {us('time')} AS time, {', '.join(f'{num(c)} AS {c}' for c in CH)} FROM r")
+add("prj12_long_and_wide", lambda d: C.to_wide(C.to_long(d).withColumn("value", F.when(F.col("channel") == "value_hum", F.col("value") * 2).when(F.col("channel") != "value_PV", F.col("value")))), f"WITH {ad.R} SELECT sensor_id, row_no, {us('time')} AS time, {num('value_temp')} AS value_temp, {num('value_hum * 2')} AS value_hum, {num('value_acid')} AS value_acid, CAST(NULL AS DOUBLE) AS value_PV FROM r")
 
 # segments
 MIN = "(epoch_us({b}) - epoch_us({a})) / CAST(60000000 AS DOUBLE)"
@@ -188,7 +200,8 @@ add("agg2_rollup", lambda d: A.min_max(d, rollup=True), f"WITH {ad.R} SELECT sen
 OVER = "(PARTITION BY sensor_id)"
 add("agg3_scale", lambda d: A.minmax_scale(d).select("row_no", *CH), f"WITH {ad.R} SELECT row_no, {', '.join(f'{num(f'coalesce(({c} - min({c}) OVER {OVER}) / nullif(max({c}) OVER {OVER} - min({c}) OVER {OVER}, 0), 0)')} AS {c}' for c in CH)} FROM r")
 add("agg3_scale_global", lambda d: A.minmax_scale(d, scope="global").select("row_no", *CH), f"WITH {ad.R} SELECT row_no, {', '.join(f'{num(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())')} AS {c}' for c in CH)} FROM r")
-add("agg4_inverse", lambda d: A.minmax_inverse(A.minmax_scale(d), A.limits_of(d, CH)).select("row_no", *CH), f"WITH {ad.R} SELECT row_no, {', '.join(f'{num(c)} AS {c}' for c in CH)} FROM r")
+# halfway between the scaled value and the lower limit
+add("agg4_inverse", lambda d: A.minmax_inverse(A.minmax_scale(d).withColumns({c: F.col(c) / 2 for c in CH}), A.limits_of(d, CH)).select("row_no", *CH), f"WITH {ad.R} SELECT row_no, {', '.join(f'{num(f'({c} + min({c}) OVER {OVER}) / 2')} AS {c}' for c in CH)} FROM r")
 add("agg5_rescale", lambda d: A.rescale_to_range(d).select("row_no", *A.RANGES), f"WITH {ad.R} SELECT row_no, {', '.join(f'{num(f'coalesce(({c} - min({c}) OVER {OVER}) / nullif(max({c}) OVER {OVER} - min({c}) OVER {OVER}, 0), 0) * {hi - lo} + {lo}')} AS {c}' for c, (lo, hi) in A.RANGES.items())} FROM r")
 add("agg6_channel_stats", lambda d: A.channel_stats(d), f"WITH {ad.R} SELECT sensor_id, {', '.join(f'{num(f'{g}({c})')} AS {n}_{c}' for c in CH for n, g in (('min', 'min'), ('max', 'max'), ('mean', 'avg'), ('std', 'stddev_samp')))} FROM r GROUP BY 1")
 add("agg7_describe", lambda d: A.describe_channel(d, "value_temp"), f"WITH {ad.R} SELECT count(*) AS n, {num('avg(value_temp)')} AS mean, {num('stddev_samp(value_temp)')} AS std, {num('min(value_temp)')} AS low, {', '.join(f'{num(f'quantile_cont(value_temp, {q / 100})')} AS q{q}' for q in (25, 50, 75))}, {num('max(value_temp)')} AS high FROM r")
@@ -254,6 +267,7 @@ def _flat(size: int, drop: int, cols=("value_temp", "value_hum", "value_acid"),
 
 add("win1_flat", lambda d: W.sliding_windows(d).select("sensor_id", "idx", F.size("features").alias("n"), _all_values(F.col("features"))), f"WITH {ad.I}, {_totals('30 * {c} + {k}')} SELECT sensor_id, idx, CAST(90 AS BIGINT) AS n, total FROM t")
 add("win2_rows", lambda d: W.sliding_windows(d, layout="rows").select("sensor_id", "idx", F.size("features").alias("n"), _all_values(F.flatten("features"))), f"WITH {ad.I}, {_totals('{c} + 3 * {k}')} SELECT sensor_id, idx, CAST(30 AS BIGINT) AS n, total FROM t")
+add("win9_flatten_rows", lambda d: W.flatten_window(W.sliding_windows(d, layout="rows")).select("sensor_id", "idx", _all_values(F.col("features"))), f"WITH {ad.I}, {_totals('{c} + 3 * {k}')} SELECT sensor_id, idx, total FROM t")
 add("win3_drop_last", lambda d: _digest(W.sliding_windows(A.minmax_scale(d, scope="global"), 20, drop_last=True), "sensor_id", "idx"), f"WITH {ad.I.replace('FROM r WINDOW', 'FROM g WINDOW').replace(', i AS', ', g AS (SELECT sensor_id, row_no, time, ' + ', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}' for c in CH) + ' FROM r), i AS', 1)}, x AS (SELECT sensor_id, idx, n AS total, {_flat(20, 1)} FROM i) SELECT sensor_id, idx, CAST(n AS BIGINT) AS n, a, z, m FROM x WHERE idx < total - 20")
 add("win4_within_segments", lambda d: W.sliding_windows(seg(d), 5, within="seg_id").select("sensor_id", "seg_id", "idx", F.element_at("features", -1).alias("z")), f"WITH {ad.S}, x AS (SELECT sensor_id, seg_id, row_number() OVER w - 1 AS idx, lead(value_acid, 4) OVER w AS v, count(*) OVER (PARTITION BY sensor_id, seg_id) AS total FROM s WINDOW w AS (PARTITION BY sensor_id, seg_id ORDER BY time, row_no)) SELECT sensor_id, seg_id, idx, {num('v')} AS z FROM x WHERE idx <= total - 5")
 add("win5_target", lambda d: W.with_target(W.sliding_windows(d, layout="rows")).select("sensor_id", "idx", F.get("target", 0).alias("temp"), F.get("target", 2).alias("acid")), f"WITH {ad.I}, x AS (SELECT sensor_id, idx, n AS total, lead(value_temp, 29) OVER w AS t, lead(value_acid, 29) OVER w AS c FROM i WINDOW w AS (PARTITION BY sensor_id ORDER BY idx)) SELECT sensor_id, idx, {num('t')} AS temp, {num('c')} AS acid FROM x WHERE idx <= total - 30")
@@ -316,11 +330,12 @@ def _forecast(d: DataFrame, channel: str) -> DataFrame:
 
 
 add("for3_combine", lambda d: FC.combine_forecasts(*[_daily(d, c) for c in W.SAMPLE]), f"WITH {ad.R} SELECT sensor_id, {us("date_trunc('day', time)")} AS time, {', '.join(f'{num(f'max({c})')} AS {c}' for c in W.SAMPLE)} FROM r GROUP BY sensor_id, date_trunc('day', time)")
+add("for3_combine_channels", lambda d: FC.combine_channels(C.to_long(d, W.SAMPLE).groupBy("sensor_id", F.date_trunc("day", "time").alias("time"), "channel").agg(F.max("value").alias("value"))), ORACLES["for3_combine"])
 add("for3_combine_forecasts", lambda d: FC.combine_forecasts(*[_forecast(d, c) for c in W.SAMPLE]))
 
 # federated averaging
 add("fed1_clients", lambda d: FD.assign_clients(C.with_idx(d), 10, "sensor_id").select("row_no", "client_id"), f"WITH {ad.I} SELECT row_no, CAST(idx // (n // 10) AS BIGINT) AS client_id FROM i WHERE idx // (n // 10) < 10")
-add("fed2_client_samples", lambda d: FD.client_samples(W.sliding_windows(d)).groupBy("client_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I} SELECT sensor_id AS client_id, count(*) AS n FROM i WHERE idx <= n - 30 AND idx < 1500 GROUP BY 1")
+add("fed2_client_samples", lambda d: FD.client_samples(W.sliding_windows(d), 40).select("client_id", "idx", _all_values(F.col("features"))), f"WITH {ad.I}, {_totals('30 * {c} + {k}')} SELECT sensor_id AS client_id, idx, total FROM t WHERE idx < 40")
 UP = "u AS (SELECT label AS round, vec_id, 1 + vec_id % 7 AS n, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings)"
 
 
@@ -349,7 +364,7 @@ add("fed9_partial", lambda d: _train(d, "partial", 2))
 add("fed6_weighted_by_work", lambda d: _exploded(FD.fed_avg(d.withColumn("client_id", F.col("client_id")).join(FD.work_of([0], d.select("client_id")).select("client_id", "work"), "client_id"), "work")), f"""WITH {UP.replace("1 + vec_id % 7 AS n", f"5 + CAST(floor(6 * {DRAW(0, 'CAST(vec_id AS VARCHAR)', "'0'")}) AS BIGINT) AS n")} SELECT CAST(round AS BIGINT) AS round, pos, {num('sum(n * CAST(v AS DOUBLE)) / sum(n)')} AS v FROM u GROUP BY ALL""", ad.updates)
 add("fed10_training_table", lambda d: FD.training_table(d, _jumps(d)).select("sensor_id", "idx", "label", F.element_at("features", -1).alias("z")), f"WITH {THR}, y AS (SELECT i.sensor_id, i.idx, CAST(max(CASE WHEN e IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS label {MARK}), x AS (SELECT sensor_id, idx, lead(value_acid, 19) OVER (PARTITION BY sensor_id ORDER BY idx) AS v FROM i) SELECT y.sensor_id, y.idx, y.label, {num('v')} AS z FROM y JOIN x USING (sensor_id, idx)")
 add("fed11_balance", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d)), None, keys=("row_no",)).select("row_no", "label"), f"WITH {ad.I}, x AS (SELECT row_no, {RANGE} AS label FROM i) SELECT row_no, label FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_no) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM x GROUP BY label))")
-add("fed11_balance_hashed", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d))).groupBy("label").agg(F.count(F.lit(1)).alias("n")), f"WITH {ad.I}, x AS (SELECT {RANGE} AS label FROM i), c AS (SELECT label, count(*) AS c FROM x GROUP BY 1) SELECT label, (SELECT min(c) FROM c) AS n FROM c")
+add("fed11_balance_hashed", lambda d: FD.balance_classes(L.label_by_range(C.with_idx(d))).select("row_no", "label"), f"WITH {ad.I}, x AS (SELECT row_no, {RANGE} AS label, {DRAW(0, 'sensor_id', 'idx')} AS h FROM i) SELECT row_no, label FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY h) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM x GROUP BY label))")
 add("fed12_batches", lambda d: FD.make_batches(C.with_idx(d), 2, 40, None).select("row_no", "epoch", "batch"), f"WITH {ad.I} SELECT row_no, e AS epoch, idx // 40 AS batch FROM i, unnest([1::BIGINT, 2::BIGINT]) u(e)")
 
 # metrics
@@ -427,13 +442,28 @@ stream("str8_drop_resent_live", ORACLES["str8_drop_resent"], lambda d: live.drop
 
 @query("str6_collect_updates", f"WITH {UP} SELECT CAST(round AS BIGINT) AS round, pos, {num('avg(CAST(v AS DOUBLE))')} AS v FROM u GROUP BY ALL HAVING count(*) >= 48")
 def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates of all clients as they arrive; rounds with 48 clients pass their means on."""
+    """Updates as JSON files that come in two parts, the first sent again, some lines broken; rounds with 48 clients pass their means on."""
     path = IO.shared_path(spark, "updates")
-    file = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = ad.as_updates(spark.readStream.schema(file.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)).drop("n")
+    rows = ad.updates(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("round").orderBy(F.col("client_id").cast("long")))
+    bodies = IO.format_updates(rows.withColumn("late", place > 47)).select("late", F.explode(F.when(F.col("n") == 1, F.array("body", F.expr("left(body, 40)"))).otherwise(F.array("body"))).alias("body"))
+    parts = bodies.filter("not late").select("body"), bodies.select("body")
 
     def done(means: DataFrame, number: int) -> None:
         means.write.mode("overwrite").parquet(f"{path}/means/{number}")
 
-    live.collect_updates(rows, f"{path}/kept", 48, done, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return _exploded(spark.read.schema(f"round {dict(rows.dtypes)['round']}, layer int, weights array<double>").parquet(f"{path}/means/*"))
+    spark.createDataFrame([], "body string").write.text(f"{path}/in")
+    for part in parts:
+        part.write.mode("append").text(f"{path}/in")
+        stream = IO.well_formed(IO.read_updates(spark, f"{path}/in", 1000))
+        live.collect_updates(stream, f"{path}/kept", 48, done, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _exploded(spark.read.schema("round int, layer int, weights array<double>").parquet(f"{path}/means/*"))
+
+
+@query("src6_malformed_updates", f"SELECT count(*) AS n, CAST(sum(CAST(vec_id % 7 = 0 AS INTEGER)) AS BIGINT) AS n_malformed FROM embeddings")
+def _malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies written as they are sent, those of every seventh client cut short, and read again."""
+    path = IO.shared_path(spark, "bodies")
+    rows = IO.format_updates(ad.updates(spark, sf_dir))
+    rows.select(F.when(F.col("n") == 1, F.expr("left(body, 40)")).otherwise(F.col("body"))).write.text(path)
+    return IO.read_updates(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_malformed").alias("n_malformed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 from uuid import uuid4
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import CHANNELS, SENSOR, base_name, parse_time
 
+UPDATE = "round int, client_id string, layer int, weights array<double>"
 READING = "time string, " + ", ".join(f"{c} double" for c in CHANNELS)
 
 
@@ -17,7 +19,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
@@ -36,6 +38,16 @@ def read_readings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFr
     return parse_time(numbered.withColumn(SENSOR, sensor)).drop("file_name", "file_block_start")
 
 
+def read_picked(spark: SparkSession, path: str, suffix: str = "_CLEAN.csv") -> DataFrame:
+    """Sensor files of a folder whose name ends with ``suffix``; the sensor is what stands before it.
+
+    A file may be a folder of parts, as Spark writes it; only those that fit are listed. Folders of a table partitioned by ``file`` are read likewise.
+    """
+    rows = spark.read.schema(READING).option("header", True).csv(f"{path.rstrip('/')}/*{suffix}")
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), f"([^/=]+){re.escape(suffix)}(/[^/]*)?$", 1)
+    return parse_time(rows.withColumn(SENSOR, name)).select(SENSOR, "time", *CHANNELS)
+
+
 def union_readings(*tables: DataFrame) -> DataFrame:
     """All rows of several tables, columns by name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
@@ -58,11 +70,27 @@ def parse_updates(df: DataFrame, col: str = "body") -> DataFrame:
     return df.withColumn("weights", F.from_json(col, "struct<weights: array<double>>")["weights"])
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """Client updates from files of one JSON value per line."""
-    return parse_updates(spark.read.text(path).withColumnRenamed("value", "body"))
+def read_updates(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Client updates (round, client_id, layer, weights, body, is_malformed) from files of one JSON value per line.
+
+    With ``files_per_trigger`` as a stream that takes so many files at once. A body that isn't such JSON, or that lacks a key or a number, is
+    malformed: ``well_formed`` and ``malformed`` set both kinds apart.
+    """
+    lines = spark.read.text(path) if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    rows = lines.withColumnRenamed("value", "body").withColumn("u", F.from_json("body", UPDATE)).select("u.*", "body")
+    whole = F.forall("weights", lambda w: w.isNotNull() & ~F.isnan(w))
+    known = F.col("round").isNotNull() & F.col("client_id").isNotNull() & F.col("layer").isNotNull() & F.col("weights").isNotNull()
+    return rows.withColumn("is_malformed", ~F.coalesce(known & whole, F.lit(False)))
+
+
+def well_formed(updates: DataFrame) -> DataFrame:
+    return updates.filter(~F.col("is_malformed")).select("round", "client_id", "layer", "weights")
+
+
+def malformed(updates: DataFrame) -> DataFrame:
+    return updates.filter("is_malformed").select("body")
 
 
 def format_updates(df: DataFrame) -> DataFrame:
     """The wire form of client updates."""
-    return df.withColumn("body", F.to_json(F.struct("weights")))
+    return df.withColumn("body", F.to_json(F.struct("round", "client_id", "layer", "weights")))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sensorloom.sources import io as IO
 from sensorloom.streaming import live
 
 SCHEMA = "sensor_id string, row_no long, time timestamp, value_temp double, value_hum double"
@@ -117,3 +118,32 @@ def test_sessions_are_put_out_once(spark, tmp_path):
         out += rows
         assert state <= 2
     assert sorted((r["first_time"], r["last_time"], r["n_rows"]) for r in out) == [(at(0), at(30), 4), (at(200), at(205), 2)]
+
+
+def test_updates_as_json_files(spark, tmp_path):
+    """Files come a few at a time, one is sent twice; broken bodies are set apart, rounds pass their means on once."""
+    rows = [(r, c, 0, [float(r), float(ord(c))]) for r in (0, 1, 2) for c in "abc"]
+    bodies = [r["body"] for r in IO.format_updates(spark.createDataFrame(rows, IO.UPDATE)).orderBy("round", "client_id").collect()]
+    broken = ["", "{", '{"weights": [1]}', '{"round": 0, "client_id": "z", "layer": 0, "weights": [1, null]}', '{"round": "x", "client_id": "z", "layer": 0, "weights": [1]}', "[1, 2]"]
+    (tmp_path / "in").mkdir()
+    seen = []
+    for i, lines in enumerate((bodies[:4] + broken, bodies[2:7], bodies[:7], bodies[7:])):
+        for half in (0, 1):
+            (tmp_path / "in" / f"{i}{half}.json").write_text("\n".join(lines[half::2]))
+        stream = IO.read_updates(spark, str(tmp_path / "in"), 1)
+        query = live.collect_updates(IO.well_formed(stream), str(tmp_path / "kept"), 3, lambda m, number: seen.extend((r["round"], r["weights"]) for r in m.collect()), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert len(query.recentProgress) >= 2  # a file each
+    assert sorted(seen) == [(r, [float(r), 98.0]) for r in (0, 1, 2)]
+    files = IO.read_updates(spark, str(tmp_path / "in"))
+    assert sorted(r["body"] for r in IO.malformed(files).collect()) == sorted(broken)
+    assert {tuple(r["weights"]) for r in IO.well_formed(files).collect()} == {tuple(r[3]) for r in rows}
+
+
+def test_picked_files(spark, tmp_path):
+    head = "time,value_temp,value_hum,value_acid,value_PV\n2024-01-01T00:00:00Z,"
+    for name in ("df A_CLEAN.csv", "df_B_GENERATED.csv", "_CLEANER.csv"):
+        (tmp_path / name).write_text(head + f"{len(name)},2,3,4\n")
+    (tmp_path / "file=df_C_CLEAN.csv").mkdir()
+    (tmp_path / "file=df_C_CLEAN.csv" / "part-0.csv").write_text(head + "7,2,3,4\n")
+    assert {(r["sensor_id"], r["value_temp"]) for r in IO.read_picked(spark, str(tmp_path)).collect()} == {("df A", 14.0), ("df_C", 7.0)}
