@@ -8,7 +8,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import SENSOR
@@ -20,6 +19,8 @@ from ..sources.io import shared_path
 REFERENCE = 2048
 #: Windows that are compared with others as one matrix.
 BLOCK = 8192
+#: Principal components in which blocks of windows are told apart.
+COMPONENTS = 6
 
 
 def _sample(df: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -50,30 +51,121 @@ def isolation_forest(df: DataFrame, trees: int = 10, sample: int = 256, seed: in
     return _flagged(_scored(df, lambda v: isolation_score(v, forest, min(sample, max(len(x), 2)))), F.col("score") > 0.5)
 
 
-def _blocks(df: DataFrame, n: int) -> DataFrame:
-    """(block, sensors, idxs, x): about BLOCK windows a row, those of one hash block in order of keys; x is their packed matrix."""
+def _near_each_other(df: DataFrame, n: int) -> DataFrame:
+    """(block, low, high, sensors, idxs, x, at): about BLOCK windows a row that lie near each other, written once; x is their packed matrix.
+
+    Windows are cut at quantiles of their first principal component into slabs, each slab at quantiles of the second. A cell that holds more, as of
+    equal windows, is dealt over several blocks by hash. at holds their first COMPONENTS components, low and high the limits of these.
+    """
+    spark, cells = df.sparkSession, -(-n // BLOCK)
+    _, mean, cov = _moments(df)
+    basis = np.linalg.eigh(cov)[1][:, ::-1][:, :COMPONENTS]
+    slabs = max(1, math.isqrt(cells))
+    shares = lambda m: [i / m for i in range(1, m)]
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                at = (np.stack(rows["features"].to_list()).astype(float) - mean) @ basis
+                yield rows[[SENSOR, "idx", "features"]].assign(a=at[:, 0], b=at[:, min(1, at.shape[1] - 1)])
+
+    path = shared_path(spark, "components")
+    df.mapInPandas(placed, f"{SENSOR} string, idx int, features array<double>, a double, b double").write.parquet(path)
+    rows = spark.read.parquet(path)
+    first = np.array(rows.agg(F.percentile_approx("a", shares(slabs))).first()[0] if slabs > 1 else [])
+    per = max(1, -(-cells // slabs))
+
+    def slab(a: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(first, a.to_numpy()), dtype="int64")
+
+    rows = rows.withColumn("slab", F.pandas_udf(slab, "long")("a"))
+    second = {r[0]: np.array(r[1]) for r in rows.groupBy("slab").agg(F.percentile_approx("b", shares(per))).collect()} if per > 1 else {}
+
+    def cell(slab: pd.Series, b: pd.Series) -> pd.Series:
+        out = slab.to_numpy() * per
+        for s, cuts in second.items():
+            own = slab.to_numpy() == s
+            out[own] += np.searchsorted(cuts, b.to_numpy()[own])
+        return pd.Series(out)
+
+    rows = rows.withColumn("cell", F.pandas_udf(cell, "long")("slab", "b"))
+    sizes = sorted((r[0], -(-r[1] // BLOCK)) for r in rows.groupBy("cell").count().collect())
+    starts = np.cumsum([0, *(m for _, m in sizes)])
+    table = spark.createDataFrame([(int(c), int(s), int(m)) for (c, m), s in zip(sizes, starts)], "cell long, start long, parts long")
+    block = (F.col("start") + F.pmod(F.xxhash64(SENSOR, "idx"), F.col("parts"))).cast("int")
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([SENSOR, "idx"])
         x = np.stack(rows["features"].to_list()).astype(float)
-        return pd.DataFrame({"block": [key[0]], "sensors": [rows[SENSOR].to_list()], "idxs": [rows["idx"].to_list()], "x": [x.tobytes()]})
+        at = (x - mean) @ basis
+        return pd.DataFrame({"block": [key[0]], "low": [at.min(axis=0)], "high": [at.max(axis=0)], "sensors": [rows[SENSOR].to_list()], "idxs": [rows["idx"].to_list()], "x": [x.tobytes()], "at": [at.tobytes()]})
+
+    dealt = rows.join(F.broadcast(table), "cell").select(SENSOR, "idx", "features", block.alias("block"))  # a row for each BLOCK windows
+    schema = "block int, low array<double>, high array<double>, sensors array<string>, idxs array<int>, x binary, at binary"
+    path = shared_path(spark, "blocks")
+    dealt.groupBy("block").applyInPandas(pack, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _gap(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far each point is from a box, at least."""
+    return np.sqrt((np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1))
+
+
+def _meetings(blocks: DataFrame, k: int) -> DataFrame:
+    """(to, block, gap, windows): which blocks may hold one of the ``k`` nearest of windows of block ``to``, how far from these they are at least, and of how many windows.
 
-    block = F.pmod(F.xxhash64(SENSOR, "idx"), F.lit(-(-n // BLOCK))).cast("int")
-    return df.select(SENSOR, "idx", "features", block.alias("block")).groupBy("block").applyInPandas(pack, "block int, sensors array<string>, idxs array<int>, x binary")
+    A window's k-th neighbour within its own block bounds its true one; a block further off, in a few components already, can't hold a nearer one.
+    """
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                x = np.frombuffer(r.x).reshape(len(r.idxs), -1)
+                best, near = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+                merge_nearest(x, x, block_ids(r.block, len(x)), True, best, near)
+                yield pd.DataFrame({"block": [r.block], "low": [r.low], "high": [r.high], "at": [r.at], "reach": [best[:, -1].tobytes()]})
+
+    path = shared_path(blocks.sparkSession, "reach")
+    schema = "block int, low array<double>, high array<double>, at binary, reach binary"
+    blocks.mapInPandas(reach, schema).write.parquet(path)
+    boxes = blocks.sparkSession.read.schema(schema).parquet(path)
+    # a box for each BLOCK windows
+    known = boxes.select("block", "low", "high").toPandas().sort_values("block")
+    numbers, low, high = known["block"].to_numpy(), np.stack(known["low"].to_list()), np.stack(known["high"].to_list())
+    shared = blocks.sparkSession.sparkContext.broadcast((numbers, low, high))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, low, high = shared.value
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                reach = np.frombuffer(r.reach) * (1 + 1e-9)
+                at = np.frombuffer(r.at).reshape(len(reach), -1)
+                apart = np.sqrt((np.maximum(np.maximum(low - np.asarray(r.high), np.asarray(r.low) - high), 0) ** 2).sum(axis=1))
+                found = []
+                for i in np.flatnonzero(apart <= reach.max()).tolist():
+                    gaps = _gap(at, low[i], high[i])
+                    of = gaps <= reach
+                    if of.any():
+                        found.append((r.block, numbers[i], gaps[of].min(), int(of.sum())))
+                yield pd.DataFrame(found, columns=["to", "block", "gap", "windows"])
+
+    return boxes.mapInPandas(near, "to int, block int, gap double, windows long")
 
 
 def _nearest(df: DataFrame, n: int, k: int) -> DataFrame:
     """(id, sensor_id, idx, near, distance): the ids and distances of the ``k`` nearest other windows, nearest first.
 
-    Each block meets every block, its own first, and keeps a running top k.
+    Each block meets those that may be near enough, its own first, then by their least distance, and keeps a running top k; windows whose k-th distance by then
+    is less than that to the other block's limits are passed over.
     """
     # Python gets a few packed blocks at once, however many meet in a task
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    blocks = _blocks(df, n)
-    pairs = blocks.crossJoin(F.broadcast(blocks.sparkSession.range(-(-n // BLOCK)).select(F.col("id").cast("int").alias("to"))))
+    blocks = _near_each_other(df, n)
+    pairs = _meetings(blocks, k).join(blocks, "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own, best = None, None, None
+        at, own, best, places = None, None, None, None
 
         def done() -> Iterator[pd.DataFrame]:
             ids = block_ids(at, len(best[0]))
@@ -84,18 +176,22 @@ def _nearest(df: DataFrame, n: int, k: int) -> DataFrame:
         for rows in batches:
             for r in rows.itertuples(index=False):
                 x = np.frombuffer(r.x).reshape(len(r.idxs), -1)
-                if r.to != at and r.block != r.to:  # nothing is in the block, or its own row would come first
-                    continue
                 if r.to != at:
                     if at is not None:
                         yield from done()
-                    at, own = r.to, (x, list(r.sensors), list(r.idxs))
+                    at, own, places = r.to, (x, list(r.sensors), list(r.idxs)), np.frombuffer(r.at).reshape(len(x), -1)
                     best = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
-                merge_nearest(own[0], x, block_ids(r.block, len(x)), r.block == at, *best)
+                    merge_nearest(x, x, block_ids(r.block, len(x)), True, *best)
+                    continue
+                of = np.flatnonzero(_gap(places, np.asarray(r.low), np.asarray(r.high)) <= best[0][:, -1] * (1 + 1e-9))
+                if len(of):
+                    some = best[0][of], best[1][of]
+                    merge_nearest(own[0][of], x, block_ids(r.block, len(x)), False, *some)
+                    best[0][of], best[1][of] = some
         if at is not None:
             yield from done()
 
-    spread = pairs.repartition(max(-(-n // BLOCK), 1), "to").sortWithinPartitions("to", F.col("block") != F.col("to"), "block")
+    spread = pairs.repartition(max(-(-n // BLOCK), 1), "to").sortWithinPartitions("to", F.col("block") != F.col("to"), "gap", "block")
     return spread.mapInPandas(run, f"id long, {SENSOR} string, idx int, near array<long>, distance array<double>")
 
 
@@ -104,7 +200,9 @@ def local_outlier_factor(df: DataFrame, k: int = 20, cut: float = 1.5) -> DataFr
     n = df.count()
     if n <= k:
         return df.select(SENSOR, "idx", F.lit(1.0).alias("score"), F.lit(1).alias("pred"))
-    rows = _nearest(df, n, k).persist(StorageLevel.DISK_ONLY)
+    path = shared_path(df.sparkSession, "nearest")
+    _nearest(df.select(SENSOR, "idx", "features"), n, k).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     edges = rows.select("id", F.explode(F.arrays_zip("near", "distance")).alias("e")).select("id", F.col("e.near").alias("near"), F.col("e.distance").alias("distance"))
     reach = rows.select(F.col("id").alias("near"), F.element_at("distance", -1).alias("reach"))
     mean = F.avg(F.greatest("distance", "reach"))

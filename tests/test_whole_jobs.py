@@ -70,6 +70,34 @@ def test_outlier_factor_of_equal_windows(spark, monkeypatch):
     assert all(r["pred"] == 1 for r in O.detect_outliers(vectors(spark, x), "local_outlier_factor").collect())
 
 
+def drifting(n, seed=4):
+    """Windows of a series whose level drifts."""
+    rng = np.random.default_rng(seed)
+    level = np.cumsum(rng.normal(size=n + 7)) * 2 + rng.normal(size=n + 7) / 10
+    return np.lib.stride_tricks.sliding_window_view(level, 8).copy()
+
+
+def test_blocks_of_near_windows(spark, monkeypatch):
+    """More equal windows than a block holds; scores are those of brute force."""
+    monkeypatch.setattr(O, "BLOCK", 100)
+    x = drifting(2000)
+    x[50:350] = x[50]
+    df = vectors(spark, x)
+    size = [len(r["idxs"]) for r in O._near_each_other(df, len(x)).collect()]
+    assert sum(size) == len(x) and max(size) <= 250
+    got = O.detect_outliers(df, "local_outlier_factor").orderBy("idx").collect()
+    assert np.allclose([r["score"] for r in got[400:]], brute_factor(x)[400:], rtol=1e-6)
+
+
+def test_far_blocks_don_t_meet(spark, monkeypatch):
+    """Most blocks are too far apart to be compared: far fewer distances than the square of the windows."""
+    monkeypatch.setattr(O, "BLOCK", 600)
+    blocks = O._near_each_other(vectors(spark, drifting(30_000)), 30_000)
+    size = {r["block"]: len(r["idxs"]) for r in blocks.select("block", "idxs").collect()}
+    met = sum(r["windows"] * size[r["block"]] for r in O._meetings(blocks, 20).collect())
+    assert met < 0.15 * 30_000**2
+
+
 def test_large_clients_train_in_shards(spark, monkeypatch):
     monkeypatch.setattr(FD, "SHARD", 40, raising=False)
     rng = np.random.default_rng(1)
