@@ -18,7 +18,7 @@ from .columns import ROW, SENSOR, TIME
 
 #: Rows of a chunk on average.
 CHUNK_ROWS = 1 << 16
-CHUNK = "__chunk"
+CHUNK, OWN = "__chunk", "__own"
 
 
 def in_chunks(df: DataFrame, pieces: str | None = None) -> DataFrame:
@@ -61,6 +61,25 @@ def with_positions(df: DataFrame, total: str | None = None) -> DataFrame:
     return rows.withColumn("idx", F.col("__before") + F.row_number().over(in_chunk()) - 1).drop("__before", CHUNK)
 
 
+def in_frames(df: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows for frames of up to ``before`` rows back and ``after`` rows ahead: window functions over ``in_frame`` give OWN rows what they give over the whole series.
+
+    Each row is in the chunk of its position, and as a copy in a neighbouring one that reaches it. Also has ``idx`` and the series' length ``__n``.
+    """
+    rows = with_positions(df, "__n")
+    size = max(CHUNK_ROWS, before, after)
+    own, at = F.floor(F.col("idx") / size), F.col("idx") % size
+    part = lambda chunk, is_own: F.struct(chunk.alias("chunk"), F.lit(is_own).alias("own"))
+    to = F.array(part(own, True), *([F.when((at < after) & (own > 0), part(own - 1, False))] if after else []), *([F.when((at >= size - before) & (F.col("idx") + 1 < F.col("__n")), part(own + 1, False))] if before else []))
+    rows = rows.withColumn("__to", F.explode(F.array_compact(to)))
+    return rows.withColumns({CHUNK: F.col("__to")["chunk"], OWN: F.col("__to")["own"]}).drop("__to")
+
+
+def in_frame() -> WindowSpec:
+    """A chunk's rows and the copies beside them, by position."""
+    return Window.partitionBy(SENSOR, CHUNK).orderBy("idx")
+
+
 def running_sum(df: DataFrame, col: str, name: str) -> DataFrame:
     """``name``: the sum of ``col`` up to and with each row."""
     rows = in_chunks(df)

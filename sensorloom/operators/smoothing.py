@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, whole, with_idx
+from ..functions.columns import CHANNELS, ROW, SENSOR, TIME
 from ..functions.kernels import HoltWinters, LevelSteps, kalman_runs, lowess as _lowess, run_starts, savgol_weights
-from ..functions.scans import CHUNK, in_chunks, with_summary
+from ..functions.scans import CHUNK, OWN, in_chunks, in_frame, in_frames, with_summary
 
 
 def savgol(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), window: int = 11, poly: int = 2, edge: str = "interp") -> DataFrame:
@@ -20,8 +20,8 @@ def savgol(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "v
     whole window is read at the row's place (``interp``), or the value is null (``null``). Series shorter than the window stay."""
     left = window // 2
     right = window - 1 - left
-    rows = with_idx(df).withColumn("__n", F.count(F.lit(1)).over(whole()))
-    w = by_time()
+    rows = in_frames(df, window - 1, window - 1)
+    w = in_frame()
     idx, n = F.col("idx"), F.col("__n")
 
     def fit(c: str, offset: int, at: float | None) -> Column:
@@ -41,7 +41,8 @@ def savgol(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "v
                 value = value.when(idx == n - 1 - p, fit(c, -(window - 1 - p), float(window - 1 - p)))
         return F.when(n < window, F.col(c)).otherwise(value)
 
-    return rows.select(*[F.col(c) for c in df.columns if c not in cols], "idx", *[smoothed(c).alias(c) for c in cols])
+    rows = rows.select(*[F.col(c) for c in df.columns if c not in cols], "idx", OWN, *[smoothed(c).alias(c) for c in cols])
+    return rows.filter(OWN).drop(OWN)
 
 
 def _per_series(df: DataFrame, cols: tuple[str, ...], smooth) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import CHANNELS, SENSOR, by_time, whole, with_idx
-from ..functions.scans import with_positions
+from ..functions.columns import SENSOR
+from ..functions.scans import CHUNK, OWN, in_frame, in_frames, with_positions
 
 SAMPLE = ("value_temp", "value_hum", "value_acid")
 
@@ -17,15 +17,19 @@ def sliding_windows(df: DataFrame, size: int = 30, cols: tuple[str, ...] = SAMPL
     """
     if layout not in ("flat", "rows"):
         raise ValueError(f"unknown layout: {layout}")
-    keys = (SENSOR, within) if within else (SENSOR,)
-    frame = by_time(*keys).rowsBetween(0, size - 1)
+    rows, frame = in_frames(df, 0, size - 1), in_frame().rowsBetween(0, size - 1)
     if layout == "flat":
         features = F.concat(*[F.collect_list(c).over(frame) for c in cols])
     else:
         features = F.collect_list(F.array(*cols)).over(frame)
-    rows = with_idx(df, *keys).withColumn("features", features).withColumn("__n", F.count(F.lit(1)).over(whole(*keys)))
+    rows = rows.withColumn("features", features).filter(OWN)
+    if within:  # positions within the segment; segments are runs of rows
+        ends = rows.groupBy(F.col(SENSOR).alias("__sensor"), F.col(within).alias("__seg")).agg(F.min("idx").alias("__start"), F.count(F.lit(1)).alias("__size"))
+        rows = rows.join(ends, F.col(SENSOR).eqNullSafe(F.col("__sensor")) & F.col(within).eqNullSafe(F.col("__seg")))
+        rows = rows.withColumns({"idx": F.col("idx") - F.col("__start"), "__n": F.col("__size")})
     last = F.col("__n") - size - (1 if drop_last else 0)
-    return rows.filter((F.col("idx") <= last) & (F.col("idx") % stride == 0)).select(*keys, "idx", "features")
+    keys = (SENSOR, within) if within else (SENSOR,)
+    return rows.filter((F.col("idx") <= last) & (F.col("idx") % stride == 0)).select(*keys, F.col("idx").cast("int").alias("idx"), "features")
 
 
 def with_target(windows: DataFrame) -> DataFrame:
@@ -39,12 +43,12 @@ def moving_average(df: DataFrame, col: str, size: int = 30, divide_by: str = "si
     The sum is divided by ``size`` at the edges too, or by the rows present (``count``).
     """
     half = size // 2
-    w = by_time()
+    w = in_frame()
     inner, edge = w.rowsBetween(-(half - 1), half), w.rowsBetween(-(half - 1), half - 1)
-    rows = with_idx(df)
+    rows = in_frames(df, half - 1, half)
     total = F.when(F.col("idx") < half, F.sum(col).over(edge)).otherwise(F.sum(col).over(inner))
     n = F.lit(size) if divide_by == "size" else F.when(F.col("idx") < half, F.count(col).over(edge)).otherwise(F.count(col).over(inner))
-    return rows.withColumn("moving_average", total / n)
+    return rows.withColumn("moving_average", total / n).filter(OWN).drop("__n", CHUNK, OWN)
 
 
 def take_first(df: DataFrame, n: int) -> DataFrame:

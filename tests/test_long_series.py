@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from sensorloom.functions import columns as C, scans
-from sensorloom.operators import regularize as G, segments as S, windows as W
+from sensorloom.operators import regularize as G, segments as S, smoothing as SM, windows as W
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "sensor_id string, row_no long, time timestamp, value_temp double, value_PV double"
@@ -85,3 +85,34 @@ def test_no_task_gets_the_long_sensor(spark, monkeypatch):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("hot").alias("sensor_id"), F.col("id").alias("row_no"), F.timestamp_seconds(F.col("id") * 60).alias("time"))
     rows = scans.in_chunks(df).repartition(8, "sensor_id", scans.CHUNK).groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) == 8 and max(r["count"] for r in rows) < 20_000 / 3
+
+
+def test_frames_across_chunks(long_series, chunked):
+    """Windows, moving averages and smoothing near the borders of chunks are those of whole series."""
+    d = long_series.fillna({"value_temp": 0.5, "value_PV": 2.0})
+    whole = {}
+    for r in C.with_idx(d).orderBy("sensor_id", "idx").collect():
+        whole.setdefault(r["sensor_id"], []).append((r["value_temp"], r["value_PV"]))
+    got = {(r["sensor_id"], r["idx"]): r["features"] for r in W.sliding_windows(d, 12, ("value_temp", "value_PV")).collect()}
+    want = {(s, i): [x[c] for c in (0, 1) for x in rows[i : i + 12]] for s, rows in whole.items() for i in range(len(rows) - 11)}
+    assert got == want
+    for r in W.moving_average(d, "value_temp", 10).collect():
+        rows, i = whole[r["sensor_id"]], r["idx"]
+        part = rows[max(0, i - 4) : i + 6] if i >= 5 else rows[: i + 5]
+        assert np.isclose(r["moving_average"], sum(x[0] for x in part) / 10)
+    smooth = {(r["sensor_id"], r["idx"]): r["value_temp"] for r in SM.savgol(d, ("value_temp",), 7).collect()}
+    for s, rows in whole.items():
+        y = [x[0] for x in rows]
+        for i in range(len(y)):
+            a = min(max(i - 3, 0), max(len(y) - 7, 0))
+            fit = np.polynomial.polynomial.polyfit(np.arange(7.0), y[a : a + 7], 2) if len(y) >= 7 else None
+            assert np.isclose(smooth[s, i], y[i] if fit is None else np.polynomial.polynomial.polyval(i - a, fit))
+
+
+def test_windows_within_segments(long_series, chunked):
+    rows = S.split_segments(long_series.fillna({"value_PV": 2.0}))
+    got = {(r["sensor_id"], r["seg_id"], r["idx"]): r["features"] for r in W.sliding_windows(rows, 3, ("value_PV",), within="seg_id").collect()}
+    parts = {}
+    for r in C.with_idx(rows).orderBy("sensor_id", "idx").collect():
+        parts.setdefault((r["sensor_id"], r["seg_id"]), []).append(r["value_PV"])
+    assert got == {(*k, i): v[i : i + 3] for k, v in parts.items() for i in range(len(v) - 2)}
