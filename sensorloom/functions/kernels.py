@@ -11,10 +11,31 @@ def savgol_weights(window: int, poly: int, at: float | None = None) -> np.ndarra
     return np.linalg.pinv(np.vander(x, poly + 1, increasing=True))[0]
 
 
+def local_fits(x: np.ndarray, y: np.ndarray, robust: np.ndarray, first: int, n: int, k: int, block: int = 1 << 20) -> np.ndarray:
+    """Local lines at positions ``x`` of a series of ``n``, over the ``k`` nearest positions with tricube weights.
+
+    ``y`` and ``robust`` (further weights) hold the series from position ``first`` on, as far as it is needed. Memory is bounded by ``block``.
+    """
+    out, size = np.empty(len(x)), max(1, block // k)
+    for low in range(0, len(x), size):  # some rows at a time: n * k numbers would not fit
+        here = x[low : low + size].astype(float)
+        at = np.clip(here.astype(np.int64) - k // 2, 0, n - k)[:, None] + np.arange(k)
+        distance = np.abs(at - here[:, None])
+        reach = np.maximum(distance.max(axis=1, keepdims=True), 1e-12)
+        w = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3 * robust[at - first]
+        total = np.maximum(w.sum(axis=1), 1e-12)
+        mx, my = (w * at).sum(axis=1) / total, (w * y[at - first]).sum(axis=1) / total
+        dx = at - mx[:, None]
+        var = (w * dx * dx).sum(axis=1)
+        slope = np.divide((w * dx * (y[at - first] - my[:, None])).sum(axis=1), var, out=np.zeros(len(here)), where=var > 1e-12)
+        out[low : low + len(here)] = my + slope * (here - mx)
+    return out
+
+
 def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3, block: int = 1 << 20) -> np.ndarray:
     """Robust local linear fit over the position, with tricube weights of the nearest frac * n points.
 
-    Unknown values stay unknown; the fit is over the positions of the others. Memory is bounded by ``block``.
+    Unknown values stay unknown; the fit is over the positions of the others.
     """
     seen = ~np.isnan(y)
     if not seen.all():
@@ -26,22 +47,8 @@ def lowess(y: np.ndarray, frac: float = 0.1, iters: int = 3, block: int = 1 << 2
     if n < 3:
         return y.astype(float)
     robust, fitted = np.ones(n), y.astype(float)
-    size = max(1, block // k)
     for _ in range(iters + 1):
-        new = np.empty(n)
-        for low in range(0, n, size):  # a block of rows at a time: n * k numbers would not fit
-            x = np.arange(low, min(low + size, n), dtype=float)
-            at = np.clip(x.astype(np.int64) - k // 2, 0, n - k)[:, None] + np.arange(k)
-            distance = np.abs(at - x[:, None])
-            reach = np.maximum(distance.max(axis=1, keepdims=True), 1e-12)
-            w = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3 * robust[at]
-            total = np.maximum(w.sum(axis=1), 1e-12)
-            mx, my = (w * at).sum(axis=1) / total, (w * y[at]).sum(axis=1) / total
-            dx = at - mx[:, None]
-            var = (w * dx * dx).sum(axis=1)
-            slope = np.divide((w * dx * (y[at] - my[:, None])).sum(axis=1), var, out=np.zeros(len(x)), where=var > 1e-12)
-            new[low : low + len(x)] = my + slope * (x - mx)
-        fitted = new
+        fitted = local_fits(np.arange(n), y, robust, 0, n, k, block)
         spread = 6 * np.median(np.abs(y - fitted))
         if spread <= 1e-12:
             break

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Ranges that a pass counts, and values that are few enough to be looked at.
 BINS, FEW = 4096, 20_000
@@ -51,3 +53,36 @@ def exact_quantiles(df: DataFrame, col: str, qs: tuple[float, ...]) -> list[floa
                     break
                 below += size
     return [a + (b - a) * share if share else a for (a, b), (_, share) in ((found[i], wanted[i]) for i in range(len(qs)))]
+
+
+def medians(rows: DataFrame, keys: tuple[str, ...], col: str, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(keys, median) of each group's known values, exactly, without a task that holds a long group; ``kept`` writes a table and reads it back.
+
+    As above, but ranges are a table: each pass counts the values of open ranges in bins, and finds the bin that holds both middle ranks.
+    """
+    right = {k: f"__{k}" for k in keys}
+    same = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in right.items()])
+    values = rows.select(*keys, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    ranges = values.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("size"))
+    ranges = kept(ranges.select(*keys, "low", "high", "size", F.expr("(size - 1) div 2").alias("one"), F.expr("size div 2").alias("two")), "ranges")
+    done = []
+    while not ranges.isEmpty():
+        few = (F.col("size") <= FEW) | (F.col("low") == F.col("high"))
+        inside = F.col("v").between(F.col("low"), F.col("high"))
+        near = values.join(ranges.filter(few & (F.col("low") < F.col("high"))).withColumnsRenamed(right), same() & inside)
+        near = near.groupBy(*keys, "one", "two").agg(F.array_sort(F.collect_list("v")).alias("x"))
+        single = ranges.filter(F.col("low") == F.col("high")).select(*keys, F.col("low").alias("median"))
+        middle = (F.element_at("x", (F.col("one") + 1).cast("int")) + F.element_at("x", (F.col("two") + 1).cast("int"))) / 2
+        done += [single, near.select(*keys, middle.alias("median"))]
+        wide = ranges.filter(~few)
+        place = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS), F.lit(BINS - 1))
+        bins = values.join(wide.withColumnsRenamed(right), same() & inside).groupBy(*keys, "one", "two", place.alias("bin")).agg(F.count("v").alias("m"), F.min("v").alias("a"), F.max("v").alias("z"))
+        upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        bins = bins.withColumn("below", F.coalesce(upto, F.lit(0)))
+        holds = lambda rank: (F.col(rank) >= F.col("below")) & (F.col(rank) < F.col("below") + F.col("m"))
+        found = kept(bins.filter(holds("one") | holds("two")).withColumn("both", holds("one") & holds("two")), "bins")
+        # the middle falls between two bins: the last value of one and the first of the next
+        split = found.filter(~F.col("both")).groupBy(*keys).agg(((F.max(F.when(holds("one"), F.col("z"))) + F.max(F.when(holds("two"), F.col("a")))) / 2).alias("median"))
+        done.append(split)
+        ranges = kept(found.filter("both").select(*keys, F.col("a").alias("low"), F.col("z").alias("high"), F.col("m").alias("size"), (F.col("one") - F.col("below")).alias("one"), (F.col("two") - F.col("below")).alias("two")), "ranges")
+    return kept(reduce(lambda a, b: a.unionByName(b), done), "medians") if done else rows.select(*keys, F.lit(None).cast("double").alias("median")).limit(0)

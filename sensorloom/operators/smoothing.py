@@ -10,9 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import CHANNELS, ROW, SENSOR, TIME
-from ..functions.kernels import HoltWinters, LevelSteps, kalman_runs, lowess as _lowess, run_starts, savgol_weights
-from ..functions.scans import CHUNK, OWN, in_chunks, in_frame, in_frames, with_summary
+from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, to_long
+from ..functions.kernels import HoltWinters, LevelSteps, kalman_runs, local_fits, lowess as _lowess, run_starts, savgol_weights
+from ..functions import scans
+from ..functions.quantiles import medians
+from ..functions.scans import CHUNK, OWN, in_chunks, in_frame, in_frames, with_positions, with_summary
+from ..sources.io import kept
 
 
 def savgol(df: DataFrame, cols: tuple[str, ...] = ("value_temp", "value_hum", "value_acid"), window: int = 11, poly: int = 2, edge: str = "interp") -> DataFrame:
@@ -57,9 +60,47 @@ def _per_series(df: DataFrame, cols: tuple[str, ...], smooth) -> DataFrame:
     return df.select(SENSOR, TIME, ROW, *cols).groupBy(SENSOR).applyInPandas(run, schema)
 
 
-def lowess(df: DataFrame, cols: tuple[str, ...] = CHANNELS, frac: float = 0.1, iters: int = 3) -> DataFrame:
-    """Robust local linear smoothing over the row index."""
-    return _per_series(df, cols, lambda x: np.stack([_lowess(c, frac, iters) for c in x.T], axis=1))
+def lowess(df: DataFrame, cols: tuple[str, ...] = CHANNELS, frac: float = 0.1, iters: int = 3, k: int | None = None) -> DataFrame:
+    """Robust local linear smoothing over the row index, over the nearest ``frac`` of a series' known values or, for series of any length, ``k`` of them.
+
+    A share of a series needs the whole of it in a task. With ``k``, chunks of positions are fitted apart from each other, with copies of the ``k`` rows on both
+    sides, and the median residual of each series, which weighs the next fit, is counted in ranges.
+    """
+    if k is None:
+        return _per_series(df, cols, lambda x: np.stack([_lowess(c, frac, iters) for c in x.T], axis=1))
+    own = F.struct(SENSOR, "channel")
+    known = to_long(df.select(SENSOR, ROW, TIME, *[F.col(c).cast("double").alias(c) for c in cols]), cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = with_positions(known.select(own.alias(SENSOR), ROW, TIME, F.col("value").alias("y")), "n").select(F.col(SENSOR)[SENSOR].alias(SENSOR), F.col(SENSOR)["channel"].alias("channel"), ROW, TIME, "idx", "n", "y", F.lit(1.0).alias("robust"))
+    rows, size = kept(rows, "lowess"), max(scans.CHUNK_ROWS, k)
+    chunk, at = F.floor(F.col("idx") / size), F.col("idx") % size
+    copies = F.array_compact(F.array(chunk, F.when(at < k, chunk - 1), F.when(at >= size - k, chunk + 1)))
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx", ignore_index=True)
+        mine, n = part[part["idx"] // size == key[2]].copy(), int(part["n"].iloc[0])
+        if n < 3:
+            mine["fitted"] = mine["y"]
+        elif len(mine):
+            mine["fitted"] = local_fits(mine["idx"].to_numpy(), part["y"].to_numpy(), part["robust"].to_numpy(), int(part["idx"].iloc[0]), n, min(n, max(2, k)))
+        else:
+            mine["fitted"] = mine["y"]
+        return mine.drop(columns=CHUNK)
+
+    keys = (SENSOR, "channel")
+    for i in range(iters + 1):
+        parts = rows.withColumn(CHUNK, F.explode(copies)).groupBy(*keys, CHUNK)
+        fitted = kept(parts.applyInPandas(fit, f"{SENSOR} string, channel string, {ROW} long, {TIME} timestamp, idx long, n long, y double, robust double, fitted double"), "lowess")
+        if i == iters:
+            break
+        middle = medians(fitted.withColumn("off", F.abs(F.col("y") - F.col("fitted"))), keys, "off", kept).withColumnsRenamed({SENSOR: "__sensor", "channel": "__channel"})
+        spread = 6 * F.col("median")
+        weight = F.pow(F.greatest(1 - F.pow((F.col("y") - F.col("fitted")) / spread, F.lit(2.0)), F.lit(0.0)), F.lit(2.0))
+        joined = fitted.join(middle, F.col(SENSOR).eqNullSafe(F.col("__sensor")) & (F.col("channel") == F.col("__channel")))
+        # a series that is fitted exactly keeps its weights, and so its fit
+        rows = kept(joined.withColumn("robust", F.when(spread > 1e-12, weight).otherwise(F.col("robust"))).select(*rows.columns), "lowess")
+    wide = fitted.groupBy(SENSOR, ROW, TIME).pivot("channel", list(cols)).agg(F.first("fitted")).withColumnsRenamed({SENSOR: "__sensor", ROW: "__row", TIME: "__time"})
+    same = F.col(SENSOR).eqNullSafe(F.col("__sensor")) & F.col(ROW).eqNullSafe(F.col("__row")) & F.col(TIME).eqNullSafe(F.col("__time"))
+    return df.select(SENSOR, TIME, ROW).join(wide, same, "left").select(SENSOR, TIME, ROW, *cols)
 
 
 def _in_order(df: DataFrame, *keys: str) -> DataFrame:

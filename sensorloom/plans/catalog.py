@@ -292,6 +292,7 @@ def _savgol_sql(window: int = 11) -> str:
 
 add("smo1_savgol", lambda d: SM.savgol(d, ("value_temp",)).select("row_no", "value_temp"), _savgol_sql())
 add("smo2_lowess", lambda d: SM.lowess(d, ("value_temp",)).select("row_no", "value_temp"))
+add("smo2_lowess_near", lambda d: SM.lowess(d, ("value_temp",), k=12).select("row_no", "value_temp"))
 add("smo3_kalman", lambda d: SM.kalman_level(d, ("value_temp",)).select("row_no", "value_temp"), f"""WITH RECURSIVE {ad.I}, k(sensor_id, idx, row_no, m, p) AS (
  SELECT sensor_id, idx, row_no, value_temp, CAST(0.5 AS DOUBLE) FROM i WHERE idx = 0 UNION ALL
  SELECT i.sensor_id, i.idx, i.row_no, k.m + (k.p + CAST(0.01 AS DOUBLE)) / (k.p + CAST(1.01 AS DOUBLE)) * (i.value_temp - k.m), (k.p + CAST(0.01 AS DOUBLE)) / (k.p + CAST(1.01 AS DOUBLE)) FROM k JOIN i ON i.sensor_id = k.sensor_id AND i.idx = k.idx + 1)

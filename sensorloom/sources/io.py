@@ -25,6 +25,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_readings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """All sensor files of a folder; the sensor is the file's base name, or its folder's where ``write_readings`` made one.
 

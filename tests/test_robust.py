@@ -1,12 +1,14 @@
 """Exact quantiles by counting, and a covariance that planted clusters don't bend."""
 
+import datetime as dt
 import random
 
 import numpy as np
 import pytest
 
-from sensorloom.functions import quantiles as Q
-from sensorloom.operators import outliers as O, scaling as A
+from sensorloom.functions import kernels as K, quantiles as Q, scans
+from sensorloom.operators import outliers as O, scaling as A, smoothing as SM
+from sensorloom.sources import io as IO
 
 QS = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)
 
@@ -77,3 +79,34 @@ def test_flat_directions_and_few_windows(spark):
     for n in (0, 1, 2):
         assert O.detect_outliers(vectors(spark, x[:n]) if n else spark.createDataFrame([], "sensor_id string, idx int, features array<double>"), "elliptic_envelope").count() == n
     assert O.detect_outliers(spark.createDataFrame([], "sensor_id string, idx int, features array<double>"), "autoencoder").count() == 0
+
+
+def test_medians_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEW", 5)
+    monkeypatch.setattr(Q, "BINS", 4)
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=41), "b": rng.integers(0, 3, 30) * 1.0, None: np.exp(rng.normal(size=24) * 3), "c": np.array([4.0]), "d": np.array([1.0] * 20 + [9.0] * 20)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    got = {r["g"]: r["median"] for r in Q.medians(spark.createDataFrame(rows, "g string, v double").repartition(2), ("g",), "v", IO.kept).collect()}
+    assert set(got) == set(groups) and all(np.isclose(got[g], np.median(x)) for g, x in groups.items())
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 25])
+def test_lowess_of_near_values(spark, monkeypatch, chunk):
+    """With k values in place of a share: the kernel's fit where both are the same."""
+    monkeypatch.setattr(scans, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(Q, "FEW", 30)
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for s, n in (("long", 200), ("short", 9), (None, 40), ("two", 2), ("dark", 3)):
+        y = np.sin(np.arange(n) / 9) + rng.normal(size=n) / 9
+        y[::13] += 3
+        if s == "dark":
+            y[:] = np.nan
+        elif n > 20:
+            y[[3, 17, 18]] = np.nan
+        seen = int((~np.isnan(y)).sum())
+        want |= {(s, i): v for i, v in enumerate(K.lowess(y, 20 / seen if seen > 20 else 1.0))}
+        rows += [(s, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), None if v != v else float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "sensor_id string, row_no long, time timestamp, value_temp double").repartition(3)
+    got = {(r["sensor_id"], r["row_no"]): r["value_temp"] for r in SM.lowess(df, ("value_temp",), k=20).collect()}
+    assert set(got) == set(want) and all(g is None and np.isnan(w) or np.isclose(g, w, atol=1e-9) for g, w in ((got[x], want[x]) for x in want))
