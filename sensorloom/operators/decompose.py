@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, uniform, whole, with_idx
 from .segments import mean_step
 
+#: Buckets that sensors are numbered in.
+BUCKETS = 1024
+
 
 def daily_period(df: DataFrame) -> DataFrame:
     """Points per day: whole part of 1440 over the mean step."""
@@ -36,7 +39,12 @@ def block_bootstrap(parts: DataFrame, copies: int = 5, block: int = 100, seed: i
     """
     rows = parts.select(SENSOR, "idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trend", "seasonal", "resid")])
     sizes = rows.groupBy(SENSOR).agg(F.count(F.lit(1)).alias("n"))
-    ranked = sizes.withColumn("no", F.row_number().over(Window.orderBy(SENSOR)) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
+    # sensors are numbered within hash buckets, of which there are few
+    ranked = sizes.withColumn("bucket", F.pmod(F.xxhash64(SENSOR), F.lit(BUCKETS)))
+    buckets = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select("bucket", before.alias("before"), F.sum("held").over(Window.partitionBy()).alias("m"))
+    ranked = ranked.join(F.broadcast(buckets), "bucket").withColumn("no", F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy(SENSOR)) - 1)
     blocks = ranked.select(SENSOR, "n", "m", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")).select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("block"))
     pick = lambda s, m: F.pmod(F.xxhash64(SENSOR, "copy", "block", F.lit(seed + s)), m)
     blocks = blocks.withColumn("source_no", pick(0, F.col("m")))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import SENSOR
 
+#: Bins of scores that are ordered apart from each other.
+BINS = 1024
+
 
 def confusion_matrix(df: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """Rows by true class; columns pred_0 and pred_1."""
@@ -25,9 +28,16 @@ def binary_metrics(df: DataFrame, by: tuple[str, ...] = (), truth: str = "y_true
         (F.sum(y * hit) / F.nullif(F.sum(y), F.lit(0.0))).alias("recall"),
         (-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
     )
-    counts = df.groupBy(*by, F.col(score).alias("__s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    order = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    lower = counts.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0.0)))
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    # scores are ordered within bins of equal width, and bins among each other: no task orders a whole group
+    limits = counts.groupBy(*by).agg(F.min("__s").alias("__low"), F.max("__s").alias("__high"))
+    counts = counts.join(limits, list(by)) if by else counts.crossJoin(F.broadcast(limits))
+    bin_of = F.floor((F.col("__s") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * BINS)
+    counts = counts.withColumn("__bin", F.coalesce(bin_of, F.lit(0)))
+    among = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(*by, "__bin").agg(F.sum("neg").alias("__neg")).withColumn("__under", F.coalesce(F.sum("__neg").over(among), F.lit(0.0))).drop("__neg")
+    within = Window.partitionBy(*by, "__bin").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    lower = counts.join(bins, [*by, "__bin"]).withColumn("below", F.col("__under") + F.coalesce(F.sum("neg").over(within), F.lit(0.0)))
     area = lower.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
     return base.join(area, list(by)) if by else base.crossJoin(area)
 
