@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import CHANNELS, ROW, SENSOR, TIME, by_time, uniform, whole, with_idx
+from ..functions.scans import with_positions
 from .segments import mean_step
 
 #: Buckets that sensors are numbered in.
@@ -76,3 +77,27 @@ def synthesize(df: DataFrame, n: int, seed: int = 0, noise: float = 0.05, start:
     shake = lambda c: noise * F.col(f"span_{c}") * (2 * uniform(seed + 1, SENSOR, "draw", F.lit(c)) - 1)
     clock = F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + F.col("draw") * (60 * minutes))
     return draws.join(rows, [SENSOR, "idx"]).select(SENSOR, F.col("draw").cast("long").alias(ROW), clock.alias(TIME), *[(F.col(c) + shake(c)).alias(c) for c in cols])
+
+
+def synthesize_sequences(df: DataFrame, n: int, size: int = 24, overlap: int = 6, seed: int = 0, start: str = "2024-01-01 00:00:00", minutes: int = 10, cols: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """``n`` rows per sensor out of whole windows of its data, so that neighbouring rows go on as they do there; on a clock.
+
+    Windows of ``size`` rows are drawn by hash; each fades in over the last ``overlap`` rows of the one before, all channels alike. Windows are fetched by an
+    equi-join on sensor and position. A sensor with fewer rows is gone round; an unknown value within a window makes the row's channel unknown.
+    """
+    if not 0 <= overlap <= size // 2:
+        raise ValueError("overlap must be at most half of a window")
+    step = size - overlap
+    rows = with_positions(df, "__n").select(SENSOR, "idx", *cols)
+    sizes = rows.groupBy(SENSOR).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // step))))
+    blocks = blocks.withColumn("start", F.floor(uniform(seed, SENSOR, "block") * F.greatest(F.col("n") - size + 1, F.lit(1))))
+    places = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("place", F.col("block") * step + F.col("at")).filter(F.col("place") < n)
+    fade_in = F.when((F.col("at") < overlap) & (F.col("block") > 0), (F.col("at") + 1) / (overlap + 1)).otherwise(1.0)
+    last = F.col("block") == (n - 1) // step
+    weight = F.when((F.col("at") >= step) & ~last, 1 - (F.col("at") - step + 1) / (overlap + 1)).otherwise(fade_in)
+    places = places.withColumn("weight", weight).withColumn("idx", F.pmod(F.col("start") + F.col("at"), F.col("n")))
+    whole_value = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col("weight") * F.col(c))).alias(c)
+    made = places.join(rows, [SENSOR, "idx"]).groupBy(SENSOR, "place").agg(*[whole_value(c) for c in cols])
+    clock = F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + F.col("place") * (60 * minutes))
+    return made.select(SENSOR, F.col("place").cast("long").alias(ROW), clock.alias(TIME), *cols)

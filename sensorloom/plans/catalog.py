@@ -306,6 +306,9 @@ add("syn2_decompose", lambda d: D.decompose(d, "value_temp", 12).select("row_no"
 add("syn3_block_bootstrap", lambda d: D.block_bootstrap(D.decompose(d, "value_temp", 12), block=20))
 add("syn4_shuffle_components", lambda d: D.shuffle_components(D.decompose(d, "value_temp", 12)))
 add("syn5_synthesize", lambda d: D.synthesize(d, 50))
+add("syn5_sequences", lambda d: D.synthesize_sequences(d, 50, 12, 4, cols=("value_temp", "value_hum")), f"""WITH {ad.I}, b AS (SELECT sensor_id, n, j, CAST(floor({DRAW(0, 'sensor_id', 'j')} * greatest(n - 11, 1)) AS BIGINT) AS a FROM (SELECT DISTINCT sensor_id, n FROM i), unnest(range(0, 7)) u(j)),
+ o AS (SELECT *, j * 8 + k AS place, (a + k) % n AS idx, CASE WHEN k >= 8 AND j < 6 THEN 1 - (k - 7) / CAST(5 AS DOUBLE) WHEN k < 4 AND j > 0 THEN (k + 1) / CAST(5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w FROM b, unnest(range(0, 12)) v(k) WHERE j * 8 + k < 50)
+ SELECT o.sensor_id, place AS row_no, epoch_us(TIMESTAMP '2024-01-01') + place * 600000000 AS time, {num('sum(w * value_temp)')} AS value_temp, {num('sum(w * value_hum)')} AS value_hum FROM o JOIN i ON o.sensor_id = i.sensor_id AND o.idx = i.idx GROUP BY o.sensor_id, place""")
 
 
 # outliers and forecasts

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from sensorloom.functions import columns as C, scans
-from sensorloom.operators import regularize as G, segments as S, smoothing as SM, windows as W
+from sensorloom.operators import decompose as D, regularize as G, segments as S, smoothing as SM, windows as W
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "sensor_id string, row_no long, time timestamp, value_temp double, value_PV double"
@@ -116,3 +116,19 @@ def test_windows_within_segments(long_series, chunked):
     for r in C.with_idx(rows).orderBy("sensor_id", "idx").collect():
         parts.setdefault((r["sensor_id"], r["seg_id"]), []).append(r["value_PV"])
     assert got == {(*k, i): v[i : i + 3] for k, v in parts.items() for i in range(len(v) - 2)}
+
+
+def test_sequences_go_on_as_their_source(spark):
+    """Rows drawn as windows keep the source's lag-1 autocorrelation; rows drawn one by one don't."""
+    rng, y = np.random.default_rng(3), [0.0]
+    for _ in range(2999):
+        y.append(0.95 * y[-1] + rng.normal())
+    df = spark.createDataFrame([("s", i, START + dt.timedelta(minutes=10 * i), float(v), float(v)) for i, v in enumerate(y)], SCHEMA)
+    lag = lambda x: np.corrcoef(x[:-1], x[1:])[0, 1]
+    series = lambda d: np.array([r["value_temp"] for r in d.orderBy("row_no").collect()])
+    made = series(D.synthesize_sequences(df, 3000, 48, 12, cols=("value_temp",)))
+    assert len(made) == 3000 and abs(lag(made) - lag(y)) < 0.03 and abs(made.std() - np.std(y)) < 0.3 * np.std(y)
+    assert abs(lag(series(D.synthesize(df, 3000, cols=("value_temp",))))) < 0.2
+    short = D.synthesize_sequences(df.filter("row_no < 5").withColumn("value_PV", F.when(F.col("row_no") != 2, F.col("value_PV"))), 30, 8, 2, cols=("value_temp", "value_PV")).collect()
+    assert len(short) == 30 and all(r["value_temp"] is not None for r in short) and 0 < sum(r["value_PV"] is None for r in short) < 30
+    assert D.synthesize_sequences(df.limit(0), 30, cols=("value_temp",)).count() == 0
