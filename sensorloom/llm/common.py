@@ -18,8 +18,8 @@ WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 #: A broadcast side may hold this many bytes at most; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 
-#: Keys with more than this share of all rows (one in HOT_KEYS) are joined where they are.
-HOT_KEYS = 256
+#: Keys with more than this share of all rows (one in HOT_KEYS) are joined where they are, while their side holds HOT_BYTES at most.
+HOT_KEYS, HOT_BYTES = 256, 24 << 20
 
 #: Bytes of text that Python handles at once.
 SLICE_BYTES = 4 << 20
@@ -83,8 +83,9 @@ def _held(kind: T.DataType, column: Column) -> Column:
     return F.lit(8)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a materialized table for broadcast if it holds ``limit`` bytes at most; else Spark shuffles it."""
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark a materialized table for broadcast if it holds ``limit`` bytes (BROADCAST_BYTES) at most; else Spark shuffles it."""
+    limit = BROADCAST_BYTES if limit is None else limit
     total = F.lit(0).cast("long")
     for f in df.schema.fields:
         total = total + _held(f.dataType, F.col(quoted(f.name)))
@@ -96,18 +97,19 @@ def keyed_join(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") ->
 
     A small ``one`` is broadcast. Else keys with more than a share of 1 / HOT_KEYS of all rows are HOT_KEYS at most:
     if their side is small it is broadcast, so that their rows stay where they are; all other keys are shuffled.
-    Null keys find nothing. Both tables are read more than once, so they should be written ones.
+    Null keys find nothing; many of them stay where they are, too. Both tables are read more than once, so they should be written ones.
     """
     marked = small_side(one)
     if marked is not one:
         return rows.join(marked, key, how)
     total = rows.count()
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull() & (F.col("n") * HOT_KEYS > total))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_KEYS > total)
     hot = [r[0] for r in counts.select(key).collect()]  # HOT_KEYS at most
     if not hot:
         return rows.join(one, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return rows.filter(~is_hot).join(one, key, how).unionByName(rows.filter(is_hot).join(small_side(one.filter(F.col(key).isin(hot))), key, how))
+    named = F.col(key).isin([x for x in hot if x is not None])
+    stays = F.coalesce(named | F.col(key).isNull() if None in hot else named, F.lit(False))
+    return rows.filter(~stays).join(one, key, how).unionByName(rows.filter(stays).join(small_side(one.filter(named), HOT_BYTES), key, how))
 
 
 def quoted(name: str) -> str:

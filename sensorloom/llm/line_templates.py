@@ -72,7 +72,7 @@ def _groups(keys: DataFrame, min_docs: int) -> DataFrame:
     # documents of a joined leaf are counted only where enough lines could make it one
     likely = rare.groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("w")
     rare = materialize(rare.join(likely, "w").select("leaf", "at", "w"), "rare-leaves")
-    holders = by_doc.join(small_side(materialize(rare.select("leaf").distinct(), "rare-names")), "leaf").select(F.explode("wild").alias("w"), "d").distinct()
+    holders = keyed_join(by_doc, materialize(rare.select("leaf").distinct(), "rare-names"), "leaf").select(F.explode("wild").alias("w"), "d").distinct()
     enough = holders.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     joined = rare.join(materialize(enough, "joined-leaves"), "w").groupBy("leaf").agg(F.max_by("w", F.struct("n", -F.col("at"))).alias("g"))
     return own.unionByName(joined)
@@ -105,7 +105,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = materialize(exact.select("h", F.col("first").alias("exact_first")), "exact")
     groups = materialize(_groups(keys, min_docs), "groups")
     mine = lines.select("d", "rk", "line", "spaced", F.xxhash64("spaced").alias("h"), _leaf().alias("leaf"))
-    chosen = mine.join(small_side(groups), "leaf", "left").join(small_side(exact.withColumn("is_exact", F.lit(True))), "h", "left").filter("g is not null or is_exact")
+    exact = exact.withColumn("is_exact", F.lit(True))
+    by_leaf, by_line = small_side(groups), small_side(exact)
+    if by_leaf is groups or by_line is exact:  # a shuffle to come: lines are written, so that those of hot keys can stay
+        chosen = keyed_join(materialize(keyed_join(materialize(mine, "all-lines"), groups, "leaf", "left"), "grouped-lines"), exact, "h", "left")
+    else:
+        chosen = mine.join(by_leaf, "leaf", "left").join(by_line, "h", "left")
+    chosen = chosen.filter("g is not null or is_exact")
     masked = F.when(F.col("g").isNotNull(), _masked(F.col("spaced")))
     chosen = materialize(chosen.select("d", "rk", "line", "g", masked.alias("masked"), "exact_first").withColumn("kind", F.when(F.col("g").isNotNull(), F.xxhash64("g", "masked"))), "lines")
     held = chosen.filter("g is not null")

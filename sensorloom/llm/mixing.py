@@ -139,16 +139,18 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
     schema = "source string, size long, n long, whole long, extra long, source_size long, target double"
     plan = materialize(placed_sizes.groupBy("source").applyInPandas(fit, schema), "size-plan")
-    plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "whole", "extra", "source_size", "target")
+    plan = plan.select(F.col("source").alias("ps"), F.col("size").alias("pz"), "whole", "extra", "source_size", "target")
     rank = F.xxhash64(F.lit(seed), "k")
     placed = slim.withColumn("rank", rank).withColumn("bucket", F.pmod(F.shiftright("rank", 20), F.lit(RANK_BUCKETS)))
     in_bucket = placed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_bucket.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    same = lambda *more: F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (more[0] if more else F.lit(True))
-    ranked = placed.join(starts, same(F.col("bucket") == F.col("b")), "left").drop("s", "z", "b")
+    # the plan comes to the rows with their bucket's start: a size may have most rows, but no bucket of it has
+    starts = starts.join(small_side(plan), F.col("s").eqNullSafe(F.col("ps")) & (F.col("z") == F.col("pz"))).drop("ps", "pz")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b"))
+    ranked = placed.join(starts, same, "left").drop("s", "z", "b")
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("rank", "k", "rk")) + F.col("before"))
-    return ranked.join(small_side(plan), same(), "left").select("k", "rk", "source", "size", "source_size", "target", (F.col("whole") + (F.col("at") <= F.col("extra")).cast("long")).alias("copies"))
+    return ranked.select("k", "rk", "source", "size", "source_size", "target", (F.col("whole") + (F.col("at") <= F.col("extra")).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -9,9 +9,11 @@ minimisers, so a bucket alone tells which documents hold a window.
    are sent to the tasks as a bit table of fixed size; a chance hit only costs a needless string.
 2. Super-k-mers of repeated minimisers go to their bucket. There windows are sorted, equal ones are
    confirmed word by word, and each gets the smallest document id that has it.
-3. Minimisers with more than ``HOT`` super-k-mers (mass copies) would fill one task. Their super-k-mers are
-   first merged, equal ones into one that keeps the smallest id; the windows of those left are spread over all tasks
-   by a 128-bit digest of their words, each gets its smallest id, and the super-k-mers take them back.
+3. Minimisers with more than ``HOT`` super-k-mers (mass copies) would fill one task. Their super-k-mers are first
+   merged, equal ones into one that keeps the smallest id. Those of minimisers that still have more are cut again, where
+   the minimiser of twice as many words changes, and travel to its bucket, merged and cut further while a bucket
+   has too many; the last cut is into single windows, of which equal ones are one. What buckets find goes back from cut
+   to cut, and then to the super-k-mers.
 4. Words under a window that starts in a smaller document are removed, judged on the input.
 
 Edge cases: null or empty texts have no words; texts shorter than a window lose nothing; a null doc_id
@@ -23,7 +25,7 @@ names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from .common import byte_slices, coded, hash_distinct, hash_words, keyed_join, m
 
 WINDOW = 50
 GRAM = 8
-#: Super-k-mers of one minimiser (about 2 MB) beyond which its windows are spread over all tasks.
+#: Super-k-mers of one minimiser (about 2 MB) beyond which they are merged and cut by longer minimisers.
 HOT = 4096
 #: Packed strings that Python handles at once.
 SLICE_STRINGS = 8000
@@ -71,7 +73,7 @@ def super_kmers(sizes: np.ndarray, words: pa.Array, window: int, gram: int) -> t
     return of, at[first] - begin, at[last] - begin, low[at[first]]
 
 
-def _packed(sizes: np.ndarray, words: pa.Array, of: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> list[bytes]:
+def _packed(sizes: np.ndarray, words: pa.Array, of: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> Iterator[bytes]:
     """The words of super-k-mers, joined by single spaces."""
     data = _joined(sizes, words).cast(pa.binary()).to_pylist()
     length = pc.binary_length(words).to_numpy().astype(np.int64)
@@ -79,7 +81,11 @@ def _packed(sizes: np.ndarray, words: pa.Array, of: np.ndarray, first: np.ndarra
     begin = (np.cumsum(sizes) - sizes)[of]
     before = np.append(0, until)
     low, high = before[begin + first] - before[begin], until[begin + last + window - 1] - 1 - before[begin]
-    return [data[t][a:z] for t, a, z in zip(of.tolist(), low.tolist(), high.tolist())]
+    return (data[t][a:z] for t, a, z in zip(of.tolist(), low.tolist(), high.tolist()))
+
+
+def _digest(string: bytes) -> bytes:
+    return hashlib.blake2b(string, digest_size=16).digest()
 
 
 def _joined(sizes: np.ndarray, words: pa.Array) -> pa.Array:
@@ -104,6 +110,12 @@ def _has(table: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _smallest(strings: pa.Array, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place in it, covered) of all windows of packed strings: covered if a smaller document has an equal one."""
+    string, place, least = _least(strings, doc, window)
+    return string, place, least < doc[string]
+
+
+def _least(strings: pa.Array, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place in it, smallest id of a string with an equal window) of all windows of packed strings."""
     sizes, words = words_of(strings)
     ends = np.cumsum(sizes)
     exact, distinct = coded(words)
@@ -131,10 +143,26 @@ def _smallest(strings: pa.Array, doc: np.ndarray, window: int) -> tuple[np.ndarr
             break
     starts = np.flatnonzero(np.append(True, ~same)) if len(order) else np.empty(0, np.int64)
     owner = doc[string]
-    least = np.minimum.reduceat(owner[order], starts) if len(order) else owner
-    covered = np.empty(len(order), bool)
-    covered[order] = owner[order] > np.repeat(least, np.diff(np.append(starts, len(order))))
-    return string, at - (ends - sizes)[string], covered
+    least = np.empty(len(order), np.int64)
+    if len(order):
+        least[order] = np.repeat(np.minimum.reduceat(owner[order], starts), np.diff(np.append(starts, len(order))))
+    return string, at - (ends - sizes)[string], least
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], closed: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``closed`` of whole buckets, several at a time; rows come sorted by bucket, their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= SLICE_STRINGS:
+            every = pa.Table.from_batches(held)
+            key = every.column(0).to_numpy()
+            border = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if border:
+                yield closed(every.slice(0, border))
+                held = every.slice(border).to_batches()
+    if held:
+        yield closed(pa.Table.from_batches(held))
 
 
 def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -158,8 +186,8 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             of, first, last, m = super_kmers(sizes, words, window, gram)
             chosen = np.flatnonzero(_has(some, m))
             of, first, last, m = of[chosen], first[chosen], last[chosen], m[chosen]
-            strings, is_hot = _packed(sizes, words, of, first, last, window), _has(many, m)
-            digests = [hashlib.blake2b(x, digest_size=16).digest() if h else None for x, h in zip(strings, is_hot.tolist())]
+            strings, is_hot = list(_packed(sizes, words, of, first, last, window)), _has(many, m)
+            digests = [_digest(x) if h else None for x, h in zip(strings, is_hot.tolist())]
             place = pa.array(of)
             columns = [pa.array(m.view(np.int64)), pa.array(digests, pa.binary()), pa.array(strings, pa.binary()), part.column(0).take(place), part.column(1).take(place), pa.array(first.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["m", "s", "packed", "d", "rk", "first"])
@@ -167,30 +195,15 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(slim.mapInArrow(pack, "m long, s binary, packed binary, d long, rk long, first int"), "super-kmers")
     cold = rows.filter("s is null").select("m", "packed", "d", "rk", "first").repartition("m").sortWithinPartitions("m")
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, several at a time; rows come sorted by bucket."""
-        held: list[pa.RecordBatch] = []
-
-        def closed(rows: pa.Table) -> pa.RecordBatch:
-            string, place, covered = _smallest(rows.column("packed").combine_chunks(), rows.column("d").to_numpy(), window)
-            at = np.flatnonzero(covered)
-            return _runs(string[at], place[at], *(rows.column(c).to_numpy() for c in ("d", "rk", "first")))
+    def closed(rows: pa.Table) -> pa.RecordBatch:
+        d = rows.column("d").to_numpy()
+        string, place, covered = _smallest(rows.column("packed").combine_chunks(), d, window)
+        at = np.flatnonzero(covered)
+        return _runs(string[at], place[at], d, *(rows.column(c).to_numpy() for c in ("rk", "first")))
 
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= SLICE_STRINGS:
-                every = pa.Table.from_batches(held)
-                m = every.column("m").to_numpy()
-                border = int(np.searchsorted(m, m[-1]))  # the last bucket may go on
-                if border:
-                    yield closed(every.slice(0, border))
-                    held = every.slice(border).to_batches()
-        if held:
-            yield closed(pa.Table.from_batches(held))
-
-    spans = cold.mapInArrow(bucket, SPAN_SCHEMA)
-    hot_rows = rows.filter("s is not null").select("s", "packed", "d", "rk", "first")
-    return spans.unionByName(_hot_spans(hot_rows, window)) if hot_table.any() else spans
+    spans = cold.mapInArrow(lambda batches: _by_bucket(batches, closed), SPAN_SCHEMA)
+    hot_rows = rows.filter("s is not null").select("m", "s", "packed", "d", "rk", "first")
+    return spans.unionByName(_hot_spans(hot_rows, window, gram, hot)) if hot_table.any() else spans
 
 
 SPAN_SCHEMA = "d long, rk long, first int, last int"
@@ -206,29 +219,62 @@ def _runs(string: np.ndarray, place: np.ndarray, doc: np.ndarray, keys: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "rk", "first", "last"])
 
 
-def _hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(d, rk, first, last) of super-k-mers (s, packed, d, rk, first) of hot minimisers; s is the digest of ``packed``.
+def _least_ids(strings: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """(s, least): for each distinct string of (key, s, a, packed) the smallest ``a`` of a string with its window, window by window.
 
-    No group is held by one task: sums over equal super-k-mers and over equal windows are merged before each
-    shuffle, and what they give comes back by joins that leave the rows of hot keys where they are.
+    Equal windows have one key. Strings of a key with more than ``hot`` of them are cut where the minimiser of ``gram``
+    words changes, from ``window`` words on into single windows; equal cuts are merged, and looked up in turn.
     """
-    strings = materialize(rows.groupBy("s").agg(F.min("d").alias("a"), F.first("packed").alias("packed")), "hot-strings")
+    crowded = materialize(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("crowded")), "hot-keys")
+    marked = keyed_join(strings, crowded, "key", "left")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def closed(rows: pa.Table) -> pa.RecordBatch:
+        string, _, least = _least(rows.column("packed").combine_chunks(), rows.column("a").to_numpy(), window)
+        ends = np.append(0, np.cumsum(np.bincount(string, minlength=rows.num_rows)))
+        return pa.RecordBatch.from_arrays([rows.column("s").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(least))], names=["s", "least"])
+
+    calm = marked.filter("crowded is null").select("key", "s", "a", "packed").repartition("key").sortWithinPartitions("key")
+    found = calm.mapInArrow(lambda batches: _by_bucket(batches, closed), "s binary, least array<long>")
+    if crowded.isEmpty():
+        return found
+    single = gram >= window
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 2):
             sizes, words = words_of(part.column(2))
-            n = sizes - window + 1
-            string, place = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
-            each = _packed(sizes, words, string, place, place, window)
-            of = pa.array(string)
-            columns = [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in each], pa.binary()), part.column(0).take(of), pa.array(place.astype(np.int32)), part.column(1).take(of)]
-            yield pa.RecordBatch.from_arrays(columns, names=["w", "s", "place", "a"])
-
-    every = materialize(strings.mapInArrow(windows, "w binary, s binary, place int, a long"), "hot-windows")
-    least = materialize(every.groupBy("w").agg(F.min("a").alias("least")), "hot-window-least")
-    back = keyed_join(every.select("w", "s", "place"), least, "w")
-    # a super-k-mer has 2 * window words at most, and so fewer windows
-    per_string = materialize(back.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("least")), "hot-least")
+            if single:
+                n = sizes - window + 1
+                of, first = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+                digests = [_digest(x) for x in _packed(sizes, words, of, first, first, window)]
+                key, packed = np.zeros(len(of), np.int64), [None] * len(of)
+            else:
+                of, first, last, key = super_kmers(sizes, words, window, gram)
+                packed = list(_packed(sizes, words, of, first, last, window))
+                digests = [_digest(x) for x in packed]
+            place = pa.array(of)
+            columns = [part.column(0).take(place), pa.array(first.astype(np.int32)), part.column(1).take(place), pa.array(digests, pa.binary()), pa.array(key.view(np.int64)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "place", "a", "cut", "key", "packed"])
+
+    cuts = materialize(marked.filter("crowded").select("s", "a", "packed").mapInArrow(cut, "s binary, place int, a long, cut binary, key long, packed binary"), "hot-cuts")
+    if single:
+        least = cuts.groupBy("cut").agg(F.array(F.min("a")).alias("least"))
+    else:
+        distinct = cuts.groupBy("cut").agg(F.first("key").alias("key"), F.min("a").alias("a"), F.first("packed").alias("packed"))
+        distinct = materialize(distinct.withColumnRenamed("cut", "s"), "hot-strings")
+        least = _least_ids(distinct, window, 2 * gram, hot).withColumnRenamed("s", "cut")
+    back = keyed_join(cuts.select("s", "place", "cut"), materialize(least, "hot-cut-least"), "cut")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]))
+    return found.unionByName(back.groupBy("s").agg(whole.alias("least")))
+
+
+def _hot_spans(rows: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """(d, rk, first, last) of super-k-mers (m, s, packed, d, rk, first) of hot minimisers; s is the digest of ``packed``.
+
+    No group is held by one task: equal super-k-mers and equal cuts are merged before each shuffle, and what
+    they give comes back by joins that leave the rows of hot keys where they are.
+    """
+    strings = rows.groupBy("s").agg(F.first("m").alias("key"), F.min("d").alias("a"), F.first("packed").alias("packed"))
+    per_string = materialize(_least_ids(materialize(strings, "hot-strings"), window, 2 * gram, hot), "hot-least")
     placed = keyed_join(rows.select("s", "d", "rk", "first"), per_string, "s").select("d", "rk", "first", "least")
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
