@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, mix64, quoted
+from .common import byte_slices, materialize, mix64, quoted
 
 ROLL = 7
 LENGTH = 64
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [pa.array([key], pa.int64()), *[pa.nulls(1, f.type) for f in _PAIR[1:]], pa.array([pid], pa.int32()), pa.array([kind]), pa.array([text])]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not ids:
                 continue

@@ -5,8 +5,8 @@ is the noisy-or of its sentences: 1 - product(1 - score). Only documents have la
 document's likelihood through the noisy-or, so that blame settles on the sentences that carry it; the
 operator then names them.
 
-The model is fitted on a sample of labelled documents bounded by ``SAMPLE_DOCS`` per label, drawn by a
-seeded hash of the id. Class shares of all labelled rows correct for the drawing. Scoring is a
+The model is fitted on a sample of labelled documents bounded by ``SAMPLE_DOCS`` and ``SAMPLE_BYTES`` per label, drawn by a
+seeded hash of the id; a text that no longer fits is passed over, none is cut. Class shares of all labelled rows correct for the drawing. Scoring is a
 narrow pass over all documents.
 
 Edge cases: null and empty texts have one empty sentence, scored by the bias alone; documents
@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_slices, quoted
+from .common import byte_slices, materialize, quoted
 
-#: Documents of each label that the model is fitted on, at most.
-SAMPLE_DOCS = 3000
+#: Documents of each label that the model is fitted on, and bytes of their texts, at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 32 << 20
+#: Bytes of a task's table of known words.
+WORD_BYTES = 64 << 20
 BUCKETS = 1 << 18
 #: Beginnings of words that are features besides the word.
 PREFIXES = (4, 5, 6)
@@ -141,7 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = known.filter("y = 1").orderBy(order, "k").limit(SAMPLE_DOCS).unionByName(known.filter("y = 0").orderBy(order, "k").limit(SAMPLE_DOCS))
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.col(quoted(text_col)).cast("string").alias("t"))
     # of several texts of one id the smallest counts; a fixed order makes reruns agree: 2 * SAMPLE_DOCS rows at most
-    sample = texts.join(F.broadcast(drawn), "k").groupBy("k", "y").agg(F.min("t").alias("t")).toArrow().sort_by("k")
+    found = materialize(texts.join(F.broadcast(drawn), "k").groupBy("k", "y").agg(F.min("t").alias("t")), "labelled")
+    left, taken = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in found.select("k", "y", F.coalesce(F.octet_length("t"), F.lit(0)).alias("size")).orderBy(order, "k").collect():
+        if r["size"] <= left[r["y"]]:
+            left[r["y"]] -= r["size"]
+            taken.append((r["k"],))
+    chosen = docs.sparkSession.createDataFrame(taken, "k long")
+    sample = found.join(F.broadcast(chosen), "k").toArrow().sort_by("k")
     y = np.array(sample.column("y").to_pylist(), float)
     seen = {c: max(float((y == c).sum()), 1.0) for c in (0, 1)}
     importance = np.where(y > 0, totals[1] / seen[1], totals[0] / seen[0]) * len(y) / total
@@ -155,11 +164,13 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     class Words(dict):
-        LIMIT = 400_000
+        held = 0  # bytes, about
 
         def __missing__(self, word: str) -> float:
-            if len(self) >= self.LIMIT:
+            if self.held >= WORD_BYTES:
                 self.clear()
+                self.held = 0
+            self.held += 150 + 4 * len(word)
             value = self[word] = shared.value.word_weight(word)
             return value
 
