@@ -1,12 +1,14 @@
-"""Hot groups: keyed joins, crowded minimisers, and line dedup whose sides are shuffled."""
+"""Hot groups: keyed joins, crowded minimisers, and line dedup whose sides are shuffled; recall of near-dedup."""
 
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import common, line_templates, super_kmers
+from sensorloom.llm import common, dart_minhash, line_templates, super_kmers
 
 from .test_operators import brute_gone, brute_removal, prose
 
@@ -73,3 +75,31 @@ def test_common_lines_stay_where_they_are(spark, monkeypatch):
     assert len(gone) > 200
     for n, (_, text) in enumerate(rows):
         assert got[n] == (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (n, i) not in gone))
+
+
+def test_near_dedup_finds_pairs_by_band_of_similarity(spark):
+    """Documents whose id 20 divides against all of sf0.01, by exact similarity of every pair that shares a shingle."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in table.collect())
+    bags = dart_minhash.bags_of(pa.array([t for _, t in rows], pa.string()))
+    total = np.array([w.sum() for _, w in bags])
+    doc = np.repeat(np.arange(len(rows)), [len(e) for e, _ in bags])
+    element, weight = (np.concatenate(x) for x in zip(*bags))
+    order = np.argsort(element, kind="stable")
+    element, weight, doc = element[order], weight[order], doc[order]
+    group = {r["doc_id"]: r["class_id"] for r in dart_minhash.classified(table).collect()}
+    met, joined = Counter(), Counter()
+    for q, (k, text) in enumerate(rows):
+        if k % 20:
+            continue
+        own, own_weight = bags[q]
+        low, high = np.searchsorted(element, own), np.searchsorted(element, own, "right")
+        at = common.spread(low, high - low)
+        both = np.bincount(doc[at], np.minimum(weight[at], np.repeat(own_weight, high - low)), len(rows))
+        near = both / np.maximum(total + total[q] - both, 1e-300)
+        for j in np.flatnonzero((near >= 0.5) & (np.arange(len(rows)) != q)).tolist():
+            band = "over" if near[j] >= 0.8 else "under"
+            met[band] += 1
+            joined[band] += group[k] == group[rows[j][0]]
+    assert met["over"] >= 5 and joined["over"] >= 0.9 * met["over"]
+    assert joined["under"] <= 0.1 * met["under"]
