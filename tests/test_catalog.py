@@ -47,3 +47,9 @@ def test_runs_and_repeats(spark, name):
         order = ["round", "client_id"]
         for c in ("loss", "accuracy", "log_loss"):
             assert abs(first.sort_values(order)[c].to_numpy() - second.sort_values(order)[c].to_numpy()).max() < 1e-3
+
+
+@pytest.mark.parametrize("name", ["str1_sessions"])
+def test_streams_put_out_their_last_windows(spark, name):
+    batch, streamed = (_rows(catalog.QUERIES[n](spark, SF).toPandas()) for n in (name, f"{name}_live"))
+    assert streamed == batch
