@@ -49,7 +49,7 @@ def test_runs_and_repeats(spark, name):
             assert abs(first.sort_values(order)[c].to_numpy() - second.sort_values(order)[c].to_numpy()).max() < 1e-3
 
 
-@pytest.mark.parametrize("name", ["str1_sessions", "str5_tumbling"])
+@pytest.mark.parametrize("name", ["str1_sessions", "str5_tumbling", "str7_sliding"])
 def test_streams_put_out_their_last_windows(spark, name):
     batch, streamed = (_rows(catalog.QUERIES[n](spark, SF).toPandas()) for n in (name, f"{name}_live"))
     assert streamed == batch
