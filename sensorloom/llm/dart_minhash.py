@@ -10,11 +10,11 @@ Near duplicates are texts with a similarity of ``threshold`` or more; classes ar
 1. Equal texts are one node. 2. Signatures are cut into bands; nodes of one band value form a bucket.
 3. In each bucket every node is compared with one leader (exact similarity of the whole texts), not with
 every other. 4. In buckets whose nodes are then in several classes those outside the largest class meet a few
-other nodes of that class, as long as classes merge. 5. In those still open the nodes outside the largest
+other nodes of that class, as long as classes merge: a node meets few of one class whatever the number of buckets it shares with it. 5. In those still open the nodes outside the largest
 class are held, in blocks of bounded bytes, against all nodes of other classes, each pair in one of its buckets
 only. So each pair of a bucket is in one class or has been compared: no link is lost, and no bucket emits all of its
-pairs. A text moves once per block of the nodes outside, not once per node. Classes are found by spreading
-minima with pointer jumping over Parquet tables; nodes with many links are joined where their rows are.
+pairs. A text moves once per block of the nodes outside, not once per node. Classes are merged by spreading
+minima with pointer jumping over Parquet tables, where a round's links are between the classes before it; nodes with many links are joined where their rows are.
 
 Edge cases: a null text counts as empty; texts of one to four words have one shingle, the whole text;
 texts without a word are near only to equal texts; a null id is the class id only of a class
@@ -36,7 +36,7 @@ from .common import Scratch, boxed, byte_slices, hash_words, keyed_join, materia
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Rounds of leaders at most, what is open then is compared in blocks; leaders of a bucket from the second round on.
+#: Rounds of leaders at most, what is open then is compared in blocks; leaders that a node meets of a class from the second round on.
 LEADER_ROUNDS, LEADERS = 3, 6
 #: Bytes of text of a block in these comparisons.
 BLOCK_BYTES = 2 << 20
@@ -152,7 +152,7 @@ def _numbered(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts are similar; ``a`` may be a leader of very many."""
+    """The classes (ca, cb), each once, of those pairs (a, b, ca, cb) of nodes whose whole texts are similar; ``a`` may be a leader of very many."""
     leaders = materialize(texts.join(pairs.select("a").distinct(), F.col("node") == F.col("a")).select("a", F.col("t").alias("ta")), "leader-texts")
     wide = keyed_join(pairs, leaders, "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -161,9 +161,9 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             number, once = _numbered(part.column(0))
             leaders, others = bags_of(part.column(2).take(pa.array(once))), bags_of(part.column(3))
             keep = [similarity(leaders[i], other) >= threshold for i, other in zip(number.tolist(), others)]
-            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield part.select([4, 5]).filter(pa.array(keep, pa.bool_()))
 
-    return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return wide.select("a", "b", "ta", "tb", "ca", "cb").mapInArrow(run, "ca binary, cb binary").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -182,19 +182,29 @@ def connected(links: DataFrame) -> DataFrame:
         label = moved.select("node", "class")
 
 
-def _similar_rows(x: pd.DataFrame, y: pd.DataFrame, bucket: int, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Similar nodes (a, b) of different classes, a of ``x`` and b of ``y``, whose first common bucket this is."""
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``classes`` (node, class) after ``links`` (ca, cb) between them; a node that isn't in it is a class of its own."""
+    joined = connected(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if classes is None:
+        return joined
+    moved = keyed_join(classes, joined.select(F.col("node").alias("class"), F.col("class").alias("into")), "class", "left")
+    own = joined.join(classes, "node", "left_anti")
+    return materialize(moved.select("node", F.coalesce("into", "class").alias("class")).union(own.select("node", "class")), "classes")
+
+
+def _similar_classes(x: pd.DataFrame, y: pd.DataFrame, bucket: int, threshold: float) -> set[tuple[bytes, bytes]]:
+    """Different classes (of a, of b) of similar nodes, a of ``x`` and b of ``y``, whose first common bucket this is."""
     place, element, count = weighted_shingles(pa.array(y["t"], pa.string()))
     order = np.argsort(element, kind="stable")
     element, count, place = element[order], count[order], place[order]
     mass = np.bincount(place, count, len(y))
-    nodes, classes = y["node"].to_list(), y["class"].to_numpy()
+    classes = y["class"].to_numpy()
     # the open buckets of each y before this one, in rows: a pair that shares one of them is compared there
     sizes = np.array([len(b) for b in y["buckets"]])
     held, owner = np.concatenate(y["buckets"].to_list()), np.repeat(np.arange(len(y)), sizes)
     held, owner = held[held < bucket], owner[held < bucket]
-    found = []
-    for node, own, buckets, (e, c) in zip(x["node"], x["class"], x["buckets"], bags_of(pa.array(x["t"], pa.string()))):
+    found = set()
+    for own, buckets, (e, c) in zip(x["class"], x["buckets"], bags_of(pa.array(x["t"], pa.string()))):
         open_ = classes != own
         open_[owner[np.isin(held, buckets)]] = False
         if not open_.any():
@@ -203,15 +213,15 @@ def _similar_rows(x: pd.DataFrame, y: pd.DataFrame, bucket: int, threshold: floa
         n = high - low
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         both = np.bincount(place[at], np.minimum(np.repeat(c, n), count[at]), len(y))
-        found += [(node, nodes[k]) for k in np.flatnonzero(open_ & (both >= threshold * (c.sum() + mass - both)))]
+        found.update((own, k) for k in classes[open_ & (both >= threshold * (c.sum() + mass - both))])
     return found
 
 
 def _open_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Similar nodes (a, b) of one bucket and different classes.
+    """Different classes (ca, cb) of similar nodes of one bucket.
 
-    Nodes outside a bucket's largest class are held against all its nodes, in blocks by bytes; no pair is a row of its
-    own unless it is similar.
+    Nodes outside a bucket's largest class are held against all its nodes, in blocks by bytes; no pair of nodes is a
+    row of its own.
     """
     own = open_.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a node has BANDS buckets at most
     rows = open_.join(texts.select("node", "t"), "node").join(own, "node").withColumn("size", F.octet_length("t"))
@@ -223,30 +233,35 @@ def _open_links(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     rows = keyed_join(materialize(rows, "open-texts"), materialize(largest, "largest"), "bucket")
     spot = F.xxhash64("node")
     i, j = F.pmod(spot, F.col("blocks")).cast("int"), F.pmod(spot, F.col("chunks")).cast("int")
-    kept = ("node", "class", "t", "buckets")
+    kept = ("class", "t", "buckets")
     as_y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("outer"), *kept)
     outside = rows.filter(F.col("class") != F.col("largest"))
     as_x = outside.select("bucket", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("outer"), *kept)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["outer"]], group[~group["outer"]]
-        found = _similar_rows(x, y, int(key[0]), threshold) if len(x) and len(y) else []
-        return pd.DataFrame(found, columns=["a", "b"])
+        found = _similar_classes(x, y, int(key[0]), threshold) if len(x) and len(y) else ()
+        return pd.DataFrame(list(found), columns=["ca", "cb"])
 
-    links = as_x.unionByName(as_y).groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = as_x.unionByName(as_y).groupBy("bucket", "i", "j").applyInPandas(run, "ca binary, cb binary")
+    return links.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
 
 
 def _leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) to compare: at first each node with its bucket's leader, then those outside the largest class with some of it."""
+    """Pairs (a, b) to compare and their classes (ca, cb): at first each node with its bucket's leader, then those outside the largest class with some of it.
+
+    Of one class a node meets LEADERS, whichever of its buckets they lead, first those that it shares most of these with.
+    """
     if not turn:
         lead = materialize(open_.groupBy("bucket").agg(F.min("node").alias("a")), "leaders")
-        return keyed_join(open_, lead, "bucket").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+        return keyed_join(open_, lead, "bucket").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"), F.col("a").alias("ca"), F.col("class").alias("cb")).distinct()
     counts = open_.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
     top = counts.groupBy("bucket").agg(F.max_by(F.struct("class", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads")), F.struct("n", "class")).alias("top"))
     top = materialize(top.select("bucket", F.col("top.class").alias("largest"), F.col("top.leads").alias("leads")), "leaders")
     outside = keyed_join(open_, top, "bucket").filter(F.col("class") != F.col("largest"))
-    return outside.select(F.explode("leads").alias("a"), F.col("node").alias("b")).distinct()
+    met = outside.groupBy("node", "class", "largest").agg(F.flatten(F.collect_list("leads")).alias("leads"))  # a node has BANDS buckets at most
+    ranked = F.array_sort(F.transform(F.array_distinct("leads"), lambda a: F.struct((-F.size(F.filter("leads", lambda x: x == a))).alias("n"), a.alias("a"))))
+    return met.select(F.explode(F.slice(ranked, 1, LEADERS)["a"]).alias("a"), F.col("node").alias("b"), F.col("largest").alias("ca"), F.col("class").alias("cb"))
 
 
 def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -258,7 +273,6 @@ def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float =
     wanted = scratch.table(members.select("node").distinct(), "nodes")
     text = docs.select(node_of(F.col(quoted(text_col))).alias("node"), F.col(quoted(text_col)).cast("string").alias("t"))
     texts = scratch.table(text.join(small_side(wanted), "node").groupBy("node").agg(F.first("t").alias("t")), "texts")
-    found: DataFrame | None = None
     tried: DataFrame | None = None
     classes: DataFrame | None = None
     turn, last = 0, False
@@ -278,16 +292,15 @@ def near_classes(docs: DataFrame, text_col: str = "text", *, threshold: float =
         else:
             pairs = _leader_pairs(open_, turn)
             pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = pairs if tried is None else tried.union(pairs)
+            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
             new = scratch.table(compared(pairs, texts, threshold), "similar")
-        merged = new.limit(1).count() > 0
-        if merged:
-            found = new if found is None else found.union(new)
-            classes = connected(found)
+        linked = new.limit(1).count() > 0
+        if linked:
+            classes = merged(classes, new)
         if last:
             break
         turn += 1
-        last = not merged or turn == LEADER_ROUNDS
+        last = not linked or turn == LEADER_ROUNDS
     result = materialize(members.select("node", F.col("node").alias("class")).limit(0) if classes is None else classes, "near-classes")
     scratch.drop()
     return result

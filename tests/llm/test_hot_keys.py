@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import common, dart_minhash, line_templates, super_kmers
 
-from .test_operators import brute_gone, brute_removal, prose
+from .test_operators import brute_classes, brute_gone, brute_removal, prose
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -103,3 +103,28 @@ def test_near_dedup_finds_pairs_by_band_of_similarity(spark):
             joined[band] += group[k] == group[rows[j][0]]
     assert met["over"] >= 5 and joined["over"] >= 0.9 * met["over"]
     assert joined["under"] <= 0.1 * met["under"]
+
+
+def test_a_node_meets_few_of_a_class_in_all_its_buckets(spark):
+    rows = [(k, f"m{i:02d}".encode(), b"m00") for k in range(10) for i in {0, *range(4 * k, 4 * k + 4)}] + [(k, b"x", b"x") for k in range(10)]
+    open_ = spark.createDataFrame(rows, "bucket long, node binary, class binary")
+    pairs = dart_minhash._leader_pairs(open_, 1).collect()
+    assert len(pairs) == len({bytes(p["a"]) for p in pairs}) == dart_minhash.LEADERS
+    assert {bytes(p["b"]) for p in pairs} == {b"x"} and b"m00" in {bytes(p["a"]) for p in pairs}  # m00 shares every bucket
+
+
+def test_later_links_are_between_classes(spark, monkeypatch):
+    given = []
+    connect = dart_minhash.connected
+    monkeypatch.setattr(dart_minhash, "connected", lambda links: given.append(links.count()) or connect(links))
+    r = random.Random(4)
+    base = prose(71, 120).split()
+    rows = []
+    for i in range(80):  # one group, of which leaders reach a part at a time
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(120)] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(x) for x in dart_minhash.classified(d).collect()), key=repr) == brute_classes(rows)
+    assert len(given) > 1 and sum(given[1:]) < given[0]
