@@ -98,6 +98,39 @@ def test_far_blocks_don_t_meet(spark, monkeypatch):
     assert met < 0.15 * 30_000**2
 
 
+def shuffled(spark):
+    """Bytes that tasks have shuffled so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_blocks_that_meet_aren_t_shuffled(spark, monkeypatch):
+    """Windows without structure: each block meets nearly all, and is read for it, not copied."""
+    monkeypatch.setattr(O, "BLOCK", 100)
+    x = np.random.default_rng(8).normal(size=(3000, 12))
+    before = shuffled(spark)
+    got = O.detect_outliers(vectors(spark, x), "local_outlier_factor").orderBy("idx").collect()
+    assert shuffled(spark) - before < 10 * x.nbytes + 3000 * 20 * 50
+    assert np.allclose([r["score"] for r in got], brute_factor(x), rtol=1e-9)
+
+
+def test_outlier_factor_with_copies(spark, monkeypatch):
+    """Windows with one to 24 copies each."""
+    monkeypatch.setattr(O, "BLOCK", 60)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(240, 5)), np.arange(240) % 24 + 1, axis=0)[rng.permutation(3000)]
+    got = O.detect_outliers(vectors(spark, x), "local_outlier_factor").orderBy("idx").collect()
+    want = brute_factor(x)
+    # a window with 21 copies or more has a density of 1e12
+    assert np.allclose([r["score"] for r in got], want, rtol=1e-6) and [r["pred"] == -1 for r in got] == (want > 1.5).tolist()
+
+
+def test_windows_with_many_copies_need_no_search(spark, monkeypatch):
+    monkeypatch.setattr(O, "_nearest", None)
+    x = np.repeat(np.random.default_rng(1).normal(size=(50, 4)), 21, axis=0)
+    got = O.detect_outliers(vectors(spark, x), "local_outlier_factor").collect()
+    assert len(got) == len(x) and all(r["score"] == 1 and r["pred"] == 1 for r in got)
+
+
 def test_large_clients_train_in_shards(spark, monkeypatch):
     monkeypatch.setattr(FD, "SHARD", 40, raising=False)
     rng = np.random.default_rng(1)
