@@ -152,6 +152,72 @@ def test_rounds_have_a_client_for_each_sensor(spark):
     assert got.select("client_id").distinct().count() == sensors and got.select("round").distinct().count() == 5
 
 
+@pytest.mark.parametrize("variant", ["plain", "weighted", "float16", "int8"])
+def test_rounds_of_many_clients(spark, monkeypatch, variant):
+    """Clients of one shard, trained side by side, and one of three: weights and metrics of plain loops, and no shuffle of each weight of each client."""
+    monkeypatch.setattr(FD, "SHARD", 40)
+    monkeypatch.setattr(FD, "ABREAST", 32, raising=False)
+    rng = np.random.default_rng(5)
+    spec = [{"units": 8, "activation": "relu"}, {"units": 1, "activation": "sigmoid"}]
+    clients = {f"c{i}": (rng.normal(size=(n, 20)), rng.integers(0, 2, n).astype(float)) for i, n in enumerate([100, 1, 2, *rng.integers(3, 9, 500)])}
+    rows = [(c, i, v.tolist(), float(t)) for c, (x, y) in clients.items() for i, (v, t) in enumerate(zip(x, y))]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "client_id string, idx int, features array<double>, label double").repartition(3)
+    before = shuffled(spark)
+    got, table = FD.federated_train(d, spec, 2, variant)
+    found = {(r["round"], r["client_id"]): r for r in table.collect()}
+    assert shuffled(spark) - before < 6 * len(rows) * 20 * 8
+    weights = K.initial_weights(20, spec)
+    trip = {"float16": lambda v: v.astype(np.float16).astype(float), "int8": int8}.get(variant, lambda v: v)
+    for r in range(2):
+        own, losses = {}, {}
+        for c, (x, y) in clients.items():
+            parts = [(K.train_epoch(x[i : i + 40], y[i : i + 40], weights, spec), x[i : i + 40], y[i : i + 40]) for i in range(0, len(x), 40)]
+            own[c] = [np.average([p[0][j] for p in parts], axis=0, weights=[len(p[1]) for p in parts]) for j in range(len(weights))]
+            logs = [log_loss(b, K.dense_forward(a, w, spec)[-1].reshape(-1)) for w, a, b in parts]
+            losses[c] = np.average(logs, weights=[len(p[1]) for p in parts])
+        share = {c: len(x) if variant == "weighted" else 1 for c, (x, _) in clients.items()}
+        weights = [sum(share[c] * trip(own[c][j]) for c in clients) / sum(share.values()) for j in range(len(weights))]
+        for c, (x, y) in clients.items():
+            p, f = K.dense_forward(x, weights, spec)[-1].reshape(-1), found[r, c]
+            hit, pos, neg = p > 0.5, p[y == 1], p[y == 0]
+            area = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]) if len(pos) and len(neg) else None
+            want = [len(x), len(x), losses[c], (hit == y).mean(), y[hit].mean() if hit.any() else None, hit[y == 1].mean() if y.any() else None, log_loss(y, p), area]
+            for a, b in zip([f[k] for k in ("n", "work", "loss", "accuracy", "precision", "recall", "log_loss", "auc")], want):
+                assert a is None and b is None or np.isclose(a, b, atol=1e-6)
+    assert len(found) == 2 * len(clients) and all(np.allclose(a, b) for a, b in zip(got, weights))
+
+
+def log_loss(y, p):
+    return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+
+def int8(v):
+    cut = np.clip(v, v.mean() - 2 * v.std(), v.mean() + 2 * v.std())
+    low, high = cut.min(), cut.max()
+    return (np.rint(((cut - low) / (high - low) * 2 - 1) * 127) / 127 + 1) / 2 * (high - low) + low if high > low else cut
+
+
+def test_weights_travel_as_in_tables(spark):
+    """What a task does to the weights it sums is what the operators on tables do."""
+    v = np.random.default_rng(2).normal(size=(6, 30))
+    v[0] = 0.25
+    rows = spark.createDataFrame([(str(i), 0, w.tolist()) for i, w in enumerate(v)], "client_id string, layer int, weights array<double>")
+    back = {r["client_id"]: r["weights"] for r in FD.dequantize_i8(FD.quantize_i8(rows)).collect()}
+    half = {r["client_id"]: r["weights"] for r in FD.quantize_f16(rows).collect()}
+    assert all(np.allclose(a, back[str(i)]) for i, a in enumerate(K.int8_round_trip(v))) and all(np.allclose(a, half[str(i)]) for i, a in enumerate(K.float16_round_trip(v)))
+
+
+def test_labelled_windows(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(s, i, start + dt.timedelta(minutes=i), float(i), 1.0, 2.0) for s in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "sensor_id string, row_no long, time timestamp, value_temp double, value_hum double, value_acid double")
+    errors = spark.createDataFrame([("a", 50), ("a", 299), ("b", 0), ("b", 7)], "sensor_id string, idx int")
+    got = {(r["sensor_id"], r["idx"]): (r["features"][:20], r["label"]) for r in FD.training_table(df, errors).collect()}
+    near = lambda s, i: any(i - 8 < e <= i + 8 for t, e in (("a", 50), ("a", 299), ("b", 0), ("b", 7)) if t == s)
+    assert got == {(s, i): ([float(j) for j in range(i, i + 20)], float(near(s, i))) for s in ("a", "b") for i in range(280)}
+
+
 def loop_partial(x, y, work, rows, start, spec):
     """Weights of a client after ``work - 1`` batches of ``rows`` rows, each a row further on."""
     weights = [w.copy() for w in start]
