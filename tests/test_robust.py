@@ -110,3 +110,26 @@ def test_lowess_of_near_values(spark, monkeypatch, chunk):
     df = spark.createDataFrame(rows, "sensor_id string, row_no long, time timestamp, value_temp double").repartition(3)
     got = {(r["sensor_id"], r["row_no"]): r["value_temp"] for r in SM.lowess(df, ("value_temp",), k=20).collect()}
     assert set(got) == set(want) and all(g is None and np.isnan(w) or np.isclose(g, w, atol=1e-9) for g, w in ((got[x], want[x]) for x in want))
+
+
+def test_lowess_of_many_short_series(spark, monkeypatch):
+    """Each series in a batch of many is the kernel's; nothing but the rows themselves is shuffled or written."""
+    monkeypatch.setattr(SM, "_lowess_of_long", None, raising=False)
+    rng, rows, want = np.random.default_rng(4), [], {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for s in [None, *(f"s{i}" for i in range(300))]:
+            y = np.round(rng.normal(size=rng.integers(1, 40)) * 9, 1) if s != "s7" else np.arange(30.0)
+            y[rng.random(len(y)) < 0.1] = np.nan
+            seen = int((~np.isnan(y)).sum())
+            want |= {(s, i): v for i, v in enumerate(K.lowess(y, 12 / seen if seen > 12 else 1.0))}
+            rows += [(s, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), None if v != v else float(v)) for i, v in enumerate(y)]
+        random.Random(2).shuffle(rows)
+        df = spark.createDataFrame(rows, "sensor_id string, row_no long, time timestamp, value_temp double").repartition(3)
+        store = spark.sparkContext._jsc.sc().statusStore()
+        before = store.executorList(True).apply(0).totalShuffleWrite()
+        got = {(r["sensor_id"], r["row_no"]): r["value_temp"] for r in SM.lowess(df, ("value_temp",), k=12).collect()}
+        assert store.executorList(True).apply(0).totalShuffleWrite() - before < len(rows) * 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and all(g is None and np.isnan(w) or np.isclose(g, w, atol=1e-9) for g, w in ((got[x], want[x]) for x in want))
