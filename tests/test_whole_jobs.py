@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sensorloom.functions import kernels as K
-from sensorloom.operators import federated as FD, outliers as O
+from sensorloom.operators import federated as FD, forecast as FC, outliers as O
 from sensorloom.plans import catalog
 
 
@@ -218,6 +218,51 @@ def test_labelled_windows(spark):
     assert got == {(s, i): ([float(j) for j in range(i, i + 20)], float(near(s, i))) for s in ("a", "b") for i in range(280)}
 
 
+@pytest.mark.parametrize("shard", [65_536, 60])
+def test_forecasts_side_by_side(spark, monkeypatch, shard):
+    """Models of short and of long series, channels with other known times or none, combined as their tables would be."""
+    monkeypatch.setattr(FC, "SHARD", shard)
+    rng, start, rows, want = np.random.default_rng(6), dt.datetime(2024, 1, 1), [], {}
+    cols, periods = ("value_temp", "value_hum", "value_acid"), {1440.0: 2, 10080.0: 1}
+    # how many of their last values channels don't know, in steps of a minute
+    for s, n, lost in (("same", 50, (0, 0, 0)), ("ends", 90, (0, 20, 10)), ("other", 40, (0, 3, 0)), ("far", 130, (0, 90, 0)), ("dark", 30, (0, 30, 0)), ("one", 1, (0, 0, 0)), (None, 20, (0, 0, 0))):
+        y = rng.normal(size=(n, 3))
+        at = np.arange(n) * (1 if n != 40 else 7)
+        y[rng.random(y.shape) < 0.1] = np.nan
+        y[0], y[-1] = 1.0, 2.0
+        for j, m in enumerate(lost):
+            y[n - m :, j] = np.nan
+            y[max(n - m - 1, 0), j] = 2.0 if m < n else np.nan
+        rows += [(s, i, start + dt.timedelta(minutes=int(at[i])), *[None if v != v else float(v) for v in y[i]]) for i in range(n)]
+        for j, c in enumerate(cols):
+            known = ~np.isnan(y[:, j])
+            if s is None or not known.any():
+                continue
+            t = at[known].astype(float)
+            scale = max(t[-1] - t[0], 1.0)
+            x = K.fourier_features(t - t[0], periods, scale)
+            fitted = np.linalg.solve(x.T @ x + 1e-3 * len(t) * np.eye(x.shape[1]), x.T @ y[known, j])
+            ahead = t[-1] + 10 * np.arange(1, 9)
+            for u, v in zip(ahead, K.fourier_features(ahead - t[0], periods, scale) @ fitted):
+                want[s, c, start + dt.timedelta(minutes=float(u))] = v
+    rng.shuffle(rows)
+    rows += [("same", 99, None, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame([(a, int(b), c, *map(lambda v: None if v is None else float(v), r)) for a, b, c, *r in rows], "sensor_id string, row_no long, time timestamp, value_temp double, value_hum double, value_acid double").repartition(3)
+    got = {(r["sensor_id"], r["channel"], r["time"]): r["value"] for r in FC.fourier_forecast(df, cols, 8, 10, 2, 1).collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k], atol=1e-8) for k in want)
+    both = FC.fourier_forecasts(df, cols, 8, 10, 2, 1).collect()
+    expected = {(s, t): [want[s, c, t] for c in cols] for s, _, t in want if all((s, c, t) in want for c in cols)}
+    assert {s for s, _ in expected} >= {"same", "ends", "one"} and len(both) == len(expected)
+    assert all(np.allclose([r[c] for c in cols], expected[r["sensor_id"], r["time"]], atol=1e-8) for r in both)
+
+
+def test_forecasts_aren_t_shuffled(spark):
+    """Neither forecasts nor sums of products: readings only."""
+    before = shuffled(spark)
+    assert catalog.QUERIES["for3_combine_forecasts"](spark, "/root/testdata/sf0.01").count() == 150_000
+    assert shuffled(spark) - before < 10_000 * 100
+
+
 def loop_partial(x, y, work, rows, start, spec):
     """Weights of a client after ``work - 1`` batches of ``rows`` rows, each a row further on."""
     weights = [w.copy() for w in start]
